@@ -17,7 +17,8 @@ RELIABILITY_WEIGHTS = {"confidence": 0.25, "error": 0.25, "drift": 0.25, "qualit
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), c))
+    """Hold a value in [lo, hi]; null stays null (greatest and least alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), c)))
 
 
 def finite(c: Column) -> Column:
@@ -105,7 +106,7 @@ def raw_severity(
             span = F.lit(max_shift if max_shift > 0 else 1e-6)
         else:
             span = F.greatest(F.lit(1.0) - baseline_mean, F.lit(1e-6))
-        return F.least(F.lit(1.0), shift / span)
+        return clip(shift / span, 0.0, 1.0)
     if formula == "exponential":
         return clip(F.lit(1.0) - F.exp(F.lit(-float(sensitivity)) * shift), 0.0, 1.0)
     raise ValueError(f"unknown severity formula {formula!r}")
@@ -130,7 +131,7 @@ def monitored_signal(kind: str, p0: Column, p1: Column, pred: Column | None = No
 
 def winsorized_l1(z: Sequence[Column], limit: float = 5.0) -> Column:
     """Mean over the features of min(|z|, limit)."""
-    return reduce(add, [F.least(F.abs(c), F.lit(float(limit))) for c in z]) / F.lit(float(len(z)))
+    return reduce(add, [clip(F.abs(c), 0.0, limit) for c in z]) / F.lit(float(len(z)))
 
 
 def ts_resolution(n_with_seconds: Column, n_with_minutes: Column, n_with_hours: Column) -> Column:

@@ -71,7 +71,7 @@ def drift_channels(
     k: int | None = None,
     explicit: Sequence[str] = (),
     state_flip: bool = False,
-    seed: int = 42,
+    seed: int | Column = 42,
 ) -> DataFrame:
     """Channels to drift, from the baseline profile: one row per chosen column.
 
@@ -113,8 +113,8 @@ def scale(column: str, level: Column) -> Column:
     return F.col(column) * (F.lit(1.0) + level)
 
 
-def noise(column: str, level: Column, key: Sequence[Column], seed: int = 42, units: str = "baseline_sigma") -> Column:
-    width = F.greatest(step_size(column, level, units), F.lit(0.0))
+def noise(column: str, level: Column, key: Sequence[Column], seed: int | Column = 42, units: str = "baseline_sigma") -> Column:
+    width = F.greatest(step_size(column, level, units), F.lit(0.0))  # no spread where the level is not positive
     return F.col(column) + normal(seed, column, *key) * width
 
 
@@ -138,7 +138,7 @@ def clip_physical(column: str, drifted: Column, active: Column, expansion: float
     lo_b, hi_b, x = stat(column, "minimum"), stat(column, "maximum"), F.col(column)
     centre, half = (hi_b + lo_b) / 2.0, (hi_b - lo_b) * F.lit(float(expansion)) / 2.0
     held = F.greatest(F.least(drifted, F.greatest(centre + half, x)), F.least(centre - half, x))
-    return F.when(active, held).otherwise(x)
+    return F.when(active & drifted.isNotNull(), held).otherwise(x)
 
 
 def state_flip(
@@ -180,7 +180,7 @@ def inject(
     units: str = "baseline_sigma",
     expansion: float = 1.0,
     key: Sequence[str] = (),
-    seed: int = 42,
+    seed: int | Column = 42,
     suffix: str = "__drifted",
 ) -> DataFrame:
     """Add `schedule` and one drifted, clipped copy per channel beside the recorded one."""

@@ -262,7 +262,7 @@ def mean_by_configuration(prediction: DataFrame, routing: DataFrame, latency: Da
 
 def _interval(n: Column, mean: Column, std: Column, confidence: float) -> tuple[Column, Column, Column]:
     flat = (n < 2) | (std < 1e-12) | std.isNull()
-    margin = t_quantile(F.lit((1.0 + confidence) / 2.0), (n - 1).cast("double")) * std / F.sqrt(n)
+    margin = t_quantile(F.lit((1.0 + confidence) / 2.0), (n - 1).cast("double")) * F.try_divide(std, F.sqrt(n))
     shown = F.when(flat, F.lit(0.0)).otherwise(std)
     return shown, F.when(flat, mean).otherwise(mean - margin), F.when(flat, mean).otherwise(mean + margin)
 
@@ -302,7 +302,7 @@ def paired_test(pairs: DataFrame, by: Sequence[str] = (), confidence: float = 0.
     )
     n, mean = F.col("n_replicates"), F.col("mean_difference")
     tested = (n >= 2) & (F.col("__range") > 1e-12 + 1e-5 * F.abs(mean))
-    t = mean / (F.col("__std") / F.sqrt(n))
+    t = F.try_divide(mean, F.col("__std") / F.sqrt(n))
     _, lo, hi = _interval(n, mean, F.col("__std"), confidence)
     # Test names.
     name = (

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.functions.signals import confidence
+from tidegauge.functions.signals import clip, confidence
 from tidegauge.operators.detect import FOLD_ROWS, ordered_fold
 from tidegauge.operators.ordering import Axis
 
@@ -30,7 +30,7 @@ def error_ema(
     carried forward over the rows in between. `df` is read several times: pass a written
     table or a cheap projection.
     """
-    rows = df.withColumn("__loss", F.greatest(F.lit(0.0), F.least(F.lit(1.0), loss.cast("double"))))
+    rows = df.withColumn("__loss", clip(loss.cast("double"), 0.0, 1.0))
     got = F.col("__loss").isNotNull()
     numbered = axis.running(
         rows.select(*axis.series, axis.idx, "__loss"), sums={"__k": got.cast("long")}

@@ -141,3 +141,48 @@ def reliable(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     return staged(spark, sf_dir, "reliable", build)
+
+
+def execution_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An execution log read off the inference events: who answered, how long it took, what failed.
+
+    The event type stands for the chosen action, the channels for latencies and faults.
+    """
+    kind, k, value = F.col("event_type"), F.col("k"), F.col("value")
+    action = (
+        F.when(kind.isin("click", "view"), F.lit("EDGE"))
+        .when(kind == "purchase", F.lit("CLOUD"))
+        .otherwise(F.lit("HYBRID"))
+    )
+    act = F.col("selected_action")
+    fallback = (act == "HYBRID") & (k < 40)
+    in_cloud = (act == "CLOUD") | F.col("cloud_fallback")
+    lost = in_cloud & (F.col("state") == 3) & (value < 30)
+    status = F.when(~F.col("success"), F.lit("FAILED")).when(F.col("cloud_fallback"), F.lit("FALLBACK")).otherwise(F.lit("SUCCESS"))
+    used = (
+        F.when(act == "EDGE", F.lit("edge"))
+        .when(act == "CLOUD", F.lit("cloud"))
+        .when(F.col("cloud_fallback"), F.lit("hybrid_cloud"))
+        .otherwise(F.lit("hybrid_edge"))
+    )
+    d = ordered(spark, sf_dir).where(F.col("role") == "inference")
+    return (
+        d.select("series_id", "row_idx", "event_id", "user_id", "value", "k", "state", action.alias("selected_action"))
+        .withColumn("cloud_fallback", fallback)
+        .withColumn("packet_lost", lost)
+        .withColumn("success", ~F.col("packet_lost") & (value <= 150))
+        .withColumn("edge_latency_s", F.when(act != "CLOUD", value / 1000.0))
+        .withColumn("network_latency_s", F.when(in_cloud, k / 1000.0))
+        .withColumn("cloud_latency_s", F.when(in_cloud & ~F.col("packet_lost"), value / 500.0))
+        .withColumn("model_used", used)
+        .withColumn("execution_status", status)
+        .withColumn(
+            "error",
+            F.when(F.col("packet_lost"), F.lit("network failure: packet lost")).when(~F.col("success"), F.lit("model failure")),
+        )
+        .withColumn(
+            "total_latency_s",
+            sum((F.coalesce(c, F.lit(0.0)) for c in ("edge_latency_s", "network_latency_s", "cloud_latency_s")), F.lit(0.0)),
+        )
+        .withColumn("seed", (F.col("user_id") % 5).cast("int"))
+    )
