@@ -151,13 +151,16 @@ def exact_quantiles(
         for j in range(len(columns))
         for i in range(len(probs))
     ]
-    # Rows outside the bracket collapse to one group per side; the smallest value above it
-    # may still be the upper neighbour of the rank.
+    # Rows outside the bracket collapse to one group per side. Its nearest value is kept: on
+    # few rows it may be the neighbour of the rank, as (n - 1) * p and n * p differ by a row.
     counted = (
         joined.select(*by, F.inline(F.array(*cells)))
         .where(F.col("v").isNotNull())
         .groupBy(*by, "c", "p", "n", "side", F.when(F.col("side") == 0, F.col("v")).alias("inside"))
-        .agg(F.count("*").alias("k"), F.min("v").alias("v"))
+        .agg(
+            F.count("*").alias("k"),
+            F.when(F.col("side") < 0, F.max("v")).otherwise(F.min("v")).alias("v"),
+        )
     )
     upto = Window.partitionBy(*by, "c", "p").orderBy("side", "inside").rowsBetween(
         Window.unboundedPreceding, Window.currentRow

@@ -114,7 +114,7 @@ def error_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 def error_ema_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels arrive for some rows only: purchases report at once, other types never."""
     d = E.ordered(spark, sf_dir).where(F.col("role") == "inference").select("series_id", "row_idx", "event_type", "k")
-    loss = F.when(F.col("event_type") == "purchase", (F.col("k") > 50).cast("double"))
+    loss = F.when(F.col("event_type") == "purchase", F.col("k") / 99.0)
     return tidy(routing.error_ema(d, E.STREAM, loss, 0.9, 0.25).select(*ID, "error_ema"))
 
 
@@ -612,3 +612,78 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
             "switch_count", "mean_reliability", "max_severity",
         )
     )
+
+
+# ---- streaming ------------------------------------------------------------------------------------------------
+
+
+def scratch(spark: SparkSession, name: str) -> tuple[str, str]:
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{root}/data", f"{root}/state"
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event file as a stream of inference rows."""
+    schema = tables.scan_parquet(spark, f"{sf_dir}/events.parquet").schema
+    raw = stateful.file_stream(spark, sf_dir, schema, "events.parquet")
+    k = F.get_json_object("props", "$.k").cast("double")
+    return raw.where(F.col("ts") >= F.lit(E.VALIDATION_END).cast("timestamp_ntz")).select(
+        (F.col("user_id") % 16).alias("series_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
+        "event_type", "value", k.alias("k"),
+    )
+
+
+@query
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Online count windows over the value channel."""
+    s = stateful.window_stream(event_stream(spark, sf_dir), ["series_id"], ["ts", "event_id"], "value", 20, 5)
+    out = stateful.run_to_table(s, *scratch(spark, "stream-windows"))
+    return tidy(out.select("series_id", "start_index", "end_index", "mean", "minimum", "maximum", "is_late"))
+
+
+@query
+def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Online detector, persistence and severity on the k channel."""
+    s = event_stream(spark, sf_dir).withColumn("signal", F.col("k") / 100.0)
+    out = stateful.run_to_table(
+        stateful.detect_stream(s, ["series_id"], ["ts", "event_id"], "signal", 0.5, clock=8), *scratch(spark, "stream-detect")
+    )
+    return tidy(out.drop("ts"))
+
+
+@query
+def stream_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries, the later days first: rows behind the stream come out as late."""
+    folder, state = scratch(spark, "stream-order")
+    src = tables.scan_parquet(spark, f"{sf_dir}/events.parquet")
+    cut = F.lit("2024-01-23").cast("timestamp_ntz")
+    src.where(F.col("ts") >= cut).coalesce(1).write.parquet(folder)
+    src.where(F.col("ts") < cut).coalesce(1).write.mode("append").parquet(folder)
+    raw = stateful.file_stream(spark, folder, src.schema, files_per_trigger=1)
+    s = raw.select((F.col("user_id") % 16).alias("series_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    out = stateful.run_to_table(
+        stateful.window_stream(s, ["series_id"], ["ts", "event_id"], "value", 1, 1), f"{folder}-out", state
+    )
+    return out.groupBy("series_id").agg(F.count_if(~F.col("is_late")).alias("n_folded"), F.count_if("is_late").alias("n_late"))
+
+
+@query
+def stream_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Online totals of the execution log."""
+    log = materialise(E.execution_log(spark, sf_dir), "log")
+    stream = stateful.file_stream(spark, log.inputFiles()[0].rsplit("/", 1)[0], log.schema, "*.parquet", 1)
+    return tidy(stateful.run_updates(stateful.monitor_stream(stream, ["series_id"]), *scratch(spark, "stream-monitor"), ["series_id"]))
+
+
+@query
+def stream_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions joined with labels that arrive k hours later, 72 hours at most."""
+    s = event_stream(spark, sf_dir)
+    predictions = s.select("event_id", "ts", (F.col("value") > 60).cast("int").alias("prediction"))
+    labels = s.where(F.col("event_type") != "view").select(
+        "event_id", (F.col("event_type") == "error").cast("int").alias("label"),
+        (F.col("ts") + F.make_dt_interval(hours=F.col("k").cast("int"))).alias("arrival_ts"),
+    )
+    joined = stateful.feedback_stream(predictions, labels, ["event_id"], "72 HOURS")
+    out = stateful.run_to_table(joined, *scratch(spark, "stream-feedback"))
+    return tidy(out.select("event_id", "prediction", "label", "arrival_ts"))

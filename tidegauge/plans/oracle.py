@@ -276,17 +276,17 @@ CTES["ec"] = """
   GROUP BY ALL"""
 CTES["cd"] = "SELECT series_id, row_idx FROM ec WHERE raw_severity > 0.3 AND smoothed_severity >= 0.35 AND n_eligible >= 25"
 _fire = """
-  SELECT series_id, min(row_idx) AS at FROM cd GROUP BY series_id
+  SELECT series_id, min(row_idx) AS place FROM cd GROUP BY series_id
   UNION ALL
-  SELECT * FROM (SELECT f.series_id, (SELECT min(c.row_idx) FROM cd c WHERE c.series_id = f.series_id AND c.row_idx >= f.at + {cool}) AS at
-    FROM {me} f) WHERE at IS NOT NULL"""
+  SELECT * FROM (SELECT f.series_id, (SELECT min(c.row_idx) FROM cd c WHERE c.series_id = f.series_id AND c.row_idx >= f.place + {cool}) AS place
+    FROM {me} f) WHERE place IS NOT NULL"""
 CTES["f50"] = _fire.format(cool=50, me="f50")
 CTES["f30"] = _fire.format(cool=30, me="f30")
-CTES["at"] = """
-  SELECT f.series_id, row_number() OVER (PARTITION BY f.series_id ORDER BY f.at) - 1 AS attempt, f.at AS row_idx, ec.smoothed_severity >= 0.45 AS ok
-  FROM f30 f JOIN ec ON ec.series_id = f.series_id AND ec.row_idx = f.at"""
+CTES["atm"] = """
+  SELECT f.series_id, row_number() OVER (PARTITION BY f.series_id ORDER BY f.place) - 1 AS attempt, f.place AS row_idx, ec.smoothed_severity >= 0.45 AS ok
+  FROM f30 f JOIN ec ON ec.series_id = f.series_id AND ec.row_idx = f.place"""
 CTES["va"] = """
-  SELECT *, CAST(sum(ok::INT) OVER (PARTITION BY series_id ORDER BY attempt) AS BIGINT) AS done FROM at"""
+  SELECT *, CAST(sum(ok::INT) OVER (PARTITION BY series_id ORDER BY attempt) AS BIGINT) AS done FROM atm"""
 CTES["smp"] = f"""
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {UNIFORM("'42'", 'sample', 'event_id')}) AS place
     FROM n WHERE role = 'baseline_train') WHERE place <= CASE WHEN y = 0 THEN 194 ELSE 6 END"""
@@ -572,12 +572,13 @@ _ORDER.append("ta")
 _ta = f"""stream, n_rows, {stamp('f0', 'first_ts')}, {stamp('l0', 'last_ts')}, monotonic_increasing, n_duplicate_timestamps, n_gaps,
   {d('max_gap_s', 'max_gap_s')}, {d('modal_interval_s', 'modal_interval_s')}, n_gaps + 1 AS n_blocks"""
 sql("time_axis_report", f"SELECT {_ta} FROM ta")
+CTES["xs"] = f"SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER ({WIN})) / 1e6 AS delta_s FROM o"
+_ORDER.append("xs")
 sql("time_axis_by_series", f"""
-  WITH x AS (SELECT *, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER ({WIN}) AS delta_s FROM o)
   SELECT series_id, role, count(*) AS n_rows, {stamp('min(ts)', 'first_ts')}, {stamp('max(ts)', 'last_ts')}, true AS monotonic_increasing,
     count(*) - count(DISTINCT ts) AS n_duplicate_timestamps, {n_if('delta_s > 43200', 'n_gaps')}, {d('max(delta_s)', 'max_gap_s')},
     {d('any_value(m)', 'modal_interval_s')}, count(*) FILTER (WHERE delta_s > 43200) + 1 AS n_blocks
-  FROM x JOIN {_mode('round(delta_s, 6)', '(SELECT series_id, role, delta_s FROM x WHERE delta_s IS NOT NULL) y', 'series_id, role')} USING (series_id, role) GROUP BY series_id, role""")
+  FROM xs JOIN {_mode('delta_s', '(SELECT series_id, role, delta_s FROM xs WHERE delta_s IS NOT NULL) y', 'series_id, role')} USING (series_id, role) GROUP BY series_id, role""")
 sql("load_report", f"""SELECT {_ta}, n_rows = 1000 AS row_count_matches, f0 = TIMESTAMP '1995-01-01' AND l0 = TIMESTAMP '2001-12-31' AS time_range_matches,
   concat_ws('|', CASE WHEN n_rows <> 1000 THEN 'row count differs' END, CASE WHEN n_duplicate_timestamps > 0 THEN n_duplicate_timestamps || ' duplicate timestamps' END,
     CASE WHEN modal_interval_s <> 86400 THEN 'modal interval differs' END, CASE WHEN n_gaps > 0 THEN n_gaps || ' gaps; ' || (n_gaps + 1) || ' blocks' END,
@@ -643,7 +644,7 @@ sql("probability_normalise", f"""SELECT event_id, {d('CASE WHEN k * state + stat
 # ---- severity, error, persistence, routing ----------------------------------------------------------------------
 sql("severity_ema", f"SELECT {_id}, {d('raw_severity', 'raw_severity')}, {d('s', 'smoothed_severity')} FROM sg JOIN sev USING (series_id, row_idx)")
 sql("error_ema", f"SELECT {_id}, {d('e', 'error_ema')} FROM err")
-CTES["sl"] = "SELECT series_id, row_idx, CASE WHEN event_type = 'purchase' THEN (k > 50)::INT::DOUBLE END AS loss FROM sc"
+CTES["sl"] = "SELECT series_id, row_idx, CASE WHEN event_type = 'purchase' THEN k / 99.0 END AS loss FROM sc"
 _ORDER.append("sl")
 CTES["se"] = """
   SELECT series_id, -1::BIGINT AS row_idx, 0.25::DOUBLE AS e FROM sl WHERE row_idx = 0
@@ -816,13 +817,13 @@ sql("adaptation_triggers", """
   SELECT series_id, row_idx, fired, CASE WHEN fired THEN 'ELIGIBLE' WHEN cooling THEN 'COOLDOWN' ELSE 'IDLE' END AS state,
     CASE WHEN fired THEN 'eligible' WHEN cooling THEN 'cooldown:' || (50 - since) WHEN raw_severity <= 0.3 THEN 'not_persistent' WHEN smoothed_severity < 0.35 THEN 'low_severity' ELSE 'few_samples' END AS reason
   FROM (SELECT *, NOT fired AND coalesce(since < 50, false) AS cooling FROM (
-    SELECT ec.*, f.at IS NOT NULL AS fired, ec.row_idx - last_value(f.at IGNORE NULLS) OVER (PARTITION BY ec.series_id ORDER BY ec.row_idx) AS since
-    FROM ec LEFT JOIN f50 f ON f.series_id = ec.series_id AND f.at = ec.row_idx))""")
+    SELECT ec.*, f.place IS NOT NULL AS fired, ec.row_idx - last_value(f.place IGNORE NULLS) OVER (PARTITION BY ec.series_id ORDER BY ec.row_idx) AS since
+    FROM ec LEFT JOIN f50 f ON f.series_id = ec.series_id AND f.place = ec.row_idx))""")
 sql("version_audit", """SELECT series_id, attempt, row_idx, 'v' || (done - ok::INT + 2) AS version, 'v' || (done - ok::INT + 1) AS parent_version, 'v' || (done + 1) AS active_version,
   CASE WHEN ok THEN 'ACTIVE' ELSE 'REJECTED' END AS status FROM va""")
 sql("version_rollup", f"SELECT series_id, 'v' || (max(done) + 1) AS active_version, count(*) AS n_attempts, {n_if('ok', 'version_update_count')} FROM va GROUP BY 1")
-sql("adaptation_rollup", """SELECT s.series_id, count(at.attempt) AS adaptation_events_count, CASE WHEN count(at.attempt) > 0 THEN 'TRIGGERED' ELSE 'NOT TRIGGERED' END AS adaptation_status
-  FROM (SELECT DISTINCT series_id FROM rel) s LEFT JOIN at ON at.series_id = s.series_id GROUP BY 1""")
+sql("adaptation_rollup", """SELECT s.series_id, count(atm.attempt) AS adaptation_events_count, CASE WHEN count(atm.attempt) > 0 THEN 'TRIGGERED' ELSE 'NOT TRIGGERED' END AS adaptation_status
+  FROM (SELECT DISTINCT series_id FROM rel) s LEFT JOIN atm ON atm.series_id = s.series_id GROUP BY 1""")
 sql("stratified_sample", "SELECT event_id, y FROM smp")
 sql("training_union", f"""SELECT origin, label, count(*) AS n, {d('avg(z_value)', 'mean_z')} FROM (SELECT 'baseline' AS origin, y AS label, z_value FROM smp UNION ALL SELECT 'feedback', label, z_value FROM el) GROUP BY 1, 2""")
 CTES["cg"] = f"""SELECT series_id, {matrix('y', '(z_k > 0.8)::INT', 'c_')}, {matrix('y', '(z_value > 0.5)::INT', 'a_')}, count(*) AS validation_samples FROM n WHERE role = 'baseline_validation' GROUP BY 1"""
@@ -850,3 +851,16 @@ _ORDER.append("fs")
 sql("flagship", f"""SELECT series_id, count(*) AS total_decisions, {n_if("action = 'EDGE'", 'edge_count')}, {n_if("action = 'CLOUD'", 'cloud_count')}, {n_if("action = 'HYBRID'", 'hybrid_count')},
   {d("count(*) FILTER (WHERE action = 'CLOUD') * 100.0::DOUBLE / count(*)", 'offloading_ratio')}, count(*) FILTER (WHERE row_idx > 0 AND action <> previous_action) AS switch_count,
   {d('avg(reliability)', 'mean_reliability')}, {d('max(smoothed_severity)', 'max_severity')} FROM fs JOIN rel USING (series_id, row_idx) GROUP BY 1""")
+
+# ---- streaming: the drained stream equals the batch answer ---------------------------------------------------------------
+CTES["ws"] = """
+  SELECT g.start_index, q.* FROM (SELECT series_id, unnest(range(0, n_rows - 20 + 1, 5)) AS start_index FROM len WHERE role = 'inference' AND n_rows >= 20) g
+  JOIN o q ON q.series_id = g.series_id AND q.role = 'inference' AND q.row_idx >= g.start_index AND q.row_idx < g.start_index + 20"""
+_ORDER.append("ws")
+sql("stream_windows", f"""SELECT series_id, start_index, start_index + 20 AS end_index, {d('avg(value)', 'mean')}, {d('min(value)', 'minimum')}, {d('max(value)', 'maximum')},
+  false AS is_late FROM ws GROUP BY series_id, start_index""")
+sql("stream_ordering", """SELECT series_id, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-23') AS n_folded, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-23') AS n_late FROM t GROUP BY 1""")
+sql("stream_monitor", f"""SELECT series_id, count(*) AS total_observations, {n_if("selected_action = 'EDGE'", 'n_edge')}, {n_if("selected_action = 'CLOUD'", 'n_cloud')}, {n_if("selected_action = 'HYBRID'", 'n_hybrid')},
+  {n_if('NOT success', 'n_failed')}, {n_if('cloud_fallback', 'n_fallbacks')}, {d('avg(total_latency_s)', 'mean_latency_s')}, {d('max(total_latency_s)', 'max_latency_s')} FROM lg GROUP BY 1""")
+sql("stream_feedback", f"""SELECT event_id, (value > 60)::INT AS prediction, y AS label, {stamp('ts + to_hours(k::BIGINT)', 'arrival_ts')} FROM t
+  WHERE role = 'inference' AND event_type <> 'view' AND k <= 72""")
