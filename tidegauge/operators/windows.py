@@ -152,8 +152,8 @@ def sliding_windows(
     # A change into the window's first row happened before the window.
     cols += [(F.col(f"__k_{c}") - F.col(f"__f_{c}")).alias(f"{c}__n_changes") for c in discrete]
     out = wins.select(*cols)
-    for c in [*discrete, *([label] if label else [])]:
-        name = "label_majority" if c == label else f"{c}__mode"
+    modes = [(c, f"{c}__mode") for c in discrete] + ([(label, "label_majority")] if label else [])
+    for c, name in modes:
         out = out.join(window_mode(df, axis, c, size, step, name), [*series, "start_index"], "left")
     return out
 

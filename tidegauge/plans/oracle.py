@@ -12,8 +12,8 @@ SQL: dict[str, str] = {}
 
 
 def d(x: str, name: str, digits: int = 6) -> str:
-    """A double rounded like the Spark side, never -0.0."""
-    return f"round({x}, {digits}) + 0.0 AS {name}"
+    """A double rounded like the Spark side: half-way cases upwards, never -0.0."""
+    return f"round(({x}) + 1e-10, {digits}) + 0.0 AS {name}"
 
 
 def stamp(x: str, name: str) -> str:
