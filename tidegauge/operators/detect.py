@@ -21,7 +21,13 @@ FOLD_ROWS = 1 << 24
 
 
 def ordered_fold(
-    df: DataFrame, axis: Axis, init: Callable[[], object], step: Step, outputs: T.StructType, rows_per_wave: int = FOLD_ROWS
+    df: DataFrame,
+    axis: Axis,
+    init: Callable[[], object],
+    step: Step,
+    outputs: T.StructType,
+    rows_per_wave: int = FOLD_ROWS,
+    last_index: int | None = None,
 ) -> DataFrame:
     """Run a stateful step over every series in index order.
 
@@ -31,6 +37,9 @@ def ordered_fold(
     each: a task holds one Arrow batch and one state at a time, never a series, and the
     state of a series longer than a wave travels to the next wave through a written table,
     so a lost executor repeats a part of one wave only. Most data needs a single wave.
+
+    `last_index` is the largest index over all series, for callers that know it from a
+    cheaper table; without it `df` is evaluated once more to find out.
     """
     series, idx = list(axis.series), axis.idx
     wave_no = F.floor(F.col(idx) / F.lit(rows_per_wave)).cast("long")
@@ -69,13 +78,15 @@ def ordered_fold(
             rows = rows.join(states, [*series, idx], "left").select(*kept, "__state")
         return rows.repartition(*series).sortWithinPartitions(*series, idx).mapInPandas(run, schema)
 
-    last = df.agg(F.max(wave_no)).first()[0] or 0
+    if last_index is None:
+        last_index = df.agg(F.max(idx)).first()[0] or 0
+    last = last_index // rows_per_wave
     if last == 0:
         return one_wave(df, None).drop("__state")
-    # A long series: `df` is read once per wave, so it should be a written table.
     results, states = [], None
+    table = materialise(df.withColumn("__wave", wave_no), "waves")  # read once per wave
     for wave in range(last + 1):
-        done = materialise(one_wave(df.where(wave_no == wave), states), "fold")
+        done = materialise(one_wave(table.where(F.col("__wave") == wave).drop("__wave"), states), "fold")
         results.append(done.drop("__state"))
         states = done.where(F.col("__state").isNotNull()).select(
             *series, (F.col(idx) + 1).alias(idx), "__state"
@@ -106,6 +117,7 @@ def adwin(
     grace: int = 10,
     bin_rows: int = 1,
     rows_per_wave: int = FOLD_ROWS,
+    last_index: int | None = None,
 ) -> DataFrame:
     """Adaptive-window alarms per row: series, index, value and the detector's readings.
 
@@ -139,7 +151,8 @@ def adwin(
             rows.append((hit, state.mean, state.variance, state.n, state.total, state.alarms))
         return state, pd.DataFrame(rows, columns=[f.name for f in ADWIN_FIELDS.fields])
 
-    out = ordered_fold(slim, over, init, step, ADWIN_FIELDS, rows_per_wave)
+    last = None if last_index is None else last_index // bin_rows
+    out = ordered_fold(slim, over, init, step, ADWIN_FIELDS, rows_per_wave, last)
     return out.select(*axis.series, axis.idx, "value", *[f.name for f in ADWIN_FIELDS.fields])
 
 

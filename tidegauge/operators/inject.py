@@ -114,8 +114,8 @@ def scale(column: str, level: Column) -> Column:
 
 
 def noise(column: str, level: Column, key: Sequence[Column], seed: int | Column = 42, units: str = "baseline_sigma") -> Column:
-    width = F.greatest(step_size(column, level, units), F.lit(0.0))  # no spread where the level is not positive
-    return F.col(column) + normal(seed, column, *key) * width
+    width = step_size(column, level, units)
+    return F.when(width > 0, F.col(column) + normal(seed, column, *key) * width).otherwise(F.col(column))
 
 
 def correlation(pair: tuple[str, str], level: Column) -> tuple[Column, Column]:

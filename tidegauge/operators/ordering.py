@@ -73,9 +73,12 @@ class Axis:
         sums: Mapping[str, Column] | None = None,
         lasts: Mapping[str, Column] | None = None,
         maxima: Mapping[str, Column] | None = None,
+        before: bool = False,
     ) -> DataFrame:
         """Add inclusive running sums, last non-null values and maxima of the series so far.
 
+        With `before`, also each value as of the previous row, as <name>__before.
+
         The source is read twice: once for the per-chunk summaries (pre-aggregated before
         their small shuffle), once for the rows. Materialise an expensive source first.
         """
@@ -94,12 +97,12 @@ class Axis:
             return F.sum(c) if kind == "sum" else F.max(c)
 
         chunks = d.groupBy(*keys).agg(*[total(k, n).alias(f"__tot_{n}") for k, n, _ in plan])
-        before = Window.partitionBy(*self.series).orderBy(_CHUNK).rowsBetween(
+        chunks_before = Window.partitionBy(*self.series).orderBy(_CHUNK).rowsBetween(
             Window.unboundedPreceding, -1
         )
-        upto = Window.partitionBy(*keys).orderBy(self.idx).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
+        in_chunk = Window.partitionBy(*keys).orderBy(self.idx)
+        upto = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows_before = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
 
         def over(kind: str, c: Column, w: WindowSpec) -> Column:
             if kind == "last":
@@ -107,79 +110,84 @@ class Axis:
             return (F.sum(c) if kind == "sum" else F.max(c)).over(w)
 
         carry = chunks.select(
-            *keys, *[over(k, F.col(f"__tot_{n}"), before).alias(f"__carry_{n}") for k, n, _ in plan]
+            *keys, *[over(k, F.col(f"__tot_{n}"), chunks_before).alias(f"__carry_{n}") for k, n, _ in plan]
         )
         out = d.join(carry, keys, "left")
-        cols = []
-        for kind, name, _ in plan:
-            local, c = over(kind, F.col(f"__in_{name}"), upto), F.col(f"__carry_{name}")
+
+        def merged(kind: str, name: str, w: WindowSpec) -> Column:
+            local, c = over(kind, F.col(f"__in_{name}"), w), F.col(f"__carry_{name}")
             if kind == "sum":
-                merged = F.coalesce(local, F.lit(0)) + F.coalesce(c, F.lit(0))
-            elif kind == "last":
-                merged = F.coalesce(local, c)
-            else:
-                merged = F.greatest(local, c)
-            cols.append(merged.alias(name))
+                return F.coalesce(local, F.lit(0)) + F.coalesce(c, F.lit(0))
+            return F.coalesce(local, c) if kind == "last" else F.greatest(local, c)
+
+        cols = [merged(k, n, upto).alias(n) for k, n, _ in plan]
+        if before:
+            cols += [merged(k, n, rows_before).alias(f"{n}__before") for k, n, _ in plan]
         return out.select(*df.columns, *cols)
 
     def ema(
         self, df: DataFrame, name: str, value: Column, alpha: float, initial: float | None = None
     ) -> DataFrame:
-        """Add s(t) = alpha*s(t-1) + (1-alpha)*x(t); s starts at x(0), or at `initial`.
+        """Add s(t) = alpha*s(t-1) + (1-alpha)*x(t); s starts at x(0), or at `initial`."""
+        return self.emas(df, {name: (value, initial)}, alpha)
+
+    def emas(
+        self,
+        df: DataFrame,
+        values: Mapping[str, tuple[Column, float | None]],
+        alpha: float,
+        then: Mapping[str, Callable[[WindowSpec], Column]] | None = None,
+        back: int = 0,
+    ) -> DataFrame:
+        """Several smoothed columns, and frames of up to `back` rows over them, in one shuffle.
 
         Rows are summed in blocks long enough that alpha**block <= 1e-100, so the end of the
-        previous block carries everything a double can hold: one shuffle, no recursion, and
-        powers that stay far from overflow.
+        previous block carries everything a double can hold: no recursion, no second pass,
+        and powers that stay far from overflow.
         """
         if not 0.0 <= alpha < 1.0:
             raise ValueError(f"alpha must be in [0, 1), got {alpha}")
-        if alpha == 0.0:
-            return df.withColumn(name, value.cast("double"))
-        block = max(1, math.ceil(100.0 * math.log(10.0) / -math.log(alpha)))
-        halo = 2 * block
+        block = 1 if alpha == 0.0 else max(1, math.ceil(100.0 * math.log(10.0) / -math.log(alpha)))
+        halo = 2 * block + back
         if halo > self.chunk_rows:
             raise ValueError(f"alpha={alpha} needs chunk_rows >= {halo}")
         own, row = self.chunk(), F.col(self.idx)
+        near_end = F.pmod(row, F.lit(self.chunk_rows)) >= self.chunk_rows - halo
         spread = (
-            df.withColumn("__x", value.cast("double"))
+            df.withColumns({f"__x_{n}": v.cast("double") for n, (v, _) in values.items()})
             .withColumn(_OWN, own)
-            .withColumn(
-                _CHUNK,
-                F.explode(
-                    F.array_compact(
-                        F.array(
-                            own,
-                            F.when(F.pmod(row, F.lit(self.chunk_rows)) >= self.chunk_rows - halo, own + 1),
-                        )
-                    )
-                ),
-            )
+            .withColumn(_CHUNK, F.explode(F.array_compact(F.array(own, F.when(near_end, own + 1)))))
             .withColumn("__block", F.floor(row / F.lit(block)))
             .withColumn("__pos", F.pmod(row, F.lit(block)).cast("double"))
             .repartition(*self.series, _CHUNK)
         )
-        a = F.lit(float(alpha))
-        weight = F.lit(1.0 - alpha)
-        if initial is None:
-            weight = F.when(row == 0, F.lit(1.0)).otherwise(weight)
+        a, pos = F.lit(float(alpha)), F.col("__pos")
+        fade = F.pow(a, pos)  # 1 at the start of a block, also for alpha 0
+        ordered = Window.partitionBy(*self.series, _CHUNK).orderBy(self.idx)
+        earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
         in_block = Window.partitionBy(*self.series, _CHUNK, "__block").orderBy(self.idx).rowsBetween(
             Window.unboundedPreceding, Window.currentRow
         )
-        earlier = Window.partitionBy(*self.series, _CHUNK).orderBy(self.idx).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        local = F.pow(a, F.col("__pos")) * F.sum(
-            weight * F.col("__x") * F.pow(a, -F.col("__pos"))
-        ).over(in_block)
-        end = F.when(F.col("__pos") == block - 1, F.col("__local"))
-        start = F.when(F.col("__block") == 0, F.lit(float(initial or 0.0)))
-        carried = F.coalesce(start, F.last(end, ignorenulls=True).over(earlier), F.lit(0.0))
-        out = spread.withColumn("__local", local).withColumn(
-            name, F.col("__local") + F.pow(a, F.col("__pos") + 1) * carried
-        )
-        return out.where(F.col(_CHUNK) == F.col(_OWN)).drop(
-            "__x", _OWN, _CHUNK, "__block", "__pos", "__local"
-        )
+
+        def local(name: str, initial: float | None) -> Column:
+            weight = F.lit(1.0 - alpha)
+            if initial is None:
+                weight = F.when(row == 0, F.lit(1.0)).otherwise(weight)
+            return fade * F.sum(weight * F.col(f"__x_{name}") / fade).over(in_block)
+
+        def whole(name: str, initial: float | None) -> Column:
+            end = F.when(pos == block - 1, F.col(f"__l_{name}"))
+            start = F.when(F.col("__block") == 0, F.lit(float(initial or 0.0)))
+            before = F.coalesce(start, F.last(end, ignorenulls=True).over(earlier), F.lit(0.0))
+            return F.col(f"__l_{name}") + a * fade * before
+
+        out = spread.withColumns({f"__l_{n}": local(n, i) for n, (_, i) in values.items()})
+        out = out.withColumns({n: whole(n, i) for n, (_, i) in values.items()})
+        if then:
+            out = out.withColumns({n: build(ordered) for n, build in then.items()})
+        added = [*values, *(then or {})]
+        kept = [c for c in df.columns if c not in added]
+        return out.where(F.col(_CHUNK) == F.col(_OWN)).select(*kept, *added)
 
 
 def causal_order(

@@ -184,25 +184,25 @@ def exact_quantiles(
     )
 
 
-def fit_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Frozen statistics, one row per column: n, mean, population std, min, max, q1, q3.
-
-    Moments run as one wide pass; the long result has one row per column.
-    """
-    moments = df.select([F.col(c).cast("double").alias(c) for c in columns]).agg(
+def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One wide row: n_rows and <column>__mean, __std, __minimum, __maximum, in one pass."""
+    return df.select([F.col(c).cast("double").alias(c) for c in columns]).agg(
         F.count("*").alias("n_rows"),
         *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.avg(c).alias("mean"),
-                F.stddev_pop(c).alias("std"),
-                F.min(c).alias("minimum"),
-                F.max(c).alias("maximum"),
-            ).alias(f"__s{j}")
-            for j, c in enumerate(columns)
+            agg.alias(f"{c}__{name}")
+            for c in columns
+            for name, agg in (
+                ("mean", F.avg(c)), ("std", F.stddev_pop(c)), ("minimum", F.min(c)), ("maximum", F.max(c)),
+            )
         ],
     )
-    long = moments.select("n_rows", F.inline(F.array(*[F.col(f"__s{j}") for j in range(len(columns))])))
+
+
+def fit_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Frozen statistics, one row per column: n, mean, population std, min, max, q1, q3."""
+    names = ("mean", "std", "minimum", "maximum")
+    cells = [F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{n}").alias(n) for n in names]) for c in columns]
+    long = moments(df, columns).select("n_rows", F.inline(F.array(*cells)))
     quart = exact_quantiles(df, columns, [0.25, 0.75]).select(
         "column", F.col("q0").alias("q1"), F.col("q1").alias("q3")
     )

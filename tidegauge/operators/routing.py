@@ -41,6 +41,17 @@ def error_ema(
     return out.withColumn(name, F.coalesce(name, F.lit(float(initial)))).drop("__e")
 
 
+def delayed_error(df: DataFrame, values: dict, loss: Column, axis: Axis, delay: int, alpha: float = 0.8, initial: float = 0.0, name: str = "error_ema") -> DataFrame:
+    """Smoothed error when every row's label arrives exactly `delay` rows later.
+
+    The error at a row is then the smoothed loss as of `delay` rows before, so it shares one
+    shuffle with the other smoothed `values`.
+    """
+    lagged = lambda w: F.coalesce(F.lag("__loss_ema", delay).over(w), F.lit(float(initial)))
+    out = axis.emas(df, {**values, "__loss_ema": (loss, initial)}, alpha, {name: lagged}, back=delay)
+    return out.drop("__loss_ema")
+
+
 def route_hysteresis(
     df: DataFrame,
     axis: Axis,
@@ -50,6 +61,7 @@ def route_hysteresis(
     critical: float = CRITICAL,
     cloud_below: float = CLOUD_BELOW,
     edge_from: float = EDGE_FROM,
+    count_switches: bool = True,
 ) -> DataFrame:
     """Add action, previous_action, reason and switch_count of the three-state controller.
 
@@ -64,19 +76,22 @@ def route_hysteresis(
     anchor = F.when(r >= edge_from, F.lit(EDGE)).when(r < cloud_at, F.lit(CLOUD))
     mark = F.struct(anchor.alias("a"), F.col(axis.idx).alias("i"))
     zone = F.when((r >= critical) & (r < cloud_below), F.col(axis.idx))
-    state = axis.running(
-        df, lasts={"__anchor": F.when(anchor.isNotNull(), mark), "__zone": zone}
-    )
-    base = F.coalesce(F.col("__anchor.a"), F.lit(initial if hybrid or initial != HYBRID else CLOUD))
-    since = F.coalesce(F.col("__zone"), F.lit(-1)) > F.coalesce(F.col("__anchor.i"), F.lit(-1))
-    action = base if not hybrid else F.when((base == EDGE) & since, F.lit(HYBRID)).otherwise(base)
-    acted = state.select(*df.columns, action.alias("action"))
-    out = axis.bounded(acted, {"__lag": lambda w: F.lag("action").over(w)}, back=1)
-    out = out.withColumn("previous_action", F.coalesce("__lag", F.lit(initial))).drop("__lag")
-    out = out.withColumn("reason", route_reason(r, F.col("previous_action"), F.col("action"), hybrid, critical, cloud_below, edge_from))
-    return axis.running(
-        out, sums={"switch_count": (F.col("action") != F.col("previous_action")).cast("long")}
+    def action_of(anchor_at: str, zone_at: str) -> Column:
+        base = F.coalesce(F.col(f"{anchor_at}.a"), F.lit(initial if hybrid or initial != HYBRID else CLOUD))
+        since = F.coalesce(F.col(zone_at), F.lit(-1)) > F.coalesce(F.col(f"{anchor_at}.i"), F.lit(-1))
+        return base if not hybrid else F.when((base == EDGE) & since, F.lit(HYBRID)).otherwise(base)
+
+    lasts = {"__anchor": F.when(anchor.isNotNull(), mark), "__zone": zone}
+    state = axis.running(df, lasts=lasts, before=True)
+    # The previous row's action follows from the state before this row.
+    earlier = F.when(F.col(axis.idx) == 0, F.lit(initial)).otherwise(action_of("__anchor__before", "__zone__before"))
+    out = state.select(*df.columns, action_of("__anchor", "__zone").alias("action"), earlier.alias("previous_action"))
+    out = out.withColumn(
+        "reason", route_reason(r, F.col("previous_action"), F.col("action"), hybrid, critical, cloud_below, edge_from)
     )
+    if not count_switches:
+        return out
+    return axis.running(out, sums={"switch_count": (F.col("action") != F.col("previous_action")).cast("long")})
 
 
 def route_reason(
@@ -174,6 +189,7 @@ def closed_loop(
     epsilon: float = 1e-8,
     policy: str = "policy",
     rows_per_wave: int = FOLD_ROWS,
+    last_index: int | None = None,
 ) -> DataFrame:
     """Routing whose own answers feed back: the label of row t-delay scores the answer given
     then, which moves the error, the reliability and so the next action.
@@ -212,4 +228,4 @@ def closed_loop(
             out.append((error, r, action, int(answer), fallback))
         return (error, action, waiting), pd.DataFrame(out, columns=[f.name for f in LOOP_FIELDS.fields])
 
-    return ordered_fold(df, axis, lambda: (0.0, EDGE, deque()), step, LOOP_FIELDS, rows_per_wave)
+    return ordered_fold(df, axis, lambda: (0.0, EDGE, deque()), step, LOOP_FIELDS, rows_per_wave, last_index)

@@ -158,7 +158,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adwin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adaptive window over the drifted signal of every seed and device."""
     d = R.replayed(spark, sf_dir).where(F.col("method") == "ADAPTIVE")
-    out = detect.adwin(d, R.SEEDED, "signal", clock=8)
+    out = detect.adwin(d, R.SEEDED, "signal", clock=8, last_index=E.last_index(spark, sf_dir))
     return tidy(out.select("seed", *ID, "value", "drift_detected", "estimation", "width", "n_alarms"))
 
 
@@ -603,7 +603,7 @@ def retrain_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routing shares, switches and reliability per device of the hysteresis controller."""
-    d = materialise(routed(spark, sf_dir), "routed")
+    d = materialise(routed(spark, sf_dir, count_switches=False).select(*ID, "action", "reliability", "smoothed_severity"), "routed")
     shares = metrics.routing_metrics(d, E.STREAM)
     level = d.groupBy("series_id").agg(F.avg("reliability").alias("mean_reliability"), F.max("smoothed_severity").alias("max_severity"))
     return tidy(

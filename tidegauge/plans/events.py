@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from tidegauge.functions import signals
 from tidegauge.operators.detect import severity_ema
 from tidegauge.operators.ordering import Axis, causal_order
-from tidegauge.operators.profile import apply_frozen, fit_statistics, wide_statistics
+from tidegauge.operators.profile import apply_frozen, fit_statistics, moments, wide_statistics
 from tidegauge.operators.quality import normalize_frozen
-from tidegauge.operators.routing import error_ema
+from tidegauge.operators.routing import delayed_error
 from tidegauge.session import materialise
 from tidegauge.sources.tables import assign_role, scan_parquet
 
@@ -81,11 +81,19 @@ def with_statistics(spark: SparkSession, sf_dir: str, df: DataFrame | None = Non
     return apply_frozen(ordered(spark, sf_dir) if df is None else df, wide)
 
 
+def baseline_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments of the training baseline as one row: what normalisation and injection need."""
+    return moments(telemetry(spark, sf_dir).where(F.col("role") == "baseline_train"), CONTINUOUS)
+
+
+def with_z(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    d = apply_frozen(df, baseline_moments(spark, sf_dir))
+    return d.select(*df.columns, *[normalize_frozen(c).alias(f"z_{c}") for c in CONTINUOUS])
+
+
 def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered telemetry with frozen z-scores z_value and z_k."""
-    d = with_statistics(spark, sf_dir)
-    kept = ordered(spark, sf_dir).columns
-    return d.select(*kept, *[normalize_frozen(c).alias(f"z_{c}") for c in CONTINUOUS])
+    return with_z(spark, sf_dir, ordered(spark, sf_dir))
 
 
 def probability(weights: dict[str, float]):
@@ -95,7 +103,7 @@ def probability(weights: dict[str, float]):
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inference rows with probabilities of both tiers, the drift signal and the edge answer."""
-    d = normalised(spark, sf_dir).where(F.col("role") == "inference")
+    d = with_z(spark, sf_dir, ordered(spark, sf_dir).where(F.col("role") == "inference"))
     p1, c1 = probability(EDGE_WEIGHTS), probability(CLOUD_WEIGHTS)
     return d.select(
         "series_id", "role", "row_idx", "event_id", "ts", "y", "z_value", "z_k",
@@ -108,41 +116,48 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def baseline_signal_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean drift signal over the training baseline: one row."""
-    base = normalised(spark, sf_dir).where(F.col("role") == "baseline_train")
+    """Mean drift signal over the training baseline: one row. A mean needs no order."""
+    base = with_z(spark, sf_dir, telemetry(spark, sf_dir).where(F.col("role") == "baseline_train"))
     return base.agg(F.avg(signals.winsorized_l1([F.col("z_value"), F.col("z_k")])).alias("baseline_mean"))
 
 
+def with_raw_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = apply_frozen(scored(spark, sf_dir), baseline_signal_mean(spark, sf_dir))
+    return d.withColumn("raw_severity", signals.raw_severity(F.col("signal"), F.col("baseline_mean"), max_shift=1.0))
+
+
 def with_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored rows with raw and smoothed severity."""
-    d = apply_frozen(scored(spark, sf_dir), baseline_signal_mean(spark, sf_dir))
-    raw = signals.raw_severity(F.col("signal"), F.col("baseline_mean"), max_shift=1.0)
-    return severity_ema(d, STREAM, raw, 0.8)
+    return severity_ema(with_raw_severity(spark, sf_dir), STREAM, F.col("raw_severity"), 0.8)
 
 
 def reliable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored rows with confidence, late-label error, severity and reliability (written once)."""
+    """Scored rows with confidence, late-label error, severity and reliability (written once).
+
+    Severity and error are smoothed in the same shuffle.
+    """
 
     def build() -> DataFrame:
-        base = materialise(with_severity(spark, sf_dir), "severity")
-        late = STREAM.bounded(
-            base,
-            {"late_loss": lambda w: F.lag(signals.zero_one_loss(F.col("edge_pred"), F.col("y")), LABEL_DELAY).over(w)},
-            back=LABEL_DELAY,
-        )
-        d = error_ema(materialise(late, "late"), STREAM, F.col("late_loss"), 0.8, 0.0)
+        loss = signals.zero_one_loss(F.col("edge_pred"), F.col("y"))
+        severity = {"smoothed_severity": (F.col("raw_severity"), None)}
+        d = delayed_error(with_raw_severity(spark, sf_dir), severity, loss, STREAM, LABEL_DELAY)
         conf = signals.confidence(F.col("p0"), F.col("p1"))
         quality = signals.quality_score([F.col("z_value").isNotNull(), F.col("z_k").isNotNull()])
         r = signals.harmonic_reliability(
             F.col("confidence"), F.col("error_ema"), F.col("smoothed_severity"), F.col("quality")
         )
-        return materialise(
-            d.withColumn("confidence", conf).withColumn("quality", quality).withColumn("reliability", r), "reliable"
-        )
+        done = d.withColumn("confidence", conf).withColumn("quality", quality).withColumn("reliability", r)
+        return materialise(done, "reliable")
 
     return staged(spark, sf_dir, "reliable", build)
 
 
+def last_index(spark: SparkSession, sf_dir: str) -> int:
+    """Largest row index of any inference series: one number from the ordered table."""
+    d = ordered(spark, sf_dir).where(F.col("role") == "inference")
+    return d.agg(F.max("row_idx")).first()[0] or 0
+
+
 def execution_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An execution log read off the inference events: who answered, how long it took, what failed.
 

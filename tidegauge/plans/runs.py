@@ -42,7 +42,9 @@ def drifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     The grid is a fixed handful of rows, so the cross join multiplies the stream by that
     many runs and nothing else; each run is its own series from here on.
     """
-    base = events.with_statistics(spark, sf_dir).where(F.col("role") == "inference")
+    base = apply_frozen(
+        events.ordered(spark, sf_dir).where(F.col("role") == "inference"), events.baseline_moments(spark, sf_dir)
+    )
     grid = with_length(base, events.STREAM, "n_stream").crossJoin(F.broadcast(seeds(spark)))
     level = inject.schedule("sudden", MAGNITUDE, F.col("row_idx"), F.col("n_stream"), ONSET)
     return inject.inject(
@@ -77,6 +79,7 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         grid = one.crossJoin(F.broadcast(methods(spark)))
         ready = grid.withColumn("drift", F.when(F.col("sees_drift"), F.col("smoothed_severity")).otherwise(F.lit(0.0)))
-        return materialise(closed_loop(materialise(ready, "grid"), RUN, events.LABEL_DELAY), "runs")
+        last = events.last_index(spark, sf_dir)
+        return materialise(closed_loop(ready, RUN, events.LABEL_DELAY, last_index=last), "runs")
 
     return events.staged(spark, sf_dir, "runs", build)
