@@ -55,7 +55,8 @@ def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flow_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.staged(
-        spark, sf_dir, "flow", lambda: ordering.causal_order(flow(spark, sf_dir), ("stream",), FLOW_ORDER)
+        spark, sf_dir, "flow",
+        lambda: E.materialise(ordering.causal_order(flow(spark, sf_dir), ("stream",), FLOW_ORDER), "flow"),
     )
 
 

@@ -64,9 +64,14 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Telemetry numbered by (ts, event_id) within each (device, role)."""
+    """Telemetry numbered by (ts, event_id) within each (device, role).
+
+    Written once with its numbers: every later stage, and both passes of a running total,
+    then start from a plain columnar scan.
+    """
     return staged(
-        spark, sf_dir, "ordered", lambda: causal_order(telemetry(spark, sf_dir), SERIES, ("ts", "event_id"))
+        spark, sf_dir, "ordered",
+        lambda: materialise(causal_order(telemetry(spark, sf_dir), SERIES, ("ts", "event_id")), "numbered"),
     )
 
 
@@ -76,14 +81,26 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_statistics(base, CONTINUOUS)
 
 
+def frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline's statistics as one row, fit once and written: frozen from then on."""
+    return staged(
+        spark, sf_dir, "frozen",
+        lambda: materialise(wide_statistics(statistics(spark, sf_dir), CONTINUOUS), "frozen"),
+    )
+
+
 def with_statistics(spark: SparkSession, sf_dir: str, df: DataFrame | None = None) -> DataFrame:
-    wide = wide_statistics(statistics(spark, sf_dir), CONTINUOUS)
-    return apply_frozen(ordered(spark, sf_dir) if df is None else df, wide)
+    return apply_frozen(ordered(spark, sf_dir) if df is None else df, frozen(spark, sf_dir))
 
 
 def baseline_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moments of the training baseline as one row: what normalisation and injection need."""
-    return moments(telemetry(spark, sf_dir).where(F.col("role") == "baseline_train"), CONTINUOUS)
+    """Moments of the training baseline as one written row: what normalisation and injection need."""
+
+    def build() -> DataFrame:
+        base = telemetry(spark, sf_dir).where(F.col("role") == "baseline_train")
+        return materialise(moments(base, CONTINUOUS), "moments")
+
+    return staged(spark, sf_dir, "moments", build)
 
 
 def with_z(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
@@ -117,8 +134,13 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def baseline_signal_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean drift signal over the training baseline: one row. A mean needs no order."""
-    base = with_z(spark, sf_dir, telemetry(spark, sf_dir).where(F.col("role") == "baseline_train"))
-    return base.agg(F.avg(signals.winsorized_l1([F.col("z_value"), F.col("z_k")])).alias("baseline_mean"))
+
+    def build() -> DataFrame:
+        base = with_z(spark, sf_dir, telemetry(spark, sf_dir).where(F.col("role") == "baseline_train"))
+        mean = F.avg(signals.winsorized_l1([F.col("z_value"), F.col("z_k")]))
+        return materialise(base.agg(mean.alias("baseline_mean")), "signal-mean")
+
+    return staged(spark, sf_dir, "signal_mean", build)
 
 
 def with_raw_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
