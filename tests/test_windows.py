@@ -78,7 +78,7 @@ def test_representative_window(spark):
     rnd = random.Random(6)
     y = [int(rnd.random() < 0.2) for _ in range(200)]
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate(y)] + [("b", i, 0) for i in range(50)], "series string, row_idx long, y int")
-    got = windows.representative_window(df, AXIS, "y", 21, 3).collect()
+    got = windows.representative_window(df, Axis(("series",), chunk_rows=25), "y", 21, 3).collect()
     want = next(i for i in range(200 - 21 + 1) if sum(y[i: i + 10]) >= 3 and sum(y[i + 10: i + 21]) >= 3)
     assert [(r.series, r.start_index) for r in got] == [("a", want)]
 

@@ -180,6 +180,28 @@ def candidate_gate(
     )
 
 
+GATE_FIELDS = T.StructType([T.StructField("active_metric", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+
+
+def gate_sequence(attempts: DataFrame, axis: Axis, minimum: float = MIN_METRIC, margin: float = MAX_REGRESSION) -> DataFrame:
+    """Gate attempts in order, each against the model then in force.
+
+    Needs `candidate_metric` and `first_metric` (the first model's score). An accepted
+    candidate's score becomes the one to hold, which is all the state there is.
+    """
+
+    def step(active, part: pd.DataFrame):
+        out = []
+        for got, first in zip(part["candidate_metric"].tolist(), part["first_metric"].tolist()):
+            base = first if active is None else active
+            ok = got >= minimum and got >= base - margin
+            out.append((base, ok))
+            active = got if ok else active
+        return active, pd.DataFrame(out, columns=[f.name for f in GATE_FIELDS.fields])
+
+    return ordered_fold(attempts, axis, lambda: None, step, GATE_FIELDS)
+
+
 def version_audit(attempts: DataFrame, axis: Axis, accepted: Column) -> DataFrame:
     """Lineage of deployment attempts: version, parent, status and the version active after each.
 

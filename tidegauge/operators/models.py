@@ -44,30 +44,33 @@ def nb_merge(tables: Sequence[DataFrame]) -> DataFrame:
 def nb_scorer(model: DataFrame, features: Sequence[str], smoothing: float = 1e-9) -> Scorer:
     """Scorer that adds p0 and p1 from the class statistics (two rows, joined as one)."""
 
-    def of(c: str, k: int) -> Column:
-        return F.max(F.when(F.col("label") == k, F.col(c)))
-
+    stats = ["n", *[f"{c}__{s}" for c in features for s in ("sum", "sq")]]
     wide = model.agg(
-        *[of("n", k).alias(f"__n{k}") for k in (0, 1)],
-        *[of(f"{c}__{s}", k).alias(f"__{s}{k}_{c}") for c in features for s in ("sum", "sq") for k in (0, 1)],
+        *[F.max(F.when(F.col("label") == k, F.col(c))).alias(f"__{c}__{k}") for c in stats for k in (0, 1)]
     )
+    p1 = nb_posterior(features, lambda name, k: F.col(f"__{name}__{k}"), smoothing)
+
+    def score(df: DataFrame) -> DataFrame:
+        both = df.crossJoin(F.broadcast(wide))  # an ungrouped aggregate: exactly one row
+        return both.select(*df.columns, (F.lit(1.0) - p1).alias("p0"), p1.alias("p1"))
+
+    return score
+
+
+def nb_posterior(features: Sequence[str], stat: Callable[[str, int], Column], smoothing: float = 1e-9) -> Column:
+    """p1 from class statistics on the row; `stat(name, k)` finds n, <feature>__sum, <feature>__sq."""
 
     def log_joint(k: int) -> Column:
-        n = F.col(f"__n{k}")
-        terms = [F.ln(n / (F.col("__n0") + F.col("__n1")))]
+        n = stat("n", k)
+        terms = [F.ln(n / (stat("n", 0) + stat("n", 1)))]
         for c in features:
-            mean = F.col(f"__sum{k}_{c}") / n
-            var = F.greatest(F.col(f"__sq{k}_{c}") / n - mean * mean, F.lit(smoothing))
+            mean = stat(f"{c}__sum", k) / n
+            var = F.greatest(stat(f"{c}__sq", k) / n - mean * mean, F.lit(smoothing))
             gap = F.col(c) - mean
             terms.append(F.lit(-0.5) * (F.ln(F.lit(2.0 * math.pi) * var) + gap * gap / var))
         return reduce(add, terms)
 
-    def score(df: DataFrame) -> DataFrame:
-        both = df.crossJoin(F.broadcast(wide))  # an ungrouped aggregate: exactly one row
-        p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(log_joint(0) - log_joint(1)))
-        return both.select(*df.columns, (F.lit(1.0) - p1).alias("p0"), p1.alias("p1"))
-
-    return score
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(log_joint(0) - log_joint(1)))
 
 
 def logistic_scorer(weights: dict[str, float], bias: float = 0.0) -> Scorer:

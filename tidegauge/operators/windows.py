@@ -247,31 +247,26 @@ def window_label(mode: str, positive: int = 1) -> Column:
 def representative_window(df: DataFrame, axis: Axis, label: str, size: int, minimum: int) -> DataFrame:
     """Earliest start per series whose two halves each hold at least `minimum` positives.
 
-    Consults labels, so it belongs to evaluation only. A running count of positives makes
-    both halves differences of three rows, so no frame of `size` rows is evaluated. Series
-    without such a window give no row.
+    Consults labels, so it belongs to evaluation only. With a running count of positives,
+    both halves are differences of three rows, so no frame of `size` rows is evaluated per
+    row. Series without such a window give no row.
     """
     half = size // 2
-    upto = axis.running(
+    counted = axis.running(
         df.select(*axis.series, axis.idx, label), sums={"__c": (F.col(label) == 1).cast("long")}
-    ).select(*axis.series, axis.idx, "__c")
-    at = lambda shift, name: upto.select(
-        *axis.series, (F.col(axis.idx) + 1 - shift).alias("start_index"), F.col("__c").alias(name)
     )
-    none = F.lit(0).cast("long")
-    zero = df.select(*axis.series).distinct().withColumn("start_index", none).withColumn("c0", none)
-    before = at(0, "c0").unionByName(zero)
-    keys = [*axis.series, "start_index"]
-    first, second = F.col("c1") - F.col("c0"), F.col("c2") - F.col("c1")
+    at = lambda rows: lambda w: F.lead("__c", rows - 1).over(w)
+    ends = {"__c2": at(size)} if half == 0 else {"__c1": at(half), "__c2": at(size)}
+    found = axis.bounded(counted, ends, ahead=size)
+    before = F.col("__c") - (F.col(label) == 1).cast("long")
+    middle = F.col("__c1") if half else before
+    first, second = middle - before, F.col("__c2") - middle
     return (
-        before.where(F.col("start_index") >= 0)
-        .join(at(half, "c1"), keys)
-        .join(at(size, "c2"), keys)
-        .where((first >= minimum) & (second >= minimum))
+        found.where((first >= minimum) & (second >= minimum))
         .groupBy(*axis.series)
         .agg(
-            F.min("start_index").alias("start_index"),
-            F.min_by(first, "start_index").alias("first_half_positives"),
-            F.min_by(second, "start_index").alias("second_half_positives"),
+            F.min(axis.idx).alias("start_index"),
+            F.min_by(first, axis.idx).alias("first_half_positives"),
+            F.min_by(second, axis.idx).alias("second_half_positives"),
         )
     )

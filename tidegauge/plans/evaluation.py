@@ -11,6 +11,7 @@ from tidegauge.functions import checks, signals
 from tidegauge.functions.draws import uniform
 from tidegauge.operators import detect, feedback, metrics, models, monitoring, ordering, routing, windows
 from tidegauge.operators.ordering import Axis
+from tidegauge.plans import adapt
 from tidegauge.plans import events as E
 from tidegauge.plans import runs as R
 from tidegauge.plans.catalog import QUERIES, query, tidy
@@ -614,6 +615,30 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def adaptation_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every retraining attempt with its scores, verdict and the versions around it."""
+    d = adapt.cycles(spark, sf_dir)
+    return tidy(
+        d.select(
+            "series_id", "attempt", "trigger_idx", "candidate_metric", "active_metric", "accepted", "version",
+            "parent_version", "active_version", "status",
+        )
+    )
+
+
+@query
+def adapted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows answered by the version in force."""
+    return tidy(adapt.adapted_answers(spark, sf_dir))
+
+
+@query
+def adapted_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the inference stream per version in force."""
+    return tidy(metrics.classification_metrics(adapt.adapted_answers(spark, sf_dir), "y", "prediction", ["model_version"]))
+
+
 # ---- streaming ------------------------------------------------------------------------------------------------
 
 

@@ -852,6 +852,52 @@ sql("flagship", f"""SELECT series_id, count(*) AS total_decisions, {n_if("action
   {d("count(*) FILTER (WHERE action = 'CLOUD') * 100.0::DOUBLE / count(*)", 'offloading_ratio')}, count(*) FILTER (WHERE row_idx > 0 AND action <> previous_action) AS switch_count,
   {d('avg(reliability)', 'mean_reliability')}, {d('max(smoothed_severity)', 'max_severity')} FROM fs JOIN rel USING (series_id, row_idx) GROUP BY 1""")
 
+# ---- retraining cycles -----------------------------------------------------------------------------------------------------
+CTES["tc"] = f"""SELECT series_id, row_idx FROM (SELECT *, count(*) FILTER (WHERE raw_severity > 0.55) OVER ({SER} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS alarms FROM rel)
+  WHERE alarms >= 4 AND smoothed_severity >= 0.35 AND row_idx >= 39"""
+CTES["tf"] = """
+  SELECT series_id, min(row_idx) AS place FROM tc GROUP BY series_id
+  UNION ALL
+  SELECT * FROM (SELECT f.series_id, (SELECT min(c.row_idx) FROM tc c WHERE c.series_id = f.series_id AND c.row_idx >= f.place + 50) AS place
+    FROM tf f) WHERE place IS NOT NULL"""
+CTES["ta2"] = "SELECT series_id, place, row_number() OVER (PARTITION BY series_id ORDER BY place) - 1 AS attempt FROM tf"
+CTES["tr"] = """
+  SELECT a.series_id, a.attempt, z_value, z_k, y FROM ta2 a JOIN sc ON sc.series_id = a.series_id AND sc.row_idx <= a.place - 15 AND sc.row_idx > a.place - 115
+  UNION ALL SELECT a.series_id, a.attempt, z_value, z_k, y FROM ta2 a JOIN n ON n.series_id = a.series_id AND n.role = 'baseline_train'"""
+_moments = lambda k: f"count(*) FILTER (WHERE y = {k}) AS cnt{k}, " + ", ".join(
+    f"avg({c}) FILTER (WHERE y = {k}) AS {c}_m{k}, var_pop({c}) FILTER (WHERE y = {k}) AS {c}_v{k}" for c in ("z_value", "z_k"))
+CTES["tm"] = f"SELECT series_id, attempt, {_moments(0)}, {_moments(1)} FROM tr GROUP BY series_id, attempt"
+CTES["t1"] = f"SELECT {_moments(0)}, {_moments(1)} FROM n WHERE role = 'baseline_train'"
+_half = lambda k: f"ln(cnt{k} / (cnt0 + cnt1)) - 0.5::DOUBLE * (" + " + ".join(
+    f"ln(2.0 * pi() * {c}_v{k}) + pow({c} - {c}_m{k}, 2) / {c}_v{k}" for c in ("z_value", "z_k")) + ")"
+_p1 = f"1.0 / (1.0 + exp(({_half(0)}) - ({_half(1)})))"
+CTES["tv"] = f"SELECT n.series_id, tm.attempt, y, ({_p1} >= 0.5)::INT AS p FROM n JOIN tm ON tm.series_id = n.series_id WHERE role = 'baseline_validation' AND row_idx < 25000"
+CTES["t0"] = f"SELECT n.series_id, y, ({_p1} >= 0.5)::INT AS p FROM n CROSS JOIN t1 WHERE role = 'baseline_validation' AND row_idx < 25000"
+CTES["tg"] = f"""SELECT a.series_id, a.attempt, a.place, c.f AS candidate_metric, b.f AS first_metric FROM ta2 a
+  JOIN (SELECT series_id, attempt, {_scores['f1']} AS f FROM (SELECT series_id, attempt, {matrix('y', 'p')} FROM tv GROUP BY 1, 2)) c ON c.series_id = a.series_id AND c.attempt = a.attempt
+  JOIN (SELECT series_id, {_scores['f1']} AS f FROM (SELECT series_id, {matrix('y', 'p')} FROM t0 GROUP BY 1)) b ON b.series_id = a.series_id"""
+CTES["ts_"] = """
+  SELECT series_id, attempt, place, candidate_metric, first_metric AS base, candidate_metric >= 0.4 AND candidate_metric >= first_metric - 0.05 AS ok,
+    (candidate_metric >= 0.4 AND candidate_metric >= first_metric - 0.05)::BIGINT AS done,
+    CASE WHEN candidate_metric >= 0.4 AND candidate_metric >= first_metric - 0.05 THEN candidate_metric ELSE first_metric END AS hold FROM tg WHERE attempt = 0
+  UNION ALL
+  SELECT g.series_id, g.attempt, g.place, g.candidate_metric, p.hold, g.candidate_metric >= 0.4 AND g.candidate_metric >= p.hold - 0.05,
+    p.done + (g.candidate_metric >= 0.4 AND g.candidate_metric >= p.hold - 0.05)::BIGINT,
+    CASE WHEN g.candidate_metric >= 0.4 AND g.candidate_metric >= p.hold - 0.05 THEN g.candidate_metric ELSE p.hold END
+  FROM ts_ p JOIN tg g ON g.series_id = p.series_id AND g.attempt = p.attempt + 1"""
+CTES["tw"] = f"""
+  SELECT x.series_id, x.row_idx, x.y, coalesce('v' || (s.done + 1), 'v1') AS model_version,
+    CASE WHEN s.series_id IS NULL THEN x.p_first ELSE (SELECT {_p1} FROM tm WHERE tm.series_id = s.series_id AND tm.attempt = s.attempt) END AS p1
+  FROM (SELECT sc.series_id, sc.row_idx, sc.y, z_value, z_k, {_p1} AS p_first FROM sc CROSS JOIN t1) x
+  ASOF LEFT JOIN (SELECT * FROM ts_ WHERE ok) s ON s.series_id = x.series_id AND x.row_idx > s.place"""
+_ORDER += ["tc", "tf", "ta2", "tr", "tm", "t1", "tv", "t0", "tg", "ts_", "tw"]
+sql("adaptation_cycles", f"""SELECT series_id, attempt, place AS trigger_idx, {d('candidate_metric', 'candidate_metric')}, {d('base', 'active_metric')}, ok AS accepted,
+  'v' || (done - ok::INT + 2) AS version, 'v' || (done - ok::INT + 1) AS parent_version, 'v' || (done + 1) AS active_version, CASE WHEN ok THEN 'ACTIVE' ELSE 'REJECTED' END AS status FROM ts_""")
+sql("adapted_answers", f"SELECT series_id, row_idx, y, model_version, {d('p1', 'p1')}, (p1 >= 0.5)::INT AS prediction FROM tw")
+CTES["tx"] = f"SELECT model_version, {matrix('y', '(p1 >= 0.5)::INT')} FROM tw GROUP BY 1"
+_ORDER.append("tx")
+sql("adapted_metrics", f"SELECT model_version, {_show}, tp + fp + fn + tn AS sample_count, tp, fp, fn, tn FROM tx")
+
 # ---- streaming: the drained stream equals the batch answer ---------------------------------------------------------------
 CTES["ws"] = """
   SELECT g.start_index, q.* FROM (SELECT series_id, unnest(range(0, n_rows - 20 + 1, 5)) AS start_index FROM len WHERE role = 'inference' AND n_rows >= 20) g
