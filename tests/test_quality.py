@@ -71,3 +71,14 @@ def test_refusals(spark):
         profile.classify_columns(p, continuous=["flag"], discrete=["flag"])
     with pytest.raises(ValueError):
         quality.outlier_bounds("x", "domain")
+
+
+def test_sketched_profile_agrees_on_kind_and_moments(spark):
+    df = spark.range(5000).select((F.col("id") % 7).alias("few"), (F.col("id") * 1.5).alias("many"), F.lit(3).alias("one"))
+    exact = {r["column"]: r for r in profile.profile_columns(df, df.columns).collect()}
+    rough = {r["column"]: r for r in profile.profile_columns(df, df.columns, exact=False).collect()}
+    for c in df.columns:
+        assert (rough[c].is_discrete, rough[c].zero_variance, rough[c]["mean"], rough[c].maximum) == (
+            exact[c].is_discrete, exact[c].zero_variance, exact[c]["mean"], exact[c].maximum
+        )
+    assert rough["few"].n_unique == 7 and abs(rough["many"].n_unique - 5000) < 200

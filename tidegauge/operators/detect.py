@@ -17,7 +17,7 @@ from tidegauge.operators.ordering import Axis
 from tidegauge.session import materialise
 
 Step = Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame]]
-FOLD_ROWS = 1 << 24
+FOLD_ROWS = 1 << 22
 
 
 def ordered_fold(

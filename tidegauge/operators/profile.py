@@ -14,24 +14,36 @@ def unpivot(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), value
     return wide.unpivot(list(by), list(columns), "column", value)
 
 
-def profile_columns(df: DataFrame, columns: Sequence[str], max_discrete: int = 10) -> DataFrame:
+def profile_columns(df: DataFrame, columns: Sequence[str], max_discrete: int = 10, exact: bool = True) -> DataFrame:
     """Per column: distinct count, mean, population std, min, max, kind.
 
-    Statistics that need no distinct run in one pre-aggregated pass; the distinct count
-    shuffles only (column, value) pairs.
+    The exact distinct count shuffles every distinct (column, value) pair. On wide tables of
+    continuous channels `exact=False` sketches it instead, in the one pass of the moments; a
+    count as small as `max_discrete` comes out of the sketch unchanged.
     """
-    long = unpivot(df, columns)
-    return (
-        long.groupBy("column")
-        .agg(
+    if exact:
+        out = unpivot(df, columns).groupBy("column").agg(
             F.count_distinct("value").alias("n_unique"),
             F.avg("value").alias("mean"),
             F.stddev_pop("value").alias("std"),
             F.min("value").alias("minimum"),
             F.max("value").alias("maximum"),
         )
-        .withColumn("is_discrete", F.col("n_unique") <= max_discrete)
-        .withColumn("zero_variance", F.col("n_unique") <= 1)
+    else:
+        cells = [
+            F.struct(
+                F.lit(c).alias("column"),
+                F.approx_count_distinct(F.col(c).cast("double"), 0.01).alias("n_unique"),
+                F.avg(F.col(c).cast("double")).alias("mean"),
+                F.stddev_pop(F.col(c).cast("double")).alias("std"),
+                F.min(F.col(c).cast("double")).alias("minimum"),
+                F.max(F.col(c).cast("double")).alias("maximum"),
+            )
+            for c in columns
+        ]
+        out = df.agg(F.array(*cells).alias("__cells")).select(F.inline("__cells"))
+    return out.withColumn("is_discrete", F.col("n_unique") <= max_discrete).withColumn(
+        "zero_variance", F.col("n_unique") <= 1
     )
 
 

@@ -469,12 +469,10 @@ SIZE, STEP = 20, 5
 
 
 def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised telemetry with blocks and flags, ready to be cut into windows."""
+    """Telemetry with blocks, flags and validity, ready to be cut into windows."""
     d = report(spark, sf_dir)
     return d.select(
-        *E.SERIES, "row_idx", "ts", "block_id", "state", "y", "outlier", "range_violation",
-        (F.col("event_type") != "signup").alias("valid"),
-        *[quality.normalize_frozen(c).alias(f"z_{c}") for c in E.CONTINUOUS],
+        *E.SERIES, "row_idx", "ts", "block_id", "outlier", "range_violation", (F.col("event_type") != "signup").alias("valid")
     )
 
 
@@ -509,13 +507,13 @@ def interleaved_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def window_features_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = windows.sliding_windows(windowed(spark, sf_dir), E.AXIS, SIZE, STEP, continuous=["z_value", "z_k"])
+    w = windows.sliding_windows(E.normalised(spark, sf_dir), E.AXIS, SIZE, STEP, continuous=["z_value", "z_k"])
     return tidy(w.select(*E.SERIES, "start_index", *windows.feature_names(["z_value", "z_k"], [])))
 
 
 @query
 def window_features_discrete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = windows.sliding_windows(windowed(spark, sf_dir), E.AXIS, SIZE, STEP, discrete=["state"])
+    w = windows.sliding_windows(E.ordered(spark, sf_dir), E.AXIS, SIZE, STEP, discrete=["state"])
     return w.select(*E.SERIES, "start_index", "state__mode", "state__n_changes")
 
 
@@ -527,14 +525,14 @@ def window_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def window_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = windows.sliding_windows(windowed(spark, sf_dir), E.AXIS, SIZE, STEP, label="y")
+    w = windows.sliding_windows(E.ordered(spark, sf_dir), E.AXIS, SIZE, STEP, label="y")
     return w.select(*E.SERIES, "start_index", *[windows.window_label(m).alias(m) for m in ("any_positive", "majority", "last")])
 
 
 @query
 def feature_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full feature matrix of the inference role in its channel-major column order."""
-    d = windowed(spark, sf_dir).where(F.col("role") == "inference")
+    d = E.normalised(spark, sf_dir).where(F.col("role") == "inference")
     w = windows.sliding_windows(d, E.AXIS, 50, 10, continuous=["z_value", "z_k"], discrete=["state"])
     return tidy(w.select("series_id", "start_index", *windows.feature_names(["z_value", "z_k"], ["state"])))
 
