@@ -237,6 +237,23 @@ def experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sweep_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = ["magnitude", "breadth"]
+    d = R.swept(spark, sf_dir)
+    r = metrics.reliability_metrics(d, "row_idx", "reliability", F.col("onset"), by)
+    shares = metrics.routing_metrics(d, R.SWEPT, "action", "cloud_fallback", by)
+    return r.join(shares, by).select(
+        *by, "min_reliability", "mean_reliability_post_drift", "edge_percentage", "hybrid_percentage", "cloud_percentage",
+        "switch_count", "hybrid_fallback_count",
+    )
+
+
+@query
+def drift_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability and routing of the adaptive method by drift strength and breadth."""
+    return tidy(sweep_table(spark, sf_dir))
+
+
 @query
 def closed_loop_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-row error, reliability, action and answer of every run, answers feeding back."""
@@ -289,8 +306,7 @@ def drift_metrics_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def drift_metrics_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same table over the detector's own alarms."""
-    d = detected(spark, sf_dir)
-    return tidy(metrics.drift_metrics(d, "row_idx", "drift_detected", "is_persistent", "smoothed_severity", F.col("onset"), ["seed", "series_id"]))
+    return tidy(detection_table(spark, sf_dir))
 
 
 @query
@@ -368,12 +384,7 @@ COMPARED = (("ADAPTIVE", "STATIC"), ("ADAPTIVE", "NO_DRIFT_SIGNAL"), ("STATIC",
 
 @query
 def paired_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = materialise(pre_post(spark, sf_dir), "prepost")
-    pairs = None
-    for a, b in COMPARED:
-        one = metrics.paired_by_seed(table, a, b, "post_f1").withColumn("comparison", F.lit(f"{a} vs {b}"))
-        pairs = one if pairs is None else pairs.unionByName(one)
-    return tidy(metrics.paired_test(pairs, ["comparison"]))
+    return tidy(paired_table(spark, sf_dir))
 
 
 @query
@@ -382,19 +393,6 @@ def run_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.run_consistency(d, ["pre_accuracy", "post_accuracy", "pre_f1", "post_f1"], ["post_mcc", "offloading_ratio", "delta_f1"])
 
 
-@query
-def sink_result_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result tables written to their folders, then counted from what was written."""
-    root = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
-    made = {"prediction_metrics": pre_post(spark, sf_dir), "routing_metrics": routing_table(spark, sf_dir), "latency_metrics": run_latency(spark, sf_dir)}
-    sinks.write_tables(made, root, METHOD_SEED)
-    out = None
-    for name in made:
-        one = tables.scan_parquet(spark, f"{root}/{name}").groupBy("method").agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 # ---- monitoring ------------------------------------------------------------------------------------
 
 
@@ -598,6 +596,55 @@ def retrain_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(scored.groupBy("origin").agg(F.count("*").alias("samples"), F.avg("p1").alias("mean_p1")))
 
 
+# ---- all result tables ------------------------------------------------------------------------------------------
+
+
+def paired_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = materialise(pre_post(spark, sf_dir), "prepost")
+    pairs = None
+    for a, b in COMPARED:
+        one = metrics.paired_by_seed(table, a, b, "post_f1").withColumn("comparison", F.lit(f"{a} vs {b}"))
+        pairs = one if pairs is None else pairs.unionByName(one)
+    return metrics.paired_test(pairs, ["comparison"])
+
+
+def detection_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = ["seed", "series_id"]
+    return metrics.drift_metrics(
+        detected(spark, sf_dir), "row_idx", "drift_detected", "is_persistent", "smoothed_severity", F.col("onset"), by
+    )
+
+
+RESULT_TABLES = {
+    "baseline_model_metrics": lambda spark, sf: model_comparison(spark, sf),
+    "drift_metrics": detection_table,
+    "reliability_metrics": lambda spark, sf: reliability_metrics(spark, sf),
+    "routing_metrics": routing_table,
+    "hybrid_metrics": lambda spark, sf: hybrid_metrics(spark, sf),
+    "prediction_metrics": pre_post,
+    "adaptation_metrics": lambda spark, sf: adaptation_cycles(spark, sf),
+    "latency_metrics": run_latency,
+    "network_metrics": lambda spark, sf: delivery_metrics(spark, sf),
+    "execution_metrics": lambda spark, sf: execution_reliability(spark, sf),
+    "model_version_metrics": lambda spark, sf: feedback.active_versions(adapt.cycles(spark, sf), ATTEMPT),
+    "ablation_metrics": lambda spark, sf: ablation_rollup(spark, sf),
+    "statistical_results": paired_table,
+}
+
+
+@query
+def sink_result_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All thirteen result tables written to their folders, then counted from what was written."""
+    root = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    made = {name: build(spark, sf_dir) for name, build in RESULT_TABLES.items()}
+    sinks.write_tables(made, root, METHOD_SEED)
+    out = None
+    for name in made:
+        one = tables.scan_parquet(spark, f"{root}/{name}").agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---- flagship -----------------------------------------------------------------------------------------------
 
 

@@ -223,11 +223,16 @@ CTES["sm"] = """
   FROM sp JOIN sq USING (seed, series_id, row_idx)
   CROSS JOIN (VALUES ('EDGE_ONLY', 'edge_only', true), ('CLOUD_ONLY', 'cloud_only', true), ('STATIC', 'edge_only', true),
     ('NO_DRIFT_SIGNAL', 'adaptive', false), ('ADAPTIVE', 'adaptive', true)) m(method, policy, sees)"""
-CTES["lp"] = f"""
-  SELECT method, seed, series_id, -1::BIGINT AS row_idx, 0.0::DOUBLE AS error_ema, 0.0::DOUBLE AS reliability, 'EDGE' AS action,
-    -1 AS prediction, false AS cloud_fallback, CAST([] AS DOUBLE[]) AS open_losses FROM sm WHERE row_idx = 0
+
+
+def closed_loop(me: str, source: str, keys: tuple[str, ...]) -> str:
+    """The routing loop of every run of `source` as one recursion."""
+    listed, same = ", ".join(keys), " AND ".join(f"g.{k} = p.{k}" for k in keys)
+    return f"""
+  SELECT {listed}, -1::BIGINT AS row_idx, 0.0::DOUBLE AS error_ema, 0.0::DOUBLE AS reliability, 'EDGE' AS action,
+    -1 AS prediction, false AS cloud_fallback, CAST([] AS DOUBLE[]) AS open_losses FROM {source} WHERE row_idx = 0
   UNION ALL
-  SELECT method, seed, series_id, row_idx, e, r, a,
+  SELECT {listed}, row_idx, e, r, a,
     CASE WHEN fell OR a = 'CLOUD' THEN cloud_pred ELSE edge_pred END, fell,
     list_append(rest, CASE WHEN (CASE WHEN fell OR a = 'CLOUD' THEN cloud_pred ELSE edge_pred END) <> label
                            THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
@@ -238,7 +243,10 @@ CTES["lp"] = f"""
         FROM (SELECT g.*, p.action AS before,
             CASE WHEN len(p.open_losses) = 15 THEN 0.8::DOUBLE * p.error_ema + 0.2::DOUBLE * p.open_losses[1] ELSE p.error_ema END AS e,
             CASE WHEN len(p.open_losses) = 15 THEN p.open_losses[2:] ELSE p.open_losses END AS rest
-          FROM lp p JOIN sm g ON g.method = p.method AND g.seed = p.seed AND g.series_id = p.series_id AND g.row_idx = p.row_idx + 1))))"""
+          FROM {me} p JOIN {source} g ON {same} AND g.row_idx = p.row_idx + 1))))"""
+
+
+CTES["lp"] = closed_loop("lp", "sm", ("method", "seed", "series_id"))
 CTES["ru"] = """
   SELECT sm.* EXCLUDE (drift), lp.error_ema, lp.reliability, lp.action, lp.prediction, lp.cloud_fallback,
     lag(lp.action) OVER (PARTITION BY method, seed, series_id ORDER BY row_idx) AS before
@@ -696,6 +704,31 @@ sql("two_tier_score", f"""
 
 # ---- runs and evaluation tables ------------------------------------------------------------------------------------
 sql("experiment_grid", f"""SELECT method, seed, count(*) AS n_rows, {n_if('row_idx >= onset', 'n_post')}, {d('avg(signal)', 'mean_signal')}, {d('avg(smoothed_severity)', 'mean_severity')} FROM sm GROUP BY 1, 2""")
+# The sweep: offsets of several strengths on one or two channels, same loop.
+CTES["vx"] = f"""
+  SELECT magnitude, breadth, inf.*, CASE WHEN row_idx >= round_even(0.5 * n_stream, 0) THEN magnitude ELSE 0.0::DOUBLE END AS schedule
+  FROM inf CROSS JOIN (SELECT unnest([2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0])::DOUBLE AS magnitude) CROSS JOIN (SELECT unnest([1, 2]) AS breadth)"""
+_far = lambda c: held(c, f"{c} + schedule * {c}__std").replace("* 1.5 / 2.0", "* 4.0 / 2.0")
+CTES["vz"] = f"""
+  SELECT magnitude, breadth, series_id, row_idx, y, n_stream, ({_far('value')} - value__mean) / value__std AS z_value,
+    (CASE WHEN breadth = 2 THEN {_far('k')} ELSE k END - k__mean) / k__std AS z_k FROM vx"""
+CTES["vp"] = f"""
+  SELECT magnitude, breadth, series_id, row_idx, y AS label, n_stream, 'adaptive' AS policy, least(1.0, abs({SIGNAL} - baseline_mean)) AS raw_severity,
+    {CONF(EDGE_P1)} AS confidence, CASE WHEN {EDGE_P1} >= 0.5 THEN 1 ELSE 0 END AS edge_pred, CASE WHEN {CLOUD_P1} >= 0.5 THEN 1 ELSE 0 END AS cloud_pred
+  FROM vz CROSS JOIN bm"""
+CTES["vq"] = """
+  SELECT magnitude, breadth, series_id, row_idx, raw_severity AS s FROM vp WHERE row_idx = 0
+  UNION ALL
+  SELECT g.magnitude, g.breadth, g.series_id, g.row_idx, 0.8::DOUBLE * p.s + 0.2::DOUBLE * g.raw_severity
+  FROM vq p JOIN vp g ON g.magnitude = p.magnitude AND g.breadth = p.breadth AND g.series_id = p.series_id AND g.row_idx = p.row_idx + 1"""
+CTES["vm"] = "SELECT vp.*, vq.s AS drift FROM vp JOIN vq USING (magnitude, breadth, series_id, row_idx)"
+CTES["vl"] = closed_loop("vl", "vm", ("magnitude", "breadth", "series_id"))
+_ORDER += ["vx", "vz", "vp", "vq", "vm", "vl"]
+_vs = lambda a: d(f"count(*) FILTER (WHERE action = '{a.upper()}') * 100.0::DOUBLE / count(*)", f"{a}_percentage")
+sql("drift_sweep", f"""SELECT magnitude, breadth, {d('min(reliability)', 'min_reliability')}, {d('avg(reliability) FILTER (WHERE row_idx >= round_even(0.5 * n_stream, 0))', 'mean_reliability_post_drift')},
+  {_vs('edge')}, {_vs('hybrid')}, {_vs('cloud')}, count(*) FILTER (WHERE action <> was) AS switch_count, count(*) FILTER (WHERE cloud_fallback) AS hybrid_fallback_count
+  FROM (SELECT vl.*, n_stream, lag(action) OVER (PARTITION BY magnitude, breadth, series_id ORDER BY row_idx) AS was
+    FROM vl JOIN vm USING (magnitude, breadth, series_id, row_idx)) GROUP BY magnitude, breadth""")
 sql("closed_loop_trace", f"SELECT method, seed, {_id}, {d('error_ema', 'error_ema')}, {d('reliability', 'reliability')}, action, prediction, cloud_fallback FROM lp WHERE row_idx >= 0")
 CTES["cm"] = f"SELECT method, seed, {matrix('label', 'prediction')} FROM ru GROUP BY 1, 2"
 _ORDER.append("cm")
@@ -775,9 +808,6 @@ sql("run_consistency", f"""SELECT count(*) AS n_runs, count(DISTINCT (method, se
   {' + '.join(f"count(*) FILTER (WHERE NOT ({c} BETWEEN 0 AND 1))" for c in ('pre_accuracy', 'post_accuracy', 'pre_f1', 'post_f1'))} AS n_out_of_bounds,
   count(*) FILTER (WHERE isnan(post_mcc) OR isinf(post_mcc)) AS n_not_finite, count(*) FILTER (WHERE edge_count + cloud_count + hybrid_count <> total_decisions) AS n_bad_share_sum
   FROM pq JOIN rt USING (method, seed)""")
-sql("sink_result_tables", "\n UNION ALL ".join(
-    f"SELECT method, '{n}' AS table_name, count(*) AS n_rows FROM rt GROUP BY method" for n in ("prediction_metrics", "routing_metrics", "latency_metrics")))
-
 # ---- monitoring ----------------------------------------------------------------------------------------------------
 _inc = "(cloud_fallback OR model_used LIKE '%cloud%' OR coalesce(error LIKE '%cloud%', false))"
 sql("telemetry_summary", f"""SELECT series_id, count(*) AS total_decisions, {n_if('success', 'successful_executions')}, {n_if('NOT success', 'failed_executions')},
@@ -898,6 +928,15 @@ CTES["tx"] = f"SELECT model_version, {matrix('y', '(p1 >= 0.5)::INT')} FROM tw G
 _ORDER.append("tx")
 sql("adapted_metrics", f"SELECT model_version, {_show}, tp + fp + fn + tn AS sample_count, tp, fp, fn, tn FROM tx")
 
+_one = lambda name, body: f"SELECT '{name}' AS table_name, count(*) AS n_rows FROM ({body}) q"
+sql("sink_result_tables", "\n UNION ALL ".join([
+    *[_one(n, "SELECT method, seed FROM rt") for n in ("reliability_metrics", "routing_metrics", "hybrid_metrics", "prediction_metrics", "latency_metrics")],
+    _one("baseline_model_metrics", "SELECT model FROM mc"), _one("drift_metrics", "SELECT DISTINCT seed, series_id FROM sp"),
+    _one("adaptation_metrics", "SELECT attempt FROM ts_"), _one("model_version_metrics", "SELECT DISTINCT series_id FROM ts_"),
+    _one("network_metrics", "SELECT DISTINCT seed FROM lg WHERE network_latency_s IS NOT NULL"), _one("execution_metrics", "SELECT DISTINCT selected_action, seed FROM lg"),
+    _one("ablation_metrics", "SELECT DISTINCT method FROM rt"), _one("statistical_results", "SELECT comparison FROM ps"),
+]))
+
 # ---- streaming: the drained stream equals the batch answer ---------------------------------------------------------------
 CTES["ws"] = """
   SELECT g.start_index, q.* FROM (SELECT series_id, unnest(range(0, n_rows - 20 + 1, 5)) AS start_index FROM len WHERE role = 'inference' AND n_rows >= 20) g

@@ -1,8 +1,8 @@
-"""Experiment runs: every method and seed replays the drifted inference stream."""
+"""Experiment runs: every method and seed, and every drift strength, replays the stream."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions import signals
@@ -24,8 +24,11 @@ METHODS = {
     "ADAPTIVE": ("adaptive", True),
 }
 MAGNITUDE, ONSET = 2.0, 0.5
+# Drift strengths in baseline sigma and numbers of drifted channels to sweep.
+MAGNITUDES, BREADTHS = (2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0), (1, 2)
 SEEDED = Axis(("seed", "series_id"))
 RUN = Axis(("method", "seed", "series_id"))
+SWEPT = Axis(("magnitude", "breadth", "series_id"))
 
 
 def seeds(spark: SparkSession) -> DataFrame:
@@ -33,7 +36,19 @@ def seeds(spark: SparkSession) -> DataFrame:
 
 
 def methods(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(m, p, d) for m, (p, d) in METHODS.items()], "method string, policy string, sees_drift boolean")
+    return spark.createDataFrame(
+        [(m, p, d) for m, (p, d) in METHODS.items()], "method string, policy string, sees_drift boolean"
+    )
+
+
+def strengths(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(m, b) for m in MAGNITUDES for b in BREADTHS], "magnitude double, breadth int")
+
+
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inference rows with the baseline's moments and the length of their series."""
+    base = events.ordered(spark, sf_dir).where(F.col("role") == "inference")
+    return with_length(apply_frozen(base, events.baseline_moments(spark, sf_dir)), events.STREAM, "n_stream")
 
 
 def drifted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,44 +57,64 @@ def drifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     The grid is a fixed handful of rows, so the cross join multiplies the stream by that
     many runs and nothing else; each run is its own series from here on.
     """
-    base = apply_frozen(
-        events.ordered(spark, sf_dir).where(F.col("role") == "inference"), events.baseline_moments(spark, sf_dir)
-    )
-    grid = with_length(base, events.STREAM, "n_stream").crossJoin(F.broadcast(seeds(spark)))
+    grid = stream(spark, sf_dir).crossJoin(F.broadcast(seeds(spark)))
     level = inject.schedule("sudden", MAGNITUDE, F.col("row_idx"), F.col("n_stream"), ONSET)
     return inject.inject(
         grid, events.CONTINUOUS, level, "noise", expansion=1.5, key=["event_id"], seed=F.col("seed")
     )
 
 
+def scored(spark: SparkSession, sf_dir: str, moved: DataFrame, axis: Axis) -> DataFrame:
+    """Severity, confidence and both tiers' answers of drifted rows, per run of `axis`."""
+    run = [c for c in axis.series if c != "series_id"]
+    z = lambda c: (F.col(f"{c}__drifted") - F.col(f"{c}__mean")) / F.greatest(F.col(f"{c}__std"), F.lit(1e-8))
+    d = moved.select(
+        *run, "series_id", "row_idx", "event_id", "y", "n_stream", *[z(c).alias(f"z_{c}") for c in events.CONTINUOUS]
+    )
+    d = apply_frozen(d, events.baseline_signal_mean(spark, sf_dir))
+    d = d.withColumn("signal", signals.winsorized_l1([F.col("z_value"), F.col("z_k")]))
+    raw = signals.raw_severity(F.col("signal"), F.col("baseline_mean"), max_shift=1.0)
+    d = severity_ema(d, axis, raw, 0.8)
+    p1, c1 = events.probability(events.EDGE_WEIGHTS), events.probability(events.CLOUD_WEIGHTS)
+    conf = signals.confidence(F.lit(1.0) - p1, p1)
+    onset = F.bround(F.col("n_stream") * ONSET)
+    return d.select(
+        *run, "series_id", "row_idx", "event_id", F.col("y").alias("label"),
+        (F.col("row_idx") >= onset).alias("is_post"), onset.cast("long").alias("onset"),
+        "signal", "raw_severity", "smoothed_severity",
+        conf.alias("confidence"), conf.alias("edge_conf"), F.lit(1.0).alias("quality"),
+        (p1 >= 0.5).cast("int").alias("edge_pred"), (c1 >= 0.5).cast("int").alias("cloud_pred"),
+    )
+
+
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All runs with severity, closed-loop reliability, action and answer per row (written once)."""
 
     def build() -> DataFrame:
-        d = drifted(spark, sf_dir)
-        z = lambda c: (F.col(f"{c}__drifted") - F.col(f"{c}__mean")) / F.greatest(F.col(f"{c}__std"), F.lit(1e-8))
-        d = d.select(
-            "seed", "series_id", "row_idx", "event_id", "y", "n_stream", "schedule",
-            *[z(c).alias(f"z_{c}") for c in events.CONTINUOUS],
-        )
-        d = apply_frozen(d, events.baseline_signal_mean(spark, sf_dir))
-        signal = signals.winsorized_l1([F.col("z_value"), F.col("z_k")])
-        d = d.withColumn("signal", signal)
-        raw = signals.raw_severity(F.col("signal"), F.col("baseline_mean"), max_shift=1.0)
-        d = severity_ema(d, SEEDED, raw, 0.8)
-        p1, c1 = events.probability(events.EDGE_WEIGHTS), events.probability(events.CLOUD_WEIGHTS)
-        conf = signals.confidence(F.lit(1.0) - p1, p1)
-        one = d.select(
-            "seed", "series_id", "row_idx", "event_id", F.col("y").alias("label"),
-            (F.col("row_idx") >= F.bround(F.col("n_stream") * ONSET)).alias("is_post"),
-            F.bround(F.col("n_stream") * ONSET).cast("long").alias("onset"),
-            "signal", "raw_severity", "smoothed_severity",
-            conf.alias("confidence"), conf.alias("edge_conf"), F.lit(1.0).alias("quality"),
-            (p1 >= 0.5).cast("int").alias("edge_pred"), (c1 >= 0.5).cast("int").alias("cloud_pred"),
-        )
+        one = scored(spark, sf_dir, drifted(spark, sf_dir), SEEDED)
         grid = one.crossJoin(F.broadcast(methods(spark)))
-        ready = grid.withColumn("drift", F.when(F.col("sees_drift"), F.col("smoothed_severity")).otherwise(F.lit(0.0)))
+        seen: Column = F.when(F.col("sees_drift"), F.col("smoothed_severity")).otherwise(F.lit(0.0))
         last = events.last_index(spark, sf_dir)
-        return materialise(closed_loop(ready, RUN, events.LABEL_DELAY, last_index=last), "runs")
+        loop = closed_loop(grid.withColumn("drift", seen), RUN, events.LABEL_DELAY, last_index=last)
+        return materialise(loop, "runs")
 
     return events.staged(spark, sf_dir, "runs", build)
+
+
+def swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adaptive method under offsets of every strength and breadth (written once).
+
+    Channels drift in order of baseline variance: breadth 1 moves `value`, 2 moves `k` too.
+    """
+
+    def build() -> DataFrame:
+        grid = stream(spark, sf_dir).crossJoin(F.broadcast(strengths(spark)))
+        level = inject.schedule("sudden", 1.0, F.col("row_idx"), F.col("n_stream"), ONSET) * F.col("magnitude")
+        d = inject.inject(grid, events.CONTINUOUS, level, "offset", expansion=4.0)
+        kept = F.when(F.col("breadth") >= 2, F.col("k__drifted")).otherwise(F.col("k"))
+        one = scored(spark, sf_dir, d.withColumn("k__drifted", kept), SWEPT)
+        ready = one.withColumn("policy", F.lit("adaptive")).withColumn("drift", F.col("smoothed_severity"))
+        last = events.last_index(spark, sf_dir)
+        return materialise(closed_loop(ready, SWEPT, events.LABEL_DELAY, last_index=last), "sweep")
+
+    return events.staged(spark, sf_dir, "sweep", build)
