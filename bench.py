@@ -14,7 +14,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tidegauge.plans import catalog, evaluation, events  # noqa: E402,F401
+import tidegauge.plans.evaluation  # noqa: E402,F401  (registers its queries)
+from tidegauge.plans import catalog, events  # noqa: E402
 from tidegauge.session import build_session, ship_package  # noqa: E402
 
 HEADLINES = (

@@ -153,3 +153,20 @@ def test_closed_loop_survives_waves(spark):
     assert sorted(map(tuple, routing.closed_loop(df, AXIS, rows_per_wave=25).collect())) == one
     assert {r[-3] for r in one if r[0] == "edge_only"} == {"EDGE"} and {r[-3] for r in one if r[0] == "cloud_only"} == {"CLOUD"}
     assert {r[-3] for r in one if r[0] == "adaptive"} == {"EDGE", "HYBRID", "CLOUD"}
+
+
+def test_fixed_delay_error_equals_the_sparse_form(spark):
+    rnd = random.Random(19)
+    rows = [("a", i, float(rnd.random() < 0.3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "series string, row_idx long, loss double")
+    axis = Axis(("series",), chunk_rows=4096)
+    late = axis.bounded(df, {"arrived": lambda w: F.lag("loss", 15).over(w)}, back=15)
+    sparse = {r.row_idx: r.error_ema for r in routing.error_ema(late, axis, F.col("arrived"), 0.8, 0.1).collect()}
+    fixed = {r.row_idx: r.error_ema for r in routing.delayed_error(df, {}, F.col("loss"), axis, 15, 0.8, 0.1).collect()}
+    assert all(abs(sparse[i] - fixed[i]) < 1e-12 for i in range(400)) and fixed[14] == 0.1
+
+
+def test_a_known_last_index_gives_the_same_waves(spark):
+    _, df = signals(spark)
+    one = sorted(map(tuple, detect.adwin(df, AXIS, "x", clock=8).collect()))
+    assert sorted(map(tuple, detect.adwin(df, AXIS, "x", clock=8, rows_per_wave=200, last_index=899).collect())) == one

@@ -123,3 +123,34 @@ def test_recent_rows_and_flags(numbered):
     flags = ordering.order_flags(df.withColumn("ts", F.timestamp_seconds("ts")), axis, "ts")
     dup = sum(len(rows) - len({r[1] for r in rows}) for rows in want.values())
     assert flags.where("is_duplicate").count() == dup and flags.where("is_back").count() == 0
+
+
+def test_several_smoothed_columns_and_lags_over_them(spark):
+    rnd = random.Random(13)
+    rows = [(s, i, rnd.random(), rnd.random()) for s, n in (("a", 5000), ("b", 70)) for i in range(n)]
+    df = spark.createDataFrame(rows, "series string, row_idx long, x double, y double").repartition(3)
+    axis = Axis(("series",), chunk_rows=2200)
+    out = axis.emas(
+        df, {"sx": (F.col("x"), None), "sy": (F.col("y"), 0.5)}, 0.8, {"late": lambda w: F.lag("sy", 15).over(w)}, back=15
+    )
+    got = {(r.series, r.row_idx): (r.sx, r.sy, r.late) for r in out.collect()}
+    assert len(got) == len(rows)
+    for series in ("a", "b"):
+        sx, seen = None, [0.5]
+        for _, i, x, y in sorted(r for r in rows if r[0] == series):
+            sx = x if sx is None else 0.8 * sx + 0.2 * x
+            seen.append(0.8 * seen[-1] + 0.2 * y)
+            a, b, late = got[series, i]
+            assert abs(a - sx) < 1e-12 and abs(b - seen[-1]) < 1e-12
+            assert late is None if i < 15 else abs(late - seen[i - 14]) < 1e-12
+
+
+def test_values_as_of_the_row_before(numbered):
+    want, df = numbered
+    out = Axis(("series",), chunk_rows=6).running(df, sums={"total": F.col("id")}, lasts={"seen": F.col("x")}, before=True)
+    got = {(r["series"], r["row_idx"]): (r["total__before"], r["seen__before"]) for r in out.collect()}
+    for s, rows in want.items():
+        total, seen = 0, None
+        for i, r in enumerate(rows):
+            assert got[s, i] == (total, seen)
+            total, seen = total + r[2], r[3] if r[3] is not None else seen

@@ -208,3 +208,48 @@ def test_boosted_trees_learn_a_rule(spark):
     d = spark.createDataFrame(rows, "a double, b double, label int")
     model = models.gbt_fit(d, ["a", "b"], trees=10, depth=4)
     assert models.predict(d, models.gbt_scorer(model, ["a", "b"])).where("prediction = label").count() > 360
+
+
+def test_inputs_by_role_and_their_checks(spark):
+    root = f"{shared_dir(spark)}/roles"
+    files = {}
+    for key, role, n in (("a", "baseline_train", 3), ("b", "baseline_validation", 2), ("c", "inference", 4)):
+        spark.range(n).withColumn("name", F.lit(key)).write.parquet(f"{root}/{key}")
+        files[key] = (f"{root}/{key}", role)
+    d = tables.scan_by_role(spark, files)
+    assert {r["role"]: (r.n_rows, r.known) for r in tables.role_counts(d).collect()} == {
+        "baseline_train": (3, True), "baseline_validation": (2, True), "inference": (4, True)
+    }
+    assert audit.non_numeric_columns(d) == ["name", "role"]
+    assert tables.feature_columns(d, ["role"], ["name"]) == ["id"]
+    with pytest.raises(ValueError):
+        tables.feature_columns(d, ["role"], include=["id", "absent"])
+
+
+def test_nan_counts_as_missing(spark):
+    d = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "x double")
+    assert audit.missing_census(d, ["x"]).first().n_missing == 2
+    assert [r.x for r in d.select(signals.nan_to_null(F.col("x")).alias("x")).collect()] == [1.0, None, None]
+    assert [r.x for r in d.select(signals.winsorized_l1([signals.nan_to_null(F.col("x"))]).alias("x")).collect()] == [1.0, None, None]
+
+
+class FakeSession:
+    """Just enough of a session to ask where its shared folder is."""
+
+    def __init__(self, folder, master):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = self
+        self.master, self.applicationId = master, "fake"
+
+    def getConf(self):
+        return self.conf
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_a_cluster_needs_a_shared_folder():
+    assert shared_dir(FakeSession("hdfs:///shared/", "yarn")) == "hdfs:///shared"
+    with pytest.raises(RuntimeError):
+        shared_dir(FakeSession(None, "spark://host:7077"))
+    assert shared_dir(FakeSession(None, "local[2]"))

@@ -143,7 +143,8 @@ class Axis:
 
         Rows are summed in blocks long enough that alpha**block <= 1e-100, so the end of the
         previous block carries everything a double can hold: no recursion, no second pass,
-        and powers that stay far from overflow.
+        and powers that stay far from overflow. Values must be present on every row; smooth
+        a sparse sequence over its own dense index.
         """
         if not 0.0 <= alpha < 1.0:
             raise ValueError(f"alpha must be in [0, 1), got {alpha}")

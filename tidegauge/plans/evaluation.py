@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import checks, signals
 from tidegauge.functions.draws import uniform
-from tidegauge.operators import detect, feedback, metrics, models, monitoring, ordering, routing, windows
+from tidegauge.operators import detect, feedback, metrics, models, monitoring, routing
 from tidegauge.operators.ordering import Axis
 from tidegauge.plans import adapt
 from tidegauge.plans import events as E
 from tidegauge.plans import runs as R
-from tidegauge.plans.catalog import QUERIES, query, tidy
+from tidegauge.plans.catalog import query, tidy
 from tidegauge.session import materialise, shared_dir
 from tidegauge.sources import sinks, tables
 from tidegauge.streaming import stateful

@@ -53,7 +53,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         "user_id",
         "event_type",
-        "value",
+        signals.nan_to_null(F.col("value")).alias("value"),
         k.alias("k"),
         (k.cast("int") % 4).alias("state"),
         (F.col("event_type") == "error").cast("int").alias("y"),
