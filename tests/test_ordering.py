@@ -41,6 +41,12 @@ def test_causal_order_numbers_a_hot_series_across_partitions(numbered):
     assert got == {(s, i): r[2] for s, rows in want.items() for i, r in enumerate(rows)}
 
 
+def test_many_series_are_numbered_without_a_broadcast(spark):
+    rows, df = skewed(spark)
+    out = ordering.causal_order(df, ("series",), ("ts", "id"), broadcast_rows=0)
+    assert collected(out, "id") == {(s, i): r[2] for s, rows in by_series(rows).items() for i, r in enumerate(rows)}
+
+
 def test_rows_of_the_hot_series_sit_in_several_partitions(spark):
     _, df = skewed(spark, 4000)
     sorted_rows = df.repartitionByRange(4, "series", "ts", "id")

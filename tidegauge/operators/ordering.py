@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tidegauge.session import materialise
 
 ROWS_PER_CHUNK = 1 << 20
+BROADCAST_ROWS = 500_000
 _CHUNK, _OWN = "__chunk", "__own_chunk"
 
 
@@ -192,14 +193,21 @@ class Axis:
 
 
 def causal_order(
-    df: DataFrame, series: Sequence[str], order: Sequence[str], idx: str = "row_idx"
+    df: DataFrame,
+    series: Sequence[str],
+    order: Sequence[str],
+    idx: str = "row_idx",
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Number the rows of each series 0..n-1 by `order`, nulls last.
 
     `order` should end in a unique column. The range sort balances partitions by row count
     even when one series, or one time stamp, holds most of the table. The sorted rows are
-    written once; their index is the position in the partition plus the rows of the same
-    series in earlier partitions, from a summary with one row per (series, partition).
+    written once; an index is the position in the partition plus the rows of the same series
+    in earlier partitions. Those offsets are a small written table, one row per (series,
+    partition). Its size is checked: up to `broadcast_rows` it joins map-side, so numbering
+    costs no shuffle and no second copy of the data; with more series than that the numbered
+    rows are written instead, so that the join is paid once.
     """
     keys = [F.col(c).asc_nulls_last() for c in (*series, *order)]
     placed = materialise(
@@ -212,14 +220,19 @@ def causal_order(
     at = placed.withColumn("__part", F.shiftright("__at", 33))
     spans = at.groupBy(*series, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
     before = Window.partitionBy(*series).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = spans.select(
-        *series,
-        "__part",
-        (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
+    offsets = materialise(
+        spans.select(
+            *series,
+            "__part",
+            (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
+        ),
+        "offsets",
     )
-    return at.join(offsets, [*series, "__part"]).select(
+    small = offsets.count() <= broadcast_rows
+    numbered = at.join(F.broadcast(offsets) if small else offsets, [*series, "__part"]).select(
         *df.columns, (F.col("__at") + F.col("__shift")).alias(idx)
     )
+    return numbered if small else materialise(numbered, "numbered")
 
 
 def gap_blocks(df: DataFrame, axis: Axis, ts: str, max_gap_s: float, name: str = "block_id") -> DataFrame:
