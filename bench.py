@@ -31,7 +31,14 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
         "bench", f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g"},
+        **{
+            "spark.sql.shuffle.partitions": cpus,
+            "spark.ui.enabled": "false",
+            "spark.driver.memory": "16g",
+            # A few megabytes in all: keep them spread over the cores instead of packed into one task.
+            "spark.sql.files.openCostInBytes": "65536",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     ship_package(spark)
