@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, decontaminate, language, licenses, line_dedup, quality, sharding, token_counts
+from tidegauge.llm import bpe, decontaminate, language, licenses, line_dedup, quality, sharding, simhash, token_counts
 from tidegauge.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +45,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.grouped(read(spark, sf_dir, "documents"), width=3, radius=3)
+    return found.select("doc_id", simhash.hexadecimal(F.col("v")).alias("fingerprint"), "component_id")
+
+
 @query
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), WORD_BPE)
