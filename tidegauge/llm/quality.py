@@ -30,9 +30,9 @@ LEAST_GROUP = 100
 #: Measure: least width of the middle half that the fence assumes, and how many widths it stands off.
 MEASURES = {
     "symbol_rate": (10, 4),
-    "upper_rate": (20, 6),
-    "duplicate_line_rate": (100, 4),
-    "repeat_rate": (40, 4),
+    "upper_rate": (25, 8),
+    "duplicate_line_rate": (150, 4),
+    "repeat_rate": (50, 4),
     "word_length": (60, 5),
 }
 #: Only the last is bounded from below too.
