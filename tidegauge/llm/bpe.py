@@ -19,6 +19,7 @@ import heapq
 import json
 from array import array
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -168,7 +169,7 @@ def encoded(spark: SparkSession, text: Column, path: str) -> Column:
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         own = built(ForcedBoundaryBPE, spec.value)
-        return pd.Series([array("i", own.encode(t)) for t in texts], dtype=object)
+        return pd.Series([np.frombuffer(own.encode(t), "<i4") for t in texts], dtype=object)
 
     return ids(text)
 
@@ -180,11 +181,27 @@ def decoded(spark: SparkSession, ids: Column, path: str) -> Column:
     @F.pandas_udf("string")
     def text(rows: pd.Series) -> pd.Series:
         own = built(ForcedBoundaryBPE, spec.value)
-        return pd.Series([own.decode(array("I", [] if r is None else [int(x) for x in r]).tobytes()).decode() for r in rows], dtype=object)
+        return pd.Series([own.decode(np.asarray([] if r is None else r, "<i4").tobytes()).decode() for r in rows], dtype=object)
 
     return text(ids)
 
 
+def both_ways(spark: SparkSession, text: Column, path: str) -> Column:
+    """struct<n_tokens, ids, decoded>: the ids of a text and the text that they stand for."""
+    spec = vocabulary(spark, path)
+
+    @F.pandas_udf("n_tokens long, ids array<int>, decoded string")
+    def there_and_back(texts: pd.Series) -> pd.DataFrame:
+        own = built(ForcedBoundaryBPE, spec.value)
+        rows = []
+        for t in texts:
+            ids = own.encode(t)
+            rows.append((len(ids) // 4, np.frombuffer(ids, "<i4"), own.decode(ids).decode()))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded"])
+
+    return there_and_back(text)
+
+
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text, for tables too large to keep the ids of."""
     spec = vocabulary(df.sparkSession, path)

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.common import free_name
 from tidegauge.session import materialise
 
 SEED, BITS = 42, 64
@@ -230,10 +231,15 @@ def components(edges: DataFrame) -> DataFrame:
     return now
 
 
-def _named(docs: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
-    """`docs` (with v) and the smallest doc_id of each one's component; prints: v, low, fp, keys."""
+def roots_of(prints: DataFrame, radius: int) -> DataFrame:
+    """v, low, root: the smallest fingerprint number of each one's component; prints: v, low, fp, keys."""
     stars = components(links(prints, radius)).select(F.col("a").alias("v"), F.col("b").alias("root"))
-    rooted = prints.select("v", "low").join(stars, "v", "left").select("v", "low", F.coalesce("root", "v").alias("root"))
+    return prints.select("v", "low").join(stars, "v", "left").select("v", "low", F.coalesce("root", "v").alias("root"))
+
+
+def _named(docs: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
+    """`docs` (with v) and the smallest doc_id of each one's component."""
+    rooted = roots_of(prints, radius)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     return docs.join(rooted.join(lowest, "root").select("v", "component_id"), "v")
 
@@ -283,20 +289,46 @@ def wide_print(text: str | None, width: int) -> tuple[list[int], list[int]]:
     return signed.tolist(), np.array(bands, dtype=np.uint64).view(np.int64).tolist()
 
 
+def wide_prints(text: Column, width: int) -> Column:
+    """struct<fp, keys> of `wide_print`."""
+
+    @F.pandas_udf("fp array<long>, keys array<long>")
+    def printed(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([wide_print(t, width) for t in texts], columns=["fp", "keys"])
+
+    return printed(text)
+
+
 def near_copies(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, v, component_id: texts whose shingle similarity, by their fingerprints, is at least `similarity` are linked.
 
     The estimate of a 256-bit fingerprint has a standard error of about 0.05, so the radius leaves room for it.
     """
 
-    @F.pandas_udf("fp array<long>, keys array<long>")
-    def printed(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([wide_print(t, width) for t in texts], columns=["fp", "keys"])
-
-    rows = df.select(F.col(id_col).alias("doc_id"), printed(F.col(text_col)).alias("p")).select("doc_id", "p.fp", "p.keys", F.xxhash64("p.fp").alias("v"))
+    rows = df.select(F.col(id_col).alias("doc_id"), wide_prints(F.col(text_col), width).alias("p")).select("doc_id", "p.fp", "p.keys", F.xxhash64("p.fp").alias("v"))
     docs = materialise(rows, "prints")
     prints = docs.groupBy("v", "fp").agg(F.min("doc_id").alias("low"), F.min("keys").alias("keys"))
-    return _named(docs.select("doc_id", "v"), prints, radius_for(similarity))
+    return _named(docs.drop("fp", "keys"), prints, radius_for(similarity))
+
+
+def one_of_each(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`df` with one row of each group of near copies: the smallest id, then the smallest hash of the text; nulls last.
+
+    Groups are settled on narrow rows; the documents meet the winners by id and text hash, and only winners that are
+    repeated row for row are de-duplicated.
+    """
+
+    text_hash = F.xxhash64(F.col(text_col))
+    rows = df.select(F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"), wide_prints(F.col(text_col), width).alias("p"))
+    docs = materialise(rows.select("doc_id", "text_hash", "p.fp", "p.keys", F.xxhash64("p.fp").alias("v")), "prints")
+    prints = docs.groupBy("v", "fp").agg(F.min("doc_id").alias("low"), F.min("keys").alias("keys"))
+    member = roots_of(prints, radius_for(similarity))
+    same = docs.groupBy("doc_id", "text_hash", "v").agg(F.count("*").alias("n")).join(member, "v")
+    best = same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n")).alias("w"))
+    i, h, n = (free_name(df, x) for x in ("__id", "__hash", "__n"))
+    winners = materialise(best.select(F.col("w.doc_id").alias(i), F.col("w.text_hash").alias(h), F.col("w.n").alias(n)), "winners")
+    own = df.join(winners, F.col(id_col).eqNullSafe(F.col(i)) & (text_hash == F.col(h)))
+    return own.where(F.col(n) == 1).unionByName(own.where(F.col(n) > 1).dropDuplicates([i, h])).select(*df.columns)
 
 
 def hexadecimal(fp: Column) -> Column:
