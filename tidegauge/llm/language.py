@@ -41,6 +41,35 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(int(_BASE), n, 1 << 64))
+
+
+def _prefix_sums(strings: list[str]) -> np.ndarray:
+    """Polynomial hashes of all prefixes of strings of one length, by string and length."""
+    n = len(strings[0])
+    codes = np.array(strings, dtype=f"U{n}").view(np.uint32).reshape(len(strings), n).astype(np.uint64)
+    codes = (codes ^ (codes << np.uint64(21))) * np.uint64(0xD6E8FEB86659FD93)
+    sums = np.zeros((len(strings), n + 1), dtype=np.uint64)
+    for i in range(n):
+        sums[:, i + 1] = sums[:, i] * _BASE + codes[:, i]
+    return sums
+
+
+def _finished(hashes: np.ndarray, n: int) -> np.ndarray:
+    h = (hashes + np.uint64(n)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def _spelled(strings: list[str]) -> list[np.ndarray]:
+    """The hash of each whole string (all of one length)."""
+    return [_finished(_prefix_sums(strings)[:, -1], len(strings[0]))]
+
+
 class Unigrams:
     """Piece probabilities per language: an array of pieces x languages; the row after the last is the unknown letter.
 
@@ -51,31 +80,38 @@ class Unigrams:
     def __init__(self, pieces: list[str], shares: np.ndarray):
         self.shares = np.vstack([shares, np.full((1, shares.shape[1]), UNKNOWN)])
         self.unknown = len(pieces)
-        self.number: dict[str, int] = {p[:i]: -1 for p in pieces for i in range(1, len(p))}
-        self.number.update({p: i for i, p in enumerate(pieces)})
+        self.longest = max(map(len, pieces))
+        keys = np.array([int(_spelled([p])[-1][0]) for p in pieces], dtype=np.uint64)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        self.maybe = np.zeros(1 << 20, dtype=bool)  # most substrings are told from pieces by 20 bits of their hash
+        self.maybe[(keys >> np.uint64(44)).astype(np.int64)] = True
         self.rows: dict[str, int] = {}
         self.table = np.zeros((0, shares.shape[1]))
 
     def lattice(self, words: list[str]) -> np.ndarray:
-        """Edges (word, start, end, piece); a letter without a piece of its own gets the unknown one."""
-        get, unknown, out = self.number.get, self.unknown, []
-        for i, w in enumerate(words):
-            s = MARK + w
-            n = len(s)
-            for a in range(n):
-                alone = get(s[a])
-                if alone is None or alone < 0:
-                    out.append((i, a, a + 1, unknown))
-                elif alone >= 0:
-                    out.append((i, a, a + 1, alone))
-                if alone is not None:
-                    for end in range(a + 2, n + 1):
-                        k = get(s[a:end])
-                        if k is None:
-                            break
-                        if k >= 0:
-                            out.append((i, a, end, k))
-        return np.array(out, dtype=np.int64).reshape(-1, 4)
+        """Edges (word, start, end, piece); a letter without a piece of its own gets the unknown one.
+
+        Substrings of all words of a length are looked up together by 64-bit hashes.
+        """
+        out, lengths = [], np.array([len(w) for w in words])
+        for n in np.unique(lengths):
+            which = np.flatnonzero(lengths == n)
+            sums = _prefix_sums([MARK + words[i] for i in which])
+            for long in range(1, min(self.longest, int(n) + 1) + 1):
+                hashes = _finished(sums[:, long:] - sums[:, :-long] * _power(long), long)
+                row, a = np.nonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
+                found = hashes[row, a]
+                at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+                hit = self.keys[at] == found
+                row, a, piece = row[hit], a[hit], self.order[at[hit]]
+                if long == 1:
+                    alone = np.ones(hashes.shape, dtype=bool)
+                    alone[row, a] = False
+                    more, b = np.nonzero(alone)
+                    row, a, piece = np.r_[row, more], np.r_[a, b], np.r_[piece, np.full(len(more), self.unknown)]
+                out.append(np.stack([which[row], a, a + long, piece], axis=1))
+        return np.concatenate(out).astype(np.int64) if out else np.zeros((0, 4), np.int64)
 
     def _sweep(self, n_words: int, at: np.ndarray, to: np.ndarray, word: np.ndarray, piece: np.ndarray, first: np.ndarray, step: int):
         """Mantissas and exponents (powers of two) of the sums of all paths, by place and word."""
@@ -113,7 +149,10 @@ class Unigrams:
         return np.log(np.maximum(sums[at], 1e-300)) + power[at][:, None] * math.log(2)
 
     def expected(self, words: list[str], times: np.ndarray, into: np.ndarray) -> None:
-        """Adds to `into` how often each piece is expected in words that occur `times` (words x languages)."""
+        """Adds to `into` how often each piece is expected in words that occur `times` (words x languages).
+
+        A model of one column holds for all languages.
+        """
         edges = self.lattice(words)
         w, a, end, k = edges.T
         ends = np.array([len(x) + 1 for x in words])
@@ -171,21 +210,18 @@ def _counted(frames, model: Unigrams, languages: list[str]):
     """(language, piece, expected count) of a task's rows, worked on in blocks of bounded size."""
     column = {x: i for i, x in enumerate(languages)}
     total = np.zeros((len(model.shares), len(languages)))
-    seen: dict[str, list[int]] = {}
+    seen = [Counter() for _ in languages]
 
     def settle():
-        for some in _by_length(list(seen)):
-            model.expected(some, np.array([seen[w] for w in some]), total)
-        seen.clear()
+        for some in _by_length(list(set().union(*seen))):
+            model.expected(some, np.array([[c[w] for c in seen] for w in some], dtype=float), total)
+        for c in seen:
+            c.clear()
 
     for frame in frames:
         for text, lang in zip(frame["text"], frame["lang"]):
-            j = column[lang]
-            for w, n in Counter(words_of(text)).items():
-                if w not in seen:
-                    seen[w] = [0] * len(languages)
-                seen[w][j] += n
-            if len(seen) > BLOCK_WORDS:
+            seen[column[lang]].update(words_of(text))
+            if sum(map(len, seen)) > BLOCK_WORDS:
                 settle()
     settle()
     total[-1] = 0  # the unknown letter isn't learned
@@ -197,12 +233,14 @@ def learn(df: DataFrame, path: str, text_col: str = "text", lang_col: str = "lan
     """Languages and piece shares learned from all rows whose language is not null."""
     spark = df.sparkSession
     rows = df.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    if rounds < 1:
+        raise ValueError("at least one round")
     languages = sorted(r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} language values")
     with open(path, "rb") as f:
         pieces = pieces_of(f.read())
-    shares = np.full((len(pieces), len(languages)), 1 / len(pieces))
+    shares = np.full((len(pieces), 1), 1 / len(pieces))  # the same for all languages: one column does
     for _ in range(rounds if languages else 0):
         sent = spark.sparkContext.broadcast((pieces, shares))
 
@@ -211,7 +249,7 @@ def learn(df: DataFrame, path: str, text_col: str = "text", lang_col: str = "lan
 
         sums = rows.mapInPandas(count, "language int, piece int, expected double").groupBy("language", "piece").agg(F.sum("expected").alias("n"))
         got = sums.toPandas()  # at most pieces x languages rows
-        counts = np.full(shares.shape, SMOOTHING)
+        counts = np.full((len(pieces), len(languages)), SMOOTHING)
         counts[got["piece"], got["language"]] += got["n"]
         shares = counts / counts.sum(axis=0)
     return languages, shares
