@@ -180,7 +180,7 @@ class Unigrams:
 
 
 #: Words of texts that are worked on together, distinct words kept in a worker's table, words of one lattice.
-BLOCK_WORDS, TABLE_WORDS, LATTICE_WORDS = 200_000, 400_000, 4_000
+BLOCK_WORDS, TABLE_WORDS, LATTICE_WORDS = 300_000, 800_000, 4_000
 
 
 def _blocks(texts: list[list[str]], bound: int):
