@@ -101,9 +101,9 @@ class Marked:
 def mark(df: DataFrame, key: str):
     """The table of a column of 64-bit hashes, broadcast: FILTER_BITS bits, whatever the number of rows."""
     places = F.array(*[F.expr(f"shiftrightunsigned({key}, {s}) & {FILTER_BITS - 1}L") for s in (0, 32)])
-    words = df.select(F.explode(places).alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b")).toPandas()
+    words = df.select(F.explode(places).alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b")).toArrow()
     table = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    table[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64).view(np.uint64)
+    table[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return df.sparkSession.sparkContext.broadcast(table)
 
 
