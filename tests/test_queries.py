@@ -6,7 +6,9 @@ import __spark_entry__ as entry_point
 from compare import connect, rows_of, rows_of_sql
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
+# The text queries have tests of their own beside them.
+QUERIES = {n: f for n, f in entry_point.queries().items() if n not in entry_point.TEXT_QUERIES}
+SQL = {n: s for n, s in entry_point.oracle_sql().items() if n not in entry_point.TEXT_SQL}
 # Rows only: nothing in SQL says what an adaptive window, boosted trees or a content hash give.
 ROWS_ONLY = {
     "adwin", "adwin_binned", "drift_chain", "row_trace", "drift_metrics_runs", "cloud_model", "retrain_candidate",

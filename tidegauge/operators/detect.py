@@ -39,7 +39,8 @@ def ordered_fold(
     so a lost executor repeats a part of one wave only. Most data needs a single wave.
 
     `last_index` is the largest index over all series, for callers that know it from a
-    cheaper table; without it `df` is evaluated once more to find out.
+    cheaper table; without it `df` is evaluated once more to find out. One that is too small
+    is refused once there are several waves; with one wave no row depends on it.
     """
     series, idx = list(axis.series), axis.idx
     wave_no = F.floor(F.col(idx) / F.lit(rows_per_wave)).cast("long")
@@ -85,6 +86,9 @@ def ordered_fold(
         return one_wave(df, None).drop("__state")
     results, states = [], None
     table = materialise(df.withColumn("__wave", wave_no), "waves")  # read once per wave
+    largest = table.agg(F.max(idx)).first()[0] or 0
+    if largest > last_index:
+        raise ValueError(f"last_index={last_index}, but the rows go up to {largest}")
     for wave in range(last + 1):
         done = materialise(one_wave(table.where(F.col("__wave") == wave).drop("__wave"), states), "fold")
         results.append(done.drop("__state"))

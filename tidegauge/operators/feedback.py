@@ -22,9 +22,13 @@ MIN_METRIC, MAX_REGRESSION = 0.70, 0.05
 def delayed_feedback(predictions: DataFrame, arrivals: DataFrame, axis: Axis) -> DataFrame:
     """Attach late labels to their predictions; `causal` is false where a label came too early.
 
-    `arrivals` holds (series, observation index, label, arrival_index).
+    `arrivals` holds (series, observation index, label, arrival_index). Of several labels for
+    one observation the one that arrived last counts, so a prediction stays one row.
     """
-    joined = predictions.join(arrivals, [*axis.series, axis.idx], "left")
+    keys = [*axis.series, axis.idx]
+    values = [c for c in arrivals.columns if c not in keys]
+    newest = arrivals.groupBy(*keys).agg(F.max_by(F.struct(*values), "arrival_index").alias("__newest"))
+    joined = predictions.join(newest.select(*keys, "__newest.*"), keys, "left")
     return joined.withColumns(
         {
             "is_labeled": F.col("arrival_index").isNotNull(),

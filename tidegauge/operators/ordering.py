@@ -144,8 +144,8 @@ class Axis:
 
         Rows are summed in blocks long enough that alpha**block <= 1e-100, so the end of the
         previous block carries everything a double can hold: no recursion, no second pass,
-        and powers that stay far from overflow. Values must be present on every row; smooth
-        a sparse sequence over its own dense index.
+        and powers that stay far from overflow. Values must be present on every row, a null
+        stops the job; smooth a sparse sequence over its own dense index.
         """
         if not 0.0 <= alpha < 1.0:
             raise ValueError(f"alpha must be in [0, 1), got {alpha}")
@@ -156,7 +156,7 @@ class Axis:
         own, row = self.chunk(), F.col(self.idx)
         near_end = F.pmod(row, F.lit(self.chunk_rows)) >= self.chunk_rows - halo
         spread = (
-            df.withColumns({f"__x_{n}": v.cast("double") for n, (v, _) in values.items()})
+            df.withColumns({f"__x_{n}": present(v.cast("double"), n) for n, (v, _) in values.items()})
             .withColumn(_OWN, own)
             .withColumn(_CHUNK, F.explode(F.array_compact(F.array(own, F.when(near_end, own + 1)))))
             .withColumn("__block", F.floor(row / F.lit(block)))
@@ -192,6 +192,12 @@ class Axis:
         return out.where(F.col(_CHUNK) == F.col(_OWN)).select(*kept, *added)
 
 
+def present(value: Column, name: str) -> Column:
+    """The value; a null fails the job instead of counting as zero."""
+    missing = F.raise_error(F.lit(f"{name}: a value is missing; fill it or smooth over a dense index")).cast("double")
+    return F.when(value.isNull(), missing).otherwise(value)
+
+
 def causal_order(
     df: DataFrame,
     series: Sequence[str],

@@ -115,6 +115,7 @@ def sliding_windows(
         carry("label_first", F.min_by(label, axis.idx), lambda n: F.min_by(n, "pane"))
         carry("label_last", F.max_by(label, axis.idx), lambda n: F.max_by(n, "pane"))
     for c in continuous:
+        carry(f"__n_{c}", F.count(c), F.sum)
         carry(f"__s_{c}", F.sum(c), F.sum)
         carry(f"__q_{c}", F.sum(F.col(c) * F.col(c)), F.sum)
         carry(f"{c}__min", F.min(c), F.min)
@@ -147,7 +148,8 @@ def sliding_windows(
         mean = F.col(f"__s_{c}") / n
         var = F.greatest(F.col(f"__q_{c}") / n - mean * mean, F.lit(0.0))
         slope = (F.col(f"__t_{c}") - centre * F.col(f"__s_{c}")) / spread if size > 1 else F.lit(0.0)
-        by_name = {"mean": mean, "std": F.sqrt(var), "slope": slope}
+        # A hole poisons the statistics that divide by the window size.
+        by_name = {s: F.when(F.col(f"__n_{c}") == size, x) for s, x in {"mean": mean, "std": F.sqrt(var), "slope": slope}.items()}
         cols += [by_name.get(s, F.col(f"{c}__{s}")).alias(f"{c}__{s}") for s in CONTINUOUS_STATS]
     # A change into the window's first row happened before the window.
     cols += [(F.col(f"__k_{c}") - F.col(f"__f_{c}")).alias(f"{c}__n_changes") for c in discrete]

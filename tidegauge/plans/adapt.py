@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.operators import feedback, metrics, models
-from tidegauge.operators.ordering import Axis, row_cap
+from tidegauge.operators.ordering import Axis
 from tidegauge.plans import events as E
 from tidegauge.session import materialise
 
@@ -20,9 +20,8 @@ FEATURES = ("z_value", "z_k")
 ATTEMPT = Axis(("series_id",), "attempt")
 KEYS = ["series_id", "attempt"]
 DELAY, NEWEST = E.LABEL_DELAY, 100
-# Fixed value: candidates are judged on one window of this many validation rows, so judging
-# costs the same for every attempt however long the validation span is.
-VALIDATION_ROWS = 25_000
+#: Attempts (one narrow row each) up to which the candidates' models join the validation rows map-side.
+BROADCAST_ATTEMPTS = 100_000
 MIN_METRIC, MARGIN = 0.40, 0.05
 
 
@@ -87,13 +86,17 @@ def posterior() -> Column:
 
 
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every attempt with its candidate's validation score, the verdict and the versions."""
+    """Every attempt with its candidate's validation score, the verdict and the versions.
+
+    A candidate is judged on all validation rows of its device. The models are a small table
+    whose size is checked; rows meet them map-side and only counts per attempt are shuffled.
+    """
 
     def build() -> DataFrame:
         wide = materialise(wide_models(candidates(spark, sf_dir)), "candidates")
-        val = E.normalised(spark, sf_dir).where(F.col("role") == "baseline_validation")
-        val = row_cap(val, "row_idx", VALIDATION_ROWS).select("series_id", *FEATURES, "y")
-        judged = val.join(wide, "series_id").withColumn("prediction", (posterior() >= 0.5).cast("int"))
+        val = E.normalised(spark, sf_dir).where(F.col("role") == "baseline_validation").select("series_id", *FEATURES, "y")
+        small = wide.count() <= BROADCAST_ATTEMPTS
+        judged = val.join(F.broadcast(wide) if small else wide, "series_id").withColumn("prediction", (posterior() >= 0.5).cast("int"))
         got = metrics.classification_metrics(judged, "y", "prediction", KEYS).select(*KEYS, F.col("f1").alias("candidate_metric"))
         first = models.predict(val, models.nb_scorer(baseline_model(spark, sf_dir), FEATURES))
         start = metrics.classification_metrics(first, "y", "prediction", ["series_id"]).select("series_id", F.col("f1").alias("first_metric"))

@@ -513,10 +513,16 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline_sample(spark, sf_dir).select("event_id", "y")
 
 
+#: What a retraining learns from, per device: the newest labels, from a buffer of that many observations.
+NEWEST_LABELS, LABEL_BUFFER = 40, 100
+
+
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baseline sample and the labels that were known at each device's last retraining trigger."""
     base = baseline_sample(spark, sf_dir).select("z_value", "z_k", F.col("y").alias("label"))
-    d = feedback.delayed_feedback(answers(spark, sf_dir), late_labels(spark, sf_dir), E.STREAM)
-    late = feedback.eligible_feedback(d, E.STREAM, F.lit(150), 40, 100).select("z_value", "z_k", "label")
+    last = adapt.triggers(spark, sf_dir).groupBy("series_id").agg(F.max("trigger_idx").alias("as_of"))
+    d = feedback.delayed_feedback(answers(spark, sf_dir), late_labels(spark, sf_dir), E.STREAM).join(last, "series_id")
+    late = feedback.eligible_feedback(d, E.STREAM, F.col("as_of"), NEWEST_LABELS, LABEL_BUFFER).select("z_value", "z_k", "label")
     return feedback.training_union(base, late)
 
 
@@ -697,7 +703,10 @@ def scratch(spark: SparkSession, name: str) -> tuple[str, str]:
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event file as a stream of inference rows."""
     schema = tables.scan_parquet(spark, f"{sf_dir}/events.parquet").schema
-    raw = stateful.file_stream(spark, sf_dir, schema, "events.parquet")
+    return inference_events(stateful.file_stream(spark, sf_dir, schema, "events.parquet"))
+
+
+def inference_events(raw: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("double")
     return raw.where(F.col("ts") >= F.lit(E.VALIDATION_END).cast("timestamp_ntz")).select(
         (F.col("user_id") % 16).alias("series_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
@@ -749,13 +758,20 @@ def stream_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions joined with labels that arrive k hours later, 72 hours at most."""
+    """Every prediction with the label that arrived k hours later, 72 hours at most, if one did.
+
+    The stream joins labels while their predictions are within bounds; a drained stream cannot say of its last rows
+    that no label will come, so predictions without one are completed from the table.
+    """
     s = event_stream(spark, sf_dir)
-    predictions = s.select("event_id", "ts", (F.col("value") > 60).cast("int").alias("prediction"))
+    predicted = lambda d: d.select("event_id", "ts", (F.col("value") > 60).cast("int").alias("prediction"))
+    predictions = predicted(s)
     labels = s.where(F.col("event_type") != "view").select(
         "event_id", (F.col("event_type") == "error").cast("int").alias("label"),
         (F.col("ts") + F.make_dt_interval(hours=F.col("k").cast("int"))).alias("arrival_ts"),
     )
     joined = stateful.feedback_stream(predictions, labels, ["event_id"], "72 HOURS")
     out = stateful.run_to_table(joined, *scratch(spark, "stream-feedback"))
-    return tidy(out.select("event_id", "prediction", "label", "arrival_ts"))
+    every = predicted(inference_events(tables.scan_parquet(spark, f"{sf_dir}/events.parquet"))).drop("ts")
+    done = every.join(out.select("event_id", "label", "arrival_ts"), "event_id", "left")
+    return tidy(done.select("event_id", "prediction", "label", "arrival_ts", F.col("label").isNotNull().alias("is_labeled")))

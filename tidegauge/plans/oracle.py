@@ -855,7 +855,6 @@ sql("version_rollup", f"SELECT series_id, 'v' || (max(done) + 1) AS active_versi
 sql("adaptation_rollup", """SELECT s.series_id, count(atm.attempt) AS adaptation_events_count, CASE WHEN count(atm.attempt) > 0 THEN 'TRIGGERED' ELSE 'NOT TRIGGERED' END AS adaptation_status
   FROM (SELECT DISTINCT series_id FROM rel) s LEFT JOIN atm ON atm.series_id = s.series_id GROUP BY 1""")
 sql("stratified_sample", "SELECT event_id, y FROM smp")
-sql("training_union", f"""SELECT origin, label, count(*) AS n, {d('avg(z_value)', 'mean_z')} FROM (SELECT 'baseline' AS origin, y AS label, z_value FROM smp UNION ALL SELECT 'feedback', label, z_value FROM el) GROUP BY 1, 2""")
 CTES["cg"] = f"""SELECT series_id, {matrix('y', '(z_k > 0.8)::INT', 'c_')}, {matrix('y', '(z_value > 0.5)::INT', 'a_')}, count(*) AS validation_samples FROM n WHERE role = 'baseline_validation' GROUP BY 1"""
 _ORDER.append("cg")
 _cand, _act = macro("c_tp", "c_fp", "c_fn", "c_tn")["f1"], macro("a_tp", "a_fp", "a_fn", "a_tn")["f1"]
@@ -901,8 +900,8 @@ CTES["t1"] = f"SELECT {_moments(0)}, {_moments(1)} FROM n WHERE role = 'baseline
 _half = lambda k: f"ln(cnt{k} / (cnt0 + cnt1)) - 0.5::DOUBLE * (" + " + ".join(
     f"ln(2.0 * pi() * {c}_v{k}) + pow({c} - {c}_m{k}, 2) / {c}_v{k}" for c in ("z_value", "z_k")) + ")"
 _p1 = f"1.0 / (1.0 + exp(({_half(0)}) - ({_half(1)})))"
-CTES["tv"] = f"SELECT n.series_id, tm.attempt, y, ({_p1} >= 0.5)::INT AS p FROM n JOIN tm ON tm.series_id = n.series_id WHERE role = 'baseline_validation' AND row_idx < 25000"
-CTES["t0"] = f"SELECT n.series_id, y, ({_p1} >= 0.5)::INT AS p FROM n CROSS JOIN t1 WHERE role = 'baseline_validation' AND row_idx < 25000"
+CTES["tv"] = f"SELECT n.series_id, tm.attempt, y, ({_p1} >= 0.5)::INT AS p FROM n JOIN tm ON tm.series_id = n.series_id WHERE role = 'baseline_validation'"
+CTES["t0"] = f"SELECT n.series_id, y, ({_p1} >= 0.5)::INT AS p FROM n CROSS JOIN t1 WHERE role = 'baseline_validation'"
 CTES["tg"] = f"""SELECT a.series_id, a.attempt, a.place, c.f AS candidate_metric, b.f AS first_metric FROM ta2 a
   JOIN (SELECT series_id, attempt, {_scores['f1']} AS f FROM (SELECT series_id, attempt, {matrix('y', 'p')} FROM tv GROUP BY 1, 2)) c ON c.series_id = a.series_id AND c.attempt = a.attempt
   JOIN (SELECT series_id, {_scores['f1']} AS f FROM (SELECT series_id, {matrix('y', 'p')} FROM t0 GROUP BY 1)) b ON b.series_id = a.series_id"""
@@ -920,7 +919,12 @@ CTES["tw"] = f"""
     CASE WHEN s.series_id IS NULL THEN x.p_first ELSE (SELECT {_p1} FROM tm WHERE tm.series_id = s.series_id AND tm.attempt = s.attempt) END AS p1
   FROM (SELECT sc.series_id, sc.row_idx, sc.y, z_value, z_k, {_p1} AS p_first FROM sc CROSS JOIN t1) x
   ASOF LEFT JOIN (SELECT * FROM ts_ WHERE ok) s ON s.series_id = x.series_id AND x.row_idx > s.place"""
-_ORDER += ["tc", "tf", "ta2", "tr", "tm", "t1", "tv", "t0", "tg", "ts_", "tw"]
+CTES["tl"] = """
+  SELECT * FROM (SELECT fb.*, row_number() OVER (PARTITION BY fb.series_id ORDER BY fb.row_idx DESC) AS back
+    FROM fb JOIN (SELECT series_id, max(place) AS as_of FROM ta2 GROUP BY 1) a ON a.series_id = fb.series_id
+    WHERE is_labeled AND causal AND arrival_index <= as_of AND fb.row_idx <= as_of AND fb.row_idx > as_of - 100) WHERE back <= 40"""
+_ORDER += ["tc", "tf", "ta2", "tr", "tm", "t1", "tv", "t0", "tg", "ts_", "tw", "tl"]
+sql("training_union", f"""SELECT origin, label, count(*) AS n, {d('avg(z_value)', 'mean_z')} FROM (SELECT 'baseline' AS origin, y AS label, z_value FROM smp UNION ALL SELECT 'feedback', label, z_value FROM tl) GROUP BY 1, 2""")
 sql("adaptation_cycles", f"""SELECT series_id, attempt, place AS trigger_idx, {d('candidate_metric', 'candidate_metric')}, {d('base', 'active_metric')}, ok AS accepted,
   'v' || (done - ok::INT + 2) AS version, 'v' || (done - ok::INT + 1) AS parent_version, 'v' || (done + 1) AS active_version, CASE WHEN ok THEN 'ACTIVE' ELSE 'REJECTED' END AS status FROM ts_""")
 sql("adapted_answers", f"SELECT series_id, row_idx, y, model_version, {d('p1', 'p1')}, (p1 >= 0.5)::INT AS prediction FROM tw")
@@ -947,5 +951,6 @@ sql("stream_windows", f"""SELECT series_id, start_index, start_index + 20 AS end
 sql("stream_ordering", """SELECT series_id, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-23') AS n_folded, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-23') AS n_late FROM t GROUP BY 1""")
 sql("stream_monitor", f"""SELECT series_id, count(*) AS total_observations, {n_if("selected_action = 'EDGE'", 'n_edge')}, {n_if("selected_action = 'CLOUD'", 'n_cloud')}, {n_if("selected_action = 'HYBRID'", 'n_hybrid')},
   {n_if('NOT success', 'n_failed')}, {n_if('cloud_fallback', 'n_fallbacks')}, {d('avg(total_latency_s)', 'mean_latency_s')}, {d('max(total_latency_s)', 'max_latency_s')} FROM lg GROUP BY 1""")
-sql("stream_feedback", f"""SELECT event_id, (value > 60)::INT AS prediction, y AS label, {stamp('ts + to_hours(k::BIGINT)', 'arrival_ts')} FROM t
-  WHERE role = 'inference' AND event_type <> 'view' AND k <= 72""")
+sql("stream_feedback", f"""SELECT event_id, (value > 60)::INT AS prediction, CASE WHEN in_time THEN y END AS label,
+  {stamp('CASE WHEN in_time THEN ts + to_hours(k::BIGINT) END', 'arrival_ts')}, in_time AS is_labeled
+  FROM (SELECT *, coalesce(event_type <> 'view' AND k <= 72, false) AS in_time FROM t WHERE role = 'inference')""")
