@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,15 +35,20 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-_BUILT: dict[str, object] = {}
+_HELD: dict[str, object] = {}
 
 
-def built(kind: Callable, content: str, *args):
-    """kind(content, *args), built once in each Python worker."""
-    key = f"{kind.__qualname__}:{hashlib.sha256(content.encode()).hexdigest()}:{args}"
-    if key not in _BUILT:
-        _BUILT[key] = kind(content, *args)
-    return _BUILT[key]
+def only(key: str, make: Callable):
+    """make(), kept in the Python worker until another key is asked for: workers outlive stages, tables of words should not."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def built(kind: Callable, content: str):
+    """kind(content), built once in a Python worker for as long as nothing else is."""
+    return only(f"{kind.__qualname__}:{hash(content)}", lambda: kind(content))
 
 
 class Remembered(dict):

@@ -26,13 +26,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.common import only
+
 #: Words in a shingle and the least share of an item's shingles.
 SHINGLE, CONTAINMENT = 5, 0.8
 #: UTF-8 bytes of test items that are searched for at once (what is sent to every executor).
 BLOCK_BYTES = 4_000_000
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
-_ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -126,9 +127,6 @@ class ItemBlock:
                     yield i, n, len(self.sets[i])
 
 
-_BLOCKS: dict[str, ItemBlock] = {}
-
-
 def item_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
     """The non-null items in blocks of at most `block_bytes` of text (or one item); one partition is in memory at a time."""
     rows = items.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
@@ -146,14 +144,11 @@ def item_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int
 
 def _found(docs: DataFrame, text: Column, block: list[tuple[int, str]], containment: float, name: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(block)
-    key = f"{sent.id if hasattr(sent, 'id') else id(sent)}:{hash(tuple(block))}:{containment}"
+    key = f"items:{hash(tuple(block))}:{containment}"
 
     @F.pandas_udf("array<struct<item: int, shared: int, shingles: int>>")
     def found(texts: pd.Series) -> pd.Series:
-        if key not in _BLOCKS:
-            _BLOCKS.clear()
-            _BLOCKS[key] = ItemBlock(sent.value, containment)
-        own = _BLOCKS[key]
+        own = only(key, lambda: ItemBlock(sent.value, containment))
         return pd.Series([[{"item": i, "shared": n, "shingles": m} for i, n, m in own.matches(t)] for t in texts], dtype=object)
 
     return docs.withColumn(name, found(text))

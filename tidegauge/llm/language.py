@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.common import only
 from tidegauge.llm.token_counts import MARK, pieces_of
 
 UNDETERMINED = "und"
@@ -245,6 +246,7 @@ def learn(df: DataFrame, path: str, text_col: str = "text", lang_col: str = "lan
         sent = spark.sparkContext.broadcast((pieces, shares))
 
         def count(frames, sent=sent):
+            only("learning", dict)  # nothing else is needed meanwhile
             return _counted(frames, Unigrams(*sent.value), languages)
 
         sums = rows.mapInPandas(count, "language int, piece int, expected double").groupBy("language", "piece").agg(F.sum("expected").alias("n"))
@@ -255,24 +257,18 @@ def learn(df: DataFrame, path: str, text_col: str = "text", lang_col: str = "lan
     return languages, shares
 
 
-_MODELS: dict[int, Unigrams] = {}
-
-
 def predicted(df: DataFrame, text: Column, path: str, languages: list[str], shares: np.ndarray) -> Column:
     """struct<lang_pred, score>: the most probable language of a text."""
     with open(path, "rb") as f:
         pieces = pieces_of(f.read())
     sent = df.sparkSession.sparkContext.broadcast((pieces, shares.astype("float32")))
-    key = hash((shares.tobytes(), *languages))
+    key = f"language:{hash((shares.tobytes(), *languages))}"
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        if key not in _MODELS:
-            _MODELS.clear()
-            pieces, shares = sent.value
-            _MODELS[key] = Unigrams(pieces, shares.astype("float64"))
+        model = only(key, lambda: Unigrams(sent.value[0], sent.value[1].astype("float64")))
         split, out = [words_of(t) if languages else [] for t in texts], []
-        for words, total in zip(split, _MODELS[key].text_sums(split)):
+        for words, total in zip(split, model.text_sums(split)):
             if not words:
                 out.append((UNDETERMINED, 0.0))
                 continue

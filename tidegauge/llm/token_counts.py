@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import SPACES, Remembered, text_rows
+from tidegauge.llm.common import SPACES, Remembered, only, text_rows
 
 MARK = "▁"
 #: All white space that bounds words, as blanks.
@@ -89,20 +89,15 @@ class LongestMatch:
         return len(found), sum([n for n, _ in found]), sum([u for _, u in found])
 
 
-_BUILT: dict[int, LongestMatch] = {}
-
-
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens and n_unknown (words) under the vocabulary file at `path`."""
     with open(path, "rb") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())  # half a megabyte, whatever the corpus
-    key = hash((path, os.path.getsize(path)))
+    key = f"pieces:{path}:{os.path.getsize(path)}"
 
     @F.pandas_udf("n_words long, n_tokens long, n_unknown long")
     def counted(texts: pd.Series) -> pd.DataFrame:
-        if key not in _BUILT:
-            _BUILT[key] = LongestMatch(pieces_of(spec.value))
-        own = _BUILT[key]
+        own = only(key, lambda: LongestMatch(pieces_of(spec.value)))
         return pd.DataFrame([own.text(t) for t in texts], columns=["n_words", "n_tokens", "n_unknown"])
 
     return text_rows(df, id_col, text_col).select("doc_id", counted("text").alias("r")).select("doc_id", "r.*")
