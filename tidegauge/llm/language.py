@@ -165,11 +165,11 @@ class Unigrams:
         for j in range(into.shape[1]):
             into[:, j] += np.bincount(k, weights=share[:, j], minlength=len(into))
 
-    def text_sums(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
+    def text_sums(self, texts: list[list[str]], table_words: int) -> Iterator[np.ndarray]:
         """Log-probability by language of each text, from a bounded table of words met before."""
         for block in _blocks(texts, BLOCK_WORDS):
             new = list({w for words in block for w in words if w not in self.rows})
-            if len(self.rows) + len(new) > TABLE_WORDS:
+            if len(self.rows) + len(new) > table_words:
                 self.rows, self.table = {}, self.table[:0]
                 new = list({w for words in block for w in words})
             found = [self.log_probabilities(some) for some in _by_length(new)]
@@ -207,7 +207,7 @@ def _by_length(words: list[str]):
         yield words[start:]
 
 
-def _counted(frames, model: Unigrams, languages: list[str]):
+def _counted(frames, model: Unigrams, languages: list[str], block_words: int):
     """(language, piece, expected count) of a task's rows, worked on in blocks of bounded size."""
     column = {x: i for i, x in enumerate(languages)}
     total = np.zeros((len(model.shares), len(languages)))
@@ -222,7 +222,7 @@ def _counted(frames, model: Unigrams, languages: list[str]):
     for frame in frames:
         for text, lang in zip(frame["text"], frame["lang"]):
             seen[column[lang]].update(words_of(text))
-            if sum(map(len, seen)) > BLOCK_WORDS:
+            if sum(map(len, seen)) > block_words:
                 settle()
     settle()
     total[-1] = 0  # the unknown letter isn't learned
@@ -230,7 +230,7 @@ def _counted(frames, model: Unigrams, languages: list[str]):
     yield pd.DataFrame({"language": j, "piece": k, "expected": total[k, j]})
 
 
-def learn(df: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", rounds: int = 1) -> tuple[list[str], np.ndarray]:
+def learn(df: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", rounds: int = 1, block_words: int | None = None) -> tuple[list[str], np.ndarray]:
     """Languages and piece shares learned from all rows whose language is not null."""
     spark = df.sparkSession
     rows = df.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -247,7 +247,7 @@ def learn(df: DataFrame, path: str, text_col: str = "text", lang_col: str = "lan
 
         def count(frames, sent=sent):
             only("learning", dict)  # nothing else is needed meanwhile
-            return _counted(frames, Unigrams(*sent.value), languages)
+            return _counted(frames, Unigrams(*sent.value), languages, block_words or BLOCK_WORDS)
 
         sums = rows.mapInPandas(count, "language int, piece int, expected double").groupBy("language", "piece").agg(F.sum("expected").alias("n"))
         got = sums.toPandas()  # at most pieces x languages rows
@@ -257,7 +257,7 @@ def learn(df: DataFrame, path: str, text_col: str = "text", lang_col: str = "lan
     return languages, shares
 
 
-def predicted(df: DataFrame, text: Column, path: str, languages: list[str], shares: np.ndarray) -> Column:
+def predicted(df: DataFrame, text: Column, path: str, languages: list[str], shares: np.ndarray, table_words: int | None = None) -> Column:
     """struct<lang_pred, score>: the most probable language of a text."""
     with open(path, "rb") as f:
         pieces = pieces_of(f.read())
@@ -268,7 +268,7 @@ def predicted(df: DataFrame, text: Column, path: str, languages: list[str], shar
     def predict(texts: pd.Series) -> pd.DataFrame:
         model = only(key, lambda: Unigrams(sent.value[0], sent.value[1].astype("float64")))
         split, out = [words_of(t) if languages else [] for t in texts], []
-        for words, total in zip(split, model.text_sums(split)):
+        for words, total in zip(split, model.text_sums(split, table_words or TABLE_WORDS)):
             if not words:
                 out.append((UNDETERMINED, 0.0))
                 continue
