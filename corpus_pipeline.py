@@ -21,16 +21,18 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: A text whose best language has less than this posterior is rejected.
 LEAST_SCORE = 0.5
+#: Words that a worker keeps while it learns and while it predicts; its other stages need memory too.
+LEARN_WORDS, PREDICT_WORDS = 100_000, 250_000
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; those without letters go. With nothing to learn from, only those go."""
     ship_package(spark)
-    languages, shares = language.learn(docs.where(~language.held_out(F.col("doc_id"))), PIECES)
+    languages, shares = language.learn(docs.where(~language.held_out(F.col("doc_id"))), PIECES, block_words=LEARN_WORDS)
     if not languages:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     name = free_name(docs, "__language")
-    told = docs.withColumn(name, language.predicted(docs, F.col("text"), PIECES, languages, shares))
+    told = docs.withColumn(name, language.predicted(docs, F.col("text"), PIECES, languages, shares, PREDICT_WORDS))
     return told.where((F.col(f"{name}.lang_pred") != language.UNDETERMINED) & (F.col(f"{name}.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
