@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -165,8 +165,8 @@ class Unigrams:
         for j in range(into.shape[1]):
             into[:, j] += np.bincount(k, weights=share[:, j], minlength=len(into))
 
-    def text_sums(self, texts: list[list[str]], table_words: int) -> Iterator[np.ndarray]:
-        """Log-probability by language of each text, from a bounded table of words met before."""
+    def text_sums(self, texts: Iterable[list[str]], table_words: int) -> Iterator[np.ndarray | None]:
+        """Log-probability by language of each text (None: no words), from a bounded table of words met before."""
         for block in _blocks(texts, BLOCK_WORDS):
             new = list({w for words in block for w in words if w not in self.rows})
             if len(self.rows) + len(new) > table_words:
@@ -177,14 +177,14 @@ class Unigrams:
             self.rows.update((w, first + i) for i, w in enumerate(w for some in _by_length(new) for w in some))
             self.table = np.vstack([self.table, *found])
             rows, table = self.rows.__getitem__, self.table
-            yield from (table[[*map(rows, words)]].sum(axis=0) for words in block)
+            yield from (table[[*map(rows, words)]].sum(axis=0) if words else None for words in block)
 
 
 #: Words of texts that are worked on together, distinct words kept in a worker's table, words of one lattice.
 BLOCK_WORDS, TABLE_WORDS, LATTICE_WORDS = 300_000, 800_000, 4_000
 
 
-def _blocks(texts: list[list[str]], bound: int):
+def _blocks(texts: Iterable[list[str]], bound: int):
     block, n = [], 0
     for words in texts:
         block.append(words)
@@ -267,9 +267,9 @@ def predicted(df: DataFrame, text: Column, path: str, languages: list[str], shar
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         model = only(key, lambda: Unigrams(sent.value[0], sent.value[1].astype("float64")))
-        split, out = [words_of(t) if languages else [] for t in texts], []
-        for words, total in zip(split, model.text_sums(split, table_words or TABLE_WORDS)):
-            if not words:
+        out, split = [], (words_of(t) if languages else [] for t in texts)  # split as the blocks ask for it
+        for total in model.text_sums(split, table_words or TABLE_WORDS):
+            if total is None:
                 out.append((UNDETERMINED, 0.0))
                 continue
             best = int(total.argmax())
