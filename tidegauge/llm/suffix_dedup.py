@@ -9,7 +9,9 @@ the texts do the work, each narrower than the one before:
    document of each content. A document with a larger id than that loses the whole run.
 3. Minimizers with several contents are dealt over shards with those contents, and each shard is sorted by external
    induced sorting (`suffixes`): suffixes whose common prefix reaches 50 bytes are equal strings, and the smallest document
-   of each group tells which strings of a content's own smallest document stand in a still smaller one.
+   of each group tells which strings of a content's own smallest document stand in a still smaller one. Whole minimizers
+   are sorted in one task, so this is for those of at most MOST contents. The strings of a more common minimizer are
+   told one by one instead: written like the runs of scan 2, each with its own hash, and aggregated over all tasks.
 
 The bit tables only spare work: what they let through in error has one content and removes nothing. At sizes where they
 fill up everything passes, and results stay the same. Contents are told apart by 128 bits of hash.
@@ -35,6 +37,8 @@ from tidegauge.session import materialise
 LENGTH, GRAM, RUN = 50, 20, 64
 #: Bits of a filter table; bytes of a text worked on at a time; bytes that a shard gathers before it sorts.
 FILTER_BITS, SEGMENT, SHARD = 1 << 27, 1 << 20, 1 << 22
+#: Most contents of a minimizer that are sorted together: under 4 MB, as a content has at most RUN + LENGTH - 1 bytes.
+MOST = 1 << 15
 _SPAN = LENGTH - GRAM + 1
 _BASE = 0x9E3779B97F4A7C15
 _CODES = np.random.default_rng(7).integers(0, 1 << 64, size=256, dtype=np.uint64)
@@ -62,8 +66,11 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return _mixed(sixteen[:n] * np.uint64(pow(_BASE, 4, 1 << 64)) + four[16 : 16 + n])
 
 
-def runs(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(minimizer, content hash, first, end) of the runs of strings that start at first .. end - 1, segment by segment."""
+def runs(data: bytes, alone: Marked | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(minimizer, content hash, first, end) of the runs of strings that start at first .. end - 1, segment by segment.
+
+    Minimizers held by `alone` have runs of one string only.
+    """
     whole = np.frombuffer(data, np.uint8)
     for low in range(0, len(whole) - LENGTH + 1, SEGMENT):
         g = gram_hashes(whole[low : low + SEGMENT + LENGTH - 1])
@@ -73,11 +80,12 @@ def runs(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         m = np.minimum(m[: len(g) - _SPAN + 1], m[_SPAN - 16 :])
         cut = np.flatnonzero(m[1:] != m[:-1]) + 1
         first, end = np.r_[0, cut], np.r_[cut, len(m)]
-        parts = -(-(end - first) // RUN)
+        most = np.where(alone.held(m[first]), 1, RUN) if alone else np.full(len(first), RUN)
+        parts = -(-(end - first) // most)
         if (parts > 1).any():
-            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            end = np.minimum(np.repeat(end, parts), np.repeat(first, parts) + (nth + 1) * RUN)
-            first = np.repeat(first, parts) + nth * RUN
+            nth, most = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts), np.repeat(most, parts)
+            end = np.minimum(np.repeat(end, parts), np.repeat(first, parts) + (nth + 1) * most)
+            first = np.repeat(first, parts) + nth * most
         content = (end - first).astype(np.uint64)
         for step in range(0, RUN + LENGTH, GRAM):
             content = _mixed(content * np.uint64(_BASE) + g[np.minimum(first + step, end + LENGTH - 1 - GRAM)])
@@ -107,7 +115,7 @@ def mark(df: DataFrame, key: str):
     return df.sparkSession.sparkContext.broadcast(table)
 
 
-def _scanned(docs: DataFrame, each: Callable, columns: list[str], schema: str) -> DataFrame:
+def _scanned(docs: DataFrame, each: Callable, columns: list[str], schema) -> DataFrame:
     """A row per run: `each` takes a document's id, text hash and bytes and yields equally long arrays."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,7 +185,13 @@ def _sorted_shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield settle()
 
 
-def covered(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _lost(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """(d, text_hash, span) of the runs that lose anything."""
+    mask = F.when(F.col("d") > F.col("low"), F.lit(-1)).otherwise(F.coalesce("mask", F.lit(0)))
+    return rows.join(told, ["h", "content"]).select("d", "text_hash", F.struct("first", "end", mask.cast("long").alias("mask")).alias("span")).where("span.mask != 0")
+
+
+def covered(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """(d, text_hash, spans): runs of removed strings as (first, end, mask); mask -1 is the whole run."""
     docs = _documents(df, id_col, text_col).select("d", "text_hash", "text").where(F.octet_length("text") >= LENGTH)
 
@@ -196,20 +210,31 @@ def covered(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     names = ["h", "content", "d", "text_hash", "first", "end"]
     rows = materialise(_scanned(docs, located, names, "h long, content long, d long, text_hash long, first long, end long"), "runs")
     lowest = materialise(rows.groupBy("h", "content").agg(F.min("d").alias("low")), "contents")
-    several = mark(lowest.groupBy("h").agg(F.count("*").alias("n"), F.min("low").alias("a"), F.max("low").alias("b")).where("n > 1 and a < b"), "h")
+    counts = lowest.groupBy("h").agg(F.count("*").alias("n"), F.min("low").alias("a"), F.max("low").alias("b")).where("n > 1 and a < b")
+    counts = materialise(counts.select("h", "n"), "minimizers")
+    several = mark(counts.where(F.col("n") <= most), "h")
+    common = counts.where(F.col("n") > most)
+    hot = mark(common, "h")
 
     def cut_out(d, h, data):
         for key, content, first, end in runs(data):
-            k = np.flatnonzero(Marked(shared.value).held(key) & Marked(several.value).held(key))
+            k = np.flatnonzero(Marked(shared.value).held(key) & Marked(several.value).held(key) & ~Marked(hot.value).held(key))
             cut = np.empty(len(k), dtype=object)
             cut[:] = [data[a : b + LENGTH - 1] for a, b in zip(first[k], end[k])]
             yield key[k], content[k], np.full(len(k), d), cut
 
     pieces = _scanned(docs, cut_out, ["h", "content", "d", "data"], "h long, content long, d long, data binary")
     masks = pieces.repartition("h").sortWithinPartitions("h", "content").mapInPandas(_sorted_shards, "h long, content long, mask long")
-    told = lowest.join(masks, ["h", "content"], "left")
-    mask = F.when(F.col("d") > F.col("low"), F.lit(-1)).otherwise(F.coalesce("mask", F.lit(0)))
-    hit = rows.join(told, ["h", "content"]).select("d", "text_hash", F.struct("first", "end", mask.cast("long").alias("mask")).alias("span")).where("span.mask != 0")
+    hit = _lost(rows, lowest.join(masks, ["h", "content"], "left"))
+    if not common.isEmpty():
+
+        def one_by_one(d, h, data):
+            for key, content, first, end in runs(data, Marked(hot.value)):
+                k = Marked(hot.value).held(key)
+                yield key[k], content[k], np.full(k.sum(), d), np.full(k.sum(), h), first[k], end[k]
+
+        strings = materialise(_scanned(docs, one_by_one, names, rows.schema), "strings")
+        hit = hit.unionByName(_lost(strings, strings.groupBy("h", "content").agg(F.min("d").alias("low")).withColumn("mask", F.lit(0))))
     return hit.groupBy("d", "text_hash").agg(F.collect_set("span").alias("spans"))
 
 
@@ -228,8 +253,8 @@ def _cover(n: int, spans) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _with_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return _documents(df, id_col, text_col).join(covered(df, id_col, text_col), ["d", "text_hash"], "left")
+def _with_spans(df: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    return _documents(df, id_col, text_col).join(covered(df, id_col, text_col, most), ["d", "text_hash"], "left")
 
 
 def removed(text: Column, spans: Column) -> Column:
@@ -248,6 +273,6 @@ def removed(text: Column, spans: Column) -> Column:
     return cut(text, spans)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and their digest."""
-    return _with_spans(df, id_col, text_col).select("doc_id", removed(F.col("text"), F.col("spans")).alias("r")).select("doc_id", "r.*")
+    return _with_spans(df, id_col, text_col, most).select("doc_id", removed(F.col("text"), F.col("spans")).alias("r")).select("doc_id", "r.*")
