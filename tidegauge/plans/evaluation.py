@@ -734,25 +734,26 @@ def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two deliveries, the later days first: rows behind the stream come out as late."""
+    """Two deliveries drained one after the other, the later days first: rows behind the stream come out as late."""
     folder, state = scratch(spark, "stream-order")
     src = tables.scan_parquet(spark, f"{sf_dir}/events.parquet")
     cut = F.lit("2024-01-23").cast("timestamp_ntz")
-    src.where(F.col("ts") >= cut).coalesce(1).write.parquet(folder)
-    src.where(F.col("ts") < cut).coalesce(1).write.mode("append").parquet(folder)
-    raw = stateful.file_stream(spark, folder, src.schema, files_per_trigger=1)
-    s = raw.select((F.col("user_id") % 16).alias("series_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    out = stateful.run_to_table(
-        stateful.window_stream(s, ["series_id"], ["ts", "event_id"], "value", 1, 1), f"{folder}-out", state
-    )
+    for delivery in (F.col("ts") >= cut, F.col("ts") < cut):
+        src.where(delivery).write.mode("append").parquet(folder)
+        raw = stateful.file_stream(spark, folder, src.schema)
+        s = raw.select((F.col("user_id") % 16).alias("series_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+        windows = stateful.window_stream(s, ["series_id"], ["ts", "event_id"], "value", 1, 1)
+        out = stateful.run_to_table(windows, f"{folder}-out", state)
     return out.groupBy("series_id").agg(F.count_if(~F.col("is_late")).alias("n_folded"), F.count_if("is_late").alias("n_late"))
 
 
 @query
 def stream_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Online totals of the execution log."""
-    log = materialise(E.execution_log(spark, sf_dir), "log")
-    stream = stateful.file_stream(spark, log.inputFiles()[0].rsplit("/", 1)[0], log.schema, "*.parquet", 1)
+    log = E.execution_log(spark, sf_dir)
+    folder, _ = scratch(spark, "execution-log")
+    log.write.parquet(folder)
+    stream = stateful.file_stream(spark, folder, log.schema, files_per_trigger=1)
     return tidy(stateful.run_updates(stateful.monitor_stream(stream, ["series_id"]), *scratch(spark, "stream-monitor"), ["series_id"]))
 
 
