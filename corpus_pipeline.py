@@ -21,8 +21,8 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: A text whose best language has less than this posterior is rejected.
 LEAST_SCORE = 0.5
-#: Words that a worker keeps while it learns and while it predicts; its other stages need memory too.
-LEARN_WORDS, PREDICT_WORDS = 100_000, 250_000
+#: Words that a worker keeps while it learns, predicts and encodes; its other stages need memory too.
+LEARN_WORDS, PREDICT_WORDS, BPE_WORDS = 100_000, 250_000, 100_000
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and what the ids decode to."""
     ship_package(spark)
-    return docs.select("doc_id", "lang", "source", bpe.both_ways(spark, F.col("text"), WORD_BPE).alias("t")).select("doc_id", "lang", "source", "t.*")
+    return docs.select("doc_id", "lang", "source", bpe.both_ways(spark, F.col("text"), WORD_BPE, BPE_WORDS).alias("t")).select("doc_id", "lang", "source", "t.*")
 
 
 STAGES = [

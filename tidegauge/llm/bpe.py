@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidegauge.llm.common import Remembered, built, text_rows
+from tidegauge.llm.common import CACHE_ENTRIES, Remembered, built, only, text_rows
 
 #: Fragments up to this many symbols are merged by scanning, longer ones with a heap.
 SCANNED = 24
@@ -42,7 +42,7 @@ def _byte_characters() -> dict[int, str]:
 class ForcedBoundaryBPE:
     """Encoder and decoder for one byte-level BPE vocabulary with an end-of-word suffix (JSON text of the library)."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, kept: int = CACHE_ENTRIES):
         parts = json.loads(spec)
         model = parts["model"]
         self.suffix = model["end_of_word_suffix"] or ""
@@ -60,8 +60,8 @@ class ForcedBoundaryBPE:
         self.table = str.maketrans({chr(b): c for b, c in self.stand_in.items()})
         self.pattern = regex.compile(parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.safe = regex.compile(f"[{''.join(map(regex.escape, self._safe_characters()))}]*")
-        self.chunks = Remembered(self._encode_chunk)
-        self.words = Remembered(self._encode_word)
+        self.chunks = Remembered(self._encode_chunk, kept)
+        self.words = Remembered(self._encode_word, kept)
 
     def _safe_characters(self) -> list[str]:
         """Latin characters that Python and the library lower-case and split alike (asked of the library, not assumed)."""
@@ -186,13 +186,16 @@ def decoded(spark: SparkSession, ids: Column, path: str) -> Column:
     return text(ids)
 
 
-def both_ways(spark: SparkSession, text: Column, path: str) -> Column:
-    """struct<n_tokens, ids, decoded>: the ids of a text and the text that they stand for."""
+def both_ways(spark: SparkSession, text: Column, path: str, kept: int = CACHE_ENTRIES) -> Column:
+    """struct<n_tokens, ids, decoded>: the ids of a text and the text that they stand for.
+
+    A worker remembers `kept` words and as many chunks; it changes memory and speed, not results.
+    """
     spec = vocabulary(spark, path)
 
     @F.pandas_udf("n_tokens long, ids array<int>, decoded string")
     def there_and_back(texts: pd.Series) -> pd.DataFrame:
-        own = built(ForcedBoundaryBPE, spec.value)
+        own = only(f"bpe:{kept}:{hash(spec.value)}", lambda: ForcedBoundaryBPE(spec.value, kept))
         rows = []
         for t in texts:
             ids = own.encode(t)
