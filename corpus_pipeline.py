@@ -57,7 +57,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and what the ids decode to."""
     ship_package(spark)
-    return docs.select("doc_id", "lang", "source", bpe.both_ways(spark, F.col("text"), WORD_BPE, BPE_WORDS).alias("t")).select("doc_id", "lang", "source", "t.*")
+    return bpe.token_table(docs, WORD_BPE, carried=("doc_id", "lang", "source"), kept=BPE_WORDS)
 
 
 STAGES = [

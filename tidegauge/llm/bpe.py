@@ -18,18 +18,23 @@ import hashlib
 import heapq
 import json
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
 from tidegauge.llm.common import CACHE_ENTRIES, Remembered, built, only, text_rows
 
 #: Fragments up to this many symbols are merged by scanning, longer ones with a heap.
 SCANNED = 24
+#: Characters of text whose ids leave a worker together.
+BLOCK = 1 << 20
 
 
 def _byte_characters() -> dict[int, str]:
@@ -186,23 +191,34 @@ def decoded(spark: SparkSession, ids: Column, path: str) -> Column:
     return text(ids)
 
 
-def both_ways(spark: SparkSession, text: Column, path: str, kept: int = CACHE_ENTRIES) -> Column:
-    """struct<n_tokens, ids, decoded>: the ids of a text and the text that they stand for.
+def token_table(df: DataFrame, path: str, text_col: str = "text", carried: tuple[str, ...] = ("doc_id",), kept: int = CACHE_ENTRIES) -> DataFrame:
+    """The carried columns, n_tokens, ids and decoded: the ids of a text and the text that they stand for.
 
-    A worker remembers `kept` words and as many chunks; it changes memory and speed, not results.
+    Rows leave a worker in blocks of about BLOCK characters, so neither the ids of a whole Arrow batch nor their decoded
+    texts stand in memory together. A worker remembers `kept` words and as many chunks; results don't depend on either.
     """
-    spec = vocabulary(spark, path)
-
-    @F.pandas_udf("n_tokens long, ids array<int>, decoded string")
-    def there_and_back(texts: pd.Series) -> pd.DataFrame:
-        own = only(f"bpe:{kept}:{hash(spec.value)}", lambda: ForcedBoundaryBPE(spec.value, kept))
-        rows = []
-        for t in texts:
-            ids = own.encode(t)
-            rows.append((len(ids) // 4, np.frombuffer(ids, "<i4"), own.decode(ids).decode()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded"])
-
-    return there_and_back(text)
+    spec = vocabulary(df.sparkSession, path)
+    key = f"bpe:{kept}:{path}"
+    rows = df.select(*carried, F.col(text_col).alias("decoded"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+
+    def there_and_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = only(key, lambda: ForcedBoundaryBPE(spec.value, kept))
+        for batch in batches:
+            ids, size, first = [], 0, 0
+            for i, text in enumerate(batch.column(len(carried))):
+                text = text.as_py() or ""
+                ids.append(own.encode(text))
+                size += len(text)
+                if size >= BLOCK or i == batch.num_rows - 1:
+                    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32) // 4
+                    values = np.frombuffer(b"".join(ids), "<i4")
+                    texts = pa.array(map(own.decode, ids), pa.binary()).cast(pa.string())
+                    here = batch.slice(first, len(ids)).columns[: len(carried)]
+                    yield pa.RecordBatch.from_arrays([*here, pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(ends, values), texts], names=schema.names)
+                    ids, size, first = [], 0, i + 1
+
+    return rows.mapInArrow(there_and_back, schema)
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
