@@ -281,6 +281,19 @@ def test_bpe_equals_the_library(spark, docs):
         assert r["back"] == library.decode(r["ids"], skip_special_tokens=False)
 
 
+def test_token_table_in_blocks(spark, docs, monkeypatch):
+    library = Tokenizer.from_file(WORD_BPE)
+    want = Counter()
+    for r in docs.collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        want[r["doc_id"], r["labels"], len(ids), tuple(ids), library.decode(ids, skip_special_tokens=False)] += 1
+    for block in (1, 5000, bpe.BLOCK):
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        rows = bpe.token_table(docs, WORD_BPE, carried=("doc_id", "labels"), kept=50).collect()
+        assert Counter((r["doc_id"], r["labels"], r["n_tokens"], tuple(r["ids"]), r["decoded"]) for r in rows) == want
+    assert bpe.token_table(docs.limit(0), WORD_BPE).collect() == []
+
+
 def test_fragments_never_cut_a_token():
     with open(WORD_BPE, encoding="utf-8") as f:
         own = bpe.ForcedBoundaryBPE(f.read())
