@@ -263,6 +263,24 @@ def test_near_copies_are_caught_and_others_left_alone(spark, docs):
     assert None not in ids and 7 in ids and 8 not in ids and 9 not in ids and Counter(ids)[3] == 2
 
 
+def shingles_of(text, width=5):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+
+def test_repeated_lines_do_not_hide_a_copy(spark):
+    r = random.Random(11)
+    say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    texts = []
+    for n in (3, 10, 40):
+        text, line = say(200), say(14)
+        texts += [f"{text}\n{line}", f"{text}\n" + "\n".join([line] * (n + 1))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+    h = simhash.shingle_set(texts[5], 5)
+    assert len(h) == len(shingles_of(texts[5])) and simhash.wide_print(" ".join(["same few words over and"] * 30), 5)[0] == simhash.wide_print(" ".join(["same few words over and"] * 20), 5)[0]
+
+
 # ---- BPE ---------------------------------------------------------------------------------
 
 

@@ -263,38 +263,55 @@ def radius_for(similarity: float, parts: int = PARTS, errors: float = 1.7) -> in
 
 
 _SALTS = np.random.default_rng(SEED).integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) | _ONE
+_STEPS = np.random.default_rng(SEED + 1).integers(1, 1 << 63, size=PARTS, dtype=np.uint64) | _ONE
 
 
-def wide_print(text: str | None, width: int) -> tuple[list[int], list[int]]:
-    """Signed parts of a 256-bit fingerprint, and band keys, of the set of shingles."""
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending."""
     w = words(text)
     if not w:
-        return [0] * PARTS, [0]
-    counts, n = np.zeros(BITS * PARTS, dtype=np.int64), 0
-    least = np.full(BANDS * ROWS, _LOW[64], dtype=np.uint64)
-    digest, size = xxhash.xxh3_128_digest, max(1, len(w) - width + 1)
+        return np.zeros(0, dtype=np.uint64)
+    parts, size, digest = [], max(1, len(w) - width + 1), xxhash.xxh3_64_intdigest
     for low in range(0, size, COUNTED):
         some = w[low : low + COUNTED + width - 1] if size > 1 else w
-        grams = [b" ".join(s) for s in zip(*(some[i:] for i in range(width)))] if len(w) >= width else [b" ".join(w)]
-        raw = np.frombuffer(b"".join([digest(g, 1) + digest(g, 2) for g in grams]), dtype=np.uint8).reshape(len(grams), -1)
-        n += len(grams)
-        counts += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        h = np.ascontiguousarray(raw[:, :8]).view("<u8")
-        for part in range(0, len(h), 4096):
-            mixed = h[part : part + 4096] * _SALTS
-            mixed ^= mixed >> np.uint64(32)
-            least = np.minimum(least, (mixed * _SALTS[::-1]).min(axis=0))
+        grams = {b" ".join(s) for s in zip(*(some[i:] for i in range(width)))} if len(w) >= width else [b" ".join(w)]
+        parts.append(np.unique(np.array([digest(g, SEED) for g in grams], dtype=np.uint64)))
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """[rows, PARTS]: independent 64-bit parts for every hash (SplitMix64)."""
+    z = h[:, None] + _STEPS
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def wide_print(text: str | None, width: int) -> tuple[int, list[int], list[int]]:
+    """Key of the set of shingles, signed parts of its 256-bit fingerprint, and its band keys; repeats don't count."""
+    every = shingle_set(text, width)
+    if not len(every):
+        return 0, [0] * PARTS, [0]
+    counts = np.zeros(BITS * PARTS, dtype=np.int64)
+    least = np.full(BANDS * ROWS, _LOW[64], dtype=np.uint64)
+    for low in range(0, len(every), 4096):
+        h = every[low : low + 4096, None]
+        counts += np.unpackbits(_mixed(h[:, 0]).astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        mixed = h * _SALTS
+        mixed ^= mixed >> np.uint64(32)
+        least = np.minimum(least, (mixed * _SALTS[::-1]).min(axis=0))
     bands = [xxhash.xxh64_intdigest(b, i) for i, b in enumerate(least.reshape(BANDS, ROWS).astype("<u8").view("V%d" % (8 * ROWS)).ravel().tolist())]
-    signed = np.packbits(counts * 2 > n, bitorder="little").view("<i8")
-    return signed.tolist(), np.array(bands, dtype=np.uint64).view(np.int64).tolist()
+    own = np.array([xxhash.xxh64_intdigest(every.astype("<u8").tobytes(), SEED)], dtype=np.uint64).view(np.int64)
+    signed = np.packbits(counts * 2 > len(every), bitorder="little").view("<i8")
+    return int(own[0]), signed.tolist(), np.array(bands, dtype=np.uint64).view(np.int64).tolist()
 
 
 def wide_prints(text: Column, width: int) -> Column:
-    """struct<fp, keys> of `wide_print`."""
+    """struct<v, fp, keys> of `wide_print`."""
 
-    @F.pandas_udf("fp array<long>, keys array<long>")
+    @F.pandas_udf("v long, fp array<long>, keys array<long>")
     def printed(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([wide_print(t, width) for t in texts], columns=["fp", "keys"])
+        return pd.DataFrame([wide_print(t, width) for t in texts], columns=["v", "fp", "keys"])
 
     return printed(text)
 
@@ -305,9 +322,8 @@ def near_copies(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col:
     The estimate of a 256-bit fingerprint has a standard error of about 0.05, so the radius leaves room for it.
     """
 
-    rows = df.select(F.col(id_col).alias("doc_id"), wide_prints(F.col(text_col), width).alias("p")).select("doc_id", "p.fp", "p.keys", F.xxhash64("p.fp").alias("v"))
-    docs = materialise(rows, "prints")
-    prints = docs.groupBy("v", "fp").agg(F.min("doc_id").alias("low"), F.min("keys").alias("keys"))
+    docs = materialise(df.select(F.col(id_col).alias("doc_id"), wide_prints(F.col(text_col), width).alias("p")).select("doc_id", "p.*"), "prints")
+    prints = docs.groupBy("v").agg(F.min("doc_id").alias("low"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
     return _named(docs.drop("fp", "keys"), prints, radius_for(similarity))
 
 
@@ -320,8 +336,8 @@ def one_of_each(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col:
 
     text_hash = F.xxhash64(F.col(text_col))
     rows = df.select(F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"), wide_prints(F.col(text_col), width).alias("p"))
-    docs = materialise(rows.select("doc_id", "text_hash", "p.fp", "p.keys", F.xxhash64("p.fp").alias("v")), "prints")
-    prints = docs.groupBy("v", "fp").agg(F.min("doc_id").alias("low"), F.min("keys").alias("keys"))
+    docs = materialise(rows.select("doc_id", "text_hash", "p.*"), "prints")
+    prints = docs.groupBy("v").agg(F.min("doc_id").alias("low"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
     member = roots_of(prints, radius_for(similarity))
     same = docs.groupBy("doc_id", "text_hash", "v").agg(F.count("*").alias("n")).join(member, "v")
     best = same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n")).alias("w"))
