@@ -281,6 +281,62 @@ def test_repeated_lines_do_not_hide_a_copy(spark):
     assert len(h) == len(shingles_of(texts[5])) and simhash.wide_print(" ".join(["same few words over and"] * 30), 5)[0] == simhash.wide_print(" ".join(["same few words over and"] * 20), 5)[0]
 
 
+def nearby(r, n, similarity_of):
+    """A text of n words and one with so many words replaced one by one that the similarity is just what `similarity_of` allows."""
+    own = [f"w{r.randrange(10**7)}" for _ in range(n)]
+    other = list(own)
+    for at in r.sample(range(n), n):
+        changed = other[:at] + [f"x{r.randrange(10**7)}"] + other[at + 1 :]
+        if not similarity_of(len(shingles_of(" ".join(own)) & shingles_of(" ".join(changed))) / len(shingles_of(" ".join(own)) | shingles_of(" ".join(changed)))):
+            break
+        other = changed
+    return " ".join(own), " ".join(other)
+
+
+def test_near_copies_equal_exact_similarity(spark):
+    r, rows = random.Random(12), []
+    for k in range(60):
+        n = r.randrange(60, 400)
+        rows += nearby(r, n, lambda j: j >= 0.8) if k % 2 else nearby(r, n, lambda j: j >= 0.72)
+    same = " ".join(f"w{i}" for i in range(24))  # 16 of 20 shingles shared by two texts of 18: a similarity of just 0.8
+    rows += [same.rsplit(" ", 4)[0] + " a b", same.rsplit(" ", 4)[0] + " c d"]
+    sets = [shingles_of(t) for t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    assert 31 <= len(rows) - len(set(root)) < 61
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {x["doc_id"]: x["component_id"] for x in simhash.near_copies(table).collect()} == dict(enumerate(root))
+    assert {x["doc_id"] for x in simhash.one_of_each(table).collect()} == set(root)
+
+
+@pytest.mark.parametrize("group, shingles", [(simhash.GROUP, simhash.GROUP_SHINGLES), (4, 1 << 20), (1000, 900)])
+def test_large_groups_of_candidates_are_compared_whole(spark, group, shingles):
+    r, words = random.Random(13), [f"w{i}" for i in range(120)]
+    texts = [" ".join(f"x{r.randrange(10**6)}" if r.random() < 0.03 else w for w in words) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])] * 3, "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    prints = docs.distinct().select("doc_id", "text_hash", simhash.wide_prints(F.col("text"), 5).alias("p")).select("doc_id", "text_hash", "p.*").withColumn("keys", F.array(F.lit(1)))
+    got = {frozenset((x["a"], x["b"])) for x in simhash.similar_links(docs, prints, 5, 0.8, group, shingles).collect()}
+    v, sets = [simhash.wide_print(t, 5)[0] for t in texts], [shingles_of(t) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    groups = {i: {i} for i in range(40)}
+    for i in range(40):
+        for j in range(i):
+            if alike(i, j) and groups[i] is not groups[j]:
+                groups[i] |= groups[j]
+                for k in groups[j]:
+                    groups[k] = groups[i]
+    reached = {x: {x} for x in v}
+    for a, b in map(tuple, got):
+        if reached[a] is not reached[b]:
+            reached[a] |= reached[b]
+            for k in reached[b]:
+                reached[k] = reached[a]
+    assert all({v[j] for j in groups[i]} == reached[v[i]] for i in range(40)) and 1 < len({id(x) for x in groups.values()}) < 40
+
+
 # ---- BPE ---------------------------------------------------------------------------------
 
 

@@ -25,6 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -231,15 +232,15 @@ def components(edges: DataFrame) -> DataFrame:
     return now
 
 
-def roots_of(prints: DataFrame, radius: int) -> DataFrame:
-    """v, low, root: the smallest fingerprint number of each one's component; prints: v, low, fp, keys."""
-    stars = components(links(prints, radius)).select(F.col("a").alias("v"), F.col("b").alias("root"))
+def roots_of(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """v, low, root: the smallest number of each one's component by the links `edges`; prints: v, low."""
+    stars = components(edges).select(F.col("a").alias("v"), F.col("b").alias("root"))
     return prints.select("v", "low").join(stars, "v", "left").select("v", "low", F.coalesce("root", "v").alias("root"))
 
 
-def _named(docs: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
+def _named(docs: DataFrame, prints: DataFrame, edges: DataFrame) -> DataFrame:
     """`docs` (with v) and the smallest doc_id of each one's component."""
-    rooted = roots_of(prints, radius)
+    rooted = roots_of(prints, edges)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     return docs.join(rooted.join(lowest, "root").select("v", "component_id"), "v")
 
@@ -248,14 +249,16 @@ def grouped(df: DataFrame, width: int, radius: int, agree: int = 2, id_col: str
     """doc_id, v (the fingerprint), component_id: the smallest id that links of at most `radius` differing bits lead to."""
     docs = materialise(df.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), width).alias("v")), "prints")
     prints = docs.groupBy("v").agg(F.min("doc_id").alias("low")).withColumn("fp", F.array("v")).withColumn("keys", keys(F.col("v"), radius, agree))
-    return _named(docs, prints, radius)
+    return _named(docs, prints, links(prints, radius))
 
 
 #: Near copies by similarity: 256-bit fingerprints; those that share one of 16 bands of 4 MinHash values are compared.
 PARTS, BANDS, ROWS = 4, 16, 4
+#: Texts, and shingles of theirs, from which on the texts of a group of candidates are dealt into chunks.
+GROUP, GROUP_SHINGLES = 512, 1 << 20
 
 
-def radius_for(similarity: float, parts: int = PARTS, errors: float = 1.7) -> int:
+def radius_for(similarity: float, parts: int = PARTS, errors: float = 4.0) -> int:
     """Differing bits of two shingle sets of this Jaccard similarity: those expected, and `errors` standard errors more."""
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = BITS * parts
@@ -287,11 +290,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def wide_print(text: str | None, width: int) -> tuple[int, list[int], list[int]]:
-    """Key of the set of shingles, signed parts of its 256-bit fingerprint, and its band keys; repeats don't count."""
+def wide_print(text: str | None, width: int) -> tuple[int, int, list[int], list[int]]:
+    """Key and size of the set of shingles, signed parts of its 256-bit fingerprint, and its band keys; repeats don't count."""
     every = shingle_set(text, width)
     if not len(every):
-        return 0, [0] * PARTS, [0]
+        return 0, 0, [0] * PARTS, [0]
     counts = np.zeros(BITS * PARTS, dtype=np.int64)
     least = np.full(BANDS * ROWS, _LOW[64], dtype=np.uint64)
     for low in range(0, len(every), 4096):
@@ -303,42 +306,114 @@ def wide_print(text: str | None, width: int) -> tuple[int, list[int], list[int]]
     bands = [xxhash.xxh64_intdigest(b, i) for i, b in enumerate(least.reshape(BANDS, ROWS).astype("<u8").view("V%d" % (8 * ROWS)).ravel().tolist())]
     own = np.array([xxhash.xxh64_intdigest(every.astype("<u8").tobytes(), SEED)], dtype=np.uint64).view(np.int64)
     signed = np.packbits(counts * 2 > len(every), bitorder="little").view("<i8")
-    return int(own[0]), signed.tolist(), np.array(bands, dtype=np.uint64).view(np.int64).tolist()
+    return int(own[0]), len(every), signed.tolist(), np.array(bands, dtype=np.uint64).view(np.int64).tolist()
 
 
 def wide_prints(text: Column, width: int) -> Column:
-    """struct<v, fp, keys> of `wide_print`."""
+    """struct<v, size, fp, keys> of `wide_print`."""
 
-    @F.pandas_udf("v long, fp array<long>, keys array<long>")
+    @F.pandas_udf("v long, size long, fp array<long>, keys array<long>")
     def printed(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([wide_print(t, width) for t in texts], columns=["v", "fp", "keys"])
+        return pd.DataFrame([wide_print(t, width) for t in texts], columns=["v", "size", "fp", "keys"])
 
     return printed(text)
 
 
-def near_copies(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, v, component_id: texts whose shingle similarity, by their fingerprints, is at least `similarity` are linked.
+def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set of distinct numbers the first of its group that links of at least this Jaccard similarity lead to."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    label, last = np.arange(n), np.cumsum(sizes)
+    if n < 2:
+        return label
+    gram = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.repeat(label, sizes)[np.argsort(gram, kind="stable")]
+    many = np.bincount(gram)
+    first = np.cumsum(many) - many
+    for i in range(n - 1):
+        own = gram[last[i] - sizes[i] : last[i]]
+        own = own[many[own] > 1]
+        count = many[own]
+        at = np.repeat(first[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        shared = np.bincount(holders[at], minlength=n)[i + 1 :]
+        other = np.flatnonzero(shared / (sizes[i] + sizes[i + 1 :] - shared) >= similarity) + i + 1
+        _join(label, np.full(len(other), i), other)
+    return label
+
 
-    The estimate of a 256-bit fingerprint has a standard error of about 0.05, so the radius leaves room for it.
+def _verified(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of similar texts to the first of each group within runs; rows (root, i, j, v, text) arrive sorted by all but the text."""
+    run, numbers, sets = None, [], []
+
+    def linked() -> pa.RecordBatch:
+        label, v = similar(sets, similarity), np.array(numbers, dtype=np.int64)
+        other = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(v[other]), pa.array(v[label[other]])], names=["a", "b"])
+
+    for batch in batches:
+        keyed = zip(*(batch.column(k).to_pylist() for k in range(4)))
+        for (*now, v), text in zip(keyed, batch.column(4)):
+            if now != run:
+                if len(sets) > 1:
+                    yield linked()
+                run, numbers, sets = now, [], []
+            if not numbers or numbers[-1] != v:
+                numbers.append(v)
+                sets.append(shingle_set(text.as_py(), width))
+    if len(sets) > 1:
+        yield linked()
+
+
+def similar_links(
+    texts: DataFrame, prints: DataFrame, width: int, similarity: float, group: int = GROUP, shingles: int = GROUP_SHINGLES
+) -> DataFrame:
+    """(a, b): links that connect all candidates whose sets of shingles have at least this Jaccard similarity, and no others.
+
+    `texts`: doc_id, text_hash, text; `prints`: a row per set with v, size, fp, keys, and one text that has it, as doc_id and
+    text_hash. Candidates are the groups that wide fingerprints link; each text of such a group moves once and its shingles are
+    compared with those of all others of the group. Large groups are dealt into chunks, and pairs of chunks compared.
     """
+    stars = components(links(prints, radius_for(similarity)))
+    member = stars.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
+    member = materialise(member.join(prints.select("v", "size", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), "v"), "candidates")
+    chunks = F.ceil(F.greatest(F.count("*") / F.lit(group), F.sum("size") / F.lit(shingles))).cast("int")
+    rows = member.join(member.groupBy("root").agg(F.greatest(chunks, F.lit(1)).alias("m")), "root")
+    rows = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    rows = rows.withColumn("c", F.pmod(F.xxhash64("v", F.lit(7)), "m").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rows = rows.select("root", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "v", "text")
+    dealt = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "v")
+    return dealt.mapInArrow(lambda batches: _verified(batches, width, similarity), "a long, b long").distinct()
+
+
+def _similar(df: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, text_hash, v), sets of shingles (v, low), and the links between sets."""
+    texts = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    docs = materialise(texts.select("doc_id", "text_hash", wide_prints(F.col("text"), width).alias("p")).select("doc_id", "text_hash", "p.*"), "prints")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    prints = docs.groupBy("v").agg(least.alias("w"), *[F.min(c).alias(c) for c in ("size", "fp", "keys")])
+    prints = prints.select("v", "size", "fp", "keys", "w.doc_id", "w.text_hash", F.col("w.doc_id").alias("low"))
+    return docs.select("doc_id", "text_hash", "v"), prints, similar_links(texts, prints, width, similarity)
 
-    docs = materialise(df.select(F.col(id_col).alias("doc_id"), wide_prints(F.col(text_col), width).alias("p")).select("doc_id", "p.*"), "prints")
-    prints = docs.groupBy("v").agg(F.min("doc_id").alias("low"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
-    return _named(docs.drop("fp", "keys"), prints, radius_for(similarity))
+
+def near_copies(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, v, component_id: texts whose sets of shingles have a Jaccard similarity of at least `similarity` are linked.
+
+    Fingerprints only propose groups: the radius leaves four standard errors of their estimate (0.05 each), and every link
+    is one of the exact sets.
+    """
+    docs, prints, edges = _similar(df, width, similarity, id_col, text_col)
+    return _named(docs.select("doc_id", "v"), prints, edges)
 
 
 def one_of_each(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` with one row of each group of near copies: the smallest id, then the smallest hash of the text; nulls last.
 
-    Groups are settled on narrow rows; the documents meet the winners by id and text hash, and only winners that are
-    repeated row for row are de-duplicated.
+    Groups are settled on narrow rows and the texts of candidates; the documents meet the winners by id and text hash, and
+    only winners that are repeated row for row are de-duplicated.
     """
 
     text_hash = F.xxhash64(F.col(text_col))
-    rows = df.select(F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"), wide_prints(F.col(text_col), width).alias("p"))
-    docs = materialise(rows.select("doc_id", "text_hash", "p.*"), "prints")
-    prints = docs.groupBy("v").agg(F.min("doc_id").alias("low"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
-    member = roots_of(prints, radius_for(similarity))
+    docs, prints, edges = _similar(df, width, similarity, id_col, text_col)
+    member = roots_of(prints, edges)
     same = docs.groupBy("doc_id", "text_hash", "v").agg(F.count("*").alias("n")).join(member, "v")
     best = same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n")).alias("w"))
     i, h, n = (free_name(df, x) for x in ("__id", "__hash", "__n"))
