@@ -39,7 +39,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many sites share."""
     ship_package(spark)
-    cleaned = line_dedup.remove_boilerplate(docs).select(*docs.columns)
+    cleaned = line_dedup.without_boilerplate(docs)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 

@@ -183,6 +183,21 @@ def test_boilerplate_lines_go_and_copies_stay(spark):
     assert got[200]["text"] is None and got[201]["text"] == "" and all(got[300 + i]["n_removed"] == 0 for i in range(4))
 
 
+def test_boilerplate_goes_from_short_pages_and_copied_texts_stay(spark):
+    r, banner = random.Random(14), "Accept all cookies to go on reading, or leave this page\nAll rights reserved by the owners"
+    say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    rows = [(i, f"{say(40)}\n{banner}\nSign in.\n{say(9)}", f"site{i % 12}") for i in range(24)]
+    rows += [(100 + i, f"own {i}\n{banner}\nSign in.", f"site{i}") for i in range(3)] + [(None, banner, "site4")]
+    article = "\n".join(say(9) for _ in range(20))
+    rows += [(200 + i, article if i < 3 else f"{article}\n{say(3)}", f"site{i}") for i in range(6)]
+    rows += [(300 + i, f"{say(30)}\nOn six.", f"site{i}") for i in range(6)] + [(400, None, None), (401, "\n \n", "site1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x["doc_id"]: x["text"] for x in line_dedup.without_boilerplate(docs).collect()}
+    assert len(got) == len(rows) and all(not set(banner.split("\n") + ["Sign in."]) & set((t or "").split("\n")) for t in got.values())
+    assert got[None] == "" and [got[100 + i] for i in range(3)] == ["own 0", "own 1", "own 2"]
+    assert all(got[d] == t for d, t, _ in rows if d and d >= 200)
+
+
 def test_near_threshold_lines_are_counted_exactly(spark):
     lines = spark.range(2000).select((F.col("id") % 7).alias("line"), F.concat(F.lit("s"), F.least(F.col("id") % 11, F.col("id") % 7).cast("string")).alias("site"))
     want = {r[0] for r in lines.groupBy("line").agg(F.countDistinct("site").alias("n")).where("n >= 5").collect()}

@@ -9,6 +9,10 @@ as it is for near-duplicate removal.
 DataFrame functions only. A line as common as a third of all rows meets in partial sketches; documents find their
 boilerplate by a join on the hash of their whole text, so copies share one row and a null or repeated id does no harm.
 
+`without_boilerplate`, the pipeline's stage, decides line by line instead: documents that are near copies of each other count as
+one site, no document is left alone, and shorter lines are judged too, by a higher threshold. `remove_boilerplate` is the rule
+of the registered query's SQL.
+
 Lines are split at line feeds, compared without ASCII white space around them, and only those of at least
 `least_chars` characters count. A null source is a site of its own. Null text stays null, empty text empty.
 """
@@ -18,10 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm import simhash
 from tidegauge.llm.common import free_name
+from tidegauge.session import materialise
 
 #: Sites from which on a line is boilerplate; characters that a line needs to be judged at all.
 SITES, LEAST_CHARS = 5, 16
+#: Sites from which on a shorter line is boilerplate, where those are judged too.
+SHORT_SITES = 10
 #: Size of the sketches (2^LOG_K registers, standard error about 1.04 / sqrt(2^LOG_K)).
 LOG_K = 12
 #: Share of the threshold around it within which an estimate isn't trusted: more than six standard errors.
@@ -36,11 +44,15 @@ def _judged(line: Column, least_chars: int) -> Column:
     return F.length(stripped(line)) >= least_chars
 
 
-def lines_of(df: DataFrame, text_col: str = "text", source_col: str = "source", least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(text_key, line, site) of every line that counts, once per document."""
+def lines_of(df: DataFrame, text_col: str = "text", source_col: str = "source", least_chars: int = LEAST_CHARS, short_below: int | None = None) -> DataFrame:
+    """(text_key, line, site) of every line that counts, once per document; with `short_below` also whether it has fewer characters."""
     held = F.filter(F.split(text_col, "\n"), lambda x: _judged(x, least_chars))
-    hashes = F.array_distinct(F.transform(held, lambda x: F.xxhash64(stripped(x))))
-    return df.select(F.xxhash64(text_col).alias("text_key"), F.explode(hashes).alias("line"), F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("none")).alias("site"))
+    site = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("none")).alias("site")
+    if short_below is None:
+        hashes = F.array_distinct(F.transform(held, lambda x: F.xxhash64(stripped(x))))
+        return df.select(F.xxhash64(text_col).alias("text_key"), F.explode(hashes).alias("line"), site)
+    told = F.transform(held, lambda x: F.struct(F.xxhash64(stripped(x)).alias("line"), (~_judged(x, short_below)).alias("short")))
+    return df.select(F.xxhash64(text_col).alias("text_key"), F.explode(F.array_distinct(told)).alias("x"), site).select("text_key", "x.line", "site", "x.short")
 
 
 def boilerplate(lines: DataFrame, sites: int = SITES, near: float = NEAR, log_k: int = LOG_K) -> DataFrame:
@@ -75,3 +87,40 @@ def remove_boilerplate(
         *[v.alias(c) for c, v in named.items()], n_lines.cast("long").alias(free_name(df, "n_lines")),
         F.when(cut, F.size(was) - F.size(left)).otherwise(0).cast("long").alias(free_name(df, "n_removed")),
     )
+
+
+def _common(lines: DataFrame, sites: int, short_sites: int) -> DataFrame:
+    """Hashes of boilerplate lines; lines: line, site, short."""
+    return boilerplate(lines.where(~F.col("short")), sites).unionByName(boilerplate(lines.where("short"), short_sites))
+
+
+def without_boilerplate(
+    df: DataFrame, sites: int = SITES, short_sites: int = SHORT_SITES, least_chars: int = LEAST_CHARS, text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """`df` without any line on at least `sites` sites (`short_sites`, if it is short), however much of a text that is.
+
+    Documents that are mostly such lines may be copies of one text: those that are near copies of each other count as one
+    site together, so lines that are common only because their whole text was copied stay.
+    """
+    key, bad = free_name(df, "__text_key"), free_name(df, "__bad")
+    keyed, split = df.withColumn(key, F.xxhash64(text_col)), F.split(text_col, "\n")
+    lines = lines_of(df, text_col, source_col, 1, least_chars)
+    held = materialise(lines.join(_common(lines, sites, short_sites), "line", "left_semi"), "held")
+
+    def marked(found: DataFrame) -> DataFrame:
+        of_text = found.groupBy("text_key").agg(F.collect_set("line").alias(bad)).withColumnRenamed("text_key", key)
+        return keyed.join(of_text, key, "left")
+
+    kept = F.filter(split, lambda x: ~(_judged(x, 1) & F.array_contains(F.col(bad), F.xxhash64(stripped(x)))))
+    letters = lambda c: F.length(F.regexp_replace(F.array_join(c, ""), r"[\x20\x09-\x0D]", ""))
+    mostly = marked(held).where(F.col(bad).isNotNull() & (letters(kept) * 2 < letters(split)))
+    mostly = materialise(mostly.select(F.col(key).alias("text_key"), F.col(text_col).alias("text")).dropDuplicates(["text_key"]), "mostly")
+    groups = materialise(simhash.near_copies(mostly, id_col="text_key").select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("copy")), "copies")
+    grouped = held.join(groups, "text_key")
+    # One of its sites stands for a group, picked by hash: the smallest would be the same for many groups.
+    one = materialise(grouped.groupBy("copy").agg(F.min_by("site", F.xxhash64("site", "copy")).alias("one")), "sites")
+    recounted = held.join(groups.join(one, "copy").select("text_key", "one"), "text_key", "left").select("line", "short", F.coalesce("one", "site").alias("site"))
+    common = materialise(_common(recounted, sites, short_sites), "common")
+    cleaned = marked(held.select("text_key", "line").distinct().join(common, "line", "left_semi"))
+    text = F.when(F.col(bad).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
+    return cleaned.select(*[(text if c == text_col else F.col(c)).alias(c) for c in df.columns])
