@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, decontaminate, language, licenses, line_dedup, periodic_runs, prefix_trie, quality, sharding, simhash, suffix_dedup, token_counts
+from tidegauge.llm import bpe, decontaminate, language, licenses, line_dedup, periodic_runs, prefix_trie, private_data, quality, sharding, simhash, suffix_dedup, token_counts
 from tidegauge.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.find_runs(read(spark, sf_dir, "documents"), rebuild=True)
 
 
+@query
+def op12_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.find_private(read(spark, sf_dir, "documents"))
+
+
 @query
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(read(spark, sf_dir, "conversations"))
