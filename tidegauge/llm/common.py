@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.session import ship_package
@@ -13,6 +13,8 @@ from tidegauge.session import ship_package
 SPACES = " \t\n\x0b\x0c\r"
 #: The same for Java's and DuckDB's patterns.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Buckets of the table that tells which rows a join needs: at most so many numbers are broadcast.
+BUCKETS = 1 << 20
 #: Entries that a worker keeps of words it has met before; beyond that it starts anew.
 CACHE_ENTRIES = 400_000
 
@@ -35,6 +37,22 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def bucket(*keys: Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+
+
+def split_by(df: DataFrame, keys: Sequence[Column], some: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """`df` in two: the rows that may have their keys in `some`, and the rest, which surely don't.
+
+    What is broadcast are buckets of hashes, at most BUCKETS numbers of 8 bytes, whatever the size of `some`: with few keys nearly
+    all of `df` is spared a join, with very many none of it, and the result of joining the first part only is the same.
+    """
+    place = free_name(df, "__bucket")
+    told = F.broadcast(some.select(bucket(*[F.col(c) for c in names]).alias(place)).distinct())
+    placed = df.withColumn(place, bucket(*keys))
+    return placed.join(told, place, "left_semi").drop(place), placed.join(told, place, "left_anti").drop(place)
+
+
 _HELD: dict[str, object] = {}
 
 

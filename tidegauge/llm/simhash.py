@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import free_name
+from tidegauge.llm.common import free_name, split_by
 from tidegauge.session import materialise
 
 SEED, BITS = 42, 64
@@ -363,25 +363,80 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, similarity: float)
         yield linked()
 
 
+def _against(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of texts to held ones within runs; rows (root, i, j, side, v, text) arrive sorted, those to hold (side 0) first."""
+    run, held, sets, a, b = None, [], [], [], []
+    index: tuple | None = None
+
+    def linked(v: int, own: np.ndarray) -> None:
+        grams, owner, sizes = index
+        at = np.searchsorted(grams, own)
+        many = np.searchsorted(grams, own, "right") - at
+        place = np.repeat(at - np.cumsum(many) + many, many) + np.arange(many.sum())
+        shared = np.bincount(owner[place], minlength=len(sizes))
+        for k in np.flatnonzero(shared >= similarity * (sizes + len(own) - shared)).tolist():
+            if held[k] != v:
+                a.append(v)
+                b.append(held[k])
+
+    for batch in batches:
+        keyed = zip(*(batch.column(k).to_pylist() for k in range(5)))
+        for (*now, side, v), text in zip(keyed, batch.column(5)):
+            if now != run:
+                run, held, sets, index = now, [], [], None
+            own = shingle_set(text.as_py(), width)
+            if not side:
+                held.append(v)
+                sets.append(own)
+                continue
+            if index is None:
+                sizes = np.array([len(x) for x in sets])
+                every = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+                by = np.argsort(every, kind="stable")
+                index = every[by], np.repeat(np.arange(len(sets)), sizes)[by], sizes
+            linked(v, own)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b = [], []
+
+
+def _met(held: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): links between texts and the ones to hold, both dealt to (root, i, j)."""
+    rows = held.select("root", "i", "j", F.lit(0).alias("side"), "v", "text").unionByName(texts.select("root", "i", "j", F.lit(1).alias("side"), "v", "text"))
+    dealt = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "v")
+    return dealt.mapInArrow(lambda batches: _against(batches, width, similarity), "a long, b long").distinct()
+
+
 def similar_links(
     texts: DataFrame, prints: DataFrame, width: int, similarity: float, group: int = GROUP, shingles: int = GROUP_SHINGLES
 ) -> DataFrame:
     """(a, b): links that connect all candidates whose sets of shingles have at least this Jaccard similarity, and no others.
 
     `texts`: doc_id, text_hash, text; `prints`: a row per set with v, size, fp, keys, and one text that has it, as doc_id and
-    text_hash. Candidates are the groups that wide fingerprints link; each text of such a group moves once and its shingles are
-    compared with those of all others of the group. Large groups are dealt into chunks, and pairs of chunks compared.
+    text_hash. Candidates are the groups that wide fingerprints link; only their texts move. The texts of a group are compared
+    with each other in one task. A larger group is first compared with one of its texts: those like it are linked already, and
+    only the others have to meet all the rest, chunk by chunk.
     """
     stars = components(links(prints, radius_for(similarity)))
     member = stars.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
     member = materialise(member.join(prints.select("v", "size", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), "v"), "candidates")
-    chunks = F.ceil(F.greatest(F.count("*") / F.lit(group), F.sum("size") / F.lit(shingles))).cast("int")
-    rows = member.join(member.groupBy("root").agg(F.greatest(chunks, F.lit(1)).alias("m")), "root")
-    rows = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
-    rows = rows.withColumn("c", F.pmod(F.xxhash64("v", F.lit(7)), "m").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    rows = rows.select("root", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "v", "text")
-    dealt = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "v")
-    return dealt.mapInArrow(lambda batches: _verified(batches, width, similarity), "a long, b long").distinct()
+    chunks = F.greatest(F.ceil(F.greatest(F.count("*") / F.lit(group), F.sum("size") / F.lit(shingles))).cast("int"), F.lit(1))
+    rows = member.join(member.groupBy("root").agg(chunks.alias("m"), F.min("v").alias("first")), "root")
+    some, _ = split_by(texts, [F.col("doc_id"), F.col("text_hash")], member, ["id", "hash"])
+    rows = some.join(rows, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    # A text that is there twice is one candidate.
+    rows = materialise(rows.select("root", "m", "first", "v", "size", "text").dropDuplicates(["v"]), "texts")
+    small = rows.where("m = 1").select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), "v", "text").repartition("root").sortWithinPartitions("root", "v")
+    within = small.mapInArrow(lambda batches: _verified(batches, width, similarity), "a long, b long").distinct()
+    large = rows.where("m > 1").withColumn("i", F.pmod(F.xxhash64("v", F.lit(7)), "m").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
+    first = large.where("v = first").withColumn("i", every)
+    met = materialise(_met(first.withColumn("j", F.lit(0)), large.where("v != first").withColumn("j", F.lit(0)), width, similarity), "met")
+    rest = large.where("v != first").join(met.select(F.col("a").alias("v")).distinct(), "v", "left_anti")
+    dealt = rest.groupBy("root").agg(chunks.alias("n"))
+    rest = rest.join(dealt, "root").withColumn("j", F.pmod(F.xxhash64("v", F.lit(8)), "n").cast("int")).withColumn("i", every)
+    others = large.join(dealt, "root").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return within.unionByName(met).unionByName(_met(rest, others, width, similarity))
 
 
 def _similar(df: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -407,19 +462,22 @@ def near_copies(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col:
 def one_of_each(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` with one row of each group of near copies: the smallest id, then the smallest hash of the text; nulls last.
 
-    Groups are settled on narrow rows and the texts of candidates; the documents meet the winners by id and text hash, and
-    only winners that are repeated row for row are de-duplicated.
+    Groups are settled on narrow rows and the texts of candidates. Documents without a copy pass as they are; the others meet
+    the verdict by id and text hash, and only winners that are repeated row for row are de-duplicated.
     """
 
-    text_hash = F.xxhash64(F.col(text_col))
     docs, prints, edges = _similar(df, width, similarity, id_col, text_col)
     member = roots_of(prints, edges)
-    same = docs.groupBy("doc_id", "text_hash", "v").agg(F.count("*").alias("n")).join(member, "v")
-    best = same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n")).alias("w"))
-    i, h, n = (free_name(df, x) for x in ("__id", "__hash", "__n"))
-    winners = materialise(best.select(F.col("w.doc_id").alias(i), F.col("w.text_hash").alias(h), F.col("w.n").alias(n)), "winners")
-    own = df.join(winners, F.col(id_col).eqNullSafe(F.col(i)) & (text_hash == F.col(h)))
-    return own.where(F.col(n) == 1).unionByName(own.where(F.col(n) > 1).dropDuplicates([i, h])).select(*df.columns)
+    same = materialise(docs.groupBy("doc_id", "text_hash", "v").agg(F.count("*").alias("n")).join(member.select("v", "root"), "v"), "same")
+    best = same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("w"), F.sum("n").alias("total"))
+    i, h, n, hash_ = (free_name(df, x) for x in ("__id", "__hash", "__n", "__text_hash"))
+    won = F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("text_hash") == F.col("w.text_hash"))
+    told = same.join(best.where("total > 1"), "root").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.when(won, F.col("n")).otherwise(0).alias(n))
+    told = materialise(told, "told")
+    some, rest = split_by(df.withColumn(hash_, F.xxhash64(F.col(text_col))), [F.col(id_col), F.col(hash_)], told, [i, h])
+    some = some.join(told, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(hash_) == F.col(h)), "left")
+    own = some.where(F.col(n).isNull() | (F.col(n) == 1)).select(*df.columns)
+    return rest.select(*df.columns).unionByName(own).unionByName(some.where(F.col(n) > 1).dropDuplicates([i, h]).select(*df.columns))
 
 
 def hexadecimal(fp: Column) -> Column:
