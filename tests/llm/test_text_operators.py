@@ -179,10 +179,47 @@ def test_boilerplate_lines_go_and_copies_stay(spark):
     rows += [(300 + i, f"only four sites hold the next line {i}\nthis line is on four sites only\nand something else here {i}", "en", f"site{i}", 0) for i in range(4)]
     got = {r["doc_id"]: r for r in line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_lines long")).collect()}
     assert all(banner not in got[i]["text"] and got[i]["n_removed"] == 1 and got[i]["n_lines_"] == 3 for i in range(12))
-    assert all(got[100 + i]["n_removed"] == 0 for i in range(6)) and got[None]["text"] == banner
+    assert all(got[100 + i]["n_removed"] == 0 for i in range(6)) and (got[None]["text"], got[None]["n_removed"]) == ("", 1)
     assert got[200]["text"] is None and got[201]["text"] == "" and all(got[300 + i]["n_removed"] == 0 for i in range(4))
 
 
+def plain_boilerplate(rows, least=16):
+    sites, texts = {}, {}
+    for _, text, source in rows:
+        for x in (text or "").split("\n"):
+            sites.setdefault(x.strip(" \t\x0b\x0c\r"), set()).add(source)
+            texts.setdefault(x.strip(" \t\x0b\x0c\r"), set()).add(text)
+    return {x for x in sites if x and min(len(sites[x]), len(texts[x])) >= (5 if len(x) >= least else 10)}
+
+
+def test_line_dedup_equals_a_plain_count(spark, docs):
+    r = random.Random(4)
+    lines = [f"line {k} " + "x" * r.randrange(0, 30) for k in range(60)] + ["a", " b ", "", "\t", "É\x0b", "a" * 16]
+    rows = [(r.choice([None, r.randrange(40)]), r.choice([None, "", "\n".join(r.choice(lines[: r.choice([9, 66])]) for _ in range(r.randrange(0, 9)))]), r.choice([None, *"abcdefghijkl"])) for _ in range(220)]
+    rows += rows[:5] + [(900 + k, "\n".join(r.choice(lines) for _ in range(3000)), "z") for k in range(3)]
+    for some in (rows, [(x["doc_id"], x["text"], x["source"]) for x in docs.collect()]):
+        gone = plain_boilerplate(some)
+        keep = lambda t: [x for x in t.split("\n") if x.strip(" \t\x0b\x0c\r") not in gone]
+        want = [(d, None, 0, 0) if t is None else (d, "\n".join(keep(t)), len(t.split("\n")), len(t.split("\n")) - len(keep(t))) for d, t, _ in some]
+        got = line_dedup.remove_boilerplate(spark.createDataFrame(some, "doc_id long, text string, source string")).select("doc_id", "text", "n_lines", "n_removed")
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_lines_of_many_near_copies_stay(spark):
+    r = random.Random(21)
+    say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    article, banner = [say(12) for _ in range(30)], [say(8) for _ in range(4)]
+    rows = []
+    for i in range(150):
+        own = list(article)
+        own[r.randrange(30)] = say(12)
+        rows.append((i, "\n".join(own), f"s{i % 40}"))
+    rows += [(1000 + i, "\n".join([banner[0], say(12), *banner[1:]]), f"s{i % 20}") for i in range(60)]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[d] == t for d, t, _ in rows if d < 1000)
+    assert all(got[d] == t.split("\n")[1] for d, t, _ in rows if d >= 1000)
+
+
 def test_boilerplate_goes_from_short_pages_and_copied_texts_stay(spark):
     r, banner = random.Random(14), "Accept all cookies to go on reading, or leave this page\nAll rights reserved by the owners"
     say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
@@ -199,7 +236,7 @@ def test_boilerplate_goes_from_short_pages_and_copied_texts_stay(spark):
 
 
 def test_near_threshold_lines_are_counted_exactly(spark):
-    lines = spark.range(2000).select((F.col("id") % 7).alias("line"), F.concat(F.lit("s"), F.least(F.col("id") % 11, F.col("id") % 7).cast("string")).alias("site"))
+    lines = spark.range(2000).select((F.col("id") % 7).alias("line"), F.concat(F.lit("s"), F.least(F.col("id") % 11, F.col("id") % 7).cast("string")).alias("site"), F.col("id").alias("text_key"), F.lit(False).alias("short"))
     want = {r[0] for r in lines.groupBy("line").agg(F.countDistinct("site").alias("n")).where("n >= 5").collect()}
     assert {r[0] for r in line_dedup.boilerplate(lines, sites=5, log_k=4).collect()} == want
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidegauge.llm.decontaminate import CONTAINMENT, SHINGLE
-from tidegauge.llm.line_dedup import LEAST_CHARS, SITES
+from tidegauge.llm.line_dedup import LEAST_CHARS, SHORT_SITES, SITES
 from tidegauge.llm.quality import LEAST_GROUP, MEASURES, TWO_SIDED, WINDOW
 
 _BLANK = r"[ \t\n\x0b\x0c\r]+"
@@ -70,12 +70,11 @@ _LEAKS = f"""
 _STRIP = r"trim({x}, ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
 _LINES = f"""
     WITH l AS (SELECT doc_id, text, source, string_split(text, chr(10)) AS ls FROM documents),
-    pairs AS (SELECT DISTINCT {_STRIP.format(x="x")} AS line, coalesce('s' || source, 'none') AS site FROM (SELECT source, unnest(ls) AS x FROM l) WHERE length({_STRIP.format(x="x")}) >= {LEAST_CHARS}),
-    bad AS (SELECT coalesce(list(line), []) AS lines FROM (SELECT line FROM pairs GROUP BY line HAVING count(*) >= {SITES})),
-    k AS (SELECT doc_id, text, ls, list_filter(ls, lambda x: NOT list_contains(lines, {_STRIP.format(x="x")})) AS rest FROM l CROSS JOIN bad),
-    j AS (SELECT *, len(rest) < len(ls) AND 2 * length(regexp_replace(array_to_string(rest, ''), '[ \\t\\n\\x0b\\x0c\\r]', '', 'g'))
-        >= length(regexp_replace(array_to_string(ls, ''), '[ \\t\\n\\x0b\\x0c\\r]', '', 'g')) AS cut FROM k)
-    SELECT doc_id, CASE WHEN cut THEN array_to_string(rest, chr(10)) ELSE text END AS text, coalesce(len(ls), 0)::BIGINT AS n_lines,
-        (CASE WHEN cut THEN len(ls) - len(rest) ELSE 0 END)::BIGINT AS n_removed FROM j"""
+    held AS (SELECT {_STRIP.format(x="x")} AS line, coalesce('s' || source, 'none') AS site, text FROM (SELECT source, text, unnest(ls) AS x FROM l)),
+    bad AS (SELECT coalesce(list(line), []) AS lines FROM (SELECT line FROM held WHERE line <> '' GROUP BY line
+        HAVING least(count(DISTINCT site), count(DISTINCT text)) >= CASE WHEN length(line) < {LEAST_CHARS} THEN {SHORT_SITES} ELSE {SITES} END)),
+    k AS (SELECT doc_id, text, ls, list_filter(ls, lambda x: NOT list_contains(lines, {_STRIP.format(x="x")})) AS rest FROM l CROSS JOIN bad)
+    SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(array_to_string(rest, chr(10)), '') END AS text, coalesce(len(ls), 0)::BIGINT AS n_lines,
+        coalesce(len(ls) - len(rest), 0)::BIGINT AS n_removed FROM k"""
 
 SQL: dict[str, str] = {"op2_quality": _quality(), "op3_decontaminate": _LEAKS, "op4_line_dedup": _LINES}
