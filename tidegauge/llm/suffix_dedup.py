@@ -1,42 +1,49 @@
 """Suffix-array dedup: bytes of repeated 50-byte strings go from every document but the one with the smallest id.
 
 Equal strings are brought together by their minimizer, the least hash of the 20-byte grams inside: every 50-byte string
-has one, equal strings have the same. Neighbouring strings of a document with one minimizer form a run. Three scans of
-the texts do the work, each narrower than the one before:
+has one, equal strings have the same. Neighbouring strings of a document with one minimizer form a run. Scans of the texts
+do the work, each narrower than the one before:
 
-1. Minimizers met in two or more documents are found by an aggregation and marked in a bit table of fixed size (16 MB).
+1. Minimizers met in two or more documents are marked in a bit table: tasks send sorted, difference-coded hashes (about three
+   bytes for a run), what two of them hold is shared.
 2. Runs of marked minimizers are written as (minimizer, content hash, document, place); an aggregation names the smallest
-   document of each content. A document with a larger id than that loses the whole run.
-3. Minimizers with several contents are dealt over shards with those contents, and each shard is sorted by external
-   induced sorting (`suffixes`): suffixes whose common prefix reaches 50 bytes are equal strings, and the smallest document
-   of each group tells which strings of a content's own smallest document stand in a still smaller one. Whole minimizers
-   are sorted in one task, so this is for those of at most MOST contents. The strings of a more common minimizer are
-   told one by one instead: written like the runs of scan 2, each with its own hash, and aggregated over all tasks.
+   and the largest document of each content. A document with a larger id than the smallest loses the whole run.
+3. The contents of minimizers that have several are cut out where they stand in their own smallest document, dealt over shards,
+   and each shard is sorted by external induced sorting (`suffixes`): suffixes whose common prefix reaches 50 bytes are equal
+   strings, and the smallest document of each group tells which strings of a content's own smallest document stand in a still
+   smaller one. Whole minimizers are sorted in one task, so this is for those of at most MOST contents. The strings of a more
+   common minimizer are told one by one instead: written like the runs of scan 2, each with its own hash, and aggregated.
 
-The bit tables only spare work: what they let through in error has one content and removes nothing. At sizes where they
-fill up everything passes, and results stay the same. Contents are told apart by 128 bits of hash.
+Only runs that may lose something, and only texts that do, take part in a join; bit tables of fixed size tell which. They only
+spare work: what they let through in error removes nothing. At sizes where they fill up everything passes, and results stay the
+same. Contents are told apart by 128 bits of hash.
 
 Null text is empty; texts under 50 bytes lose nothing. Rows with equal ids don't remove anything from each other, and a
-null id is larger than any other. Repeated rows get equal results.
+null id is larger than any other. Repeated rows get equal results, other columns are ignored, an empty table gives no rows. Short
+texts are hashed together, a long one piece by piece, with the overlap that its strings need.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.common import split_by
 from tidegauge.llm.suffixes import suffix_array
 from tidegauge.session import materialise
 
 #: Bytes of a repeated string, of the grams inside, and most strings of a run (bits of a mask).
 LENGTH, GRAM, RUN = 50, 20, 64
-#: Bits of a filter table; bytes of a text worked on at a time; bytes that a shard gathers before it sorts.
-FILTER_BITS, SEGMENT, SHARD = 1 << 27, 1 << 20, 1 << 22
+#: Bytes of text worked on at a time; bytes that a shard gathers before it sorts.
+SEGMENT, SHARD = 1 << 18, 1 << 22
+#: Bits of a hash that is counted and of the place in a table (so many bits it has), and hashes that a task sorts at a time.
+COUNTED, TABLE, SORTED = 40, 27, 1 << 21
 #: Most contents of a minimizer that are sorted together: under 4 MB, as a content has at most RUN + LENGTH - 1 bytes.
 MOST = 1 << 15
 _SPAN = LENGTH - GRAM + 1
@@ -66,72 +73,189 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return _mixed(sixteen[:n] * np.uint64(pow(_BASE, 4, 1 << 64)) + four[16 : 16 + n])
 
 
-def runs(data: bytes, alone: Marked | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(minimizer, content hash, first, end) of the runs of strings that start at first .. end - 1, segment by segment.
+@dataclass
+class Runs:
+    """Runs of strings of some texts: minimizer, content hash, text (index to ids and hashes), first and end string, place in data."""
+
+    key: np.ndarray
+    content: np.ndarray
+    row: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
+    at: np.ndarray
+    data: bytes
+    ids: np.ndarray
+    hashes: np.ndarray
+
+    def columns(self, some: np.ndarray) -> tuple[np.ndarray, ...]:
+        """h, content, d, text_hash, place (64 times the first string, and the further ones)."""
+        place = self.first[some] * RUN + (self.end[some] - self.first[some] - 1)
+        return self.key[some], self.content[some], self.ids[self.row[some]], self.hashes[self.row[some]], place
+
+    def pieces(self, some: np.ndarray) -> np.ndarray:
+        cut = np.empty(len(some), dtype=object)
+        size = self.end - self.first + LENGTH - 1
+        cut[:] = [self.data[a : a + n] for a, n in zip(self.at[some].tolist(), size[some].tolist())]
+        return cut
+
+
+def runs(pieces: list[tuple[int, int, bytes]], ids: np.ndarray, hashes: np.ndarray, alone: Bits | None = None) -> Runs:
+    """The runs of pieces of texts: (text, where the piece begins in it, bytes), each of LENGTH bytes or more.
 
     Minimizers held by `alone` have runs of one string only.
     """
-    whole = np.frombuffer(data, np.uint8)
-    for low in range(0, len(whole) - LENGTH + 1, SEGMENT):
-        g = gram_hashes(whole[low : low + SEGMENT + LENGTH - 1])
-        m = g
-        for step in (1, 2, 4, 8):
-            m = np.minimum(m[:-step], m[step:])
-        m = np.minimum(m[: len(g) - _SPAN + 1], m[_SPAN - 16 :])
-        cut = np.flatnonzero(m[1:] != m[:-1]) + 1
-        first, end = np.r_[0, cut], np.r_[cut, len(m)]
-        most = np.where(alone.held(m[first]), 1, RUN) if alone else np.full(len(first), RUN)
-        parts = -(-(end - first) // most)
-        if (parts > 1).any():
-            nth, most = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts), np.repeat(most, parts)
-            end = np.minimum(np.repeat(end, parts), np.repeat(first, parts) + (nth + 1) * most)
-            first = np.repeat(first, parts) + nth * most
-        content = (end - first).astype(np.uint64)
-        for step in range(0, RUN + LENGTH, GRAM):
-            content = _mixed(content * np.uint64(_BASE) + g[np.minimum(first + step, end + LENGTH - 1 - GRAM)])
-        yield m[first].view(np.int64), content.view(np.int64), first + low, end + low
-
-
-class Marked:
+    data = b"".join(p for _, _, p in pieces)
+    size = np.array([len(p) for _, _, p in pieces])
+    start = np.cumsum(size) - size
+    g = gram_hashes(np.frombuffer(data, np.uint8))
+    m = g
+    for step in (1, 2, 4, 8):
+        m = np.minimum(m[:-step], m[step:])
+    m = np.minimum(m[: len(g) - _SPAN + 1], m[_SPAN - 16 :])
+    # Strings that lie within one piece.
+    many = size - LENGTH + 1
+    inside = np.arange(many.sum()) + np.repeat(start - (np.cumsum(many) - many), many)
+    m = m[inside]
+    head = np.r_[True, m[1:] != m[:-1]]
+    head[np.cumsum(many)[:-1]] = True
+    first = np.flatnonzero(head)
+    end = np.r_[first[1:], len(m)]
+    most = np.where(alone.held(m[first].view(np.int64)), 1, RUN) if alone else np.full(len(first), RUN)
+    parts = -(-(end - first) // most)
+    if (parts > 1).any():
+        nth, most = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts), np.repeat(most, parts)
+        end = np.minimum(np.repeat(end, parts), np.repeat(first, parts) + (nth + 1) * most)
+        first = np.repeat(first, parts) + nth * most
+    key, at, n = m[first], inside[first], end - first
+    content = n.astype(np.uint64)
+    for step in range(0, RUN + LENGTH, GRAM):
+        content = _mixed(content * np.uint64(_BASE) + g[np.minimum(at + step, at + n + LENGTH - 1 - GRAM)])
+    piece = np.searchsorted(start, at, "right") - 1
+    offset = np.array([o for _, o, _ in pieces], dtype=np.int64)
+    first = at - start[piece] + offset[piece]
+    row = np.array([r for r, _, _ in pieces])[piece]
+    return Runs(key.view(np.int64), content.view(np.int64), row, first, first + n, at, data, ids, hashes)
+
+
+def scanned(frames: Iterator[pd.DataFrame], alone: Bits | None = None) -> Iterator[Runs]:
+    """The runs of all texts (d, text_hash, text), some SEGMENT bytes at a time."""
+    for frame in frames:
+        ids, hashes = frame["d"].to_numpy(), frame["text_hash"].to_numpy()
+        held, size = [], 0
+        for row, text in enumerate(frame["text"]):
+            data = text.encode()
+            for low in range(0, len(data) - LENGTH + 1, SEGMENT):
+                piece = data[low : low + SEGMENT + LENGTH - 1]
+                if held and size + len(piece) > SEGMENT:
+                    yield runs(held, ids, hashes, alone)
+                    held, size = [], 0
+                held.append((row, low, piece))
+                size += len(piece)
+        if held:
+            yield runs(held, ids, hashes, alone)
+
+
+class Bits:
     """A bit table of fixed size: `held` is true for every key that was put in, and for few others."""
 
     def __init__(self, table: np.ndarray):
         self.table = table
 
     def held(self, keys: np.ndarray) -> np.ndarray:
-        keys, out = keys.view(np.uint64), np.ones(len(keys), dtype=bool)
-        for shift in (0, 32):
-            at = (keys >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1)
-            out &= (self.table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return out
+        at = _mixed(keys.view(np.uint64)) >> np.uint64(64 - TABLE)
+        return (self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def mark(df: DataFrame, key: str):
-    """The table of a column of 64-bit hashes, broadcast: FILTER_BITS bits, whatever the number of rows."""
-    places = F.array(*[F.expr(f"shiftrightunsigned({key}, {s}) & {FILTER_BITS - 1}L") for s in (0, 32)])
-    words = df.select(F.explode(places).alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b")).toArrow()
-    table = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    table[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
-    return df.sparkSession.sparkContext.broadcast(table)
+def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One key of two."""
+    return (_mixed(a.view(np.uint64)) * np.uint64(_BASE) ^ b.view(np.uint64)).view(np.int64)
 
 
-def _scanned(docs: DataFrame, each: Callable, columns: list[str], schema) -> DataFrame:
-    """A row per run: `each` takes a document's id, text hash and bytes and yields equally long arrays."""
+def _coded(keys: list[np.ndarray], parts: int) -> pd.DataFrame:
+    """Sorted hashes of keys, a blob of differences for each part of the table: rows (part, wide, blob)."""
+    some = np.sort(_mixed(np.concatenate(keys).view(np.uint64)) >> np.uint64(64 - COUNTED))
+    bounds = np.searchsorted(some, np.arange(parts + 1, dtype=np.uint64) << np.uint64(COUNTED - parts.bit_length() + 1))
+    rows = []
+    for part, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        if a < b:
+            step = np.diff(some[a:b], prepend=np.uint64(part) << np.uint64(COUNTED - parts.bit_length() + 1))
+            wide = next(w for w in (1, 2, 3, 4, 8) if int(step.max()) < 1 << (8 * w))
+            rows.append((part, wide, step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()))
+    return pd.DataFrame(rows, columns=["part", "wide", "blob"])
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _decoded(part: int, wide: int, blob: bytes, parts: int) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8).reshape(-1, wide)
+    step = np.zeros((len(raw), 8), dtype=np.uint8)
+    step[:, :wide] = raw
+    return np.cumsum(step.view("<u8").ravel()) + (np.uint64(part) << np.uint64(COUNTED - parts.bit_length() + 1))
+
+
+def tables(df: DataFrame, keys_of: Callable[[Iterator[pd.DataFrame]], Iterator[np.ndarray]], least: tuple[int, ...]) -> list:
+    """For each number in `least` the broadcast table of the keys that come so often or more; `keys_of` yields keys of a task's rows.
+
+    Every part of the tables is settled by one task; a part grows with the keys, so there are four for each shuffle partition.
+    """
+    spark = df.sparkSession
+    parts = 1 << max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    bits = TABLE - parts.bit_length() + 1
+
+    def sent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
+        for keys in keys_of(frames):
+            held.append(keys)
+            n += len(keys)
+            if n >= SORTED:
+                yield _coded(held, parts)
+                held, n = [], 0
+        if n:
+            yield _coded(held, parts)
+
+    def settled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held = -1, []
+
+        def table() -> pd.DataFrame:
+            value, n = np.unique(np.concatenate(held), return_counts=True)
+            out = []
+            for k, few in enumerate(least):
+                at = (value[n >= few] >> np.uint64(COUNTED - TABLE)).astype(np.int64) - (part << bits)
+                flags = np.zeros(1 << bits, dtype=np.uint8)
+                flags[at] = 1
+                if len(at):
+                    out.append((part, k, np.packbits(flags, bitorder="little").tobytes()))
+            return pd.DataFrame(out, columns=["part", "k", "bits"])
+
         for frame in frames:
-            for d, h, text in zip(frame["d"], frame["text_hash"], frame["text"]):
-                for arrays in each(d, h, text.encode()):
-                    held.append(arrays)
-                    n += len(arrays[0])
-                    if n >= 200_000:
-                        yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(columns, zip(*held))})
-                        held, n = [], 0
+            for p, wide, blob in zip(frame["part"], frame["wide"], frame["blob"]):
+                if p != part and held:
+                    yield table()
+                    held = []
+                part = p
+                held.append(_decoded(p, wide, blob, parts))
         if held:
-            yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(columns, zip(*held))})
+            yield table()
+
+    coded = df.mapInPandas(sent, "part int, wide int, blob binary").repartition("part").sortWithinPartitions("part")
+    out = [np.zeros(1 << (TABLE - 3), dtype=np.uint8) for _ in least]
+    for row in coded.mapInPandas(settled, "part int, k int, bits binary").toArrow().to_pylist():
+        size = len(row["bits"])
+        out[row["k"]][row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return [spark.sparkContext.broadcast(t) for t in out]
+
 
-    return docs.mapInPandas(scan, schema)
+_ROWS = "h long, content long, d long, text_hash long, place long"
+
+
+def _rows(docs: DataFrame, chosen: Callable[[Runs], np.ndarray], alone=None) -> DataFrame:
+    """_ROWS of the runs that `chosen` names."""
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r in scanned(frames, Bits(alone.value) if alone else None):
+            some = chosen(r)
+            if len(some):
+                yield pd.DataFrame(dict(zip(("h", "content", "d", "text_hash", "place"), r.columns(some))))
+
+    return docs.mapInPandas(scan, _ROWS)
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -185,56 +309,69 @@ def _sorted_shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield settle()
 
 
-def _lost(rows: DataFrame, told: DataFrame) -> DataFrame:
-    """(d, text_hash, span) of the runs that lose anything."""
-    mask = F.when(F.col("d") > F.col("low"), F.lit(-1)).otherwise(F.coalesce("mask", F.lit(0)))
-    return rows.join(told, ["h", "content"]).select("d", "text_hash", F.struct("first", "end", mask.cast("long").alias("mask")).alias("span")).where("span.mask != 0")
+def _lost(rows: DataFrame, contents: DataFrame, masks: DataFrame | None = None) -> DataFrame:
+    """(d, text_hash, span) of the runs that lose anything; contents: h, content, low, high."""
+
+    def keys(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        for f in frames:
+            yield both(f["h"].to_numpy(), f["content"].to_numpy())
+
+    told = contents.where("low < high").select("h", "content")
+    (hit,) = tables(told.unionByName(masks.select("h", "content")) if masks else told, keys, (1,))
+
+    @F.pandas_udf("boolean")
+    def concerned(h: pd.Series, content: pd.Series) -> pd.Series:
+        return pd.Series(Bits(hit.value).held(both(h.to_numpy(), content.to_numpy())))
+
+    known = contents.where(concerned("h", "content")).select("h", "content", "low")
+    known = known.join(masks, ["h", "content"], "left") if masks else known.withColumn("mask", F.lit(0).cast("long"))
+    mask = F.when(F.col("d") > F.col("low"), F.lit(-1)).otherwise(F.coalesce("mask", F.lit(0))).cast("long")
+    first = F.floor(F.col("place") / RUN).cast("long")
+    span = F.struct(first.alias("first"), (first + F.pmod("place", F.lit(RUN)) + 1).alias("end"), mask.alias("mask")).alias("span")
+    return rows.where(concerned("h", "content")).join(known, ["h", "content"]).select("d", "text_hash", span).where("span.mask != 0")
 
 
 def covered(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """(d, text_hash, spans): runs of removed strings as (first, end, mask); mask -1 is the whole run."""
     docs = _documents(df, id_col, text_col).select("d", "text_hash", "text").where(F.octet_length("text") >= LENGTH)
 
-    def seen(d, h, data):
-        for key, _, _, _ in runs(data):
-            yield key, np.full(len(key), d)
-
-    met = _scanned(docs, seen, ["h", "d"], "h long, d long").groupBy("h").agg(F.min("d").alias("low"), F.max("d").alias("high"))
-    shared = mark(met.where(F.col("low") < F.col("high")), "h")
-
-    def located(d, h, data):
-        for key, content, first, end in runs(data):
-            k = Marked(shared.value).held(key)
-            yield key[k], content[k], np.full(k.sum(), d), np.full(k.sum(), h), first[k], end[k]
-
-    names = ["h", "content", "d", "text_hash", "first", "end"]
-    rows = materialise(_scanned(docs, located, names, "h long, content long, d long, text_hash long, first long, end long"), "runs")
-    lowest = materialise(rows.groupBy("h", "content").agg(F.min("d").alias("low")), "contents")
-    counts = lowest.groupBy("h").agg(F.count("*").alias("n"), F.min("low").alias("a"), F.max("low").alias("b")).where("n > 1 and a < b")
-    counts = materialise(counts.select("h", "n"), "minimizers")
-    several = mark(counts.where(F.col("n") <= most), "h")
-    common = counts.where(F.col("n") > most)
-    hot = mark(common, "h")
-
-    def cut_out(d, h, data):
-        for key, content, first, end in runs(data):
-            k = np.flatnonzero(Marked(shared.value).held(key) & Marked(several.value).held(key) & ~Marked(hot.value).held(key))
-            cut = np.empty(len(k), dtype=object)
-            cut[:] = [data[a : b + LENGTH - 1] for a, b in zip(first[k], end[k])]
-            yield key[k], content[k], np.full(len(k), d), cut
-
-    pieces = _scanned(docs, cut_out, ["h", "content", "d", "data"], "h long, content long, d long, data binary")
+    def met(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        for r in scanned(frames):
+            # Once for each text of the block.
+            by = np.lexsort((r.key, r.row))
+            key, row = r.key[by], r.row[by]
+            yield key[np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])]]
+
+    (shared,) = tables(docs, met, (2,))
+    rows = materialise(_rows(docs, lambda r: np.flatnonzero(Bits(shared.value).held(r.key))), "runs")
+    contents = materialise(rows.groupBy("h", "content").agg(F.min("d").alias("low"), F.max("d").alias("high")), "contents")
+
+    def minimizers(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        for f in frames:
+            yield f["h"].to_numpy()
+
+    def smallest(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        for f in frames:
+            f = f[Bits(several.value).held(f["h"].to_numpy())]
+            yield both(f["content"].to_numpy(), f["low"].to_numpy())
+
+    several, hot = tables(contents.select("h"), minimizers, (2, most + 1))
+    (lowest,) = tables(contents.select("h", "content", "low"), smallest, (1,))
+
+    def cut_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r in scanned(frames):
+            k = Bits(shared.value).held(r.key) & Bits(several.value).held(r.key) & ~Bits(hot.value).held(r.key)
+            k = np.flatnonzero(k & Bits(lowest.value).held(both(r.content, r.ids[r.row])))
+            if len(k):
+                yield pd.DataFrame({"h": r.key[k], "content": r.content[k], "d": r.ids[r.row[k]], "data": r.pieces(k)})
+
+    pieces = docs.mapInPandas(cut_out, "h long, content long, d long, data binary")
     masks = pieces.repartition("h").sortWithinPartitions("h", "content").mapInPandas(_sorted_shards, "h long, content long, mask long")
-    hit = _lost(rows, lowest.join(masks, ["h", "content"], "left"))
-    if not common.isEmpty():
-
-        def one_by_one(d, h, data):
-            for key, content, first, end in runs(data, Marked(hot.value)):
-                k = Marked(hot.value).held(key)
-                yield key[k], content[k], np.full(k.sum(), d), np.full(k.sum(), h), first[k], end[k]
-
-        strings = materialise(_scanned(docs, one_by_one, names, rows.schema), "strings")
-        hit = hit.unionByName(_lost(strings, strings.groupBy("h", "content").agg(F.min("d").alias("low")).withColumn("mask", F.lit(0))))
+    hit = _lost(rows, contents, materialise(masks, "masks"))
+    if hot.value.any():
+        strings = materialise(_rows(docs, lambda r: np.flatnonzero(Bits(hot.value).held(r.key)), hot), "strings")
+        alike = materialise(strings.groupBy("h", "content").agg(F.min("d").alias("low"), F.max("d").alias("high")), "alike")
+        hit = hit.unionByName(_lost(strings, alike))
     return hit.groupBy("d", "text_hash").agg(F.collect_set("span").alias("spans"))
 
 
@@ -254,7 +391,10 @@ def _cover(n: int, spans) -> np.ndarray:
 
 
 def _with_spans(df: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
-    return _documents(df, id_col, text_col).join(covered(df, id_col, text_col, most), ["d", "text_hash"], "left")
+    spans = materialise(covered(df, id_col, text_col, most), "spans")
+    some, rest = split_by(_documents(df, id_col, text_col), [F.col("d"), F.col("text_hash")], spans, ["d", "text_hash"])
+    none = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
+    return some.join(spans, ["d", "text_hash"], "left").select("doc_id", "text", "spans").unionByName(rest.select("doc_id", "text", none))
 
 
 def removed(text: Column, spans: Column) -> Column:
