@@ -284,27 +284,42 @@ def smaller_elsewhere(contents: list[bytes], lows: np.ndarray) -> np.ndarray:
 
 
 def _sorted_shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Masks of contents; rows arrive sorted by minimizer and content, and whole minimizers are sorted together."""
+    """Masks of contents; rows arrive sorted by minimizer and content, and whole minimizers are sorted together.
+
+    A minimizer whose contents all belong to one document removes nothing and isn't sorted.
+    """
     contents: list[tuple[int, int, bytes]] = []
     lows: list[int] = []
-    size = 0
+    first = size = 0  # where the present minimizer begins, bytes before it
 
-    def settle():
-        masks = smaller_elsewhere([c for _, _, c in contents], np.array(lows, dtype=np.int64))
+    def settle() -> pd.DataFrame:
+        masks = smaller_elsewhere([c for _, _, c in contents[:first]], np.array(lows[:first], dtype=np.int64))
         some = np.flatnonzero(masks)
         return pd.DataFrame({"h": [contents[i][0] for i in some], "content": [contents[i][1] for i in some], "mask": masks[some].view(np.int64)})
 
+    def closed() -> None:
+        """The present minimizer is whole."""
+        nonlocal first, size
+        if min(lows[first:]) == max(lows[first:]):
+            del contents[first:], lows[first:]
+        size += sum(len(c) for _, _, c in contents[first:])
+        first = len(contents)
+
     for frame in frames:
         for key, content, d, data in zip(frame["h"], frame["content"], frame["d"], frame["data"]):
-            if contents and contents[-1][:2] == (key, content):
-                lows[-1] = min(lows[-1], d)
-                continue
-            if size >= SHARD and contents[-1][0] != key:
+            if len(contents) > first:
+                if contents[-1][:2] == (key, content):
+                    lows[-1] = min(lows[-1], d)
+                    continue
+                if contents[-1][0] != key:
+                    closed()
+            if size >= SHARD and len(contents) == first:
                 yield settle()
-                contents, lows, size = [], [], 0
+                contents, lows, first, size = [], [], 0, 0
             contents.append((key, content, bytes(data)))
             lows.append(d)
-            size += len(data)
+    if len(contents) > first:
+        closed()
     if contents:
         yield settle()
 
@@ -390,13 +405,6 @@ def _cover(n: int, spans) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _with_spans(df: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
-    spans = materialise(covered(df, id_col, text_col, most), "spans")
-    some, rest = split_by(_documents(df, id_col, text_col), [F.col("d"), F.col("text_hash")], spans, ["d", "text_hash"])
-    none = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
-    return some.join(spans, ["d", "text_hash"], "left").select("doc_id", "text", "spans").unionByName(rest.select("doc_id", "text", none))
-
-
 def removed(text: Column, spans: Column) -> Column:
     """struct<n_bytes, n_removed, n_spans, kept, kept_sha256>; kept is binary, as cuts may split characters."""
 
@@ -415,4 +423,9 @@ def removed(text: Column, spans: Column) -> Column:
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and their digest."""
-    return _with_spans(df, id_col, text_col, most).select("doc_id", removed(F.col("text"), F.col("spans")).alias("r")).select("doc_id", "r.*")
+    spans = materialise(covered(df, id_col, text_col, most), "spans")
+    some, rest = split_by(_documents(df, id_col, text_col), [F.col("d"), F.col("text_hash")], spans, ["d", "text_hash"])
+    cut = some.join(spans, ["d", "text_hash"], "left").select("doc_id", removed(F.col("text"), F.col("spans")).alias("r")).select("doc_id", "r.*")
+    data, none = F.col("text").cast("binary"), F.lit(0).cast("long")
+    whole = rest.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), data.alias("kept"), F.sha2(data, 256).alias("kept_sha256"))
+    return cut.unionByName(whole)

@@ -74,10 +74,18 @@ def kinds(text: np.ndarray) -> np.ndarray:
     return step[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
 
-def _push_all(queue: BucketQueue, text: np.ndarray, wanted: np.ndarray, places: np.ndarray, common: np.ndarray, least: np.ndarray, depth: int) -> None:
-    """Pushes the left neighbours of popped suffixes that are `wanted`; `least` is the running minimum for each symbol."""
+def _push_all(queue: BucketQueue, text: np.ndarray, wanted: np.ndarray, places: np.ndarray, common: np.ndarray, least: np.ndarray | None, depth: int) -> None:
+    """Pushes the left neighbours of popped suffixes that are `wanted`; `least` is the running minimum for each symbol, if tracked."""
     before = places - 1
     ok = np.flatnonzero((places > 0) & wanted[before])
+    if least is None:
+        symbol = text[before[ok]]
+        order = np.argsort(symbol, kind="stable")
+        at, symbol = before[ok[order]], symbol[order]
+        heads = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]]) if len(at) else ()
+        for a, b in zip(heads, [*heads[1:], len(at)]):
+            queue.push(int(symbol[a]), at[a:b], at[a:b])
+        return
     running = np.minimum.accumulate(common) if len(common) else common
     if len(ok):
         symbol = text[before[ok]]
@@ -100,11 +108,15 @@ def _push_all(queue: BucketQueue, text: np.ndarray, wanted: np.ndarray, places:
         least[:] = np.minimum(least, running[-1])
 
 
-def induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, seed_common: np.ndarray, symbols: int, depth: int, memory: int = MEMORY):
-    """All suffixes in order and each one's common prefix with its predecessor (capped), from seeds in order."""
+def induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, seed_common: np.ndarray | None, symbols: int, depth: int, memory: int = MEMORY):
+    """All suffixes in order and each one's common prefix with its predecessor (capped), from seeds in order.
+
+    Without `seed_common` only the order is told.
+    """
+    told = seed_common is not None
     first = text[seeds]
     bounds = np.searchsorted(first, np.arange(symbols + 1))
-    queue, least = BucketQueue(symbols, memory), np.zeros(symbols, dtype=np.int64)
+    queue, least = BucketQueue(symbols, memory), np.zeros(symbols, dtype=np.int64) if told else None
     large: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(symbols)]
     is_l = ~is_s
     for c in range(symbols):
@@ -117,11 +129,12 @@ def induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, seed_common: n
             _push_all(queue, text, is_l, places, common, least, depth)
         a, b = bounds[c], bounds[c + 1]
         if a < b:
-            common = seed_common[a:b].copy()
-            common[0] = 0 if last is None else common_prefix(text, last, seeds[a : a + 1], depth)[0]
+            common = seed_common[a:b].copy() if told else seeds[a:b]
+            if told:
+                common[0] = 0 if last is None else common_prefix(text, last, seeds[a : a + 1], depth)[0]
             _push_all(queue, text, is_l, seeds[a:b], common, least, depth)
     queue.close()
-    queue, least = BucketQueue(symbols, memory), np.zeros(symbols, dtype=np.int64)
+    queue, least = BucketQueue(symbols, memory), np.zeros(symbols, dtype=np.int64) if told else None
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for c in range(symbols - 1, -1, -1):
         last = None
@@ -134,7 +147,7 @@ def induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, seed_common: n
         if large[c]:
             places = np.concatenate([p for p, _ in large[c]])[::-1]
             up = np.concatenate([x for _, x in large[c]])
-            common = np.r_[0 if last is None else common_prefix(text, places[:1], last, depth)[0], up[1:][::-1]]
+            common = np.r_[0 if last is None or not told else common_prefix(text, places[:1], last, depth)[0], up[1:][::-1]]
             out.append((places, common))
             _push_all(queue, text, is_s, places, common, least, depth)
     queue.close()
@@ -164,7 +177,7 @@ def sorted_seeds(text: np.ndarray, is_s: np.ndarray, symbols: int, depth: int, m
     if len(lms) < 2:
         return lms
     rough = lms[np.argsort(text[lms], kind="stable")]
-    places, _ = induce(text, is_s, rough, np.zeros(len(rough), dtype=np.int64), symbols, depth, memory)
+    places, _ = induce(text, is_s, rough, None, symbols, depth, memory)
     mark = np.zeros(len(text), dtype=bool)
     mark[lms] = True
     places = places[mark[places]]
