@@ -26,7 +26,8 @@ def test_alarm_soon_after_a_shift_and_the_window_shrinks():
     signal = [clipped(rnd, 0.05, 0.01) for _ in range(200)] + [clipped(rnd, 0.75, 0.02) for _ in range(150)]
     alarms = [i for i, x in enumerate(signal) if window.add(x)]
     assert alarms and 200 <= alarms[0] < 320
-    assert window.n < 200 and abs(window.mean - 0.75) < 0.05
+    # How many old values stay depends on where buckets end; on average it is about twenty.
+    assert window.n <= 150 + 24 and abs(window.mean - 0.75) < 0.1
 
 
 def test_histogram_keeps_exact_moments_while_nothing_is_cut():
@@ -53,7 +54,7 @@ def signals(spark):
     return rows, spark.createDataFrame(rows, "series string, row_idx long, x double")
 
 
-def test_fold_is_the_same_loop_for_any_wave_and_partitioning(spark):
+def test_fold_is_the_same_loop_for_any_segment_and_partitioning(spark):
     rows, df = signals(spark)
     want = {}
     for s in "abc":
@@ -61,8 +62,8 @@ def test_fold_is_the_same_loop_for_any_wave_and_partitioning(spark):
         for r in sorted(r for r in rows if r[0] == s):
             want[r[:2]] = (window.add(r[2]), window.n, window.alarms)
     assert any(hit for hit, _, _ in want.values())
-    for wave, parts in ((1 << 24, 3), (64, 7), (100, 1)):
-        out = detect.adwin(df.repartition(parts), AXIS, "x", clock=8, rows_per_wave=wave)
+    for segment, parts in ((1 << 16, 3), (64, 7), (128, 1)):
+        out = detect.adwin(df.repartition(parts), AXIS, "x", clock=8, segment_rows=segment)
         assert {(r.series, r.row_idx): (r.drift_detected, r.width, r.n_alarms) for r in out.collect()} == want
 
 
@@ -141,7 +142,7 @@ def test_error_ema_moves_only_when_a_label_arrives(spark):
         assert abs(got[i] - state) < 1e-12
 
 
-def test_closed_loop_survives_waves(spark):
+def test_closed_loop_is_the_same_in_segments(spark):
     rnd = random.Random(8)
     rows = [
         (p, i, rnd.random(), rnd.random(), 1.0, rnd.randrange(2), rnd.randrange(2), rnd.random(), rnd.randrange(2), p)
@@ -150,7 +151,7 @@ def test_closed_loop_survives_waves(spark):
     cols = "series string, row_idx long, confidence double, drift double, quality double, edge_pred int, cloud_pred int, edge_conf double, label int, policy string"
     df = spark.createDataFrame(rows, cols)
     one = sorted(map(tuple, routing.closed_loop(df, AXIS).collect()))
-    assert sorted(map(tuple, routing.closed_loop(df, AXIS, rows_per_wave=25).collect())) == one
+    assert sorted(map(tuple, routing.closed_loop(df, AXIS, segment_rows=32, warm=10).collect())) == one
     assert {r[-3] for r in one if r[0] == "edge_only"} == {"EDGE"} and {r[-3] for r in one if r[0] == "cloud_only"} == {"CLOUD"}
     assert {r[-3] for r in one if r[0] == "adaptive"} == {"EDGE", "HYBRID", "CLOUD"}
 
@@ -166,7 +167,7 @@ def test_fixed_delay_error_equals_the_sparse_form(spark):
     assert all(abs(sparse[i] - fixed[i]) < 1e-12 for i in range(400)) and fixed[14] == 0.1
 
 
-def test_a_known_last_index_gives_the_same_waves(spark):
+def test_a_known_last_index_gives_the_same_rows(spark):
     _, df = signals(spark)
     one = sorted(map(tuple, detect.adwin(df, AXIS, "x", clock=8).collect()))
-    assert sorted(map(tuple, detect.adwin(df, AXIS, "x", clock=8, rows_per_wave=200, last_index=899).collect())) == one
+    assert sorted(map(tuple, detect.adwin(df, AXIS, "x", clock=8, segment_rows=256, last_index=899).collect())) == one

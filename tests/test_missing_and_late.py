@@ -36,9 +36,9 @@ def test_the_last_label_of_an_observation_counts_once(spark):
 
 
 def test_too_small_a_last_index_is_refused(spark):
-    df = spark.range(10).select(F.lit("a").alias("series"), F.col("id").alias("row_idx"), F.lit(1.0).alias("x"))
-    with pytest.raises(ValueError, match="last_index=5"):
-        detect.adwin(df, AXIS, "x", rows_per_wave=4, last_index=5)
+    df = spark.range(200).select(F.lit("a").alias("series"), F.col("id").alias("row_idx"), F.lit(1.0).alias("x"))
+    with pytest.raises(ValueError, match="last_index=70"):
+        detect.adwin(df, AXIS, "x", segment_rows=64, last_index=70)
 
 
 def test_candidates_are_judged_on_every_validation_row(spark):

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.operators.adwin import AdaptiveWindow
+from tidegauge.operators.adwin import ANEW, AdaptiveWindow
 from tidegauge.operators.ordering import Axis
+from tidegauge.operators.speculative import SEGMENT_ROWS, Folded, speculative_fold
 from tidegauge.session import materialise
 
 Step = Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame]]
@@ -31,7 +32,7 @@ def ordered_fold(
 ) -> DataFrame:
     """Run a stateful step over every series in index order.
 
-    For state that no associative summary can carry (an adaptive window). `step` gets the
+    For state that no associative summary can carry. `step` gets the
     state and the next rows of one series as a batch and returns the new state and one
     output row per input row. All series advance together in waves of `rows_per_wave` rows
     each: a task holds one Arrow batch and one state at a time, never a series, and the
@@ -110,7 +111,44 @@ ADWIN_FIELDS = T.StructType(
 )
 
 
-def adwin(
+class Detector:
+    """The adaptive window as a machine over `value` (and `weight`, `m2` of pre-aggregated rows)."""
+
+    outputs, warm = ADWIN_FIELDS, 0
+
+    def __init__(self, binned: bool, *settings):
+        self.binned, self.settings = binned, settings
+
+    def start(self) -> AdaptiveWindow:
+        return AdaptiveWindow(*self.settings)
+
+    def _columns(self, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(part)
+        if self.binned:
+            return part["value"].to_numpy(), part["weight"].to_numpy(), part["m2"].to_numpy()
+        return part["value"].to_numpy(), np.ones(n, dtype=np.int64), np.zeros(n)
+
+    def step(self, state: AdaptiveWindow, part: pd.DataFrame) -> tuple[AdaptiveWindow, pd.DataFrame]:
+        rows = []
+        for x, w, s in zip(*(c.tolist() for c in self._columns(part))):
+            hit = state.add(x, int(w), s)
+            rows.append((hit, state.mean, state.variance, state.n, state.total, state.alarms))
+        return state, pd.DataFrame(rows, columns=self.outputs.names)
+
+    def frozen(self, state: AdaptiveWindow) -> bytes:
+        return state.frozen()
+
+    def thawed(self, data: bytes) -> AdaptiveWindow:
+        return self.start().thawed(data)
+
+    def summary(self, part: pd.DataFrame, start: int) -> bytes:
+        return pickle.dumps(self.start().summary(*self._columns(part), start))
+
+    def advance(self, state: AdaptiveWindow, summary: bytes, rows: int) -> AdaptiveWindow:
+        return state.advanced(pickle.loads(summary), rows)
+
+
+def adwin_folded(
     df: DataFrame,
     axis: Axis,
     value: str,
@@ -120,16 +158,17 @@ def adwin(
     min_window: int = 5,
     grace: int = 10,
     bin_rows: int = 1,
-    rows_per_wave: int = FOLD_ROWS,
+    segment_rows: int = SEGMENT_ROWS,
     last_index: int | None = None,
-) -> DataFrame:
-    """Adaptive-window alarms per row: series, index, value and the detector's readings.
+) -> Folded:
+    """Adaptive-window alarms per row, and how many segments had to run again for them.
 
-    The detector is sequential by definition. `bin_rows` > 1 pre-aggregates that many
-    consecutive rows into one weighted bucket first (in parallel), which cuts the sequential
-    part of a very long series by the same factor; readings are then per bin, under the
-    bin's last row. Every row still counts in the window's mean and variance.
+    A window depends on everything since its last cut, but cuts are rare: every segment starts from the window that its
+    predecessors' buckets give if none of them cuts, and runs again only if one did. `bin_rows` > 1 pre-aggregates that many
+    consecutive rows into one weighted bucket first; readings are then per bin, under the bin's last row.
     """
+    if segment_rows < ANEW:
+        raise ValueError(f"segment_rows={segment_rows} must be at least {ANEW}")
     slim = df.select(*axis.series, axis.idx, F.col(value).cast("double").alias("value"))
     over = axis
     if bin_rows > 1:
@@ -141,23 +180,16 @@ def adwin(
             (F.var_pop("value") * F.count("*")).alias("m2"),
         )
         over = Axis(axis.series, "__bin", axis.chunk_rows)
+    machine = Detector(bin_rows > 1, delta, max(1, clock // bin_rows), max_buckets, min_window, grace)
+    last = None if last_index is None else last_index // bin_rows
+    out = speculative_fold(slim, over, machine, segment_rows, last)
+    rows = out.rows.select(*axis.series, axis.idx, "value", *ADWIN_FIELDS.names)
+    return Folded(rows, out.segments, out.again, out.rounds)
 
-    def init():
-        return AdaptiveWindow(delta, max(1, clock // bin_rows), max_buckets, min_window, grace)
-
-    def step(state: AdaptiveWindow, part: pd.DataFrame):
-        n = len(part)
-        weights = part["weight"].to_numpy() if bin_rows > 1 else [1] * n
-        spreads = part["m2"].to_numpy() if bin_rows > 1 else [0.0] * n
-        rows = []
-        for x, w, s in zip(part["value"].tolist(), weights, spreads):
-            hit = state.add(x, int(w), float(s))
-            rows.append((hit, state.mean, state.variance, state.n, state.total, state.alarms))
-        return state, pd.DataFrame(rows, columns=[f.name for f in ADWIN_FIELDS.fields])
 
-    last = None if last_index is None else last_index // bin_rows
-    out = ordered_fold(slim, over, init, step, ADWIN_FIELDS, rows_per_wave, last)
-    return out.select(*axis.series, axis.idx, "value", *[f.name for f in ADWIN_FIELDS.fields])
+def adwin(df: DataFrame, axis: Axis, value: str, **options) -> DataFrame:
+    """Adaptive-window alarms per row: series, index, value and the detector's readings (see `adwin_folded`)."""
+    return adwin_folded(df, axis, value, **options).rows
 
 
 def persistence_consecutive(df: DataFrame, axis: Axis, alarm: str, k: int = 3) -> DataFrame:

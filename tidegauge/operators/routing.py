@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.functions.signals import clip, confidence
-from tidegauge.operators.detect import FOLD_ROWS, ordered_fold
 from tidegauge.operators.ordering import Axis
+from tidegauge.operators.speculative import SEGMENT_ROWS, speculative_fold
 
 # Actions and default thresholds.
 EDGE, HYBRID, CLOUD = "EDGE", "HYBRID", "CLOUD"
@@ -180,52 +181,85 @@ LOOP_FIELDS = T.StructType(
 )
 
 
-def closed_loop(
-    df: DataFrame,
-    axis: Axis,
-    delay: int = 15,
-    alpha: float = 0.8,
-    floor: float = FALLBACK_CONFIDENCE,
-    epsilon: float = 1e-8,
-    policy: str = "policy",
-    rows_per_wave: int = FOLD_ROWS,
-    last_index: int | None = None,
-) -> DataFrame:
-    """Routing whose own answers feed back: the label of row t-delay scores the answer given
-    then, which moves the error, the reliability and so the next action.
+#: Rows after which a smoothed error has forgotten where it began, beside the delay of its labels.
+FORGETS = 256
 
-    Needs confidence, drift, quality, edge_pred, cloud_pred, edge_conf, label and a policy
-    column (adaptive, edge_only, cloud_only). The recursion has no closed form, so it runs
-    as an ordered fold over these few columns with an O(delay) state.
-    """
 
-    def step(state, part: pd.DataFrame):
+class Controller:
+    """The adaptive controller with its own answers fed back, as a machine."""
+
+    outputs = LOOP_FIELDS
+
+    def __init__(self, delay: int, alpha: float, floor: float, epsilon: float, warm: int):
+        self.delay, self.alpha, self.floor, self.epsilon, self.warm = delay, alpha, floor, epsilon, warm
+
+    def start(self) -> tuple:
+        return 0.0, EDGE, deque()
+
+    def step(self, state: tuple, part: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         error, action, waiting = state
         out = []
-        for row in zip(
-            part["confidence"].tolist(), part["drift"].tolist(), part["quality"].tolist(), part["edge_pred"].tolist(),
-            part["cloud_pred"].tolist(), part["edge_conf"].tolist(), part["label"].tolist(), part[policy].tolist(),
+        for conf, drift, quality, by_edge, by_cloud, sure, label in zip(
+            *(part[c].tolist() for c in ("confidence", "drift", "quality", "edge_pred", "cloud_pred", "edge_conf", "label"))
         ):
-            conf, drift, quality, by_edge, by_cloud, sure, label, rule = row
-            if len(waiting) == delay:
-                error = alpha * error + (1.0 - alpha) * waiting.popleft()
+            if len(waiting) == self.delay:
+                error = self.alpha * error + (1.0 - self.alpha) * waiting.popleft()
             parts = (conf, 1.0 - error, 1.0 - drift, quality)
-            r = 1.0 / sum(0.25 / (min(max(p, 0.0), 1.0) + epsilon) for p in parts)
+            r = 1.0 / sum(0.25 / (min(max(p, 0.0), 1.0) + self.epsilon) for p in parts)
             r = min(max(r, 0.0), 1.0)
-            if rule == "edge_only":
-                action = EDGE
-            elif rule == "cloud_only":
-                action = CLOUD
-            elif r >= EDGE_FROM:
+            if r >= EDGE_FROM:
                 action = EDGE
             elif r < CRITICAL:
                 action = CLOUD
             elif r < CLOUD_BELOW and action == EDGE:
                 action = HYBRID
-            fallback = action == HYBRID and sure < floor
+            fallback = action == HYBRID and sure < self.floor
             answer = by_cloud if action == CLOUD or fallback else by_edge
             waiting.append(float(answer != label))
             out.append((error, r, action, int(answer), fallback))
-        return (error, action, waiting), pd.DataFrame(out, columns=[f.name for f in LOOP_FIELDS.fields])
+        return (error, action, waiting), pd.DataFrame(out, columns=LOOP_FIELDS.names)
 
-    return ordered_fold(df, axis, lambda: (0.0, EDGE, deque()), step, LOOP_FIELDS, rows_per_wave, last_index)
+    def frozen(self, state: tuple) -> bytes:
+        error, action, waiting = state
+        return np.array([error, (EDGE, HYBRID, CLOUD).index(action), *waiting], dtype="<f8").tobytes()
+
+    def thawed(self, data: bytes) -> tuple:
+        error, action, *waiting = np.frombuffer(data, dtype="<f8").tolist()
+        return error, (EDGE, HYBRID, CLOUD)[int(action)], deque(waiting)
+
+
+def closed_loop(
+    df: DataFrame,
+    axis: Axis,
+    delay: int = 15,
+    alpha: float = 0.8,
+    floor: float = FALLBACK_CONFIDENCE,
+    epsilon: float = 1e-8,
+    policy: str = "policy",
+    segment_rows: int = SEGMENT_ROWS,
+    last_index: int | None = None,
+    warm: int = FORGETS,
+) -> DataFrame:
+    """Routing whose own answers feed back: the label of row t-delay scores the answer given
+    then, which moves the error, the reliability and so the next action.
+
+    Needs confidence, drift, quality, edge_pred, cloud_pred, edge_conf, label and a policy
+    column (adaptive, edge_only, cloud_only). A constant policy's answers don't depend on the
+    error, so its runs are a delayed smoothing. The adaptive one is a recursion without a closed
+    form, but one that forgets: segments of a series run at once, each after a warm-up, and those
+    whose assumed state turns out wrong run again. `df` is read twice: write an expensive one first.
+    """
+    rule, constant = F.col(policy), F.col(policy).isin("edge_only", "cloud_only")
+    in_cloud = rule == "cloud_only"
+    answer = F.when(in_cloud, F.col("cloud_pred")).otherwise(F.col("edge_pred"))
+    loss = F.coalesce((answer != F.col("label")).cast("double"), F.lit(1.0))
+    fixed = delayed_error(df.where(constant), {}, loss, axis, delay, alpha)
+    parts = [F.col("confidence"), F.lit(1.0) - F.col("error_ema"), F.lit(1.0) - F.col("drift"), F.col("quality")]
+    r = F.lit(1.0) / sum((F.lit(0.25) / (clip(p, 0.0, 1.0) + F.lit(epsilon)) for p in parts), F.lit(0.0))
+    fixed = fixed.select(
+        *df.columns, "error_ema", clip(r, 0.0, 1.0).alias("reliability"), F.when(in_cloud, F.lit(CLOUD)).otherwise(F.lit(EDGE)).alias("action"),
+        answer.cast("int").alias("prediction"), F.lit(False).alias("cloud_fallback"),
+    )
+    machine = Controller(delay, alpha, floor, epsilon, delay + warm)
+    moving = speculative_fold(df.where(~constant), axis, machine, segment_rows, last_index).rows
+    return fixed.unionByName(moving.select(*fixed.columns))
