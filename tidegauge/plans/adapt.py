@@ -17,31 +17,33 @@ from tidegauge.plans import events as E
 from tidegauge.session import materialise
 
 FEATURES = ("z_value", "z_k")
-ATTEMPT = Axis(("series_id",), "attempt")
-KEYS = ["series_id", "attempt"]
 DELAY, NEWEST = E.LABEL_DELAY, 100
 #: Attempts (one narrow row each) up to which the candidates' models join the validation rows map-side.
 BROADCAST_ATTEMPTS = 100_000
 MIN_METRIC, MARGIN = 0.40, 0.05
 
 
-def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attempts per device: persistent high severity, enough labels, cooldown over."""
+def fired(rows: DataFrame, axis: Axis) -> DataFrame:
+    """Attempts (series, attempt, trigger_idx): persistent high severity, enough labels, cooldown over.
+
+    `rows` hold raw_severity and smoothed_severity; a label is known DELAY rows after its observation.
+    """
+    d = rows.select(*axis.series, axis.idx, "raw_severity", "smoothed_severity")
+    d = axis.bounded(d, {"alarms": lambda w: F.sum((F.col("raw_severity") > 0.55).cast("long")).over(w.rowsBetween(-19, 0))}, back=19)
+    ready = d.withColumn("is_persistent", F.col("alarms") >= 4).withColumn(
+        "n_eligible", F.greatest(F.col(axis.idx) - DELAY + 1, F.lit(0))
+    )
+    out = feedback.adaptation_triggers(materialise(ready, "ready"), axis, min_severity=0.35, min_feedback=25, cooldown=50)
+    numbered = axis.running(materialise(out, "fired"), sums={"__k": F.col("fired").cast("long")})
+    return materialise(
+        numbered.where("fired").select(*axis.series, (F.col("__k") - 1).alias("attempt"), F.col(axis.idx).alias("trigger_idx")),
+        "attempts",
+    )
 
-    def build() -> DataFrame:
-        d = E.reliable(spark, sf_dir).select("series_id", "row_idx", "raw_severity", "smoothed_severity")
-        d = E.STREAM.bounded(d, {"alarms": lambda w: F.sum((F.col("raw_severity") > 0.55).cast("long")).over(w.rowsBetween(-19, 0))}, back=19)
-        ready = d.withColumn("is_persistent", F.col("alarms") >= 4).withColumn(
-            "n_eligible", F.greatest(F.col("row_idx") - DELAY + 1, F.lit(0))
-        )
-        out = feedback.adaptation_triggers(materialise(ready, "ready"), E.STREAM, min_severity=0.35, min_feedback=25, cooldown=50)
-        numbered = E.STREAM.running(materialise(out, "fired"), sums={"__k": F.col("fired").cast("long")})
-        return materialise(
-            numbered.where("fired").select("series_id", (F.col("__k") - 1).alias("attempt"), F.col("row_idx").alias("trigger_idx")),
-            "attempts",
-        )
 
-    return E.staged(spark, sf_dir, "attempts", build)
+def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts per device."""
+    return E.staged(spark, sf_dir, "attempts", lambda: fired(E.reliable(spark, sf_dir), E.STREAM))
 
 
 def baseline_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,75 +51,108 @@ def baseline_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.nb_fit(models.causal_fit_data(E.normalised(spark, sf_dir), FEATURES, "y"), FEATURES, "y")
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class statistics per attempt: the device's newest labels plus its own baseline rows.
+def candidates(attempts: DataFrame, rows: DataFrame, base: DataFrame, axis: Axis) -> DataFrame:
+    """Class statistics per attempt: the newest labels of its series plus its device's own baseline rows.
 
     Each attempt lists the NEWEST rows it learns from, so the join is by row and its output
     is NEWEST rows per attempt; the baseline enters as two rows of statistics per device.
     """
-    rows = E.scored(spark, sf_dir).select("series_id", "row_idx", *FEATURES, "y")
+    keys = [*axis.series, "attempt"]
     newest = F.col("trigger_idx") - DELAY
-    wanted = triggers(spark, sf_dir).select(
-        *KEYS, F.explode(F.sequence(F.greatest(newest - NEWEST + 1, F.lit(0)), newest)).alias("row_idx")
-    )
-    late = wanted.join(rows, ["series_id", "row_idx"]).select(*KEYS, *FEATURES, "y")
-    base = E.normalised(spark, sf_dir).where(F.col("role") == "baseline_train").select("series_id", *FEATURES, "y")
+    wanted = attempts.select(*keys, F.explode(F.sequence(F.greatest(newest - NEWEST + 1, F.lit(0)), newest)).alias(axis.idx))
+    late = wanted.join(rows.select(*axis.series, axis.idx, *FEATURES, "y"), [*axis.series, axis.idx]).select(*keys, *FEATURES, "y")
     fit = lambda d, by: d.groupBy(*by, F.col("y").alias("label")).agg(
         F.count("*").alias("n"),
         *[F.sum(c).alias(f"{c}__sum") for c in FEATURES],
         *[F.sum(F.col(c) * F.col(c)).alias(f"{c}__sq") for c in FEATURES],
     )
-    own = triggers(spark, sf_dir).select(*KEYS).join(fit(base, ["series_id"]), "series_id")
-    both = fit(late, KEYS).unionByName(own)
-    return both.groupBy(*KEYS, "label").agg(*[F.sum(c).alias(c) for c in both.columns if c not in (*KEYS, "label")])
+    own = attempts.select(*keys).join(fit(base.select("series_id", *FEATURES, "y"), ["series_id"]), "series_id")
+    both = fit(late, keys).unionByName(own)
+    return both.groupBy(*keys, "label").agg(*[F.sum(c).alias(c) for c in both.columns if c not in (*keys, "label")])
 
 
-def wide_models(stats: DataFrame) -> DataFrame:
+def wide_models(stats: DataFrame, axis: Axis) -> DataFrame:
     """One row per attempt with both classes' statistics side by side."""
-    values = [c for c in stats.columns if c not in (*KEYS, "label")]
-    return stats.groupBy(*KEYS).agg(
+    keys = [*axis.series, "attempt"]
+    values = [c for c in stats.columns if c not in (*keys, "label")]
+    return stats.groupBy(*keys).agg(
         *[F.max(F.when(F.col("label") == k, F.col(v))).alias(f"{v}__{k}") for v in values for k in (0, 1)]
     )
 
 
+#: A candidate's statistics on its row, as `wide_models` names them.
+MODEL = [f"{c}__{k}" for c in ("n", *[f"{f}__{s}" for f in FEATURES for s in ("sum", "sq")]) for k in (0, 1)]
+
+
 def posterior() -> Column:
     """p1 of a row that carries its model's statistics."""
     return models.nb_posterior(FEATURES, lambda name, k: F.col(f"{name}__{k}"))
 
 
-def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every attempt with its candidate's validation score, the verdict and the versions.
+def audited(attempts: DataFrame, rows: DataFrame, base: DataFrame, val: DataFrame, first: DataFrame, axis: Axis) -> DataFrame:
+    """Every attempt with its candidate's statistics and validation score, the verdict and the versions (written).
 
-    A candidate is judged on all validation rows of its device. The models are a small table
-    whose size is checked; rows meet them map-side and only counts per attempt are shuffled.
+    `first`: series_id and first_metric, the score of the model that is in force before any candidate. A candidate is judged
+    on all validation rows of its device. The models are a small table whose size is checked; rows meet them map-side and
+    only counts per attempt are shuffled.
     """
+    keys, over = [*axis.series, "attempt"], Axis(axis.series, "attempt")
+    wide = materialise(wide_models(candidates(attempts, rows, base, axis), axis), "candidates")
+    val = val.select("series_id", *FEATURES, "y")
+    small = wide.count() <= BROADCAST_ATTEMPTS
+    judged = val.join(F.broadcast(wide) if small else wide, "series_id").withColumn("prediction", (posterior() >= 0.5).cast("int"))
+    got = metrics.classification_metrics(judged, "y", "prediction", keys).select(*keys, F.col("f1").alias("candidate_metric"))
+    table = attempts.join(got, keys).join(first, "series_id").select(*keys, "trigger_idx", "candidate_metric", "first_metric")
+    gated = materialise(feedback.gate_sequence(table, over, MIN_METRIC, MARGIN), "gated")
+    return materialise(feedback.version_audit(gated, over, F.col("accepted")).join(wide, keys), "cycles")
+
+
+def first_metric(scored_val: DataFrame) -> DataFrame:
+    return metrics.classification_metrics(scored_val, "y", "prediction", ["series_id"]).select("series_id", F.col("f1").alias("first_metric"))
+
+
+def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cycles of every device, beginning with the baseline's own model."""
 
     def build() -> DataFrame:
-        wide = materialise(wide_models(candidates(spark, sf_dir)), "candidates")
-        val = E.normalised(spark, sf_dir).where(F.col("role") == "baseline_validation").select("series_id", *FEATURES, "y")
-        small = wide.count() <= BROADCAST_ATTEMPTS
-        judged = val.join(F.broadcast(wide) if small else wide, "series_id").withColumn("prediction", (posterior() >= 0.5).cast("int"))
-        got = metrics.classification_metrics(judged, "y", "prediction", KEYS).select(*KEYS, F.col("f1").alias("candidate_metric"))
-        first = models.predict(val, models.nb_scorer(baseline_model(spark, sf_dir), FEATURES))
-        start = metrics.classification_metrics(first, "y", "prediction", ["series_id"]).select("series_id", F.col("f1").alias("first_metric"))
-        table = triggers(spark, sf_dir).join(got, KEYS).join(start, "series_id")
-        gated = materialise(feedback.gate_sequence(table, ATTEMPT, MIN_METRIC, MARGIN), "gated")
-        audit = feedback.version_audit(gated, ATTEMPT, F.col("accepted"))
-        return materialise(audit.join(wide, KEYS), "cycles")
+        every = E.normalised(spark, sf_dir)
+        base, val = every.where(F.col("role") == "baseline_train"), every.where(F.col("role") == "baseline_validation")
+        first = first_metric(models.predict(val, models.nb_scorer(baseline_model(spark, sf_dir), FEATURES)))
+        return audited(triggers(spark, sf_dir), E.scored(spark, sf_dir), base, val, first, E.STREAM)
 
     return E.staged(spark, sf_dir, "cycles", build)
 
 
+def in_force(rows: DataFrame, audit: DataFrame, axis: Axis) -> DataFrame:
+    """`rows` with the statistics of the candidate in force as `model`: the newest accepted one, from the row after its trigger
+    on; null before the first."""
+    accepted = audit.where("accepted").select(
+        *axis.series, (F.col("trigger_idx") + 1).alias(axis.idx), F.struct("active_version", *MODEL).alias("__model")
+    )
+    placed = materialise(rows.join(accepted, [*axis.series, axis.idx], "left"), "placed")
+    return axis.running(placed, lasts={"model": F.col("__model")}).drop("__model")
+
+
+def retrained(spark: SparkSession, sf_dir: str, rows: DataFrame, axis: Axis, rule: Column) -> DataFrame:
+    """`rows` (FEATURES, y, severities) with `retrained_pred`: the answer of a cloud model that is retrained as it goes.
+
+    Drift fires a retraining, its candidate learns from the labels known by then, and if it holds its own against the model in
+    force on the validation rows, it answers from the next row on; `rule` is the answer before. Triggers and training rows depend
+    on inputs and label arrivals, so the only thing that is sequential is which candidate is in force, over the attempts.
+    """
+    every = E.normalised(spark, sf_dir)
+    base, val = every.where(F.col("role") == "baseline_train"), every.where(F.col("role") == "baseline_validation")
+    audit = audited(fired(rows, axis), rows, base, val, first_metric(val.withColumn("prediction", rule)), axis)
+    held = in_force(rows, audit, axis)
+    late = models.nb_posterior(FEATURES, lambda name, k: F.col(f"model.{name}__{k}"))
+    return held.withColumn("retrained_pred", F.when(F.col("model").isNotNull(), (late >= 0.5).cast("int")).otherwise(rule)).drop("model")
+
+
 def adapted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inference rows answered by the version in force on each: the first model, then the
     newest accepted candidate of the device, from the row after its trigger on."""
-    values = [f"{c}__{k}" for c in ("n", *[f"{f}__{s}" for f in FEATURES for s in ("sum", "sq")]) for k in (0, 1)]
-    accepted = cycles(spark, sf_dir).where("accepted").select(
-        "series_id", (F.col("trigger_idx") + 1).alias("row_idx"), F.struct("active_version", *values).alias("__model")
-    )
     rows = E.scored(spark, sf_dir).select("series_id", "row_idx", "event_id", *FEATURES, "y")
-    placed = materialise(rows.join(accepted, ["series_id", "row_idx"], "left"), "placed")
-    held = E.STREAM.running(placed, lasts={"model": F.col("__model")}).drop("__model")
+    held = in_force(rows, cycles(spark, sf_dir), E.STREAM)
     first = models.nb_scorer(baseline_model(spark, sf_dir), FEATURES)(held)
     late = models.nb_posterior(FEATURES, lambda name, k: F.col(f"model.{name}__{k}"))
     p1 = F.when(F.col("model").isNotNull(), late).otherwise(F.col("p1"))

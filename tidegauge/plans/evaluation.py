@@ -349,12 +349,14 @@ def delivery_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latency of every run: the answering tier's latency from the row's own channels."""
-    log = E.ordered(spark, sf_dir).where(F.col("role") == "inference").select("event_id", "value", "k")
-    d = R.replayed(spark, sf_dir).join(log, "event_id")
+    """Latency of every run, as the execution log has it: a row takes its device's mean of the tiers that answered."""
+    log = E.execution_log(spark, sf_dir).groupBy("series_id").agg(
+        *[F.avg(f"{c}_latency_s").alias(f"{c}_mean") for c in ("edge", "network", "cloud")]
+    )
+    d = R.replayed(spark, sf_dir).join(log, "series_id")
     in_cloud = (F.col("action") == "CLOUD") | F.col("cloud_fallback")
-    lat = F.when(F.col("action") != "CLOUD", F.col("value") / 1000.0).otherwise(F.lit(0.0)) + F.when(
-        in_cloud, F.col("k") / 100.0
+    lat = F.when(F.col("action") != "CLOUD", F.col("edge_mean")).otherwise(F.lit(0.0)) + F.when(
+        in_cloud, F.col("network_mean") + F.col("cloud_mean")
     ).otherwise(F.lit(0.0))
     return metrics.latency_summary(d.withColumn("latency_s", lat), "latency_s", METHOD_SEED)
 
@@ -379,7 +381,7 @@ def paired_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(metrics.paired_by_seed(pre_post(spark, sf_dir), "ADAPTIVE", "STATIC", "post_f1"))
 
 
-COMPARED = (("ADAPTIVE", "STATIC"), ("ADAPTIVE", "NO_DRIFT_SIGNAL"), ("STATIC", "EDGE_ONLY"))
+COMPARED = (("ADAPTIVE", "STATIC"), ("ADAPTIVE", "NO_DRIFT_SIGNAL"), ("STATIC", "EDGE_ONLY"), ("ADAPTIVE_RETRAINED", "ADAPTIVE"))
 
 
 @query

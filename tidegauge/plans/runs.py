@@ -11,7 +11,7 @@ from tidegauge.operators.detect import severity_ema
 from tidegauge.operators.ordering import Axis, with_length
 from tidegauge.operators.profile import apply_frozen
 from tidegauge.operators.routing import closed_loop
-from tidegauge.plans import events
+from tidegauge.plans import adapt, events
 from tidegauge.session import materialise
 
 SEEDS = (42, 43, 44, 45, 46)
@@ -22,6 +22,7 @@ METHODS = {
     "STATIC": ("edge_only", True),
     "NO_DRIFT_SIGNAL": ("adaptive", False),
     "ADAPTIVE": ("adaptive", True),
+    "ADAPTIVE_RETRAINED": ("adaptive", True),
 }
 MAGNITUDE, ONSET = 2.0, 0.5
 # Drift strengths in baseline sigma and numbers of drifted channels to sweep.
@@ -81,18 +82,25 @@ def scored(spark: SparkSession, sf_dir: str, moved: DataFrame, axis: Axis) -> Da
     return d.select(
         *run, "series_id", "row_idx", "event_id", F.col("y").alias("label"),
         (F.col("row_idx") >= onset).alias("is_post"), onset.cast("long").alias("onset"),
-        "signal", "raw_severity", "smoothed_severity",
+        "signal", "raw_severity", "smoothed_severity", "z_value", "z_k",
         conf.alias("confidence"), conf.alias("edge_conf"), F.lit(1.0).alias("quality"),
         (p1 >= 0.5).cast("int").alias("edge_pred"), (c1 >= 0.5).cast("int").alias("cloud_pred"),
     )
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All runs with severity, closed-loop reliability, action and answer per row (written once)."""
+    """All runs with severity, closed-loop reliability, action and answer per row (written once).
+
+    The retrained method is the adaptive one whose cloud model changes: see `adapt.retrained`.
+    """
 
     def build() -> DataFrame:
-        one = scored(spark, sf_dir, drifted(spark, sf_dir), SEEDED)
+        one = materialise(scored(spark, sf_dir, drifted(spark, sf_dir), SEEDED), "drifted")
+        rule = (events.probability(events.CLOUD_WEIGHTS) >= 0.5).cast("int")
+        one = materialise(adapt.retrained(spark, sf_dir, one.withColumn("y", F.col("label")), SEEDED, rule).drop("y"), "retrained")
         grid = one.crossJoin(F.broadcast(methods(spark)))
+        in_cloud = F.when(F.col("method") == "ADAPTIVE_RETRAINED", F.col("retrained_pred")).otherwise(F.col("cloud_pred"))
+        grid = grid.withColumn("cloud_pred", in_cloud).drop("retrained_pred", "z_value", "z_k")
         seen: Column = F.when(F.col("sees_drift"), F.col("smoothed_severity")).otherwise(F.lit(0.0))
         last = events.last_index(spark, sf_dir)
         loop = closed_loop(grid.withColumn("drift", seen), RUN, events.LABEL_DELAY, last_index=last)
