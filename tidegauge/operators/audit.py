@@ -7,9 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.functions.signals import ts_resolution
 from tidegauge.operators.ordering import Axis, seconds_between
+from tidegauge.session import materialise
 
 
 def time_steps(df: DataFrame, axis: Axis, ts: str) -> DataFrame:
@@ -99,36 +101,94 @@ def load_report(
     )
 
 
-def dataset_audit(tables: Mapping[str, DataFrame], time_columns: Mapping[str, str], max_values: int = 12) -> DataFrame:
-    """One row per (table, column): rows, distinct values, missing cells, and for columns of
-    few values their distribution.
+#: Doubles are shown as whole millionths, the same text in any engine; beyond this size the text is "huge".
+_MICRO, _HUGE = 1e6, 9e12
+_MISSING = "\\N"
 
-    Values are counted per (column, value) before any ranking, so the count table is the
-    only thing that grows with cardinality and it stays distributed.
+
+def _number_text(x: Column) -> Column:
+    """A float as its nearest whole number of millionths (halves up); null stays null."""
+    micro = F.floor(x.cast("double") * _MICRO + F.lit(0.5)).cast("string")
+    return F.when(F.isnan(x), F.lit("nan")).when(F.abs(x) >= _HUGE, F.lit("huge")).otherwise(micro)
+
+
+def fixed_text(c: Column, kind: T.DataType) -> Column:
+    """One text form of a value, so that equal values are equal text wherever it was made; null stays null."""
+    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        return _number_text(c)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("string")
+    if isinstance(kind, T.ArrayType):
+        return F.array_join(F.transform(c, lambda x: F.coalesce(fixed_text(x, kind.elementType), F.lit(_MISSING))), ",")
+    if isinstance(kind, (T.MapType, T.StructType)):
+        return F.to_json(c)
+    return c.cast("string")
+
+
+def dataset_audit(tables: Mapping[str, DataFrame], max_values: int = 12) -> DataFrame:
+    """One row per (table, column): rows, missing cells, and for columns of few values their number and distribution.
+
+    A first job reads every table once and sketches the distinct values of each column; a column whose estimate is far
+    beyond `max_values` is wide, and only what is not is counted by value, in a second job over those columns alone. So no
+    wide column is ever shuffled, and what grows is a count per (narrow column, value) and task. The estimate of so few
+    values is exact but for a collision of hashes, and the number of values is taken from the counts.
     """
 
-    def one(name: str, df: DataFrame) -> DataFrame:
-        cols = [c for c in df.columns if c != time_columns.get(name)]
-        text = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    def sketched(name: str, df: DataFrame) -> DataFrame:
+        cols = [(f.name, fixed_text(F.col(f.name), f.dataType)) for f in df.schema.fields]
+        facts = [
+            F.struct(F.lit(c).alias("column"), F.count("*").alias("n_rows"), F.count_if(x.isNull()).alias("n_missing"), F.hll_sketch_estimate(F.hll_sketch_agg(x, 14)).alias("about"))
+            for c, x in cols
+        ]
+        return df.agg(F.lit(name).alias("table_name"), F.array(*facts).alias("a")).select("table_name", F.inline("a"))
+
+    facts = materialise(reduce(DataFrame.unionByName, [sketched(n, d) for n, d in tables.items()]), "facts")
+    narrow: dict[str, list[str]] = {}
+    for r in facts.where(F.col("about") <= 2 * max_values).select("table_name", "column").collect():  # columns, not rows
+        narrow.setdefault(r["table_name"], []).append(r["column"])
+
+    def counted(name: str, cols: list[str]) -> DataFrame:
+        df = tables[name]
+        text = df.select(*[fixed_text(F.col(c), df.schema[c].dataType).alias(c) for c in cols])
         long = text.unpivot([], cols, "column", "value").groupBy("column", "value").agg(F.count("*").alias("k"))
-        seen = F.col("value").isNotNull()
-        facts = long.groupBy("column").agg(
-            F.sum("k").alias("n_rows"),
-            F.count_if(seen).alias("n_unique"),
-            F.coalesce(F.sum(F.when(~seen, F.col("k"))), F.lit(0)).alias("n_missing"),
-        )
-        few = facts.where(F.col("n_unique") <= max_values).select("column")
-        shown = (
-            long.join(few, "column", "left_semi")
-            .where(seen)
-            .groupBy("column")
-            .agg(F.array_sort(F.collect_list(F.concat_ws(":", "value", F.col("k").cast("string")))).alias("d"))
-        )
-        return facts.join(shown, "column", "left").select(
-            F.lit(name).alias("table_name"), "column", "n_rows", "n_unique", "n_missing",
-            F.array_join("d", "|").alias("distribution"),
-            (F.col("n_unique") <= 1).alias("zero_variance"),
-        )
+        return long.select(F.lit(name).alias("table_name"), "column", "value", "k")
+
+    schema = "table_name string, column string, n_unique long, distribution string"
+    shown = facts.sparkSession.createDataFrame([], schema)
+    if narrow:
+        long = reduce(DataFrame.unionByName, [counted(n, c) for n, c in narrow.items()]).where(F.col("value").isNotNull())
+        d = F.array_sort(F.collect_list(F.concat_ws(":", "value", F.col("k").cast("string"))))  # 2 * max_values and a few at most
+        shown = long.groupBy("table_name", "column").agg(F.count("*").alias("n_unique"), F.array_join(d, "|").alias("distribution"))
+    few = F.coalesce("n_unique", F.when(F.col("n_rows") == F.col("n_missing"), F.lit(0)))
+    out = facts.join(shown, ["table_name", "column"], "left").withColumn("n", few)
+    is_wide = F.col("n").isNull() | (F.col("n") > max_values)
+    return out.select(
+        "table_name", "column", "n_rows", "n_missing", is_wide.alias("is_wide"), F.when(~is_wide, F.col("n")).alias("n_unique"),
+        F.when(~is_wide, F.col("distribution")).alias("distribution"), F.coalesce(F.col("n") <= 1, F.lit(False)).alias("zero_variance"),
+    )
+
+
+def table_facts(tables: Mapping[str, DataFrame], time_columns: Mapping[str, str]) -> DataFrame:
+    """One row per table: rows, columns, an id of the set of column names, and the range and number of its time stamps."""
+
+    def one(name: str, df: DataFrame) -> DataFrame:
+        ts = time_columns.get(name)
+        stamps = [F.min(ts), F.max(ts), F.count_distinct(F.col(ts))] if ts else [F.lit(None).cast("timestamp_ntz")] * 2 + [F.lit(None).cast("long")]
+        return df.agg(
+            F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
+            F.md5(F.lit("|".join(sorted(df.columns)))).alias("column_set_id"), F.lit(ts).cast("string").alias("time_column"),
+            *[x.alias(n) for x, n in zip(stamps, ("first_ts", "last_ts", "n_stamps"))],
+        )
+
+    return reduce(DataFrame.unionByName, [one(n, d) for n, d in tables.items()])
+
+
+def file_facts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per table read from files: their number and bytes, from the reader's hidden column."""
+
+    def one(name: str, df: DataFrame) -> DataFrame:
+        files = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b")).groupBy("f").agg(F.max("b").alias("b"))
+        return files.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_files"), F.sum("b").alias("n_bytes"))
 
     return reduce(DataFrame.unionByName, [one(n, d) for n, d in tables.items()])
 
@@ -148,28 +208,63 @@ def table_chronology(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, spans).orderBy("first_ts", "table_name")
 
 
-def duplicate_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Tables with equal schema and content, whatever their row order.
+def digest_tree(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Order-free digests of every table: table_name, schema_id, node, n_rows, hi, lo.
 
-    Content is the row count with two order-free sums of row hashes; the sums are decimals,
-    so they cannot overflow.
+    A row's digest is the MD5 of its fixed text, columns by name. Rows fall into 256 buckets by its first two digits; a bucket's
+    digest are the sums of both 64-bit halves, so repeats count, order and partitions don't. The sums go up a tree of 16 by 16
+    nodes ("ab", "a", "") to the table's own, as sums of sums. Tasks add up before the shuffle: at most 256 rows a task and table.
     """
 
-    def one(name: str, df: DataFrame) -> DataFrame:
+    def buckets(name: str, df: DataFrame) -> DataFrame:
         cols = sorted(df.columns)
-        schema = "|".join(f"{c}:{dict(df.dtypes)[c]}" for c in cols)
-        total = lambda h: F.sum(h.cast("decimal(38,0)")).cast("string")
-        return df.agg(
-            F.lit(name).alias("table_name"),
-            F.sha2(F.lit(schema), 256).alias("schema_id"),
-            F.concat_ws("/", F.count("*").cast("string"), total(F.xxhash64(*cols)), total(F.hash(*cols).cast("long"))).alias("content_id"),
+        row = F.md5(F.concat_ws("\x1f", *[F.coalesce(fixed_text(F.col(c), df.schema[c].dataType), F.lit(_MISSING)) for c in cols]))
+        schema_id = F.md5(F.lit("|".join(cols)))
+        half = lambda at: F.sum(F.conv(F.substring("row", at, 16), 16, 10).cast("decimal(38,0)"))
+        out = df.select(row.alias("row")).groupBy(F.substring("row", 1, 2).alias("node"))
+        return out.agg(F.count("*").alias("n_rows"), half(1).alias("hi"), half(17).alias("lo")).select(
+            F.lit(name).alias("table_name"), schema_id.alias("schema_id"), "node", "n_rows", "hi", "lo"
+        )
+
+    leaves = materialise(reduce(DataFrame.unionByName, [buckets(n, d) for n, d in tables.items()]), "digests")
+    sums = [F.sum(c).cast(t).alias(c) for c, t in (("n_rows", "long"), ("hi", "decimal(38,0)"), ("lo", "decimal(38,0)"))]
+    up = lambda digits: leaves.groupBy("table_name", "schema_id", F.substring("node", 1, digits).alias("node")).agg(*sums)
+    return leaves.select("table_name", "schema_id", "node", "n_rows", "hi", "lo").unionByName(up(1)).unionByName(up(0))
+
+
+def duplicate_tables(tree: DataFrame) -> DataFrame:
+    """Every table of a `digest_tree` with the names of all that have the same columns and the same rows, itself included."""
+    roots = tree.where("node = ''").drop("node")
+    same = ["schema_id", "n_rows", "hi", "lo"]
+    names = roots.groupBy(*same).agg(F.array_join(F.array_sort(F.collect_list("table_name")), "|").alias("equal_tables"), F.count("*").alias("n_equal"))
+    content = F.concat_ws("/", F.col("hi").cast("string"), F.col("lo").cast("string")).alias("content_id")
+    return roots.join(names, same).select("table_name", "schema_id", "n_rows", content, "equal_tables", "n_equal")
+
+
+def table_differences(tree: DataFrame) -> DataFrame:
+    """Pairs of tables with the same columns and different rows: in how many buckets, which is the first, and rows on either side.
+
+    Only below a node that differs are its children compared, so what is alike is never looked into.
+    """
+    def pairs(among: DataFrame) -> DataFrame:
+        names = among.select("table_name", "schema_id").distinct()
+        return names.alias("l").join(names.alias("r"), (F.col("l.schema_id") == F.col("r.schema_id")) & (F.col("l.table_name") < F.col("r.table_name"))).select(
+            F.col("l.table_name").alias("left_table"), F.col("r.table_name").alias("right_table")
         )
 
-    every = reduce(DataFrame.unionByName, [one(n, d) for n, d in tables.items()])
-    return every.groupBy("schema_id").agg(
-        F.array_join(F.array_sort(F.collect_list("table_name")), "|").alias("tables"),  # one entry per table
-        F.count("*").alias("n_tables"),
-        (F.count("*") - F.count_distinct("content_id")).alias("n_repeats"),
+    side = lambda x, name: x.select(F.col("table_name").alias(f"{name}_table"), "node", F.struct("n_rows", "hi", "lo").alias(name))
+    open_ = pairs(tree).withColumn("node", F.lit(""))
+    for digits in (0, 1, 2):
+        level = tree.where(F.length("node") == digits)
+        empty = F.struct(F.lit(0).cast("long").alias("n_rows"), F.lit(0).cast("decimal(38,0)").alias("hi"), F.lit(0).cast("decimal(38,0)").alias("lo"))
+        parent = open_.withColumnRenamed("node", "parent")
+        below = level.select("node").distinct().withColumn("parent", F.substring("node", 1, max(0, digits - 1)))
+        both = parent.join(below, "parent") if digits else open_
+        both = both.join(side(level, "left"), ["left_table", "node"], "left").join(side(level, "right"), ["right_table", "node"], "left")
+        both = both.withColumns({c: F.coalesce(c, empty) for c in ("left", "right")}).where(F.col("left") != F.col("right"))
+        open_ = both.select("left_table", "right_table", "node", *(["left", "right"] if digits == 2 else []))
+    return open_.groupBy("left_table", "right_table").agg(
+        F.count("*").alias("n_buckets"), F.min("node").alias("first_bucket"), F.sum("left.n_rows").alias("left_rows"), F.sum("right.n_rows").alias("right_rows")
     )
 
 

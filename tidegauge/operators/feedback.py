@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,13 +134,28 @@ def adaptation_triggers(
 
 
 def stratified_sample(df: DataFrame, label: str, per_class: Mapping[int, int], order: Column) -> DataFrame:
-    """A fixed number of rows per class, smallest `order` first (a hash of the row key).
+    """A fixed number of rows per class, smallest `order` first (a hash of the row key), in one scan for any number of classes.
 
-    One bounded top-k per class, so a class with nearly all rows is never sorted whole.
+    Every task keeps the smallest rows of each class that it has seen and passes on only those, at most as many per class as are
+    asked for; what meets in the end is that much from each task, so a class with nearly all rows is never sorted whole. Of
+    equal `order` values any may stay. A class that `per_class` does not name is left out.
     """
-    tagged = df.withColumn("__order", order)
-    picks = [tagged.where(F.col(label) == c).orderBy("__order").limit(n) for c, n in per_class.items()]
-    return reduce(DataFrame.unionByName, picks).drop("__order")
+    columns = [c for c in df.columns]
+    wanted = F.create_map(*[x for c, n in per_class.items() for x in (F.lit(c), F.lit(n))])
+    tagged = df.where(F.col(label).isin(*per_class)).withColumn("__order", order).withColumn("__want", wanted[F.col(label)])
+    most = max(per_class.values())
+
+    def smallest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for frame in frames:
+            both = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            held = both.sort_values("__order", kind="stable").groupby(label, sort=False).head(most).reset_index(drop=True)
+        if held is not None:
+            yield held
+
+    few = tagged.mapInPandas(smallest, tagged.schema)
+    w = Window.partitionBy(label).orderBy("__order")
+    return few.withColumn("__place", F.row_number().over(w)).where(F.col("__place") <= F.col("__want")).select(*columns)
 
 
 def training_union(baseline: DataFrame, feedback: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from tidegauge.operators.models import causal_fit_data
 from tidegauge.operators.monitoring import running_counters as count_running
 from tidegauge.operators.ordering import Axis
 from tidegauge.plans import events as E
-from tidegauge.session import shared_dir
+from tidegauge.session import materialise, shared_dir
 from tidegauge.sources import sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +114,22 @@ def scan_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def scan_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as text with a field missing, one too many or a word for a number in some lines, told apart by the scan."""
+    path = f"{shared_dir(spark)}/broken-{uuid.uuid4().hex}"
+    src = tables.scan_parquet(spark, f"{sf_dir}/events.parquet")
+    fields = [F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("event_id").cast("string"), F.col("event_type"), F.col("user_id").cast("string")]
+    fault = F.col("event_id") % 50
+    user = F.when(fault == 2, F.lit("many")).otherwise(fields[3])
+    line = F.when(fault == 0, F.concat_ws(";", *fields[:3])).when(fault == 1, F.concat_ws(";", *fields, F.lit("more"))).otherwise(F.concat_ws(";", *fields[:3], user))
+    src.select(line.alias("value")).write.text(path)
+    schema = T.StructType().add("ts", "string").add("event_id", "long").add("event_type", "string").add("user_id", "long")
+    good, bad = tables.scan_quarantined(spark, path, schema, ";", header=False)
+    kept = good.agg(F.lit("kept").alias("reason"), F.count("*").alias("n"), F.sum("event_id").alias("id_sum"), F.lit(None).cast("string").alias("sample"))
+    return kept.unionByName(bad.groupBy("reason").agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("id_sum"), F.min("line").alias("sample")))
+
+
 @query
 def scan_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tables.time_range(E.telemetry(spark, sf_dir), "ts", "2024-01-05 00:00:00", "2024-01-12 12:00:00")
@@ -147,6 +163,25 @@ def sink_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
+@query
+def sink_event_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream into the run log, a delivery at a time; the last delivery comes twice and counts once."""
+    root = f"{shared_dir(spark)}/event-log-{uuid.uuid4().hex}"
+    src = tables.scan_parquet(spark, f"{sf_dir}/events.parquet")
+    for half in (0, 1):
+        src.where(F.col("event_id") % 2 == half).coalesce(2).write.mode("append").parquet(f"{root}/in")
+    raw = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    kind = F.col("event_type")
+    log = raw.select(
+        kind.alias("event"), F.lit("events").alias("config_name"), F.md5(kind).alias("config_fingerprint"), (F.col("user_id") % 5).alias("master_seed"),
+        F.col("event_id").cast("string").alias("detail"),
+    )
+    sinks.write_log_stream(log, "run", f"{root}/log", f"{root}/state")
+    sinks.replay_last(spark, "run", f"{root}/log")
+    done = sinks.read_log_stream(spark, "run", f"{root}/log")
+    return done.groupBy("event", "config_fingerprint", "master_seed").agg(F.count("*").alias("n"), F.sum(F.col("detail").cast("long")).alias("id_sum"))
+
+
 @query
 def sink_quality_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.quality_row(report(spark, sf_dir), "preprocess", "frozen baseline", ["role"])
@@ -713,14 +748,27 @@ def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(audit.load_report(r, 1000, ("1995-01-01 00:00:00", "2001-12-31 00:00:00"), F.lit(0), 86400.0))
 
 
+#: Every table of the driver, and the time column of those that have one.
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark",
+    "labels", "conversations",
+)
+STAMPS = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
+
+
+def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {n: tables.scan_parquet(spark, f"{sf_dir}/{n}.parquet") for n in TABLES}
+
+
 @query
 def dataset_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = {"nation": None, "region": None, "customer": None, "supplier": None, "part": None, "orders": "o_orderdate", "lineitem": "l_shipdate", "labels": None}
-    t = {n: tables.scan_parquet(spark, f"{sf_dir}/{n}.parquet") for n in names}
-    t["events"] = E.telemetry(spark, sf_dir).select("event_id", "ts", "user_id", "event_type", "state", "y")
-    stamps = {**{n: c for n, c in names.items() if c}, "events": "ts"}
-    doubles = lambda df: [c for c, k in df.dtypes if k != "double"]  # text of doubles differs between engines
-    return audit.dataset_audit({n: df.select(*doubles(df)) for n, df in t.items()}, stamps)
+    """Every column of every table."""
+    return audit.dataset_audit(all_tables(spark, sf_dir))
+
+
+@query
+def table_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(audit.table_facts(all_tables(spark, sf_dir), STAMPS))
 
 
 @query
@@ -728,13 +776,29 @@ def interval_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(audit.interval_histogram(flow_ordered(spark, sf_dir), FLOW, "l_shipdate"))
 
 
+def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables, a re-ordered copy of the labels, and one in which some rows differ (written once)."""
+
+    def build() -> DataFrame:
+        t = all_tables(spark, sf_dir)
+        t["labels_copy"] = t["labels"].repartition("toxic").select("toxic", "quality", "doc_id")
+        flipped = F.when(F.col("doc_id") % 97 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic"))
+        t["labels_changed"] = t["labels"].withColumn("toxic", flipped)
+        return materialise(audit.digest_tree(t), "digest-tree")
+
+    return E.staged(spark, sf_dir, "digests", build)
+
+
 @query
 def duplicate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All flat tables plus a re-ordered copy of the labels, which must be found."""
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels", "documents", "pages", "conversations"]
-    t = {n: tables.scan_parquet(spark, f"{sf_dir}/{n}.parquet") for n in names}
-    t["labels_copy"] = t["labels"].repartition("toxic").select("toxic", "quality", "doc_id")
-    return audit.duplicate_tables(t).select("tables", "n_tables", "n_repeats")
+    """Tables with the same columns and rows; the copy of the labels must be found."""
+    return audit.duplicate_tables(digests(spark, sf_dir))
+
+
+@query
+def table_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where tables with the same columns differ."""
+    return audit.table_differences(digests(spark, sf_dir))
 
 
 @query

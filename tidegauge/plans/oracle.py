@@ -209,7 +209,7 @@ CTES["sz"] = f"""
     ({held('k', 'k + ' + NORMAL('seed', 'k', 'event_id') + ' * schedule * k__std')} - k__mean) / k__std AS z_k
   FROM sx"""
 CTES["sp"] = f"""
-  SELECT seed, series_id, row_idx, event_id, y AS label, value, k, CAST(round_even(n_stream * 0.5, 0) AS BIGINT) AS onset, {SIGNAL} AS signal,
+  SELECT seed, series_id, row_idx, event_id, y AS label, value, k, z_value, z_k, CAST(round_even(n_stream * 0.5, 0) AS BIGINT) AS onset, {SIGNAL} AS signal,
     least(1.0, abs({SIGNAL} - baseline_mean)) AS raw_severity, {CONF(EDGE_P1)} AS confidence,
     CASE WHEN {EDGE_P1} >= 0.5 THEN 1 ELSE 0 END AS edge_pred, CASE WHEN {CLOUD_P1} >= 0.5 THEN 1 ELSE 0 END AS cloud_pred
   FROM sz CROSS JOIN bm"""
@@ -218,11 +218,50 @@ CTES["sq"] = """
   UNION ALL
   SELECT g.seed, g.series_id, g.row_idx, 0.8::DOUBLE * p.s + 0.2::DOUBLE * g.raw_severity
   FROM sq p JOIN sp g ON g.seed = p.seed AND g.series_id = p.series_id AND g.row_idx = p.row_idx + 1"""
+# The retrained method: triggers with their cooldown, candidates, their gate, and the answer of whoever is in force.
+_f1 = macro("tp", "fp", "fn", "tn")["f1"]
+_class = lambda y, k: f"count(*) FILTER (WHERE {y} = {k}) AS cnt{k}, " + ", ".join(
+    f"avg({c}) FILTER (WHERE {y} = {k}) AS {c}_m{k}, var_pop({c}) FILTER (WHERE {y} = {k}) AS {c}_v{k}" for c in ("z_value", "z_k"))
+_log = lambda k: f"ln(cnt{k} / (cnt0 + cnt1)) - 0.5::DOUBLE * (" + " + ".join(
+    f"ln(2.0 * pi() * {c}_v{k}) + pow({c} - {c}_m{k}, 2) / {c}_v{k}" for c in ("z_value", "z_k")) + ")"
+_posterior = f"1.0 / (1.0 + exp(({_log(0)}) - ({_log(1)})))"
+CTES["recand"] = """SELECT seed, series_id, row_idx FROM (SELECT *, count(*) FILTER (WHERE raw_severity > 0.55)
+    OVER (PARTITION BY seed, series_id ORDER BY row_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS alarms FROM sp JOIN sq USING (seed, series_id, row_idx))
+  WHERE alarms >= 4 AND s >= 0.35 AND row_idx >= 39"""
+CTES["refire"] = """
+  SELECT seed, series_id, min(row_idx) AS place FROM recand GROUP BY seed, series_id
+  UNION ALL
+  SELECT * FROM (SELECT f.seed, f.series_id, (SELECT min(c.row_idx) FROM recand c WHERE c.seed = f.seed AND c.series_id = f.series_id AND c.row_idx >= f.place + 50) AS place
+    FROM refire f) WHERE place IS NOT NULL"""
+CTES["reatt"] = "SELECT *, row_number() OVER (PARTITION BY seed, series_id ORDER BY place) - 1 AS attempt FROM refire"
+CTES["rerow"] = """
+  SELECT a.seed, a.series_id, a.attempt, z_value, z_k, label FROM reatt a JOIN sp ON sp.seed = a.seed AND sp.series_id = a.series_id AND sp.row_idx <= a.place - 15 AND sp.row_idx > a.place - 115
+  UNION ALL SELECT a.seed, a.series_id, a.attempt, z_value, z_k, y FROM reatt a JOIN n ON n.series_id = a.series_id AND n.role = 'baseline_train'"""
+CTES["remom"] = f"SELECT seed, series_id, attempt, {_class('label', 0)}, {_class('label', 1)} FROM rerow GROUP BY seed, series_id, attempt"
+CTES["reval"] = f"SELECT remom.seed, n.series_id, remom.attempt, y, ({_posterior} >= 0.5)::INT AS p FROM n JOIN remom ON remom.series_id = n.series_id WHERE role = 'baseline_validation'"
+CTES["regate"] = f"""SELECT a.*, c.f AS candidate_metric, b.f AS first_metric FROM reatt a
+  JOIN (SELECT seed, series_id, attempt, {_f1} AS f FROM (SELECT seed, series_id, attempt, {matrix('y', 'p')} FROM reval GROUP BY 1, 2, 3)) c
+    ON c.seed = a.seed AND c.series_id = a.series_id AND c.attempt = a.attempt
+  JOIN (SELECT series_id, {_f1} AS f FROM (SELECT series_id, {matrix('y', 'p')}
+    FROM (SELECT series_id, y, ({CLOUD_P1} >= 0.5)::INT AS p FROM n WHERE role = 'baseline_validation') GROUP BY 1)) b ON b.series_id = a.series_id"""
+CTES["rehold"] = """
+  SELECT seed, series_id, attempt, place, candidate_metric >= 0.4 AND candidate_metric >= first_metric - 0.05 AS ok,
+    CASE WHEN candidate_metric >= 0.4 AND candidate_metric >= first_metric - 0.05 THEN candidate_metric ELSE first_metric END AS hold FROM regate WHERE attempt = 0
+  UNION ALL
+  SELECT g.seed, g.series_id, g.attempt, g.place, g.candidate_metric >= 0.4 AND g.candidate_metric >= p.hold - 0.05,
+    CASE WHEN g.candidate_metric >= 0.4 AND g.candidate_metric >= p.hold - 0.05 THEN g.candidate_metric ELSE p.hold END
+  FROM rehold p JOIN regate g ON g.seed = p.seed AND g.series_id = p.series_id AND g.attempt = p.attempt + 1"""
+CTES["reans"] = f"""
+  SELECT q.seed, q.series_id, q.row_idx, CASE WHEN m.attempt IS NULL THEN q.cloud_pred ELSE ({_posterior} >= 0.5)::INT END AS pred
+  FROM (SELECT sp.seed, sp.series_id, sp.row_idx, sp.cloud_pred, z_value, z_k, s.attempt AS last
+    FROM sp ASOF LEFT JOIN (SELECT * FROM rehold WHERE ok) s ON s.seed = sp.seed AND s.series_id = sp.series_id AND sp.row_idx > s.place) q
+  LEFT JOIN remom m ON m.seed = q.seed AND m.series_id = q.series_id AND m.attempt = q.last"""
 CTES["sm"] = """
-  SELECT method, policy, sp.*, sq.s AS smoothed_severity, CASE WHEN sees THEN sq.s ELSE 0.0::DOUBLE END AS drift
-  FROM sp JOIN sq USING (seed, series_id, row_idx)
+  SELECT method, policy, sp.* REPLACE (CASE WHEN method = 'ADAPTIVE_RETRAINED' THEN reans.pred ELSE sp.cloud_pred END AS cloud_pred),
+    sq.s AS smoothed_severity, CASE WHEN sees THEN sq.s ELSE 0.0::DOUBLE END AS drift
+  FROM sp JOIN sq USING (seed, series_id, row_idx) JOIN reans USING (seed, series_id, row_idx)
   CROSS JOIN (VALUES ('EDGE_ONLY', 'edge_only', true), ('CLOUD_ONLY', 'cloud_only', true), ('STATIC', 'edge_only', true),
-    ('NO_DRIFT_SIGNAL', 'adaptive', false), ('ADAPTIVE', 'adaptive', true)) m(method, policy, sees)"""
+    ('NO_DRIFT_SIGNAL', 'adaptive', false), ('ADAPTIVE', 'adaptive', true), ('ADAPTIVE_RETRAINED', 'adaptive', true)) m(method, policy, sees)"""
 
 
 def closed_loop(me: str, source: str, keys: tuple[str, ...]) -> str:
@@ -264,9 +303,10 @@ CTES["rt"] = """
     count(*) FILTER (WHERE action = 'CLOUD') AS cloud_count, count(*) FILTER (WHERE action = 'HYBRID') AS hybrid_count,
     count(*) FILTER (WHERE action <> before) AS switch_count, count(*) FILTER (WHERE cloud_fallback) AS hybrid_fallback_count
   FROM ru GROUP BY method, seed"""
+CTES["tierlat"] = "SELECT series_id, avg(edge_latency_s) AS e, avg(network_latency_s) AS w, avg(cloud_latency_s) AS c FROM lg GROUP BY 1"
 CTES["rl"] = """
-  SELECT *, CASE WHEN action <> 'CLOUD' THEN value / 1000.0 ELSE 0.0 END
-    + CASE WHEN action = 'CLOUD' OR cloud_fallback THEN k / 100.0 ELSE 0.0 END AS latency_s FROM ru"""
+  SELECT ru.*, CASE WHEN action <> 'CLOUD' THEN e ELSE 0.0 END + CASE WHEN action = 'CLOUD' OR cloud_fallback THEN w + c ELSE 0.0 END AS latency_s
+  FROM ru JOIN tierlat USING (series_id)"""
 CTES["lab"] = """
   SELECT series_id, row_idx, y AS label, CAST(row_idx + floor(k / 4.0) - CASE WHEN state = 3 THEN 3 ELSE 0 END AS BIGINT) AS arrival_index
   FROM o WHERE role = 'inference' AND event_type <> 'view'"""
@@ -591,19 +631,70 @@ sql("load_report", f"""SELECT {_ta}, n_rows = 1000 AS row_count_matches, f0 = TI
   concat_ws('|', CASE WHEN n_rows <> 1000 THEN 'row count differs' END, CASE WHEN n_duplicate_timestamps > 0 THEN n_duplicate_timestamps || ' duplicate timestamps' END,
     CASE WHEN modal_interval_s <> 86400 THEN 'modal interval differs' END, CASE WHEN n_gaps > 0 THEN n_gaps || ' gaps; ' || (n_gaps + 1) || ' blocks' END,
     CASE WHEN f0 <> TIMESTAMP '1995-01-01' OR l0 <> TIMESTAMP '2001-12-31' THEN 'time range differs' END) AS findings FROM ta""")
-_AUDIT = {
-    "nation": ("n_nationkey", "n_name", "n_regionkey"), "region": ("r_regionkey", "r_name"),
-    "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey"),
-    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"),
-    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"),
-    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"),
-    "labels": ("doc_id", "quality", "toxic"), "t": ("event_id", "user_id", "event_type", "state", "y"),
+#: The driver's tables with their columns by kind: x doubles, t stamps, a lists of floats, the rest (s) read as text as they are.
+_TABLES = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal:x c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal:x", "part": "p_partkey p_name p_brand p_type p_size p_retailprice:x",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice:x o_orderdate:t o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity:x l_extendedprice:x l_discount:x l_tax:x l_returnflag l_linestatus l_shipdate:t",
+    "events": "event_id ts:t user_id event_type value:x props", "documents": "doc_id text lang source n_chars", "embeddings": "vec_id embedding:a label",
+    "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
 }
+_COLUMNS = {t: [(c.partition(":")[0], c.partition(":")[2] or "s") for c in cs.split()] for t, cs in _TABLES.items()}
+
+
+def _fixed(c: str, kind: str) -> str:
+    """The fixed text of a value."""
+    if kind == "x":
+        return f"CASE WHEN isnan({c}) THEN 'nan' WHEN abs({c}) >= 9e12 THEN 'huge' ELSE CAST(CAST(floor({c} * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR) END"
+    if kind == "t":
+        return f"CAST(epoch_us({c}) AS VARCHAR)"
+    if kind == "a":
+        return f"array_to_string(list_transform({c}, lambda x: CAST(CAST(floor(x::DOUBLE * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR)), ',')"
+    return f"CAST({c} AS VARCHAR)"
+
+
 sql("dataset_audit", "\n UNION ALL ".join(f"""
-  SELECT '{'events' if tb == 't' else tb}' AS table_name, '{c}' AS "column", CAST(sum(k) AS BIGINT) AS n_rows, count(v) AS n_unique,
-    CAST(coalesce(sum(k) FILTER (WHERE v IS NULL), 0) AS BIGINT) AS n_missing,
+  SELECT '{tb}' AS table_name, '{c}' AS "column", CAST(sum(k) AS BIGINT) AS n_rows,
+    CAST(coalesce(sum(k) FILTER (WHERE v IS NULL), 0) AS BIGINT) AS n_missing, count(v) > 12 AS is_wide, CASE WHEN count(v) <= 12 THEN count(v) END AS n_unique,
     CASE WHEN count(v) <= 12 THEN string_agg(v || ':' || k, '|' ORDER BY v || ':' || k) FILTER (WHERE v IS NOT NULL) END AS distribution, count(v) <= 1 AS zero_variance
-  FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS k FROM {tb} GROUP BY 1)""" for tb, cs in _AUDIT.items() for c in cs))
+  FROM (SELECT {_fixed(c, kind)} AS v, count(*) AS k FROM {tb} GROUP BY 1)""" for tb, cs in _COLUMNS.items() for c, kind in cs))
+_STAMPS = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
+sql("table_facts", "\n UNION ALL ".join(f"""
+  SELECT '{tb}' AS table_name, count(*) AS n_rows, {len(cs)} AS n_columns, md5('{"|".join(sorted(c for c, _ in cs))}') AS column_set_id,
+    """ + (f"""'{_STAMPS[tb]}' AS time_column, {stamp(f'min({_STAMPS[tb]})', 'first_ts')}, {stamp(f'max({_STAMPS[tb]})', 'last_ts')}, count(DISTINCT {_STAMPS[tb]}) AS n_stamps FROM {tb}"""
+    if tb in _STAMPS else f"NULL::VARCHAR AS time_column, {stamp('max(NULL::TIMESTAMP)', 'first_ts')}, {stamp('max(NULL::TIMESTAMP)', 'last_ts')}, NULL::BIGINT AS n_stamps FROM {tb}") for tb, cs in _COLUMNS.items()))
+
+
+def _digested(name: str, source: str, cs: list[tuple[str, str]]) -> str:
+    cells = ", ".join(f"coalesce({_fixed(c, kind)}, '\\N')" for c, kind in sorted(cs))
+    return f"""SELECT '{name}' AS table_name, md5('{"|".join(sorted(c for c, _ in cs))}') AS schema_id, md5(concat_ws(chr(31), {cells})) AS h FROM {source}"""
+
+
+CTES["dg"] = "\n  UNION ALL ".join([
+    *[_digested(t, t, cs) for t, cs in _COLUMNS.items()], _digested("labels_copy", "labels", _COLUMNS["labels"]),
+    _digested("labels_changed", "(SELECT doc_id, quality, CASE WHEN doc_id % 97 = 0 THEN 1 - toxic ELSE toxic END AS toxic FROM labels)", _COLUMNS["labels"]),
+])
+CTES["dt"] = """SELECT table_name, schema_id, substr(h, 1, 2) AS node, count(*) AS n_rows, sum(CAST('0x' || substr(h, 1, 16) AS UBIGINT))::HUGEINT AS hi,
+  sum(CAST('0x' || substr(h, 17, 16) AS UBIGINT))::HUGEINT AS lo FROM dg GROUP BY ALL"""
+CTES["dr"] = "SELECT table_name, schema_id, sum(n_rows)::BIGINT AS n_rows, sum(hi)::HUGEINT AS hi, sum(lo)::HUGEINT AS lo FROM dt GROUP BY ALL"
+_ORDER += ["dg", "dt", "dr"]
+sql("duplicate_tables", """SELECT table_name, schema_id, n_rows, hi::VARCHAR || '/' || lo::VARCHAR AS content_id,
+  string_agg(table_name, '|' ORDER BY table_name) OVER same AS equal_tables, count(*) OVER same AS n_equal FROM dr
+  WINDOW same AS (PARTITION BY schema_id, n_rows, hi, lo ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+sql("table_differences", """SELECT l AS left_table, r AS right_table, count(*) AS n_buckets, min(node) AS first_bucket, sum(ln)::BIGINT AS left_rows, sum(rn)::BIGINT AS right_rows
+  FROM (SELECT p.l, p.r, b.node, coalesce(x.n_rows, 0) AS ln, coalesce(y.n_rows, 0) AS rn, coalesce(x.hi, 0) AS lh, coalesce(y.hi, 0) AS rh, coalesce(x.lo, 0) AS ll, coalesce(y.lo, 0) AS rl
+    FROM (SELECT a.table_name AS l, c.table_name AS r FROM dr a JOIN dr c ON a.schema_id = c.schema_id AND a.table_name < c.table_name) p
+    CROSS JOIN (SELECT DISTINCT node FROM dt) b LEFT JOIN dt x ON x.table_name = p.l AND x.node = b.node LEFT JOIN dt y ON y.table_name = p.r AND y.node = b.node)
+  WHERE (ln, lh, ll) <> (rn, rh, rl) GROUP BY 1, 2""")
+_plain = "strftime(ts, '%Y-%m-%d %H:%M:%S') || ';' || event_id || ';' || event_type"
+sql("scan_quarantine", f"""
+  SELECT 'kept' AS reason, count(*) AS n, sum(event_id)::BIGINT AS id_sum, NULL::VARCHAR AS sample FROM events WHERE event_id % 50 > 2
+  UNION ALL SELECT 'too few fields', count(*), NULL, min({_plain}) FROM events WHERE event_id % 50 = 0
+  UNION ALL SELECT 'too many fields', count(*), NULL, min({_plain} || ';' || user_id || ';more') FROM events WHERE event_id % 50 = 1
+  UNION ALL SELECT 'not a bigint: user_id', count(*), NULL, min({_plain} || ';many') FROM events WHERE event_id % 50 = 2""")
+sql("sink_event_log_stream", """SELECT event_type AS event, md5(event_type) AS config_fingerprint, CAST(user_id % 5 AS VARCHAR) AS master_seed, count(*) AS n,
+  sum(event_id)::BIGINT AS id_sum FROM events GROUP BY 1, 2, 3""")
 sql("interval_histogram", f"SELECT {d('delta_s', 'delta_s')}, count(*) AS k FROM fd WHERE delta_s IS NOT NULL GROUP BY fd.delta_s ORDER BY k DESC, fd.delta_s LIMIT 4")
 sql("table_chronology", "\n UNION ALL ".join(
     f"SELECT '{n}' AS table_name, {stamp(f'min({c})', 'first_ts')}, {stamp(f'max({c})', 'last_ts')}, count(*) AS n_rows FROM {n}"
@@ -782,7 +873,7 @@ sql("delivery_metrics", f"""SELECT * FROM (SELECT seed, count(*) AS total_transm
   {d('avg(success::INT)', 'delivery_rate')}, {d('avg((NOT success)::INT)', 'failure_rate')}, {d('avg(packet_lost::INT)', 'packet_loss_rate')} FROM lg WHERE network_latency_s IS NOT NULL GROUP BY 1)
   JOIN (SELECT seed, {_lat('network_latency_s', False, True)} FROM lg WHERE network_latency_s IS NOT NULL AND success GROUP BY 1) USING (seed)""")
 sql("ablation_rollup", f"""SELECT method, {d('any_value(f)', 'post_drift_macro_f1')}, {d('avg(cloud_count * 100.0::DOUBLE / total_decisions)', 'cloud_offloading_percentage')}, {d('any_value(l)', 'mean_latency_ms')},
-    CASE WHEN method = 'ADAPTIVE' THEN 'YES' ELSE 'NO' END AS drift_signal_used, 'NO' AS adaptation_used
+    CASE WHEN method LIKE 'ADAPTIVE%' THEN 'YES' ELSE 'NO' END AS drift_signal_used, CASE WHEN method = 'ADAPTIVE_RETRAINED' THEN 'YES' ELSE 'NO' END AS adaptation_used
   FROM rt JOIN (SELECT method, avg(post_f1) AS f FROM pq GROUP BY 1) USING (method)
   JOIN (SELECT method, avg(m) AS l FROM (SELECT method, seed, avg(latency_s) * 1000.0 AS m FROM rl GROUP BY 1, 2) GROUP BY 1) USING (method) GROUP BY method""")
 # Fixed value: Student-t quantile 0.975 for 4 degrees of freedom (five seeds).
@@ -791,7 +882,7 @@ _ci = lambda x, sign: f"CASE WHEN stddev_samp({x}) < 1e-12 THEN avg({x}) ELSE av
 sql("confidence_interval", f"""SELECT method, count(*) AS n, {d('avg(post_accuracy)', 'mean')}, {d('CASE WHEN stddev_samp(post_accuracy) < 1e-12 THEN 0.0::DOUBLE ELSE stddev_samp(post_accuracy) END', 'std')},
   {d(_ci('post_accuracy', '-'), 'ci_lower')}, {d(_ci('post_accuracy', '+'), 'ci_upper')} FROM pq GROUP BY 1""")
 CTES["pr"] = "\n UNION ALL ".join(f"""SELECT '{a} vs {b}' AS comparison, seed, x.post_f1 AS first_value, y.post_f1 AS second_value, x.post_f1 - y.post_f1 AS difference
-  FROM pq x JOIN pq y USING (seed) WHERE x.method = '{a}' AND y.method = '{b}'""" for a, b in (("ADAPTIVE", "STATIC"), ("ADAPTIVE", "NO_DRIFT_SIGNAL"), ("STATIC", "EDGE_ONLY")))
+  FROM pq x JOIN pq y USING (seed) WHERE x.method = '{a}' AND y.method = '{b}'""" for a, b in (("ADAPTIVE", "STATIC"), ("ADAPTIVE", "NO_DRIFT_SIGNAL"), ("STATIC", "EDGE_ONLY"), ("ADAPTIVE_RETRAINED", "ADAPTIVE")))
 _ORDER.append("pr")
 sql("paired_by_seed", f"SELECT seed, {d('first_value', 'first_value')}, {d('second_value', 'second_value')}, {d('difference', 'difference')} FROM pr WHERE comparison = 'ADAPTIVE vs STATIC'")
 CTES["ps"] = """SELECT comparison, count(*) AS n_replicates, avg(first_value) AS m1, avg(second_value) AS m2, avg(difference) AS md, stddev_samp(difference) AS sd,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.operators.profile import unpivot
+from tidegauge.session import materialise
 
 # Roles a table or a time span may play.
 ROLES = ("baseline_train", "baseline_validation", "inference")
@@ -34,6 +35,38 @@ def scan_delimited(
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+#: Column in which the reader keeps a line that does not fit the schema.
+_LINE = "__line"
+
+
+def scan_quarantined(
+    spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", time_column: str | None = None, header: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """The rows that fit the declared schema, and the lines that don't, each with its reason.
+
+    Instead of nulls in place of what could not be read, a line with too few or too many fields, or with a field that is not of
+    its type, goes to quarantine as a whole: `line` and `reason` ("too few fields", "too many fields", "not a <type>: <column>").
+    The scan is written once, since the reader parses only what a query asks for and would judge a line by that alone.
+    """
+    fields = [T.StructField(f.name.strip(), T.StringType() if f.name == time_column else f.dataType) for f in schema.fields]
+    read = spark.read.schema(T.StructType([*fields, T.StructField(_LINE, T.StringType())])).option("header", header).option("sep", sep)
+    every = materialise(read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _LINE).csv(path), "scanned")
+    line = F.col(_LINE)
+    good = every.where(line.isNull()).drop(_LINE)
+    cells = F.from_csv(line, ", ".join(f"c{k} string" for k in range(len(fields) + 1)), {"sep": sep})
+    bad = every.where(line.isNotNull()).select(line.alias("line"), cells.alias("c"), (F.length(line) - F.length(F.replace(line, F.lit(sep), F.lit("")))).alias("n"))
+    told = None
+    for k, f in enumerate(fields):
+        if not isinstance(f.dataType, T.StringType):
+            wrong = F.col(f"c.c{k}").isNotNull() & F.expr(f"try_cast(trim(c.c{k}) AS {f.dataType.simpleString()})").isNull()
+            told = F.when(wrong, F.lit(f"not a {f.dataType.simpleString()}: {f.name}")) if told is None else told.when(wrong, F.lit(f"not a {f.dataType.simpleString()}: {f.name}"))
+    # Separators inside quotes are no fields: what the parser made of the line decides, the count only where it is one too many.
+    few = F.col(f"c.c{len(fields) - 1}").isNull() & (F.col("n") < (len(fields) - 1) * len(sep))
+    many = F.col(f"c.c{len(fields)}").isNotNull()
+    reason = F.when(few, F.lit("too few fields")).when(many, F.lit("too many fields")).otherwise(F.coalesce(*([told] if told is not None else []), F.lit("unreadable")))
+    return good, bad.select("line", reason.alias("reason"))
+
+
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
