@@ -41,7 +41,7 @@ from tidegauge.session import materialise
 #: Bytes of a repeated string, of the grams inside, and most strings of a run (bits of a mask).
 LENGTH, GRAM, RUN = 50, 20, 64
 #: Bytes of text worked on at a time; bytes that a shard gathers before it sorts.
-SEGMENT, SHARD = 1 << 18, 1 << 22
+SEGMENT, SHARD = 1 << 16, 1 << 22
 #: Bits of a hash that is counted and of the place in a table (so many bits it has), and hashes that a task sorts at a time.
 COUNTED, TABLE, SORTED = 40, 27, 1 << 21
 #: Most contents of a minimizer that are sorted together: under 4 MB, as a content has at most RUN + LENGTH - 1 bytes.
@@ -270,7 +270,7 @@ def smaller_elsewhere(contents: list[bytes], lows: np.ndarray) -> np.ndarray:
     joined = np.frombuffer(b"\0".join(contents) + b"\0\0", np.uint8).astype(np.uint16) + 2
     joined[starts + sizes], joined[-1] = 1, 0
     places, common = suffix_array(joined, 258, LENGTH)
-    owner = np.searchsorted(starts, places, "right") - 1
+    owner = np.repeat(np.arange(len(contents)), np.r_[sizes[:-1] + 1, sizes[-1] + 2])[places]
     offset = places - starts[owner]
     whole = offset <= sizes[owner] - LENGTH
     group = np.cumsum(common < LENGTH)[whole]

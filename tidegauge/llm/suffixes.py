@@ -158,17 +158,32 @@ def induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, seed_common: n
 
 
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Equal leading symbols of the suffixes at a and b, up to `depth`."""
+    """Equal leading symbols of the different suffixes at a and b, up to `depth`; four symbols are compared at a time.
+
+    The last symbol stands nowhere else, so two suffixes differ before one of them ends.
+    """
     out, open_ = np.zeros(len(a), dtype=np.int64), np.arange(len(a))
-    for k in range(depth):
+    if len(a) < 256:
+        for k in range(depth):
+            open_ = open_[text[np.minimum(a[open_] + k, len(text) - 1)] == text[np.minimum(b[open_] + k, len(text) - 1)]]
+            if not len(open_):
+                break
+            out[open_] += 1
+        return out
+    four = np.zeros(len(text) + depth + 4, dtype=np.uint64)
+    four[: len(text)] = text
+    for j in (1, 2):
+        four[:-j] |= four[j:] << np.uint64(16 * j)
+    for k in range(0, depth, 4):
+        x = four[a[open_] + k] ^ four[b[open_] + k]
+        apart = x != 0
+        for bits in (16, 32, 48):
+            out[open_[apart]] += (x[apart] & np.uint64((1 << bits) - 1)) == 0
+        open_ = open_[~apart]
+        out[open_] += 4
         if not len(open_):
             break
-        x, y = a[open_] + k, b[open_] + k
-        inside = (x < len(text)) & (y < len(text))
-        open_, x, y = open_[inside], x[inside], y[inside]
-        open_ = open_[text[x] == text[y]]
-        out[open_] += 1
-    return out
+    return np.minimum(out, depth)
 
 
 def sorted_seeds(text: np.ndarray, is_s: np.ndarray, symbols: int, depth: int, memory: int = MEMORY) -> np.ndarray:
@@ -182,7 +197,10 @@ def sorted_seeds(text: np.ndarray, is_s: np.ndarray, symbols: int, depth: int, m
     mark[lms] = True
     places = places[mark[places]]
     # Names: a seed substring reaches up to and with the next seed; equal neighbours in order share a name.
-    following = np.searchsorted(lms, places) + 1
+    number = np.empty(len(text), dtype=np.int64)
+    number[lms] = np.arange(len(lms))
+    order = number[places]
+    following = order + 1
     ends = np.where(following < len(lms), lms[np.minimum(following, len(lms) - 1)] + 1, len(text))
     size = ends - places
     shared = common_prefix(text, places[:-1], places[1:], int(min(depth, size.max())))
@@ -190,19 +208,25 @@ def sorted_seeds(text: np.ndarray, is_s: np.ndarray, symbols: int, depth: int, m
     name = np.cumsum(np.r_[True, ~same])
     if name[-1] == len(name):
         return places
-    # The string of names, sorted by rank doubling: after r rounds ranks tell 2^r seeds, at least 2^(r+1) symbols.
-    rank = np.zeros(len(lms), dtype=np.int64)
-    rank[np.searchsorted(lms, places)] = name
+    # The string of names, sorted by rank doubling: after r rounds ranks tell 2^r seeds, at least 2^(r+1) symbols. A rank is the
+    # first place of its group; only groups of several are sorted on.
+    head = np.flatnonzero(np.r_[True, ~same])
+    sizes = np.diff(np.r_[head, len(order)])
+    rank = np.zeros(len(lms) + 1, dtype=np.int64)
+    rank[order] = np.repeat(head, sizes) + 1
+    open_ = np.flatnonzero(np.repeat(sizes > 1, sizes))
     reach = 1
-    while True:
-        order = np.lexsort((np.r_[rank[reach:], np.zeros(min(reach, len(rank)), dtype=np.int64)][: len(rank)], rank))
-        second = np.r_[rank[reach:], np.zeros(min(reach, len(rank)), dtype=np.int64)][: len(rank)]
-        new = np.cumsum(np.r_[1, (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])])
-        rank = np.empty_like(rank)
-        rank[order] = new
+    while len(open_) and 2 * reach <= depth:
+        at = order[open_]
+        key = rank[at] * (len(lms) + 2) + rank[np.minimum(at + reach, len(lms))]
+        by = np.argsort(key, kind="stable")
+        order[open_], key = at[by], key[by]
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[head, len(key)])
+        rank[order[open_]] = np.repeat(open_[head], sizes) + 1
+        open_ = open_[np.repeat(sizes > 1, sizes)]
         reach *= 2
-        if new[-1] == len(new) or 2 * reach > depth:
-            return lms[order]
+    return lms[order]
 
 
 def suffix_array(text: np.ndarray, symbols: int, depth: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
