@@ -3,9 +3,11 @@
 Every document gets a few whole-number measures. Their distributions are sketched per language and source: a value is
 counted in a bucket that keeps its six leading bits, so a sketch is a small table of counts, bucket edges are within
 1/32 of the value, and sketches merge by adding counts: partial sketches of map tasks, of the sources of a language,
-of the whole corpus. A threshold is a fence around the middle half of its group, at least a stated slack wide; groups
+of the whole corpus. A threshold stands off the group's ninth decile by some times that decile's distance to the median, and
+by a slack that is no more than one event in a short document; so it lies where the group's own spread puts it. Groups
 with few documents borrow the sketch of their language, languages with few that of the corpus. Documents join the
-thresholds of their group and are kept if no measure is outside.
+thresholds of their group and are kept if no measure is outside. One repeated line, and repeated windows of 20 words, are no
+sign of anything and don't enter their measures.
 
 DataFrame functions only. A document is one row: arrays of its words never leave it, so nothing is shuffled but measures.
 
@@ -27,14 +29,16 @@ from tidegauge.session import materialise
 WINDOW = 5
 #: Documents that a group needs for thresholds of its own.
 LEAST_GROUP = 100
-#: Measure: least width of the middle half that the fence assumes, and how many widths it stands off.
+#: Measure: slack, and how many times the ninth decile's distance to the median a threshold stands off that decile.
 MEASURES = {
-    "symbol_rate": (10, 4),
-    "upper_rate": (25, 8),
-    "duplicate_line_rate": (150, 4),
-    "repeat_rate": (50, 4),
-    "word_length": (60, 5),
+    "symbol_rate": (20, 4),
+    "upper_rate": (10, 4),
+    "duplicate_line_rate": (100, 4),
+    "repeat_rate": (25, 4),
+    "word_length": (20, 4),
 }
+#: Repeated lines and words of repeated windows that are not counted.
+FREE_LINES, FREE_WORDS = 1, 20
 #: Only the last is bounded from below too.
 TWO_SIDED = ("word_length",)
 
@@ -69,12 +73,12 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     covered = F.aggregate(steps, F.lit(0), lambda a, b: a + b)
     d = d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("starts", "repeats")
     one = F.lit(1)
-    share = lambda a, b: F.floor(F.col(a) * 1000 / F.greatest(b, one)).cast("long")
+    share = lambda a, b, free=0: F.floor(F.greatest(F.col(a) - free, F.lit(0)) * 1000 / F.greatest(b, one)).cast("long")
     return d.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)).alias("base_failed"),
-        share("n_symbols", "word_chars").alias("symbol_rate"), share("n_upper", "word_chars").alias("upper_rate"), share("n_dup_lines", "n_lines").alias("duplicate_line_rate"),
-        share("n_repeat_words", "n_words").alias("repeat_rate"), F.floor(F.col("word_chars") * 100 / F.greatest("n_words", one)).cast("long").alias("word_length"),
+        share("n_symbols", "word_chars").alias("symbol_rate"), share("n_upper", "word_chars").alias("upper_rate"), share("n_dup_lines", "n_lines", FREE_LINES).alias("duplicate_line_rate"),
+        share("n_repeat_words", "n_words", FREE_WORDS).alias("repeat_rate"), F.floor(F.col("word_chars") * 100 / F.greatest("n_words", one)).cast("long").alias("word_length"),
     )
 
 
@@ -97,14 +101,15 @@ def fences(sketches: DataFrame, *keys: str) -> DataFrame:
     """A row per group: its document count and, for each measure, low and high."""
     w = Window.partitionBy(*keys, "measure")
     ranked = sketches.withColumn("up_to", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    quartile = lambda q: F.min(F.when(F.col("up_to") * 4 >= F.col("total") * q, F.col("bucket")))
-    each = ranked.groupBy(*keys, "measure").agg(F.max("total").alias("docs"), quartile(1).alias("q1"), quartile(3).alias("q3"))
+    decile = lambda q: F.min(F.when(F.col("up_to") * 10 >= F.col("total") * q, F.col("bucket")))
+    each = ranked.groupBy(*keys, "measure").agg(F.max("total").alias("docs"), *[decile(q).alias(f"d{q}") for q in (1, 5, 9)])
     of = lambda m, c: F.max(F.when(F.col("measure") == m, c))
     bounds = [F.max("docs").alias("docs")]
     for m, (slack, widths) in MEASURES.items():
-        off = F.greatest(F.col("q3") - F.col("q1"), F.lit(slack)) * widths
-        bounds.append(of(m, F.col("q3") + off).alias(f"{m}_high"))
-        bounds.append((of(m, F.col("q1") - off) if m in TWO_SIDED else F.lit(None).cast("long")).alias(f"{m}_low"))
+        high = F.col("d9") + (F.col("d9") - F.col("d5")) * widths + slack
+        low = F.col("d1") - (F.col("d5") - F.col("d1")) * widths - slack
+        bounds.append(of(m, high).alias(f"{m}_high"))
+        bounds.append((of(m, low) if m in TWO_SIDED else F.lit(None).cast("long")).alias(f"{m}_low"))
     return each.groupBy(*keys).agg(*bounds)
 
 
