@@ -7,13 +7,16 @@ reports where the match starts and ends and how many edits it took. Nothing is s
 of edits is found wherever it stands.
 
 Exact places of the base phrases are reported next to that. Null text counts as empty: no words, no places, no
-labels, score 0. Equal texts give equal rows.
+labels, score 0. Equal texts give equal rows; repeated and null ids and other columns do no harm, an empty table gives no rows.
+The work grows with the text and its candidates, however long it is.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -48,6 +51,15 @@ NOTICES = (
     ("public-domain", "dedicated to the public domain", 2),
     ("public-domain", "free and unencumbered software released into the public domain", 4),
     ("all-rights-reserved", "all rights reserved", 2),
+    ("mit", "spdx license identifier mit", 1),
+    ("apache", "spdx license identifier apache 2 0", 1),
+    ("gpl", "spdx license identifier gpl", 1),
+    ("bsd", "spdx license identifier bsd", 1),
+    ("mpl", "spdx license identifier mpl 2 0", 1),
+    ("cc0", "cc0 1 0 universal", 1),
+    ("mit", "the software is provided as is without warranty of any kind express or implied", 5),
+    ("bsd", "this software is provided by the copyright holders and contributors as is", 5),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors", 5),
 )
 
 SCHEMA = (
@@ -107,10 +119,11 @@ class NoticeSearch:
                         found.setdefault(n, set()).add((m[2], low + m[0], low + m[1]))
         out = []
         for n, matches in found.items():
-            taken: list[tuple[int, int]] = []
+            taken: list[tuple[int, int]] = []  # apart and by place: only the neighbours of a place can overlap
             for edits, a, b in sorted(matches):
-                if not any(a < y and x < b for x, y in _near(taken, a, b)):
-                    taken.append((a, b))
+                at = bisect_left(taken, (a, b))
+                if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+                    taken.insert(at, (a, b))
                     out.append((n, a, b, edits))
         return sorted(out, key=lambda s: (s[1], s[0]))
 
@@ -121,9 +134,12 @@ class NoticeSearch:
             if at := places(data, b" " + phrase.encode() + b" "):
                 base += at
                 labels.add(label)
-        starts = [data.count(b" ", 0, at + 1) - 1 for at in (min(base), max(base))] if base else [None, None]
         matches = self.spans(data)
-        spans = [(self.notices[n][0], data.count(b" ", 0, a + 1) - (data[a] != 32), a, b, e) for n, a, b, e in matches]
+        # Words before a place: blanks up to it, counted once for all places.
+        asked = np.array([*base, *(a for _, a, _, _ in matches)], dtype=np.int64)
+        blanks = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 32), asked, "right").tolist() if len(asked) else []
+        starts = [min(blanks[: len(base)]) - 1, max(blanks[: len(base)]) - 1] if base else [None, None]
+        spans = [(self.notices[n][0], k - (data[a] != 32), a, b, e) for (n, a, b, e), k in zip(matches, blanks[len(base) :])]
         closeness = [1 - e / len(self.notices[n][1]) for n, _, _, e in matches]
         return (
             n_words, len(base), *starts, ",".join(sorted(labels)), ",".join(sorted(labels | {s[0] for s in spans})),
@@ -131,10 +147,6 @@ class NoticeSearch:
         )
 
 
-def _near(taken: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
-    return taken if len(taken) < 64 else [t for t in taken if t[0] < b and a < t[1]]
-
-
 _SEARCHES: dict[tuple, NoticeSearch] = {}
 
 
