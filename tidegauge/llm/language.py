@@ -39,7 +39,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, lower-cased; numerals such as a half or a Roman eight are no letters."""
+    words = _WORD.findall(text.lower()) if text else []
+    if not words or text.isascii() or "".join(words).isalpha():
+        return words
+    return [x for w in words for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
