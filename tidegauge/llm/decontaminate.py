@@ -11,9 +11,11 @@ themselves.
 The test items are a stated query set: they are read in blocks of bounded size, each searched against all documents
 where they are stored, so documents are never shuffled and a passage that a third of them quotes costs each only a look-up.
 
-Words are bounded by ASCII white space, A-Z lower-cased. A text of one to four words is one shingle of all its words,
-which only an equally short text contains; a null text or one without words holds nothing and leaks nowhere. Equal
-items are told apart by their ids; rows with equal documents each get their matches.
+Words are bounded by ASCII white space, A-Z lower-cased. An item of one to four words is one shingle of all its words, which is
+looked for among the shingles of so many words of every document, so short questions and answers are found inside long
+texts; only the word counts that occur among the items are looked up. A null text or one without words holds nothing and leaks
+nowhere. Equal items are told apart by their ids; rows with equal documents each get their matches. Texts of any length are
+searched whole; empty tables give empty results; other columns are ignored by `leaks` and passed on by `clean`.
 """
 
 from __future__ import annotations
@@ -68,61 +70,67 @@ def word_hashes(data: bytes) -> np.ndarray:
     return _mixed(sums[end] - sums[start])
 
 
-def shingle_hashes(data: bytes) -> np.ndarray:
-    """Hashes of all shingles of normalised text in order; a shorter text is one shingle."""
-    w = word_hashes(data)
-    n = min(SHINGLE, len(w))
-    if not n:
-        return w
-    h = np.full(len(w) - n + 1, np.uint64(n), dtype=np.uint64)
-    for j in range(n):
-        h = _mixed(h * _FACTOR + w[j : len(w) - n + 1 + j])
+def shingle_hashes(words_of: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all shingles of so many words, in order, from the hashes of the words."""
+    if len(words_of) < width:
+        return np.zeros(0, np.uint64)
+    h = np.full(len(words_of) - width + 1, np.uint64(width), dtype=np.uint64)
+    for j in range(width):
+        h = _mixed(h * _FACTOR + words_of[j : len(words_of) - width + 1 + j])
     return h
 
 
-def shingles(text: str | None) -> set[bytes]:
+def shingles(text: str | None, width: int = SHINGLE) -> set[bytes]:
     w = [x for x in words(text) if x]
-    return {b" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else set()
+    return {b" ".join(w[i : i + width]) for i in range(len(w) - width + 1)}
+
+
+def width_of(text: str | None) -> int:
+    """Words in an item's shingles: SHINGLE, or all it has."""
+    return min(SHINGLE, sum(map(bool, words(text))))
 
 
 class ItemBlock:
-    """The sketches of some test items, by size class."""
+    """The sketches of some test items, by words in a shingle and size class."""
 
     def __init__(self, items: list[tuple[int, str]], containment: float):
         self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
-        self.sets, self.need = [shingles(t) for t in self.texts], []
-        self.classes: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
-        by_class: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for i, text in enumerate(self.texts):
-            h = np.unique(shingle_hashes(text.encode().translate(_PLAIN)))
+        self.widths = [width_of(t) for t in self.texts]
+        self.sets, self.need = [shingles(t, w) if w else set() for t, w in zip(self.texts, self.widths)], []
+        self.classes: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        by_class: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        for i, (text, width) in enumerate(zip(self.texts, self.widths)):
             need = math.ceil(containment * len(self.sets[i]) - 1e-9)
             self.need.append(need)
-            if len(h):
-                by_class.setdefault(len(h).bit_length(), []).append((i, h[: len(h) - min(need, len(h)) + 1]))
-        for size, sketches in by_class.items():
+            if width:
+                h = np.unique(shingle_hashes(word_hashes(text.encode().translate(_PLAIN)), width))
+                by_class.setdefault((width, len(h).bit_length()), []).append((i, h[: len(h) - min(need, len(h)) + 1]))
+        for (width, _), sketches in by_class.items():
             value = np.concatenate([s for _, s in sketches])
             item = np.repeat([i for i, _ in sketches], [len(s) for _, s in sketches])
             order = np.argsort(value, kind="stable")
-            self.classes[size] = min(self.need[i] for i, _ in sketches), value[order], item[order]
+            self.classes.setdefault(width, []).append((min(self.need[i] for i, _ in sketches), value[order], item[order]))
 
     def matches(self, text: str | None) -> Iterator[tuple[int, int, int]]:
         """(item, its shingles in the text, all its shingles) for the items that leak into the text."""
         if not text:
             return
-        hashes = shingle_hashes(text.encode().translate(_PLAIN))
+        held = word_hashes(text.encode().translate(_PLAIN))
         candidates: set[int] = set()
-        for least, value, item in self.classes.values():
-            if len(hashes) < least:
-                continue
-            own = hashes[hashes <= value[-1]]
-            low, high = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
-            hit = high > low
-            for a, b in set(zip(low[hit].tolist(), high[hit].tolist())):
-                candidates.update(item[a:b].tolist())
+        for width, classes in self.classes.items():
+            hashes = shingle_hashes(held, width)
+            for least, value, item in classes:
+                if len(hashes) < least:
+                    continue
+                own = hashes[hashes <= value[-1]]
+                low, high = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
+                hit = high > low
+                for a, b in set(zip(low[hit].tolist(), high[hit].tolist())):
+                    candidates.update(item[a:b].tolist())
         if candidates:
-            held = shingles(text)
+            own = {w: shingles(text, w) for w in {self.widths[i] for i in candidates}}
             for i in sorted(candidates):
-                n = len(self.sets[i] & held)
+                n = len(self.sets[i] & own[self.widths[i]])
                 if n >= self.need[i]:
                     yield i, n, len(self.sets[i])
 

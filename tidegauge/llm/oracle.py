@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidegauge.llm.decontaminate import CONTAINMENT, SHINGLE
 from tidegauge.llm.line_dedup import LEAST_CHARS, SHORT_SITES, SITES
-from tidegauge.llm.quality import LEAST_GROUP, MEASURES, TWO_SIDED, WINDOW
+from tidegauge.llm.quality import FREE_LINES, FREE_WORDS, LEAST_GROUP, MEASURES, TWO_SIDED, WINDOW
 
 _BLANK = r"[ \t\n\x0b\x0c\r]+"
 
@@ -12,7 +12,7 @@ _WORDS = rf"list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}'), l
 
 
 def _quality() -> str:
-    bounds = " ".join(f"WHEN '{m}' THEN {s}" for m, (s, _) in MEASURES.items())
+    slack = " ".join(f"WHEN '{m}' THEN {s}" for m, (s, _) in MEASURES.items())
     widths = " ".join(f"WHEN '{m}' THEN {w}" for m, (_, w) in MEASURES.items())
     values = " UNION ALL ".join(f"SELECT row, lang, source, '{m}' AS measure, {m} AS v FROM measures" for m in MEASURES)
     two_sided = ", ".join(f"'{m}'" for m in TWO_SIDED)
@@ -21,7 +21,7 @@ def _quality() -> str:
         by = f"{keys}, " if keys else ""
         ranked = f"SELECT {by}measure, bucket, sum(n) AS n FROM sketch GROUP BY {by}measure, bucket"
         return f"""{level} AS (
-            SELECT {by}measure, max(total) AS docs, min(CASE WHEN up_to * 4 >= total THEN bucket END) AS q1, min(CASE WHEN up_to * 4 >= total * 3 THEN bucket END) AS q3
+            SELECT {by}measure, max(total) AS docs, {", ".join(f"min(CASE WHEN up_to * 10 >= total * {q} THEN bucket END) AS d{q}" for q in (1, 5, 9))}
             FROM (SELECT *, sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS up_to, sum(n) OVER (PARTITION BY {by}measure) AS total FROM ({ranked}))
             GROUP BY {by}measure)"""
 
@@ -36,36 +36,34 @@ def _quality() -> str:
             length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper,
             len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM l LEFT JOIN held ON l.row = held.row),
     measures AS (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed, n_symbols * 1000 // greatest(word_chars, 1) AS symbol_rate,
-            n_upper * 1000 // greatest(word_chars, 1) AS upper_rate, n_dup_lines * 1000 // greatest(n_lines, 1) AS duplicate_line_rate,
-            n_repeat_words * 1000 // greatest(n_words, 1) AS repeat_rate, word_chars * 100 // greatest(n_words, 1) AS word_length FROM c),
+            n_upper * 1000 // greatest(word_chars, 1) AS upper_rate, greatest(n_dup_lines - {FREE_LINES}, 0) * 1000 // greatest(n_lines, 1) AS duplicate_line_rate,
+            greatest(n_repeat_words - {FREE_WORDS}, 0) * 1000 // greatest(n_words, 1) AS repeat_rate, word_chars * 100 // greatest(n_words, 1) AS word_length FROM c),
     vals AS ({values}),
     good AS (SELECT vals.* FROM vals JOIN measures USING (row) WHERE NOT base_failed),
     cut AS (SELECT *, greatest(length(bin(v::BIGINT)) - 6, 0)::INT AS s FROM good),
     sketch AS (SELECT lang, source, measure, ((v::BIGINT >> s) << s) AS bucket, count(*) AS n FROM cut GROUP BY ALL),
     {fences("f0", "lang, source")}, {fences("f1", "lang")}, {fences("f2", "")},
     told AS (SELECT vals.row, vals.measure, v,
-            CASE WHEN f0.docs >= {LEAST_GROUP} THEN f0.q1 WHEN f1.docs >= {LEAST_GROUP} THEN f1.q1 ELSE f2.q1 END AS q1,
-            CASE WHEN f0.docs >= {LEAST_GROUP} THEN f0.q3 WHEN f1.docs >= {LEAST_GROUP} THEN f1.q3 ELSE f2.q3 END AS q3
+            {", ".join(f"CASE WHEN f0.docs >= {LEAST_GROUP} THEN f0.d{q} WHEN f1.docs >= {LEAST_GROUP} THEN f1.d{q} ELSE f2.d{q} END AS d{q}" for q in (1, 5, 9))}
         FROM vals LEFT JOIN f0 ON vals.measure = f0.measure AND vals.lang IS NOT DISTINCT FROM f0.lang AND vals.source IS NOT DISTINCT FROM f0.source
         LEFT JOIN f1 ON vals.measure = f1.measure AND vals.lang IS NOT DISTINCT FROM f1.lang LEFT JOIN f2 ON vals.measure = f2.measure),
-    judged AS (SELECT row, v, measure, q1, q3, greatest(q3 - q1, CASE measure {bounds} END) * (CASE measure {widths} END) AS off FROM told),
-    out AS (SELECT row, bool_or(coalesce(v > q3 + off, false) OR (measure IN ({two_sided}) AND coalesce(v < q1 - off, false))) AS outside FROM judged GROUP BY row)
+    judged AS (SELECT *, CASE measure {slack} END AS slack, CASE measure {widths} END AS widths FROM told),
+    out AS (SELECT row, bool_or(coalesce(v > d9 + (d9 - d5) * widths + slack, false) OR (measure IN ({two_sided}) AND coalesce(v < d1 - (d5 - d1) * widths - slack, false))) AS outside
+        FROM judged GROUP BY row)
     SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
         n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT outside AS kept FROM measures JOIN out USING (row)"""
 
 
-def _shingled(table: str, key: str) -> str:
-    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    return rf"""(SELECT DISTINCT {key}, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS g FROM
-        (SELECT {key}, w, unnest(generate_series(1, greatest(len(w) - {SHINGLE - 1}, 1))) AS i FROM
-        (SELECT {key}, list_filter(regexp_split_to_array({low}, '{_BLANK}'), lambda x:x <> '') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) > 0))"""
-
-
-_LEAKS = f"""
-    WITH b AS {_shingled("benchmark", "item_id")}, d AS {_shingled("documents", "doc_id")},
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEAKS = rf"""
+    WITH bw AS (SELECT item_id, w, least(len(w), {SHINGLE}) AS k FROM (SELECT item_id, list_filter(regexp_split_to_array({_LOW}, '{_BLANK}'), lambda x:x <> '') AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0),
+    dw AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOW}, '{_BLANK}'), lambda x:x <> '') AS w FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM (SELECT item_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM bw)),
+    d AS (SELECT DISTINCT doc_id, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM
+        (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM dw JOIN (SELECT DISTINCT k FROM bw) ON len(w) >= k)),
     sizes AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id)
     SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, n::BIGINT AS n_shingles, count(*) / n AS containment
-    FROM b JOIN d USING (g) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= {CONTAINMENT} * n - 1e-9"""
+    FROM b JOIN d USING (k, g) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= {CONTAINMENT} * n - 1e-9"""
 
 _STRIP = r"trim({x}, ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
 _LINES = f"""
