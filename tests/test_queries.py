@@ -9,10 +9,10 @@ SF_DIR = "/root/testdata/sf0.001"
 # The text queries have tests of their own beside them.
 QUERIES = {n: f for n, f in entry_point.queries().items() if n not in entry_point.TEXT_QUERIES}
 SQL = {n: s for n, s in entry_point.oracle_sql().items() if n not in entry_point.TEXT_SQL}
-# Rows only: nothing in SQL says what an adaptive window or boosted trees give.
+# Rows only: nothing in SQL says what an adaptive window or grown trees give.
 ROWS_ONLY = {
     "adwin", "adwin_binned", "drift_chain", "row_trace", "drift_metrics_runs", "cloud_model", "retrain_candidate",
-    "stream_detect",
+    "stream_detect", "edge_tree", "edge_tree_scores",
 }
 
 

@@ -16,6 +16,8 @@ LEAKAGE_COLUMNS = (
     "Target", "Traffic", "StartTime", "LastTime", "RunTime", "SrcAddr",
     "DstAddr", "Sport", "Dport", "Proto", "sIpId", "dIpId",
 )
+#: The same of the tables that this package is bound to: identifiers, stamps, labels and what is derived from them alone.
+BOUND_COLUMNS = ("event_id", "event_type", "user_id", "ts", "y", "series_id", "role", "row_idx")
 # Keys refused in a single observation.
 FORBIDDEN_KEYS = ("Target", "target", "Traffic", "ground_truth")
 
@@ -23,9 +25,15 @@ FORBIDDEN_KEYS = ("Target", "target", "Traffic", "ground_truth")
 ALERTS = ("reliability_degraded", "drift_active", "execution_failure_detected", "cloud_fallback_active", "packet_loss")
 
 
-def leakage_guard(columns: Sequence[str], forbidden: Sequence[str] = LEAKAGE_COLUMNS) -> None:
-    """Refuse a feature set that names a label, time, address or identifier column."""
-    found = [c for c in columns if c in set(forbidden)]
+def leakage_columns(columns: Sequence[str], forbidden: Sequence[str] = (*LEAKAGE_COLUMNS, *BOUND_COLUMNS)) -> list[str]:
+    """Those of the columns that no feature set may name, in any letter case."""
+    names = {c.lower() for c in forbidden}
+    return [c for c in columns if c.lower() in names]
+
+
+def leakage_guard(columns: Sequence[str], forbidden: Sequence[str] = (*LEAKAGE_COLUMNS, *BOUND_COLUMNS)) -> None:
+    """Refuse a feature set that names a label, time, address or identifier column; called at every fit and score."""
+    found = leakage_columns(columns, forbidden)
     if found:
         raise ValueError(f"leakage columns in the feature set: {found}")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegauge.functions.checks import leakage_guard
 from tidegauge.operators.detect import ordered_fold
 from tidegauge.operators.metrics import classification_metrics
 from tidegauge.operators.ordering import Axis
@@ -165,6 +166,19 @@ def training_union(baseline: DataFrame, feedback: DataFrame) -> DataFrame:
     )
 
 
+def retraining(rows: DataFrame, features: Sequence[str], version: str, parent: str, seed: int, minimum: int = MIN_FEEDBACK, most: int = MAX_FEEDBACK) -> DataFrame:
+    """The metadata row of a retraining on a `training_union`; too few labels, or more than the buffer gives, are refused."""
+    leakage_guard(features)
+    late = F.col("feedback_samples_used")
+    reason = F.when(late < minimum, F.lit("too few labels")).when(late > most, F.lit("more labels than the buffer holds"))
+    out = rows.agg(
+        F.lit(version).alias("candidate_version"), F.lit(parent).alias("parent_version"), F.count("*").alias("total_samples_trained"),
+        F.count_if(F.col("origin") == "baseline").alias("baseline_samples_used"), F.count_if(F.col("origin") == "feedback").alias("feedback_samples_used"),
+        F.lit(len(features)).alias("feature_count"), F.lit(seed).alias("random_seed"),
+    )
+    return out.withColumn("status", F.when(reason.isNull(), F.lit("TRAINED")).otherwise(F.lit("REFUSED"))).withColumn("reason", reason)
+
+
 def candidate_gate(
     scored: DataFrame,
     candidate: str = "candidate_pred",

@@ -232,11 +232,20 @@ def realised_magnitude(
 
 def ground_truth(
     df: DataFrame, scenario: str, mechanism: str, columns: Sequence[str], magnitude: float, seed: int,
-    idx: str = "row_idx", by: Sequence[str] = (),
+    idx: str = "row_idx", by: Sequence[str] = (), suffix: str = "__drifted",
 ) -> DataFrame:
-    """What was injected, as its own table: never joined into a scoring path."""
+    """What was injected and what of it arrived, as its own table: never joined into a scoring path.
+
+    `realised_<channel>` is the mean shift over the drifted rows in baseline sigma, after clipping (for noise its spread); `notes`
+    names the channels of which more than a twentieth was clipped away.
+    """
     hit = F.col("schedule") > 0
-    return df.groupBy(*by).agg(
+
+    def landed(c: str) -> Column:
+        delta = F.when(hit, F.col(f"{c}{suffix}") - F.col(c))
+        return (F.stddev_pop(delta) if mechanism == "noise" else F.avg(delta)) / F.max(stat(c, "std"))
+
+    out = df.groupBy(*by).agg(
         F.lit(scenario).alias("scenario"),
         F.lit(mechanism).alias("mechanism"),
         F.min(F.when(hit, F.col(idx))).alias("drift_start_index"),
@@ -246,4 +255,8 @@ def ground_truth(
         F.lit(seed).alias("random_seed"),
         F.count("*").alias("n_rows"),
         F.count_if(hit).alias("n_drifted_rows"),
+        F.avg(F.when(hit, F.col("schedule"))).alias("__asked"),
+        *[landed(c).alias(f"realised_{c}") for c in columns],
     )
+    less = [F.when(F.abs(F.col(f"realised_{c}")) < 0.95 * F.col("__asked"), F.lit(f"{c} clipped")) for c in columns]
+    return out.withColumn("notes", F.array_join(F.array_compact(F.array(*less)), "; ")).drop("__asked")

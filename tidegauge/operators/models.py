@@ -28,6 +28,7 @@ def causal_fit_data(df: DataFrame, features: Sequence[str], label: str, role: st
 
 def nb_fit(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
     """Sufficient statistics of a Gaussian naive Bayes model: one row per class."""
+    leakage_guard(features)
     return df.groupBy(F.col(label).alias("label")).agg(
         F.count("*").alias("n"),
         *[F.sum(F.col(c).cast("double")).alias(f"{c}__sum") for c in features],
@@ -43,6 +44,7 @@ def nb_merge(tables: Sequence[DataFrame]) -> DataFrame:
 
 def nb_scorer(model: DataFrame, features: Sequence[str], smoothing: float = 1e-9) -> Scorer:
     """Scorer that adds p0 and p1 from the class statistics (two rows, joined as one)."""
+    leakage_guard(features)
 
     stats = ["n", *[f"{c}__{s}" for c in features for s in ("sum", "sq")]]
     wide = model.agg(
@@ -75,6 +77,7 @@ def nb_posterior(features: Sequence[str], stat: Callable[[str, int], Column], sm
 
 def logistic_scorer(weights: dict[str, float], bias: float = 0.0) -> Scorer:
     """Scorer from a fixed linear rule; handy where a run must be reproducible in SQL."""
+    leakage_guard(list(weights))
     logit = reduce(add, [F.lit(float(w)) * F.col(c) for c, w in weights.items()], F.lit(float(bias)))
     p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
     return lambda df: df.select("*", (F.lit(1.0) - p1).alias("p0"), p1.alias("p1"))
@@ -95,6 +98,7 @@ def gbt_fit(
 
 
 def gbt_scorer(model: GBTClassificationModel, features: Sequence[str]) -> Scorer:
+    leakage_guard(features)
     assemble = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="keep")
 
     def score(df: DataFrame) -> DataFrame:

@@ -191,11 +191,12 @@ def sink_quality_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Injection facts written to their own JSON sidecar and read back."""
     path = f"{shared_dir(spark)}/truth-{uuid.uuid4().hex}"
-    fields = ["scenario", "drift_start_index", "drift_end_index", "affected_features", "drift_magnitude", "random_seed"]
+    fields = [
+        "scenario", "mechanism", "drift_start_index", "drift_end_index", "affected_features", "drift_magnitude", "realised_value", "realised_k", "random_seed", "notes",
+    ]
     sinks.write_sidecar(truth(spark, sf_dir), path, fields)
-    return spark.read.schema(
-        "scenario string, drift_start_index long, drift_end_index long, affected_features string, drift_magnitude double, random_seed int"
-    ).json(path)
+    schema = "scenario string, mechanism string, drift_start_index long, drift_end_index long, affected_features string, drift_magnitude double"
+    return tidy(spark.read.schema(f"{schema}, realised_value double, realised_k double, random_seed int, notes string").json(path))
 
 
 # ---- projections, predicates, row checks -----------------------------------------------
@@ -238,6 +239,15 @@ def leakage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return causal_fit_data(d, ["z_value", "z_k"], "y").groupBy("y").agg(F.count("*").alias("n"))
 
 
+@query
+def leakage_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column of the telemetry with its values, and whether a feature set may name it."""
+    d = E.normalised(spark, sf_dir)
+    refused = set(checks.leakage_columns(d.columns))
+    facts = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n_values"), F.lit(c in refused).alias("is_refused")) for c in d.columns]
+    return d.agg(F.array(*facts).alias("a")).select(F.inline("a"))
+
+
 @query
 def validate_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by the problem of their feature vector; the amount has holes, 1/k an infinity."""
@@ -580,7 +590,8 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = streamed(spark, sf_dir).withColumn("schedule", inject.schedule("gradual", 3.0, F.col("row_idx"), F.col("n_stream")))
+    level = inject.schedule("gradual", 3.0, F.col("row_idx"), F.col("n_stream"))
+    d = inject.inject(streamed(spark, sf_dir), ["value", "k"], level, "offset", expansion=1.5)
     return inject.ground_truth(d, "gradual", "offset", ["value", "k"], 3.0, 42, by=["series_id"])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import checks, signals
 from tidegauge.functions.draws import uniform
-from tidegauge.operators import detect, feedback, metrics, models, monitoring, routing
+from tidegauge.operators import detect, feedback, metrics, models, monitoring, routing, trees
 from tidegauge.operators.ordering import Axis
 from tidegauge.plans import adapt
 from tidegauge.plans import events as E
@@ -17,7 +17,7 @@ from tidegauge.plans import runs as R
 from tidegauge.plans.catalog import query, tidy
 from tidegauge.session import materialise, shared_dir
 from tidegauge.sources import sinks, tables
-from tidegauge.streaming import stateful
+from tidegauge.streaming import ordered, stateful
 
 ID = ("series_id", "row_idx")
 METHOD_SEED = ["method", "seed"]
@@ -554,8 +554,8 @@ FEATURES = ["z_value", "z_k", "state"]
 @query
 def edge_model_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class statistics learned device by device and merged."""
-    d = models.causal_fit_data(E.normalised(spark, sf_dir).withColumn("state", F.col("state").cast("double")), [*FEATURES, "series_id"], "y")
-    low, high = d.where("series_id < 8"), d.where("series_id >= 8")
+    d = E.normalised(spark, sf_dir).withColumn("state", F.col("state").cast("double"))
+    low, high = (models.causal_fit_data(d.where(part), FEATURES, "y") for part in ("series_id < 8", "series_id >= 8"))
     return tidy(models.nb_merge([models.nb_fit(low, FEATURES, "y"), models.nb_fit(high, FEATURES, "y")]))
 
 
@@ -571,6 +571,37 @@ def edge_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(edge_scored(spark, sf_dir).select("event_id", "p1"))
 
 
+def edge_tree_grown(spark: SparkSession, sf_dir: str) -> trees.Tree:
+    """The incremental tree of the training role, learned in two batches of devices."""
+    tree = trees.Tree(trees.Settings(("z_value", "z_k"), "y", depth=3))
+    for part in (0, 1):
+        rows = E.normalised(spark, sf_dir).where(F.col("series_id") % 2 == part)
+        tree = trees.learn(tree, models.causal_fit_data(rows, FEATURES, "y"))
+    return tree
+
+
+@query
+def edge_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the incremental tree."""
+    return trees.node_table(edge_tree_grown(spark, sf_dir), E.normalised(spark, sf_dir))
+
+
+@query
+def edge_tree_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gain of every split of the root."""
+    d = models.causal_fit_data(E.normalised(spark, sf_dir), FEATURES, "y")
+    stats = trees.counted(d, [()], trees.Settings(("z_value", "z_k"), "y"))
+    return tidy(trees.gains(stats).select("feature", "bin", "gain", "n", "positive"))
+
+
+@query
+def edge_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree on the validation role."""
+    val = E.normalised(spark, sf_dir).where(F.col("role") == "baseline_validation").select("event_id", "y", *FEATURES)
+    scored = trees.scorer(edge_tree_grown(spark, sf_dir))(val)
+    return tidy(metrics.classification_metrics(scored.withColumn("prediction", (F.col("p1") >= 0.5).cast("int")), "y", "prediction"))
+
+
 @query
 def cloud_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees fit on the training role, scored on the validation role."""
@@ -604,6 +635,12 @@ def retrain_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(scored.groupBy("origin").agg(F.count("*").alias("samples"), F.avg("p1").alias("mean_p1")))
 
 
+@query
+def retrain_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What that candidate is fit on, or that it is refused for fewer than 25 labels."""
+    return feedback.retraining(materialise(training_rows(spark, sf_dir), "training"), ["z_value", "z_k"], "v2", "v1", 42)
+
+
 # ---- all result tables ------------------------------------------------------------------------------------------
 
 
@@ -716,11 +753,19 @@ def inference_events(raw: DataFrame) -> DataFrame:
     )
 
 
+def closed_stream(spark: SparkSession, stream: DataFrame, ts: str = "ts") -> DataFrame:
+    """The stream and a closing row, so that the watermark passes everything in it."""
+    folder, _ = scratch(spark, "closing")
+    row = spark.createDataFrame([], stream.schema)
+    ordered.closing(row, ts).write.parquet(folder)
+    return stream.unionByName(stateful.file_stream(spark, folder, stream.schema))
+
+
 @query
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Online count windows over the value channel."""
-    s = stateful.window_stream(event_stream(spark, sf_dir), ["series_id"], ["ts", "event_id"], "value", 20, 5)
-    out = stateful.run_to_table(s, *scratch(spark, "stream-windows"))
+    """Online count windows over the value channel, cut from rows in order."""
+    s = closed_stream(spark, event_stream(spark, sf_dir))
+    out = stateful.run_to_table(ordered.ordered_windows(s, ["series_id"], "ts", "event_id", "value", 20, 5, "1 hour"), *scratch(spark, "stream-windows"))
     return tidy(out.select("series_id", "start_index", "end_index", "mean", "minimum", "maximum", "is_late"))
 
 
@@ -736,6 +781,20 @@ def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries that overlap by days, put in order: every row under the number that the whole table gives it."""
+    folder, _ = scratch(spark, "shuffled")
+    src = inference_events(tables.scan_parquet(spark, f"{sf_dir}/events.parquet"))
+    days = F.datediff("ts", F.lit(E.VALIDATION_END))
+    for k in range(5):
+        src.where(F.floor(days / 4) + F.col("event_id") % 2 == k).coalesce(1).write.mode("append").parquet(folder)
+    ordered.closing(src, "ts").write.mode("append").parquet(folder)  # the last delivery: it would make all after it late
+    s = stateful.file_stream(spark, folder, src.schema, files_per_trigger=1)
+    out = stateful.run_to_table(ordered.ordered_stream(s, ["series_id"], "ts", "event_id", "9 days"), *scratch(spark, "stream-order"))
+    return out.where("series_id >= 0").select("series_id", "row_idx", "event_id", "is_late")
+
+
+@query
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two deliveries drained one after the other, the later days first: rows behind the stream come out as late."""
     folder, state = scratch(spark, "stream-order")
     src = tables.scan_parquet(spark, f"{sf_dir}/events.parquet")
@@ -759,22 +818,75 @@ def stream_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(stateful.run_updates(stateful.monitor_stream(stream, ["series_id"]), *scratch(spark, "stream-monitor"), ["series_id"]))
 
 
+def telemetry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The execution log with the 25 columns of a telemetry row beside its keys."""
+    log = E.execution_log(spark, sf_dir)
+    log = E.STREAM.bounded(log, {"previous_action": lambda w: F.lag("selected_action").over(w)}, back=1)
+    seen = monitored(spark, sf_dir).select(*ID, "reliability", "drift_detected", "is_persistent", "raw_severity", "smoothed_severity")
+    rel = E.reliable(spark, sf_dir).select(*ID, "ts", "confidence", "error_ema", "quality", F.col("edge_pred").alias("prediction"))
+    d = log.join(seen, list(ID)).join(rel, list(ID)).withColumns({
+        "observation_index": F.col("row_idx"), "timestamp": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, "drift_severity": F.col("smoothed_severity"),
+        "decision_reason": F.concat(F.lit("event type of "), F.col("model_used")), "model_version": F.lit("v1"), "controller_policy": F.lit("event_type"),
+        "hybrid_latency_s": F.when(F.col("selected_action") == "HYBRID", F.col("total_latency_s")),
+    })
+    return d.select(*ID, "success", *monitoring.TELEMETRY_COLUMNS)
+
+
+def monitor_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Alerts and newest rows of the telemetry, delivered in two parts (drained once)."""
+
+    def build() -> DataFrame:
+        rows = materialise(telemetry_rows(spark, sf_dir), "telemetry")
+        folder, state = scratch(spark, "telemetry-log")
+        for half in (0, 1):
+            rows.where(F.col("row_idx") % 2 == half).coalesce(1).write.mode("append").parquet(folder)
+        names = checks.alerts(
+            F.col("reliability"), F.col("drift_detected"), F.col("is_persistent"), F.col("smoothed_severity"), ~F.col("success"), F.col("cloud_fallback"),
+            F.col("packet_lost"), severity_floor=0.35,
+        )
+        watch = stateful.Monitor(f"{folder}-out", ["series_id"], "row_idx", 5, names)
+        alerts, newest = watch.run(stateful.file_stream(spark, folder, rows.schema, files_per_trigger=1), state)
+        told = alerts.withColumn("kind", F.lit("alert")).unionByName(newest.withColumn("kind", F.lit("newest")), allowMissingColumns=True)
+        return materialise(told, "monitor")
+
+    told = E.staged(spark, sf_dir, "monitor", build)
+    return told.where("kind = 'alert'"), told.where("kind = 'newest'")
+
+
 @query
-def stream_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every prediction with the label that arrived k hours later, 72 hours at most, if one did.
-
-    The stream joins labels while their predictions are within bounds; a drained stream cannot say of its last rows
-    that no label will come, so predictions without one are completed from the table.
-    """
-    s = event_stream(spark, sf_dir)
-    predicted = lambda d: d.select("event_id", "ts", (F.col("value") > 60).cast("int").alias("prediction"))
-    predictions = predicted(s)
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts raised online, per device and kind."""
+    return monitor_run(spark, sf_dir)[0].groupBy("series_id", "alert").agg(F.count("*").alias("n"), F.min("row_idx").alias("first_row"))
+
+
+@query
+def stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest five telemetry rows of every device, as the monitor holds them."""
+    return tidy(monitor_run(spark, sf_dir)[1].select("series_id", *monitoring.TELEMETRY_COLUMNS))
+
+
+def feedback_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Predictions, and labels that arrive k hours later; both streams end with a closing row."""
+    s = closed_stream(spark, event_stream(spark, sf_dir))
+    predictions = s.select("event_id", "ts", (F.col("value") > 60).cast("int").alias("prediction"))
     labels = s.where(F.col("event_type") != "view").select(
         "event_id", (F.col("event_type") == "error").cast("int").alias("label"),
         (F.col("ts") + F.make_dt_interval(hours=F.col("k").cast("int"))).alias("arrival_ts"),
     )
-    joined = stateful.feedback_stream(predictions, labels, ["event_id"], "72 HOURS")
-    out = stateful.run_to_table(joined, *scratch(spark, "stream-feedback"))
-    every = predicted(inference_events(tables.scan_parquet(spark, f"{sf_dir}/events.parquet"))).drop("ts")
-    done = every.join(out.select("event_id", "label", "arrival_ts"), "event_id", "left")
-    return tidy(done.select("event_id", "prediction", "label", "arrival_ts", F.col("label").isNotNull().alias("is_labeled")))
+    return predictions, labels
+
+
+@query
+def stream_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prediction with the label that arrived k hours later, 72 hours at most, or without one once none can come."""
+    joined = stateful.feedback_stream(*feedback_sides(spark, sf_dir), ["event_id"], "72 HOURS", how="left_outer")
+    out = stateful.run_to_table(joined, *scratch(spark, "stream-feedback")).where("event_id >= 0")
+    return tidy(out.select("event_id", "prediction", "label", "arrival_ts", F.col("label").isNotNull().alias("is_labeled")))
+
+
+@query
+def stream_feedback_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that came too late for their predictions, in a table of their own."""
+    joined = stateful.feedback_stream(*feedback_sides(spark, sf_dir), ["event_id"], "72 HOURS", how="full_outer")
+    out = stateful.run_to_table(joined, *scratch(spark, "stream-late"))
+    return tidy(out.where(F.col("prediction").isNull() & (F.col("event_id") >= 0)).select("event_id", "label", "arrival_ts"))

@@ -199,6 +199,7 @@ CTES["sd"] = f"SELECT *, {SCHEDULE['sudden'].format(m=1.5)} AS schedule FROM inf
 CTES["sdo"] = f"""
   SELECT *, {held('value', 'value + schedule * value__std')} AS value_d, {held('k', 'k + schedule * k__std')} AS k_d FROM sd"""
 CTES["gt"] = f"SELECT *, {SCHEDULE['gradual'].format(m=3.0, dur=0.1)} AS schedule FROM inf"
+CTES["gtd"] = f"SELECT *, {held('value', 'value + schedule * value__std')} AS value_d, {held('k', 'k + schedule * k__std')} AS k_d FROM gt"
 
 # Seeded runs: drift, severity, then the closed loop as one recursion with the open losses in a list.
 CTES["sx"] = f"""
@@ -394,10 +395,13 @@ sql("sink_event_log", """
 _flags = ", ".join(n_if(c, f"n_{c}") for c in ("valid", "range_violation", "outlier", "filled", "unfilled"))
 sql("sink_quality_row", f"""SELECT role, 'preprocess' AS stage, count(*) AS n_rows, {_flags},
   {n_if('range_violation', 'n_validation_failed')}, 'frozen baseline' AS note FROM rq GROUP BY role""")
-_truth = """SELECT {by} 'gradual' AS scenario, {mech} min(row_idx) FILTER (WHERE schedule > 0) AS drift_start_index,
+_landed = lambda c: f"avg({c}_d - {c}) FILTER (WHERE schedule > 0) / max({c}__std)"
+_less = lambda c: f"CASE WHEN abs({_landed(c)}) < 0.95::DOUBLE * avg(schedule) FILTER (WHERE schedule > 0) THEN '{c} clipped' END"
+_truth = f"""SELECT {{by}} 'gradual' AS scenario, 'offset' AS mechanism, min(row_idx) FILTER (WHERE schedule > 0) AS drift_start_index,
     max(row_idx) FILTER (WHERE schedule > 0) + 1 AS drift_end_index, 'value|k' AS affected_features, 3.0::DOUBLE AS drift_magnitude,
-    42 AS random_seed {more} FROM gt GROUP BY series_id"""
-sql("sink_ground_truth", _truth.format(by="", mech="", more=""))
+    {d(_landed('value'), 'realised_value')}, {d(_landed('k'), 'realised_k')}, concat_ws('; ', {_less('value')}, {_less('k')}) AS notes,
+    42 AS random_seed {{more}} FROM gtd GROUP BY series_id"""
+sql("sink_ground_truth", _truth.format(by="", more=""))
 
 # ---- row checks ---------------------------------------------------------------------------------
 sql("parse_ts_strict", """
@@ -413,6 +417,9 @@ sql("check_numeric", "\n UNION ALL ".join(
 _gone = {c: f"count(*) FILTER (WHERE {c} IS NULL)" for c in ("value", "k", "state", "amount", "event_type")}
 sql("missing_census", "\n UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", {g} AS n_missing, {' + '.join(_gone.values())} AS n_missing_total FROM t" for c, g in _gone.items()))
+_seen = {c: c in ("event_id", "event_type", "user_id", "ts", "y", "series_id", "role", "row_idx") for c in
+  ("series_id", "event_id", "ts", "user_id", "event_type", "value", "k", "state", "y", "amount", "role", "row_idx", "z_value", "z_k")}
+sql("leakage_refusals", "\n UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS n_values, {str(no).lower()} AS is_refused FROM n""" for c, no in _seen.items()))
 sql("leakage_guard", "SELECT y, count(*) AS n FROM n WHERE role = 'baseline_train' GROUP BY y")
 sql("validate_observation", """SELECT event_type, CASE WHEN amount IS NULL THEN 'missing' WHEN k = 0 THEN 'not_finite' ELSE 'ok' END AS error,
   count(*) AS n FROM t GROUP BY 1, 2""")
@@ -587,7 +594,7 @@ sql("inject_state_flip", f"""
   FROM gt WHERE (SELECT count(DISTINCT state) FROM inf) = 4""")
 sql("clip_physical", f"""SELECT series_id, {n_if('schedule > 0 AND abs(k + schedule * k__std - k_d) > 1e-9', 'n_clipped')}, {d('min(k_d)', 'lowest')}, {d('max(k_d)', 'highest')} FROM sdo GROUP BY 1""")
 sql("injection_guards", "SELECT role, count(*) AS n, role = 'inference' AS may_drift FROM t GROUP BY role")
-sql("ground_truth", _truth.format(by="series_id,", mech="'offset' AS mechanism,", more=", count(*) AS n_rows, count(*) FILTER (WHERE schedule > 0) AS n_drifted_rows"))
+sql("ground_truth", _truth.format(by="series_id,", more=", count(*) AS n_rows, count(*) FILTER (WHERE schedule > 0) AS n_drifted_rows"))
 sql("realised_magnitude", "\n UNION ALL ".join(f"""
   SELECT series_id, {d('avg(schedule)', 'requested')}, count(*) AS n_drifted_rows, '{c}' AS "column", {d(f'avg({c}_d - {c}) / max({c}__std)', 'realised')},
     {d(f'avg({c}_d - {c}) / max({c}__std) / avg(schedule)', 'attenuation')} FROM sdo WHERE schedule > 0 GROUP BY 1""" for c in ("value", "k")))
@@ -972,6 +979,15 @@ sql("flagship", f"""SELECT series_id, count(*) AS total_decisions, {n_if("action
   {d("count(*) FILTER (WHERE action = 'CLOUD') * 100.0::DOUBLE / count(*)", 'offloading_ratio')}, count(*) FILTER (WHERE row_idx > 0 AND action <> previous_action) AS switch_count,
   {d('avg(reliability)', 'mean_reliability')}, {d('max(smoothed_severity)', 'max_severity')} FROM fs JOIN rel USING (series_id, row_idx) GROUP BY 1""")
 
+_bin = lambda c: f"CAST(least(greatest(floor(({c} + 4.0::DOUBLE) / 0.25::DOUBLE), 0), 31) AS INTEGER)"
+_impure = lambda k, n: f"CASE WHEN {n} = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * {k} / {n} * (1.0::DOUBLE - {k}::DOUBLE / {n}) END"
+CTES["tb"] = " UNION ALL ".join(f"SELECT '{c}' AS feature, {_bin(c)} AS bin, count(*) AS k, sum(y) AS k1 FROM n WHERE role = 'baseline_train' GROUP BY 2" for c in ("z_value", "z_k"))
+CTES["tcum"] = """SELECT feature, bin, sum(k) OVER (PARTITION BY feature ORDER BY bin) AS l, sum(k1) OVER (PARTITION BY feature ORDER BY bin) AS l1,
+  sum(k) OVER (PARTITION BY feature) AS n, sum(k1) OVER (PARTITION BY feature) AS positive FROM tb"""
+_ORDER += ["tb", "tcum"]
+sql("edge_tree_gains", f"""SELECT feature, bin, {d(f"CASE WHEN n > l THEN {_impure('positive', 'n')} - l::DOUBLE / n * ({_impure('l1', 'l')}) - (n - l)::DOUBLE / n * ({_impure('(positive - l1)', '(n - l)')}) ELSE 0.0::DOUBLE END", 'gain')},
+  n::BIGINT AS n, positive::BIGINT AS positive FROM tcum""")
+
 # ---- retraining cycles -----------------------------------------------------------------------------------------------------
 CTES["tc"] = f"""SELECT series_id, row_idx FROM (SELECT *, count(*) FILTER (WHERE raw_severity > 0.55) OVER ({SER} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS alarms FROM rel)
   WHERE alarms >= 4 AND smoothed_severity >= 0.35 AND row_idx >= 39"""
@@ -1016,6 +1032,9 @@ CTES["tl"] = """
     WHERE is_labeled AND causal AND arrival_index <= as_of AND fb.row_idx <= as_of AND fb.row_idx > as_of - 100) WHERE back <= 40"""
 _ORDER += ["tc", "tf", "ta2", "tr", "tm", "t1", "tv", "t0", "tg", "ts_", "tw", "tl"]
 sql("training_union", f"""SELECT origin, label, count(*) AS n, {d('avg(z_value)', 'mean_z')} FROM (SELECT 'baseline' AS origin, y AS label, z_value FROM smp UNION ALL SELECT 'feedback', label, z_value FROM tl) GROUP BY 1, 2""")
+sql("retrain_metadata", """SELECT 'v2' AS candidate_version, 'v1' AS parent_version, a + b AS total_samples_trained, a AS baseline_samples_used, b AS feedback_samples_used,
+  2 AS feature_count, 42 AS random_seed, CASE WHEN b BETWEEN 25 AND 1000 THEN 'TRAINED' ELSE 'REFUSED' END AS status,
+  CASE WHEN b < 25 THEN 'too few labels' WHEN b > 1000 THEN 'more labels than the buffer holds' END AS reason FROM (SELECT (SELECT count(*) FROM smp) AS a, (SELECT count(*) FROM tl) AS b)""")
 sql("adaptation_cycles", f"""SELECT series_id, attempt, place AS trigger_idx, {d('candidate_metric', 'candidate_metric')}, {d('base', 'active_metric')}, ok AS accepted,
   'v' || (done - ok::INT + 2) AS version, 'v' || (done - ok::INT + 1) AS parent_version, 'v' || (done + 1) AS active_version, CASE WHEN ok THEN 'ACTIVE' ELSE 'REJECTED' END AS status FROM ts_""")
 sql("adapted_answers", f"SELECT series_id, row_idx, y, model_version, {d('p1', 'p1')}, (p1 >= 0.5)::INT AS prediction FROM tw")
@@ -1039,9 +1058,28 @@ CTES["ws"] = """
 _ORDER.append("ws")
 sql("stream_windows", f"""SELECT series_id, start_index, start_index + 20 AS end_index, {d('avg(value)', 'mean')}, {d('min(value)', 'minimum')}, {d('max(value)', 'maximum')},
   false AS is_late FROM ws GROUP BY series_id, start_index""")
-sql("stream_ordering", """SELECT series_id, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-23') AS n_folded, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-23') AS n_late FROM t GROUP BY 1""")
+sql("stream_ordering", "SELECT series_id, row_idx, event_id, false AS is_late FROM o WHERE role = 'inference'")
+sql("stream_late_rows", """SELECT series_id, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-23') AS n_folded, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-23') AS n_late FROM t GROUP BY 1""")
 sql("stream_monitor", f"""SELECT series_id, count(*) AS total_observations, {n_if("selected_action = 'EDGE'", 'n_edge')}, {n_if("selected_action = 'CLOUD'", 'n_cloud')}, {n_if("selected_action = 'HYBRID'", 'n_hybrid')},
   {n_if('NOT success', 'n_failed')}, {n_if('cloud_fallback', 'n_fallbacks')}, {d('avg(total_latency_s)', 'mean_latency_s')}, {d('max(total_latency_s)', 'max_latency_s')} FROM lg GROUP BY 1""")
 sql("stream_feedback", f"""SELECT event_id, (value > 60)::INT AS prediction, CASE WHEN in_time THEN y END AS label,
   {stamp('CASE WHEN in_time THEN ts + to_hours(k::BIGINT) END', 'arrival_ts')}, in_time AS is_labeled
   FROM (SELECT *, coalesce(event_type <> 'view' AND k <= 72, false) AS in_time FROM t WHERE role = 'inference')""")
+sql("stream_feedback_late", f"""SELECT event_id, y AS label, {stamp('ts + to_hours(k::BIGINT)', 'arrival_ts')} FROM t WHERE role = 'inference' AND event_type <> 'view' AND k > 72""")
+# The 25 columns of a telemetry row, its alerts and the newest rows of every device.
+CTES["tele"] = """
+  SELECT series_id, row_idx, lg.row_idx AS observation_index, epoch_us(rel.ts) / 1e6 AS timestamp, reliability, confidence, error_ema, smoothed_severity AS drift_severity, 1.0::DOUBLE AS quality,
+    selected_action, lag(selected_action) OVER (PARTITION BY series_id ORDER BY row_idx) AS previous_action, 'event type of ' || model_used AS decision_reason, edge_pred AS prediction,
+    model_used, execution_status, cloud_fallback, edge_latency_s, cloud_latency_s, CASE WHEN selected_action = 'HYBRID' THEN total_latency_s END AS hybrid_latency_s, 'v1' AS model_version,
+    raw_severity > 0.55 AS drift_detected, count(*) FILTER (WHERE raw_severity > 0.55) OVER (PARTITION BY series_id ORDER BY row_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) >= 8 AS is_persistent,
+    raw_severity, smoothed_severity, 'event_type' AS controller_policy, network_latency_s, packet_lost, success
+  FROM lg JOIN rel USING (series_id, row_idx)"""
+_ORDER.append("tele")
+_floats = ("timestamp", "reliability", "confidence", "error_ema", "drift_severity", "quality", "edge_latency_s", "cloud_latency_s", "hybrid_latency_s", "raw_severity", "smoothed_severity", "network_latency_s")
+_texts = ("observation_index", "selected_action", "previous_action", "decision_reason", "prediction", "model_used", "execution_status", "cloud_fallback", "model_version", "drift_detected", "is_persistent", "controller_policy", "packet_lost")
+sql("stream_recent", f"""SELECT series_id, {', '.join([*_texts, *(d(c, c) for c in _floats)])}
+  FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY row_idx DESC) AS place FROM tele) WHERE place <= 5""")
+sql("stream_alerts", """SELECT series_id, alert, count(*) AS n, min(row_idx) AS first_row FROM (SELECT series_id, row_idx, unnest([
+    CASE WHEN reliability < 0.5 THEN 'reliability_degraded' END, CASE WHEN drift_detected OR is_persistent OR smoothed_severity > 0.35 THEN 'drift_active' END,
+    CASE WHEN NOT success THEN 'execution_failure_detected' END, CASE WHEN cloud_fallback THEN 'cloud_fallback_active' END, CASE WHEN packet_lost THEN 'packet_loss' END]) AS alert
+  FROM tele) WHERE alert IS NOT NULL GROUP BY 1, 2""")

@@ -13,7 +13,7 @@ import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -137,11 +137,15 @@ def window_stream(df: DataFrame, series: Sequence[str], order: Sequence[str], va
     return fold_stream(df, series, order, lambda: (0, []), step, WINDOW_FIELDS)
 
 
-def feedback_stream(predictions: DataFrame, labels: DataFrame, key: Sequence[str], max_delay: str, lateness: str = "1 hour") -> DataFrame:
+def feedback_stream(predictions: DataFrame, labels: DataFrame, key: Sequence[str], max_delay: str, lateness: str = "1 hour", how: str = "inner") -> DataFrame:
     """Late labels meet their predictions: an interval join with watermarks on both sides.
 
     Both sides carry an event time (`ts`, `arrival_ts`); a label counts when it arrives no
     earlier than its prediction and within `max_delay`. The bounds let the state be dropped.
+
+    With "left_outer" a prediction comes out without a label once the watermark says that none can come any more, with
+    "full_outer" also a label that came too late for its prediction, or for none, with its key and empty otherwise. A drained
+    stream needs a closing row on either side for that (see `ordered.closing`).
     """
     p = predictions.withWatermark("ts", lateness)
     q = labels.select(*[F.col(k).alias(f"l_{k}") for k in key], "label", "arrival_ts").withWatermark("arrival_ts", lateness)
@@ -149,7 +153,9 @@ def feedback_stream(predictions: DataFrame, labels: DataFrame, key: Sequence[str
     for k in key:
         same = same & (F.col(k) == F.col(f"l_{k}"))
     in_time = (F.col("arrival_ts") >= F.col("ts")) & (F.col("arrival_ts") <= F.col("ts") + F.expr(f"INTERVAL {max_delay}"))
-    return p.join(q, same & in_time, "inner").drop(*[f"l_{k}" for k in key])
+    joined = p.join(q, same & in_time, how)
+    named = [F.coalesce(c, f"l_{c}").alias(c) if c in key else F.col(c) for c in predictions.columns]
+    return joined.select(*named, "label", "arrival_ts")
 
 
 def monitor_stream(log: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -165,6 +171,44 @@ def monitor_stream(log: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+class Monitor:
+    """Online telemetry: an alert row for every row with an alert, and the newest rows of every key.
+
+    A micro-batch is written under its number: `alerts/batch=N` and a snapshot `newest/batch=N` made of the snapshot before it and
+    the batch. Both are overwritten if the batch comes again, and a snapshot is made from the newest one of a smaller number, so a
+    replay changes nothing. A snapshot holds at most `newest` rows a key, however long the stream; older ones are not read.
+    """
+
+    def __init__(self, path: str, by: Sequence[str], order: str, newest: int, alerts: Column):
+        self.path, self.by, self.order, self.newest, self.alerts = path.rstrip("/"), list(by), order, newest, alerts
+
+    def save(self, batch: DataFrame, number: int) -> None:
+        told = batch.withColumn("alerts", self.alerts)
+        told.where(F.size("alerts") > 0).select(*self.by, self.order, F.explode("alerts").alias("alert")).write.mode("overwrite").parquet(f"{self.path}/alerts/batch={number}")
+        before = self._snapshot(batch.sparkSession, batch.schema, number)
+        both = batch if before is None else before.unionByName(batch)
+        w = Window.partitionBy(*self.by).orderBy(F.desc(self.order))
+        kept = both.withColumn("__place", F.row_number().over(w)).where(F.col("__place") <= self.newest).drop("__place")
+        kept.write.mode("overwrite").parquet(f"{self.path}/newest/batch={number}")
+
+    def _snapshot(self, spark: SparkSession, schema: T.StructType, before: int) -> DataFrame | None:
+        if not before:
+            return None
+        every = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{self.path}/newest")
+        last = every.where(F.col("batch") < before).agg(F.max("batch")).first()[0]
+        return None if last is None else every.where(F.col("batch") == last).drop("batch")
+
+    def run(self, stream: DataFrame, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+        """Drain what is available; all alerts so far, and the newest rows of every key."""
+        query = stream.writeStream.foreachBatch(self.save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        spark = stream.sparkSession
+        keys = [stream.schema[c] for c in (*self.by, self.order)]
+        alerts = spark.read.schema(T.StructType([*keys, T.StructField("alert", T.StringType()), T.StructField("batch", T.LongType())])).parquet(f"{self.path}/alerts")
+        newest = self._snapshot(spark, stream.schema, 1 << 62)
+        return alerts.drop("batch"), newest
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Drain what is available into a parquet table, exactly once, and read it."""
     query = (
