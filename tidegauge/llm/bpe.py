@@ -9,7 +9,9 @@ Results equal those of the tokenizers library with special tokens recognised in
 truncation, no padding. Text in scripts outside the Latin blocks is normalised and pre-split by that library's own
 normaliser; only the splitting into fragments and the merging is done here.
 
-Null text encodes like empty text: no ids, and decodes to the empty text. Equal texts get equal ids.
+Null text encodes like empty text: no ids, and decodes to the empty text. Equal texts get equal ids; repeated and null ids
+do no harm. Texts of any length are encoded whole, fragment by fragment. Other columns are ignored but for those that
+`token_table` is told to carry; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ probabilities, which favours segmentations into few pieces.
 Words are runs of letters, lower-cased. Letters that no piece spells cost a fixed small probability. A text that is
 null or has no letter gets `und` with score 0, and so does every text when nothing was learned. The score is the
 posterior of the predicted language under equal priors; ties go to the smallest language value. Equal texts get equal
-predictions.
+predictions. Texts of any length are read whole, words block by block; other columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations

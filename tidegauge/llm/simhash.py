@@ -14,7 +14,9 @@ A run passes on only the links to the smallest member of each of its groups; the
 alternating star contraction over written tables until nothing changes.
 
 Null text and text without words have fingerprint zero, linked like any other. Rows with null ids are linked too; a
-component is named by its smallest non-null id (null if it has none).
+component is named by its smallest non-null id (null if it has none). Texts of any length are read whole, COUNTED shingles at a
+time; repeated rows are members like others, `one_of_each` keeps one of them. Other columns are ignored by `grouped` and
+`near_copies` and passed on by `one_of_each`, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

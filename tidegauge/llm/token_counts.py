@@ -7,7 +7,8 @@ popped counts: no piece is ever built and no letter is read twice.
 
 Pieces come from a public vocabulary: those with its word mark start words, the others continue them. A word that
 the vocabulary cannot spell counts as one unknown token, as word-piece tokenizers do. Words are bounded by ASCII white
-space. Null or empty text has no words and no tokens; equal texts get equal rows.
+space. Null or empty text has no words and no tokens; equal texts get equal rows. Texts of any length are counted whole,
+other columns are ignored, repeated and null ids do no harm, an empty table gives no rows.
 """
 
 from __future__ import annotations
