@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from tidegauge.llm import bpe, decontaminate, language, licenses, line_dedup, quality, sharding, simhash, suffix_dedup, suffixes, token_counts
 from tidegauge.llm.common import free_name
+from tidegauge.session import materialise
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -170,8 +171,9 @@ def test_each_quality_measure_rejects_outliers_of_its_group(spark):
     wrong = [(i, m) for i, m in kinds.items() if got[i]["base_failed"] or got[i]["kept"]]
     assert not wrong
     # Each is outside by its own measure alone.
-    t = {x["t_source"]: x for x in quality.thresholds(quality.measured(docs)).collect()}["s0"]
-    for x in quality.measured(docs).where("doc_id >= 1000").collect():
+    measures = materialise(quality.measured(docs), "measured")
+    t = {x["t_source"]: x for x in quality.thresholds(measures).collect()}["s0"]
+    for x in measures.where("doc_id >= 1000").collect():
         out = [m for m in quality.MEASURES if x[m] > t[f"{m}_high"] or (m in quality.TWO_SIDED and x[m] < t[f"{m}_low"])]
         assert kinds[x["doc_id"]] in out
 
