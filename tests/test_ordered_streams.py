@@ -113,3 +113,31 @@ def test_monitor_raises_alerts_and_holds_the_newest_rows(spark):
     watch.save(spark.createDataFrame([(f"d{i % 2}", 30 + i, float(i)) for i in range(10)], cols), 3)
     alerts, newest = watch.run(stream, f"{folder}-state")
     assert told(alerts) == want and sorted((r.series, r.row_idx) for r in newest.collect()) == held
+
+
+def test_the_store_is_asked_per_slot_and_not_per_row():
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    calls = []
+
+    class Store(dict):
+        def getValue(self, k):
+            calls.append(k)
+            return self.get(k)
+
+        def updateValue(self, k, v):
+            calls.append(k)
+            self[k] = v
+
+    class Timers:
+        getCurrentWatermarkInMs = staticmethod(lambda: 1_000_000)
+        registerTimer = staticmethod(calls.append)
+
+    it = ordered.Reorder(["series"], "ts", "id", T.StructType([T.StructField("id", T.LongType())]), 60_000)
+    it.handle, it.open, it.parts = Timers, Store(), Store()
+    ms = pd.Series(range(960_000, 1_200_000, 40))
+    frame = pd.DataFrame({"series": "d0", "id": range(len(ms)), "ts": pd.to_datetime(ms, unit="ms")})
+    out = list(it.handleInputRows(("d0",), iter([frame, frame]), Timers))
+    assert sum(len(x) for x in out) == 2 * 1001  # up to the watermark
+    assert sum(len(v[0]) for v in it.open.values()) == 2 * (len(ms) - 1001) and len(calls) <= 2 * 4 * 4
