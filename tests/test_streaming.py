@@ -86,3 +86,27 @@ def test_monitor_totals_over_batches(spark):
     out = stateful.run_updates(stateful.monitor_stream(s, ["series"]), f"{folder}-out", f"{folder}-state", ["series"])
     got = {r.series: (r.total_observations, r.n_edge, r.n_hybrid, r.n_failed, round(r.mean_latency_s, 9)) for r in out.collect()}
     assert got == {"a": (3, 3, 0, 0, 0.2), "s0": (1, 0, 1, 0, 1.0), "s1": (1, 0, 1, 1, 1.0), "s2": (1, 0, 1, 0, 1.0)}
+
+
+def test_a_series_is_turned_into_output_by_slices(spark):
+    """Many rows of one series in a batch: readings are those of one fold, and a step sees a slice at most."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    from tidegauge.operators.adwin import AdaptiveWindow
+    from tidegauge.session import shared_dir
+    from tidegauge.streaming import stateful
+
+    n = 2 * stateful.SLICE_ROWS + 100
+    folder = f"{shared_dir(spark)}/sliced"
+    df = spark.range(n).select(F.lit("a").alias("series"), ((F.col("id") * 7919) % n).alias("at"), F.lit("x" * 50).alias("text"))
+    df.withColumn("x", (F.col("at") > 9000).cast("double") + (F.col("at") % 7) / 100).write.parquet(folder)
+    s = stateful.file_stream(spark, folder, spark.read.parquet(folder).schema)
+    out = stateful.detect_stream(s, ["series"], ["at"], "x", 0.0)
+    got = sorted(map(tuple, stateful.run_to_table(out, f"{folder}-out", f"{folder}-state").select("at", "row_idx", "drift_detected", "estimation", "width", "is_late").collect()))
+    window, want = AdaptiveWindow(0.002, 32), []
+    for i in range(n):
+        hit = window.add(float(i > 9000) + (i % 7) / 100)
+        want.append((i, i, hit, window.mean, window.n, False))
+    assert got == want and any(r[2] for r in got)
+    out = stateful.fold_stream(s.select("series", "at"), ["series"], ["at"], lambda: 0, lambda k, part: (k, part[["at"]].assign(n=len(part))), T.StructType([T.StructField("n", T.LongType())]))
+    assert stateful.run_to_table(out, f"{folder}-sizes", f"{folder}-sizes-state").agg(F.max("n")).first()[0] == stateful.SLICE_ROWS

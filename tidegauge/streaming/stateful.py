@@ -20,6 +20,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidegauge.operators.adwin import AdaptiveWindow
 
+#: Rows of a series that a task turns into output at a time.
+SLICE_ROWS = 1 << 14
+
 STATE = T.StructType([T.StructField("last", T.BinaryType()), T.StructField("blob", T.BinaryType())])
 
 
@@ -32,7 +35,10 @@ def fold_stream(
     outputs: T.StructType,
 ) -> DataFrame:
     """Feed each series' rows to `step` in `order`; output columns are the series, `outputs`
-    and `is_late`. A late row passes by `step` and appears with empty outputs."""
+    and `is_late`. A late row passes by `step` and appears with empty outputs.
+
+    A task holds a series' new rows, so `df` should have no more columns than `order` and `step` need; their outputs are made
+    a slice at a time."""
     keys = T.StructType([df.schema[c] for c in series])
     places = T.StructType([df.schema[c] for c in order])
     schema = T.StructType([*keys.fields, *places.fields, *outputs.fields, T.StructField("is_late", T.BooleanType())])
@@ -41,22 +47,25 @@ def fold_stream(
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, held = (pickle.loads(b) for b in state.get) if state.exists else (None, init())
         rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
-        places = list(rows[order].itertuples(index=False, name=None))
-        late = pd.Series([last is not None and p <= last for p in places], dtype=bool)
-        fresh = rows[~late.to_numpy()].reset_index(drop=True)
-        parts = []
-        if len(fresh):
-            held, got = step(held, fresh)
-            last = tuple(fresh[order].iloc[-1])
-            parts.append(got.assign(is_late=False))
-        if late.any():
-            passed = rows.loc[late.to_numpy(), order].reset_index(drop=True)
-            parts.append(passed.reindex(columns=[f.name for f in schema.fields[len(key):-1]]).assign(is_late=True))
+        passed = last  # what the batches before have folded
+        for lo in range(0, len(rows), SLICE_ROWS):
+            some = rows.iloc[lo : lo + SLICE_ROWS]
+            places = list(some[order].itertuples(index=False, name=None))
+            late = pd.Series([passed is not None and p <= passed for p in places], dtype=bool)
+            fresh = some[~late.to_numpy()].reset_index(drop=True)
+            parts = []
+            if len(fresh):
+                held, got = step(held, fresh)
+                last = tuple(fresh[order].iloc[-1])
+                parts.append(got.assign(is_late=False))
+            if late.any():
+                behind = some.loc[late.to_numpy(), order].reset_index(drop=True)
+                parts.append(behind.reindex(columns=[f.name for f in schema.fields[len(key):-1]]).assign(is_late=True))
+            out = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+            for name, value in zip(series, key):
+                out[name] = value
+            yield out[[f.name for f in schema.fields]]
         state.update((pickle.dumps(last), pickle.dumps(held)))
-        out = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
-        for name, value in zip(series, key):
-            out[name] = value
-        yield out[[f.name for f in schema.fields]]
 
     return df.groupBy(*series).applyInPandasWithState(
         run, schema, STATE, "append", GroupStateTimeout.NoTimeout
@@ -98,7 +107,7 @@ def detect_stream(
         return (detector, n, recent, smooth), pd.concat([rows[order].reset_index(drop=True), got], axis=1)
 
     init = lambda: (AdaptiveWindow(delta, clock), 0, [], None)
-    return fold_stream(df, series, order, init, step, DETECT_FIELDS)
+    return fold_stream(df.select(*dict.fromkeys([*series, *order, value])), series, order, init, step, DETECT_FIELDS)
 
 
 WINDOW_FIELDS = T.StructType(
@@ -134,7 +143,7 @@ def window_stream(df: DataFrame, series: Sequence[str], order: Sequence[str], va
         ring = ring[-(size - 1):] if size > 1 else []
         return (n, ring), pd.DataFrame(out, columns=[*order, *[f.name for f in WINDOW_FIELDS.fields]])
 
-    return fold_stream(df, series, order, lambda: (0, []), step, WINDOW_FIELDS)
+    return fold_stream(df.select(*dict.fromkeys([*series, *order, value])), series, order, lambda: (0, []), step, WINDOW_FIELDS)
 
 
 def feedback_stream(predictions: DataFrame, labels: DataFrame, key: Sequence[str], max_delay: str, lateness: str = "1 hour", how: str = "inner") -> DataFrame:
