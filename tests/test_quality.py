@@ -82,3 +82,13 @@ def test_sketched_profile_agrees_on_kind_and_moments(spark):
             exact[c].is_discrete, exact[c].zero_variance, exact[c]["mean"], exact[c].maximum
         )
     assert rough["few"].n_unique == 7 and abs(rough["many"].n_unique - 5000) < 200
+
+
+def test_large_groups_are_not_sorted_for_their_quantiles(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"))
+    plans = {}
+    for marks in (0, 1000):
+        out = profile.exact_quantiles(df, ["x"], [0.5], ["g"], 1000, broadcast_marks=marks)
+        plans[marks] = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, out.collect())) == [(0, "x", 1499.0), (1, "x", 1500.0)]
+    assert "BroadcastHashJoin" in plans[1000] and "SortMergeJoin" not in plans[1000]
