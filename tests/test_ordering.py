@@ -160,3 +160,14 @@ def test_values_as_of_the_row_before(numbered):
         for i, r in enumerate(rows):
             assert got[s, i] == (total, seen)
             total, seen = total + r[2], r[3] if r[3] is not None else seen
+
+
+def test_rows_dealt_before_they_are_multiplied_smooth_alike_and_move_once(spark):
+    runs, axis = spark.range(3).select(F.col("id").alias("run")), Axis(("run", "series"), chunk_rows=64)
+    df = spark.range(500).select((F.col("id") % 2).alias("series"), F.floor(F.col("id") / 2).alias("row_idx"), (F.col("id") * 37 % 101).cast("double").alias("x"))
+    value = F.col("x") * (F.col("run") + 1)
+    plain = axis.ema(df.crossJoin(F.broadcast(runs)), "s", value, 0.0001)
+    dealt = axis.ema(axis.spread(df, 0.0001, ["series"]).crossJoin(F.broadcast(runs)), "s", value, 0.0001)
+    assert dealt.columns == plain.columns and sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
+    plan = dealt._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count(" Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(run" not in plan
