@@ -1,4 +1,4 @@
-"""What grows with the stream is joined where it lies."""
+"""What grows with the stream is joined where it lies, and pairs to judge are dealt by their number."""
 
 import random
 
@@ -54,13 +54,33 @@ def test_attempts_meet_their_device_and_each_other_without_the_driver(spark, wri
     first = materialise(own.groupBy("series_id").agg(F.lit(0.1).alias("first_metric")), "first")
     audit = adapt.audited(tried, late, own, own, first, AXIS)
     assert audit.count() == 28 and audit.where("accepted").count() > 0
-    assert not gathered(written["cycles"], "attempt")
+    assert not gathered(written["scores"], "attempt") and not gathered(written["cycles"], "attempt")
     held = adapt.in_force(late, audit, AXIS)
     assert not gathered(written["placed"], "row_idx")
     since = {(r.seed, r.series_id): r.at for r in audit.where("accepted").groupBy("seed", "series_id").agg(F.min("trigger_idx").alias("at")).collect()}
     assert all((r.model is not None) == (r.row_idx > since.get((r.seed, r.series_id), 600)) for r in held.collect())
 
 
+def test_scores_are_judged_once_for_the_gate(spark, written, monkeypatch):
+    seen = []
+    monkeypatch.setattr(feedback, "gate_sequence", lambda table, *rest, own=feedback.gate_sequence: seen.append(plan(table)) or own(table, *rest))
+    own = rows(spark, 30, seed=2).where("seed = 0").drop("seed")
+    first = materialise(own.groupBy("series_id").agg(F.lit(0.1).alias("first_metric")), "first")
+    adapt.audited(attempts(spark), rows(spark, 600), own, own, first, AXIS)
+    assert len(seen) == 1 and "MapInPandas" not in seen[0]
+
+
+def test_pairs_are_dealt_by_their_number_whatever_they_hold(spark, monkeypatch):
+    for name, n in (("JUDGED_ATTEMPTS", 1), ("JUDGED_ROWS", 10), ("JUDGED_PAIRS", 2)):
+        monkeypatch.setattr(adapt, name, n)
+    own = rows(spark, 100, seed=2).where("seed = 0").drop("seed")
+    wide = adapt.wide_models(adapt.candidates(attempts(spark), rows(spark, 600), own, AXIS), AXIS)
+    judged = adapt.judged(wide, own, AXIS)
+    # 2 seeds x 7 attempts x 10 blocks of rows x 2 devices, two pairs a task.
+    assert plan(judged).count("140), REPARTITION_BY_NUM") == 2
+    assert {r.n for r in judged.select((F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n")).collect()} == {100}
+
+
 def test_triggers_meet_their_rows_without_the_driver(spark):
     ready = rows(spark, 200).select(*AXIS.series, "row_idx", F.lit(True).alias("is_persistent"), F.lit(0.5).alias("smoothed_severity"), F.col("row_idx").alias("n_eligible"))
     fired = feedback.adaptation_triggers(materialise(ready, "ready"), AXIS, cooldown=50)
