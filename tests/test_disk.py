@@ -121,7 +121,7 @@ def test_runs_are_the_same_range_by_range_and_nothing_else_stays(spark, sf_dir,
     assert {k for k, n in added().items() if n > before.get(k, 0)} <= {"ordered", "offsets", "moments", "signal-mean", "runs"}
     assert added()["runs"] - before["runs"] == 4 == replayed.select("series_id").distinct().count()
     assert {n: sorted(map(str, q(spark, sf_dir).collect())) for n, q in queries.items()} == want
-    assert added()["detected"] - before["detected"] == 4 and not {"alarms", "drifted", "placed", "retrained", "segments"} & set(added())
+    assert added()["detected"] - before["detected"] == 4 and not {"alarms", "drifted", "placed", "retrained", "segments", "run", "ends"} & set(added())
     events.forget()
 
 
